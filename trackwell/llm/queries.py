@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import simhash
+from trackwell.llm import line_dedup, quality_rules, simhash, sql
 from trackwell.llm.common import table
 
 
@@ -14,9 +14,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "rules.*").drop("clean_text")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "dedup.*").select(
+        "doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines",
+        F.length("clean_text").cast("long").alias("kept_chars"), F.md5(F.col("clean_text").cast("binary")).alias("kept_md5"),
+    )
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL by query; a query that SQL can't express is tested against brute force instead.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_quality_rules": sql.OP7, "op10_line_dedup": sql.OP10}
