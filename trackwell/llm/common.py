@@ -36,6 +36,18 @@ def free_name(frame: DataFrame, wish: str) -> str:
     return wish
 
 
+def settled(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns whose values are computed once for each row.
+
+    Catalyst merges neighbouring projections, and a column that a lambda names would then be
+    computed again for every element. A generator of one row stands between the two.
+    """
+    held = free_name(frame, "_held")
+    out = frame.withColumn(held, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    keep = [F.col(f"`{c}`") for c in frame.columns if c not in columns]
+    return out.select(*keep, *[F.col(f"{held}.{n}").alias(n) for n in columns])
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackwell.llm.common import Scratch, free_name
+from trackwell.llm.common import Scratch, free_name, settled
 
 #: Weights of the newest and the two lines before it in the rolling hash, and the mean lines of a chunk.
 WEIGHTS = (1, 257, 66049)
@@ -24,8 +24,8 @@ def with_chunks(docs: DataFrame, name: str, mean_lines: int = MEAN_LINES) -> Dat
     modulo mean_lines, so boundaries depend on nearby lines only and move with inserted text.
     """
     lines, sums, starts = (free_name(docs, f"_{x}") for x in ("lines", "sums", "starts"))
-    out = docs.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = out.withColumn(sums, F.transform(lines, line_hash))
+    out = settled(docs, {lines: F.split(F.coalesce("text", F.lit("")), "\n")})
+    out = settled(out, {sums: F.transform(lines, line_hash)})
 
     def ends(i: Column) -> Column:
         rolled = sum(
@@ -34,9 +34,9 @@ def with_chunks(docs: DataFrame, name: str, mean_lines: int = MEAN_LINES) -> Dat
         )
         return rolled % mean_lines == 0
 
-    out = out.withColumn(starts, F.filter(
+    out = settled(out, {starts: F.filter(
         F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | ends(i - 1)
-    ))
+    )})
 
     def chunk(s: Column, k: Column) -> Column:
         stop = F.coalesce(F.get(F.col(starts), k + 1), F.size(lines))
@@ -47,7 +47,7 @@ def with_chunks(docs: DataFrame, name: str, mean_lines: int = MEAN_LINES) -> Dat
             F.array_join(own, "\n").alias("body"),
         )
 
-    out = out.withColumn(name, F.transform(starts, chunk))
+    out = settled(out, {name: F.transform(starts, chunk)})
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
@@ -82,7 +82,7 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, scratch: Scrat
     )
     out = with_chunks(keyed.join(drop, [row_id, row_hash], "left"), cs, mean_lines)
     none = F.array().cast("array<int>")
-    out = out.withColumn(gone, F.coalesce(gone, none))
+    out = settled(out, {gone: F.coalesce(gone, none)})
     stays = F.filter(cs, lambda c: ~F.array_contains(F.col(gone), c["k"]))
     count = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda c: c["body"]), "\n"))

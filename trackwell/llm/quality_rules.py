@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackwell.llm.common import SPACE, WORD, free_name
+from trackwell.llm.common import SPACE, WORD, free_name, settled
 
 #: Fixed wording of the line rules; each is one regular expression that Java and RE2 read alike.
 TERMINAL = r"""[.!?:;…。！？"'”’»)\]][\x20\x09-\x0D]*$"""
@@ -49,11 +49,8 @@ def apply_rules(docs: DataFrame, max_lost_percent: int = 30, min_words: int = 10
     own = ("text", "words", "grams", "pairs", "lines", "bad", "solid", "starts", "n", "chars", "rep", "lost")
     t, w, g, p, lines, bad, solid, starts, n, chars, rep, lost = (free_name(docs, f"_{x}") for x in own)
     out = docs.withColumn(t, F.coalesce("text", F.lit("")))
-    out = out.withColumns({
-        w: _words(F.col(t)),
-        lines: F.split(t, "\n"),
-    })
-    out = out.withColumns({
+    out = settled(out, {w: _words(F.col(t)), lines: F.split(t, "\n")})
+    out = settled(out, {
         g: F.when(F.size(w) >= 5, F.transform(
             F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(5)])
         )),
@@ -61,22 +58,22 @@ def apply_rules(docs: DataFrame, max_lost_percent: int = 30, min_words: int = 10
         solid: F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
     # Windows found again: sort (hash, start) and keep entries that equal a neighbour.
-    out = out.withColumn(p, F.when(
+    out = settled(out, {p: F.when(
         F.size(F.array_distinct(g)) < F.size(g),
         F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-    ))
-    out = out.withColumn(starts, F.array_sort(F.transform(
+    )})
+    out = settled(out, {starts: F.array_sort(F.transform(
         F.filter(p, lambda x, k: (
             (x["h"] == F.get(F.col(p), k + 1)["h"]) | ((k > 0) & (x["h"] == F.get(F.col(p), k - 1)["h"]))
         )),
         lambda x: x["i"],
-    )))
+    ))})
     zero = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("n"))
     repeats = F.aggregate(starts, zero, lambda a, s: F.struct(
         s.alias("last"), (a["n"] + F.least(F.lit(5), s - a["last"])).alias("n")
     ), lambda a: a["n"])
     long = lambda c: c.cast("long")
-    out = out.withColumns({
+    out = settled(out, {
         n: long(F.size(w)),
         chars: long(F.length(F.array_join(w, ""))),
         rep: F.coalesce(repeats, F.lit(0).cast("long")),

@@ -5,8 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import line_dedup, quality_rules, simhash, sql
-from trackwell.llm.common import table
+from trackwell.llm import decontamination, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, sql
+from trackwell.llm.common import bucket_of, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "leak.*")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select("doc_id", "licenses.*").withColumn("base", F.filter("matches", lambda m: m["base"]))
+    starts = F.transform("base", lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), license_scan.labels(F.col("base")).alias("base_labels"),
+        license_scan.labels(F.col("matches")).alias("labels"),
+        F.when(F.exists("matches", lambda m: ~m["base"]), 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.score(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +44,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rules.*").drop("clean_text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", mixing.words_taken(F.col("mix")).cast("long").alias("taken"),
+        F.array_join(F.transform("mix.draws", lambda d: d["shard"].cast("string")), ",").alias("shards"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "dedup.*").select(
@@ -28,10 +61,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL by query; a query that SQL can't express is tested against brute force instead.
-SQL: dict[str, str] = {"op7_quality_rules": sql.OP7, "op10_line_dedup": sql.OP10}
+SQL: dict[str, str] = {"op2_license_scan": sql.OP2, "op7_quality_rules": sql.OP7, "op10_line_dedup": sql.OP10}

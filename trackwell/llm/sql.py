@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from trackwell.llm import license_scan
 from trackwell.llm.line_dedup import MEAN_LINES, WEIGHTS
 from trackwell.llm.quality_rules import BOILERPLATE, NAVIGATION, SENTENCE_END, SHOUTS, SYMBOLS, TERMINAL
 
@@ -52,3 +55,34 @@ o AS (SELECT r, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(count(*) AS BIGINT
 SELECT doc_id, n_lines, n_chunks, removed_chunks, removed_lines, CAST(length(CASE WHEN text IS NULL THEN NULL ELSE clean END) AS BIGINT) AS kept_chars,
        CASE WHEN text IS NULL THEN NULL ELSE md5(clean) END AS kept_md5
 FROM o JOIN d USING (r)"""
+
+
+def _license_regex(template: str) -> str:
+    """A template as a regular expression over words that each stand between two spaces."""
+    out = ""
+    for mark, limit, word in re.findall(rf"<<(/?opt|any (\d+))>>|({license_scan.WORD})", template):
+        if mark == "opt":
+            out += "(?:"
+        elif mark == "/opt":
+            out += ")?"
+        else:
+            out += f"(?: [^ ]+ ){{0,{limit}}}" if limit else f" {word} "
+    return out
+
+
+_L = _quoted(license_scan.WORD)
+_AT = " OR ".join(
+    "(" + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(text.split())) + f") /* {label} */" for label, text in license_scan.PHRASES
+)
+_BASE = ", ".join(f"CASE WHEN regexp_matches(j, '{_license_regex(t)}') THEN '{label}' END" for label, t in license_scan.PHRASES)
+_MORE = ", ".join(f"CASE WHEN regexp_matches(j, '{_license_regex(t)}') THEN '{label}' END" for label, t in license_scan.TEMPLATES)
+_DISTINCT = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
+OP2 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_L}) AS ws FROM documents),
+j AS (SELECT doc_id, ws, ' ' || array_to_string(ws, '  ') || ' ' AS j, list_filter(range(1, len(ws) + 1), lambda i: {_AT}) AS places FROM w),
+m AS (SELECT *, [{_BASE}] AS base, [{_MORE}] AS more FROM j)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+       {_DISTINCT.format('base')} AS base_labels, {_DISTINCT.format('list_concat(base, more)')} AS labels,
+       CASE WHEN len(list_filter(more, lambda x: x IS NOT NULL)) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM m"""
