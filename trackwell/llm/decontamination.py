@@ -37,14 +37,22 @@ def _codes(text: str) -> np.ndarray:
 
 def _grams(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each q-gram."""
-    n = len(codes) - Q + 1
-    if n <= 0:
+    if len(codes) < Q:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(Q):
-        out = (out ^ codes[i : i + n]) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
+    known = {1: (codes.astype(np.uint64) + np.uint64(1)) * _MIX}
+    size = 1
+    while size * 2 <= Q:  # hashes of 2, 4, 8 characters from halves, then what Q lacks
+        h = known[size]
+        h = (h[: len(h) - size] ^ (h[size:] >> np.uint64(23))) * _MIX + h[size:]
+        size *= 2
+        known[size] = h
+    done = size
+    while done < Q:
+        more = max(k for k in known if done + k <= Q)
+        n = len(codes) - done - more + 1
+        h = (h[:n] ^ (known[more][done : done + n] >> np.uint64(23))) * _MIX + known[more][done : done + n]
+        done += more
+    return h ^ (h << np.uint64(31))
 
 
 def edit_budget(length: int) -> int:
@@ -61,21 +69,20 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int) ->
 
     A cell of diagonal d in row i stands for item[:i] aligned up to text[:i + d].
     """
-    far, width, n = 1 << 29, high - low + 1, len(text)
-    diagonals = np.arange(low, high + 1)
+    width, n = high - low + 1, len(text)
     steps = np.arange(width)
-    row = np.where((diagonals >= 0) & (diagonals <= n), 0, far)
-    for i in range(1, len(item) + 1):
-        at = diagonals + i
-        inside = (at >= 0) & (at <= n)
-        before = np.clip(at - 1, 0, n - 1)
-        new = row + ((text[before] != item[i - 1]) | (at < 1))
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.where(inside, new, far)
-        row = np.minimum.accumulate(new - steps) + steps
-        row = np.where(inside, row, far)
+    pad = np.full(max(0, -low) + 1, 0xFFFFFFFF, dtype=np.uint32)  # equals no character, so costs as much as leaving one out
+    tail = np.full(max(0, high + len(item) - n) + 1, 0xFFFFFFFF, dtype=np.uint32)
+    padded, first = np.concatenate([pad, text, tail]), len(pad) + low
+    row = np.zeros(width, dtype=np.int64)
+    for i, c in enumerate(item):
+        new = row + (padded[first + i : first + i + width] != c)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new -= steps
+        row = np.minimum.accumulate(new, out=new)
+        row += steps
     best = int(row.argmin())
-    return int(row[best]), int(diagonals[best] + len(item))
+    return int(row[best]), min(n, best + low + len(item))
 
 
 class Index:
@@ -86,6 +93,7 @@ class Index:
         self.codes = [_codes(t) for _, t in items]
         self.budget = np.array([edit_budget(len(c)) for c in self.codes], dtype=np.int64)
         self.needed = np.array([needed(len(c)) for c in self.codes], dtype=np.int64)
+        self.least = int(self.needed.min(initial=1 << 40))
         self.band = np.maximum(BAND, self.budget)
         grams = [_grams(c) for c in self.codes]
         hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
@@ -94,19 +102,19 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         self.item, self.place = item[order], place[order]
         self.hashes, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
-        self.bits = max(10, int(len(self.hashes)).bit_length() + 5)
+        self.bits = max(10, int(len(self.hashes)).bit_length() + 7)
         self.seen = np.zeros(1 << self.bits, dtype=bool)
         self.seen[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def regions(self, grams: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) that hold enough shared q-grams; band b of an item starts at diagonal b times its band width."""
         at = np.flatnonzero(self.seen[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
-        if not len(at) or not len(self.hashes):
+        if not len(self.ids) or len(at) < self.least:
             return []
         slot = np.minimum(np.searchsorted(self.hashes, grams[at]), len(self.hashes) - 1)
         hit = self.hashes[slot] == grams[at]
         at, slot = at[hit], slot[hit]
-        if len(at) < self.needed.min(initial=1 << 40):
+        if len(at) < self.least:
             return []
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         ends = np.cumsum(self.count[slot])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trackwell.llm.common import SPACE, WORD, free_name, settled
 
 #: Fixed wording of the line rules; each is one regular expression that Java and RE2 read alike.
-TERMINAL = r"""[.!?:;…。！？"'”’»)\]][\x20\x09-\x0D]*$"""
+TERMINAL_MARKS = tuple(""".!?:;…。！？"'”’»)]""")
+SOLID = r"[^\x20\x09-\x0D]"
 SENTENCE_END = r"""[.!?。！？]["'”’)]?[\x20\x09-\x0D]"""
 NAVIGATION = r"(?:[|»›•·→>][^|»›•·→>]*){3}"
 BOILERPLATE = (
@@ -28,12 +29,15 @@ def line_fails(line: Column) -> Column:
     """Whether a line goes: unlike prose in its punctuation, navigation, or boilerplate. Blank lines stay.
 
     Punctuation unlike prose: no sentence ends in it or with it, or over one symbol or
-    doubled mark to ten words.
+    doubled mark to ten words. Counts are taken only where a line has any mark at all.
     """
-    words = F.regexp_count(line, F.lit(WORD))
     marks = F.regexp_count(line, F.lit(SYMBOLS)) + F.regexp_count(line, F.lit(SHOUTS))
-    prose = line.rlike(TERMINAL) | line.rlike(SENTENCE_END)
-    return (words > 0) & (~prose | (marks * 10 > words) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
+    ends = F.right(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(1)).isin(*TERMINAL_MARKS)
+    return line.rlike(SOLID) & (
+        ~(ends | line.rlike(SENTENCE_END))
+        | (line.rlike(f"{SYMBOLS}|{SHOUTS}") & (marks * 10 > F.regexp_count(line, F.lit(WORD))))
+        | (line.rlike("[|»›•·→>]") & line.rlike(NAVIGATION)) | line.rlike(BOILERPLATE)
+    )
 
 
 def apply_rules(docs: DataFrame, max_lost_percent: int = 30, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
@@ -46,23 +50,23 @@ def apply_rules(docs: DataFrame, max_lost_percent: int = 30, min_words: int = 10
     work is within the row: nothing is shuffled, whatever the source or the copies.
     """
     name = free_name(docs, "rules")
-    own = ("text", "words", "grams", "pairs", "lines", "bad", "solid", "starts", "n", "chars", "rep", "lost")
-    t, w, g, p, lines, bad, solid, starts, n, chars, rep, lost = (free_name(docs, f"_{x}") for x in own)
+    own = ("text", "words", "grams", "pairs", "lines", "fails", "solid", "starts", "n", "chars", "rep", "lost")
+    t, w, g, p, lines, fails, solid, starts, n, chars, rep, lost = (free_name(docs, f"_{x}") for x in own)
     out = docs.withColumn(t, F.coalesce("text", F.lit("")))
     out = settled(out, {w: _words(F.col(t)), lines: F.split(t, "\n")})
     out = settled(out, {
         g: F.when(F.size(w) >= 5, F.transform(
             F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(5)])
         )),
-        bad: F.filter(lines, line_fails),
-        solid: F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        fails: F.transform(lines, line_fails),
+        solid: F.filter(lines, lambda x: x.rlike(SOLID)),
     })
     # Windows found again: sort (hash, start) and keep entries that equal a neighbour.
     out = settled(out, {p: F.when(
         F.size(F.array_distinct(g)) < F.size(g),
-        F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )})
-    out = settled(out, {starts: F.array_sort(F.transform(
+    out = settled(out, {starts: F.sort_array(F.transform(
         F.filter(p, lambda x, k: (
             (x["h"] == F.get(F.col(p), k + 1)["h"]) | ((k > 0) & (x["h"] == F.get(F.col(p), k - 1)["h"]))
         )),
@@ -77,7 +81,7 @@ def apply_rules(docs: DataFrame, max_lost_percent: int = 30, min_words: int = 10
         n: long(F.size(w)),
         chars: long(F.length(F.array_join(w, ""))),
         rep: F.coalesce(repeats, F.lit(0).cast("long")),
-        lost: long(F.length(F.regexp_replace(F.array_join(bad, ""), SPACE, ""))),
+        lost: long(F.length(F.regexp_replace(F.array_join(F.filter(lines, lambda _, i: F.get(F.col(fails), i)), ""), SPACE, ""))),
     })
     failed = (F.col(n) < min_words) | (F.col(rep) * 100 > F.col(n) * max_repeat_percent)
     rules = F.struct(
@@ -86,7 +90,7 @@ def apply_rules(docs: DataFrame, max_lost_percent: int = 30, min_words: int = 10
         long(F.size(solid) - F.size(F.array_distinct(solid))).alias("n_dup_lines"),
         F.col(rep).alias("n_repeat_words"), failed.alias("base_failed"), F.col(lost).alias("lost_chars"),
         (~failed & (F.col(lost) * 100 <= F.col(chars) * max_lost_percent)).alias("kept"),
-        F.when(F.col("text").isNotNull(), F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")).alias("clean_text"),
+        F.when(F.col("text").isNotNull(), F.array_join(F.filter(lines, lambda _, i: ~F.get(F.col(fails), i)), "\n")).alias("clean_text"),
     )
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], rules.alias(name))
 

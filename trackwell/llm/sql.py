@@ -6,7 +6,7 @@ import re
 
 from trackwell.llm import license_scan
 from trackwell.llm.line_dedup import MEAN_LINES, WEIGHTS
-from trackwell.llm.quality_rules import BOILERPLATE, NAVIGATION, SENTENCE_END, SHOUTS, SYMBOLS, TERMINAL
+from trackwell.llm.quality_rules import BOILERPLATE, NAVIGATION, SENTENCE_END, SHOUTS, SYMBOLS, TERMINAL_MARKS
 
 
 def _quoted(pattern: str) -> str:
@@ -16,8 +16,9 @@ def _quoted(pattern: str) -> str:
 _SPACE = r"'[\x20\x09-\x0D]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _SOLID = r"'[^\x20\x09-\x0D]'"
+_TERMINAL = "[" + "".join(TERMINAL_MARKS).replace("]", r"\]") + r"][\x20\x09-\x0D]*$"
 _FAILS = f"""(len(regexp_extract_all(x, {_WORD})) > 0 AND (
-    NOT (regexp_matches(x, {_quoted(TERMINAL)}) OR regexp_matches(x, {_quoted(SENTENCE_END)}))
+    NOT (regexp_matches(x, {_quoted(_TERMINAL)}) OR regexp_matches(x, {_quoted(SENTENCE_END)}))
     OR 10 * (len(regexp_extract_all(x, {_quoted(SYMBOLS)})) + len(regexp_extract_all(x, {_quoted(SHOUTS)}))) > len(regexp_extract_all(x, {_WORD}))
     OR regexp_matches(x, {_quoted(NAVIGATION)}) OR regexp_matches(x, {_quoted(BOILERPLATE)})))"""
 
