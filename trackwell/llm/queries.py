@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import decontamination, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, sql
+from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql
 from trackwell.llm.common import bucket_of, table
 
 
@@ -39,6 +39,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.array_join("blocks", " ")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), 10) == 0
+    found = lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id").isNotNull() & ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "rules.*").drop("clean_text")
@@ -65,6 +77,8 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
