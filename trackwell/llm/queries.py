@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql
+from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql, suffix_dedup
 from trackwell.llm.common import bucket_of, table
 
 
@@ -56,6 +56,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rules.*").drop("clean_text")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2(suffix_dedup.kept_bytes(F.col("text"), F.col("spans")), 256).alias("kept_sha256"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select(
@@ -80,6 +89,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
