@@ -102,4 +102,6 @@ def suffix_ranks(strings: DataFrame, scratch: Scratch, levels: int) -> DataFrame
     ranks = parts.repartition("key").groupBy("key", "j").agg((F.sum("v") + 1).alias("r")).groupBy("key").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("j", "r"))), lambda x: x["r"]).alias("r")
     )
-    return scratch.save(ranks)
+    out = scratch.save(ranks)
+    scratch.drop(shorter, every)
+    return out

@@ -94,7 +94,9 @@ def _candidates(numbered: DataFrame, scratch: Scratch, length: int) -> DataFrame
     found = scratch.save(numbered.select("row", "text").where(F.octet_length("text") >= length).mapInArrow(find, "row long, p long, h long"))
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = found.join(again, "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("hits"))
-    return scratch.save(numbered.select("row", "text").join(hits, "row"))
+    out = scratch.save(numbered.select("row", "text").join(hits, "row"))
+    scratch.drop(found)
+    return out
 
 
 def _spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -106,24 +108,50 @@ def _spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), np.maximum.reduceat(stops, first).tolist()))
 
 
+def _leaders(data: np.ndarray) -> np.ndarray:
+    """Of each run of SPREAD places, the first with the least hash: an anchor that depends on no byte outside the run."""
+    h = _hashes(data, GRAM, _A)
+    at, size = np.arange(len(h)), 1
+    while size < SPREAD:
+        a, b = at[:-size], at[size:]
+        at = np.where(h[b] < h[a], b, a)
+        size *= 2
+    return at
+
+
+def _possible(data: np.ndarray, hits: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Intervals [a, b) of windows whose leading anchor is a hit; any other window occurs once."""
+    hit = np.zeros(len(data) + 1, bool)
+    hit[hits] = True
+    ok = np.concatenate([[False], hit[_leaders(data)[: len(data) - length + 1]], [False]])
+    edges = np.flatnonzero(ok[1:] != ok[:-1])
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def _phrases(candidates: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(key, row, lo, hi, at, s): stretches that may hold repeated strings, their anchors, and a hash of the bytes between anchors."""
+    """(key, row, windows, at, s): stretches that may hold repeated strings, where those start, their anchors, and a hash
+    of the bytes between anchors."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for row, text, hits in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("hits")):
-                data, p = _bytes(text.as_py()), hits.values.to_numpy()
-                at = anchors(np.frombuffer(data, np.uint8))
-                for lo, hi in _spans(np.maximum(0, p - SPREAD + 1), np.minimum(len(data), p + length)):
+                data = _bytes(text.as_py())
+                flat = np.frombuffer(data, np.uint8)
+                at, windows = anchors(flat), _possible(flat, hits.values.to_numpy(), length)
+                if not windows:
+                    continue
+                a, b = np.array(windows).T
+                for lo, hi in _spans(a, b - 1 + length):
                     own = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)].tolist()
-                    names = [xxhash.xxh64_intdigest(data[a:b], 5) - 2**63 for a, b in zip(own, own[1:])]
-                    for c, v in zip(out, (row, lo, hi, own, names)):
+                    names = [xxhash.xxh64_intdigest(data[i:j], 5) - 2**63 for i, j in zip(own, own[1:])]
+                    edges = [x for w in windows if lo <= w[0] < hi for x in w]
+                    for c, v in zip(out, (row, edges, own, names)):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield _lists(out, kinds, ["row", "lo", "hi", "at", "s"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield _lists(out, kinds, ["row", "windows", "at", "s"])
 
-    found = candidates.mapInArrow(cut, "row long, lo long, hi long, at array<bigint>, s array<bigint>")
+    found = candidates.mapInArrow(cut, "row long, windows array<bigint>, at array<bigint>, s array<bigint>")
     return scratch.save(found.withColumn("key", F.monotonically_increasing_id()))
 
 
@@ -137,56 +165,57 @@ def _adjacent(runs: DataFrame, scratch: Scratch, length: int, levels: int) -> Da
     ranks = suffix_ranks(runs.where(F.size("s") > 0).select("key", "s"), scratch, levels)
     limit = length + SPREAD
 
-    def suffix(j: Column) -> Column:
-        return F.struct(
-            F.get(F.col("r"), j).alias("r"), j.alias("j"), F.slice(F.col("s"), j + 1, limit).alias("s"), F.slice(F.col("at"), j + 1, limit + 1).alias("at")
-        )
-
-    # Phrases are SPREAD bytes at most and mostly half that; what lies past the limit is cut off.
-    every = runs.join(ranks, "key").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - 1), suffix)).alias("x")).select("key", "x.*")
-    near = F.size(F.filter("at", lambda a: a - F.get(F.col("at"), F.lit(0)) < limit))
-    every = every.withColumns({"s": F.slice("s", 1, near), "at": F.slice("at", F.lit(1), near + 1)})
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, r, s, at in zip(*(batch.column(c) for c in ("key", "r", "s", "at"))):
+                r, s, at = (x.values.to_numpy() for x in (r, s, at))
+                n, first = len(s), np.arange(len(s))
+                last = np.minimum(n, np.searchsorted(at, at[:n] + limit))  # what lies past the limit never counts
+                ends = np.append(0, np.cumsum(last - first))
+                take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], last - first)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(r), pa.array(np.full(n, key.as_py())), pa.array(first.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s[take])),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((at[take + 1] - at[take]).astype(np.int32))),
+                ], ["r", "key", "j", "s", "size"])
+
+    every = runs.join(ranks, "key").select("key", "r", "s", "at").mapInArrow(suffixes, "r long, key long, j int, s array<bigint>, size array<int>")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (key, j, s, at, left)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        before = (0, 0, [], 0)  # key, j, s, bytes shared with the suffix before
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            keys, js, ss, ats = (batch.column(c).to_pylist() for c in ("key", "j", "s", "at"))
-            for key, j, s, at in zip(keys, js, ss, ats):
+            for key, j, s, size in zip(*(batch.column(c).to_pylist() for c in ("key", "j", "s", "size"))):
                 left = 0
-                if before is not None:
-                    n = 0
-                    for x, y in zip(s, before[2]):
-                        if x != y:
-                            break
-                        n += 1
-                    left = at[n] - at[0]
-                    if max(left, before[4]) >= length:
-                        for c, v in zip(out, (before[0], before[1], before[4], left)):
-                            c.append(v)
-                before = (key, j, s, at, left)
-            yield _lists(out, [pa.int64(), pa.int32(), pa.int64(), pa.int64()], ["key", "j", "left", "right"])
-        if before is not None and before[4] >= length:
-            yield _lists([[before[0]], [before[1]], [before[4]], [0]], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], ["key", "j", "left", "right"])
+                for x, y, n in zip(s, before[2], size):
+                    if x != y:
+                        break
+                    left += n
+                if max(left, before[3]) >= length:
+                    for c, v in zip(out, (before[0], before[1], before[3], left)):
+                        c.append(v)
+                before = (key, j, s, left)
+            yield _lists(out, kinds, ["key", "j", "left", "right"])
+        if before[3] >= length:
+            yield _lists([[before[0]], [before[1]], [before[3]], [0]], kinds, ["key", "j", "left", "right"])
 
     ordered = every.repartitionByRange("r", "key", "j").sortWithinPartitions("r", "key", "j")
-    found = ordered.select("key", "j", "s", "at").mapInArrow(compare, "key long, j int, left long, right long")
+    found = ordered.select("key", "j", "s", "size").mapInArrow(compare, "key long, j int, left long, right long")
     return found.groupBy("key").agg(F.collect_list(F.struct("j", "left", "right")).alias("cover"))
 
 
-def _windows(data: bytes, runs: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(windows known to be repeated, windows to compare by hash), as their first bytes, rising.
+def _windows(runs: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known to be repeated, open, standing for others), as windows' first bytes, rising.
 
     A window is looked at from the last anchor at or before it. If the suffix there shares the
-    window with the one before it in suffix order it is repeated, and its like is compared in
-    its stead; if with the one after, it is repeated and compared for those that it stands for.
+    window with the one before it in suffix order, it is repeated, and its like stands for it;
+    if only with the one after, it is repeated and stands for those. All others are open.
     """
-    known, asked = [], []
-    for run in sorted(runs, key=lambda r: r["lo"]):
-        lo, hi = run["lo"], run["hi"]
-        x = np.arange(lo, hi - length + 1)
-        if not len(x):
-            continue
+    known, open_, stands = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for run in sorted(runs, key=lambda r: r["windows"][0]):
+        edges = run["windows"]
+        x = np.concatenate([np.arange(a, b) for a, b in zip(edges[::2], edges[1::2])])
         at = np.array(run["at"], np.int64)
         left, right = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64)
         for c in run["cover"] or []:
@@ -195,9 +224,52 @@ def _windows(data: bytes, runs: list[dict], length: int) -> tuple[np.ndarray, np
         need = x + length - np.append(0, at)[here]
         by_left, by_right = need <= left[here], need <= right[here]
         known.append(x[by_left | by_right])
-        asked.append(x[~by_left])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *known]), np.concatenate([none, *asked])
+        open_.append(x[~by_left & ~by_right])
+        stands.append(x[~by_left & by_right])
+    return np.concatenate(known), np.concatenate(open_), np.concatenate(stands)
+
+
+def _open_windows_again(ready: DataFrame, length: int) -> DataFrame:
+    """(row, again): the open windows that occur elsewhere, open there too or standing for others.
+
+    Only windows whose leading anchor is followed by the same bytes as that of some open
+    window are compared, and those by two hashes.
+    """
+    reach = length - SPREAD + 1
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for number, text, own in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("runs")):
+                data, (_, open_, stands) = _bytes(text.as_py()), _windows(own.as_py(), length)
+                if len(open_) or len(stands):
+                    leader = _leaders(np.frombuffer(data, np.uint8))
+                    for x, is_open in ((open_, True), (stands, False)):
+                        for p in np.unique(leader[x]).tolist():
+                            for c, v in zip(out, (number, p, xxhash.xxh64_intdigest(data[p : p + reach], 9) - 2**63, is_open)):
+                                c.append(v)
+            yield _lists(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["row", "p", "h", "open"])
+
+    leads = ready.mapInArrow(lead, "row long, p long, h long, open boolean")
+    asked = leads.where("open").select("h").distinct()
+    wanted = leads.where("not open").join(asked, "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("wanted"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text, own, p in zip(batch.column("row").to_pylist(), *(batch.column(c) for c in ("text", "runs", "wanted"))):
+                flat = np.frombuffer(_bytes(text.as_py()), np.uint8)
+                _, open_, stands = _windows(own.as_py(), length)
+                if len(stands):
+                    stands = stands[np.isin(_leaders(flat)[stands], p.as_py() or [])]
+                x = np.append(open_, stands)
+                if len(x):
+                    a, b = (_hashes(flat, length, by)[x].view(np.int64) for by in (_A, _B))
+                    mine = np.where(np.arange(len(x)) < len(open_), number, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(x), pa.array(a), pa.array(b)], ["row", "x", "a", "b"])
+
+    windows = ready.join(wanted, "row", "left").mapInArrow(ask, "row long, x long, a long, b long")
+    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    return windows.where("row >= 0").join(twice, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS, scratch: Scratch | None = None) -> DataFrame:
@@ -221,36 +293,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS,
     candidates = _candidates(whole.select(F.col(row).alias("row"), "text"), scratch, length)
     runs = _phrases(candidates, scratch, length)
     cover = _adjacent(runs, scratch, length, levels)
-    by_row = runs.join(cover, "key", "left").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "at", "cover")).alias("runs"))
+    by_row = runs.join(cover, "key", "left").groupBy("row").agg(F.collect_list(F.struct("windows", "at", "cover")).alias("runs"))
     ready = scratch.save(candidates.select("row", "text").join(by_row, "row"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, text, own in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("runs")):
-                data = _bytes(text.as_py())
-                x = _windows(data, own.as_py(), length)[1]
-                if len(x):
-                    flat = np.frombuffer(data, np.uint8)
-                    a, b = (_hashes(flat, length, by)[x].view(np.int64) for by in (_A, _B))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), number)), pa.array(x), pa.array(a), pa.array(b)], ["row", "x", "a", "b"])
-
-    asked = ready.mapInArrow(ask, "row long, x long, a long, b long")
-    twice = asked.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    answers = asked.join(twice, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again"))
+    scratch.drop(candidates, runs)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             out: list[list] = [[], []]
-            for number, text, own, again in zip(*(batch.column(c) for c in ("row", "text", "runs", "again"))):
-                known = _windows(_bytes(text.as_py()), own.as_py(), length)[0]
+            for number, own, again in zip(*(batch.column(c) for c in ("row", "runs", "again"))):
+                known = _windows(own.as_py(), length)[0]
                 x = np.union1d(known, np.array(again.as_py() or [], np.int64)).astype(np.int64)
                 if len(x):
                     out[0].append(number.as_py())
                     out[1].append([{"start": a, "stop": b} for a, b in _spans(x, x + length)])
             yield _lists(out, [pa.int64(), kind], ["row", "spans"])
 
-    found = ready.join(answers, "row", "left").mapInArrow(settle, "row long, spans array<struct<start:bigint,stop:bigint>>")
+    answers = _open_windows_again(ready, length)
+    found = ready.select("row", "runs").join(answers, "row", "left").mapInArrow(settle, "row long, spans array<struct<start:bigint,stop:bigint>>")
     name = free_name(docs, "spans")
     found = found.select(F.col("row").alias(row), F.col("spans").alias(name))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
