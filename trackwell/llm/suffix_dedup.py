@@ -155,6 +155,14 @@ def _phrases(candidates: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     return scratch.save(found.withColumn("key", F.monotonically_increasing_id()))
 
 
+def _cover(table: pa.Table, rows: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+    """(key, j, left, right) of some rows; shared[i]: the bytes that row i has in common with the row before."""
+    own = table.select(["key", "j"]).take(pa.array(rows)).combine_chunks()
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (own.column("key"), own.column("j"))]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(shared[rows]), pa.array(shared[rows + 1])], ["key", "j", "left", "right"])
+
+
 def _adjacent(runs: DataFrame, scratch: Scratch, length: int, levels: int) -> DataFrame:
     """(key, cover): for each phrase start j whose suffix shares `length` bytes or more with a neighbour in suffix order,
     struct(j, left, right), the bytes shared with the one before and the one after.
@@ -182,23 +190,26 @@ def _adjacent(runs: DataFrame, scratch: Scratch, length: int, levels: int) -> Da
     every = runs.join(ranks, "key").select("key", "r", "s", "at").mapInArrow(suffixes, "r long, key long, j int, s array<bigint>, size array<int>")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        before = (0, 0, [], 0)  # key, j, s, bytes shared with the suffix before
+        last = None
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, j, s, size in zip(*(batch.column(c).to_pylist() for c in ("key", "j", "s", "size"))):
-                left = 0
-                for x, y, n in zip(s, before[2], size):
-                    if x != y:
-                        break
-                    left += n
-                if max(left, before[3]) >= length:
-                    for c, v in zip(out, (before[0], before[1], before[3], left)):
-                        c.append(v)
-                before = (key, j, s, left)
-            yield _lists(out, kinds, ["key", "j", "left", "right"])
-        if before[3] >= length:
-            yield _lists([[before[0]], [before[1]], [before[3]], [0]], kinds, ["key", "j", "left", "right"])
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            s, size = table.column("s").chunk(0), table.column("size").chunk(0)
+            names, sizes, at = s.flatten().to_numpy(), size.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
+            n = np.diff(at)
+            shared, rows, k = np.zeros(len(n) + 1, np.int64), np.arange(1, len(n)), 0
+            while len(rows):  # rows that agree with the one before in their first k phrases
+                rows = rows[(n[rows] > k) & (n[rows - 1] > k)]
+                rows = rows[names[at[rows] + k] == names[at[rows - 1] + k]]
+                shared[rows] += sizes[at[rows] + k]
+                k += 1
+            # The first row was the last of the batch before, which left it without its right neighbour.
+            if last is not None:
+                shared[0] = held
+            keep = np.flatnonzero(np.maximum(shared[:-1], shared[1:])[:-1] >= length)
+            held, last = int(shared[len(n) - 1]), table.slice(len(n) - 1).to_batches()[0]
+            yield _cover(table, keep, shared)
+        if last is not None and held >= length:
+            yield _cover(pa.Table.from_batches([last]), np.zeros(1, np.int64), np.array([held, 0]))
 
     ordered = every.repartitionByRange("r", "key", "j").sortWithinPartitions("r", "key", "j")
     found = ordered.select("key", "j", "s", "size").mapInArrow(compare, "key long, j int, left long, right long")
