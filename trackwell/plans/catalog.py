@@ -2,5 +2,257 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackwell.functions import geometry, naming, vectors
+from trackwell.operators import detection, identity, matching, redaction, sampling, selection, tracking
+from trackwell.plans.sql import SQL
+from trackwell.plans.views import table, view
+
 QUERIES: dict = {}
-SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+CORNERS = geometry.CORNERS
+
+
+@query
+def nms_per_frame(spark: SparkSession, d: str) -> DataFrame:
+    return detection.suppress(view(spark, d, "boxes"), ["frame_index"]).select("frame_index", "det_id", "confidence")
+
+
+@query
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    boxes = view(spark, d, "boxes")
+    return rounded(matching.overlap_pairs(boxes, boxes, ["frame_index"]).where("det_a < det_b"), "iou")
+
+
+@query
+def iou_pairs_grid(spark: SparkSession, d: str) -> DataFrame:
+    boxes = view(spark, d, "boxes")
+    return rounded(matching.overlap_pairs_by_cell(boxes, boxes, ["frame_index"]).where("det_a < det_b"), "iou")
+
+
+@query
+def shape_filter(spark: SparkSession, d: str) -> DataFrame:
+    return detection.shape_filter(view(spark, d, "boxes")).select("det_id", "frame_index")
+
+
+@query
+def expand_box(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "boxes").withColumns(geometry.expanded(0.2, 640.0, 480.0)).select("det_id", *CORNERS)
+
+
+@query
+def anchor_decode(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(detection.decode_anchors(view(spark, d, "anchors")), "confidence", *CORNERS, digits=4).select("anchor_id", "frame_index", "confidence", *CORNERS)
+
+
+@query
+def topk_per_frame(spark: SparkSession, d: str) -> DataFrame:
+    return detection.top_k(view(spark, d, "boxes"), ["frame_index"], 3).select("frame_index", "det_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").withColumn("u", vectors.normalized(F.col("embedding")))
+    return rounded(v.select("vec_id", vectors.norm(F.col("embedding")).alias("norm"), F.get("u", F.lit(0)).alias("first"), vectors.norm(F.col("u")).alias("unit")), "norm", "first", "unit")
+
+
+@query
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of one label whose dot product exceeds 0.2; a label is the join key."""
+    v = table(spark, d, "embeddings")
+    b = v.select("label", F.col("vec_id").alias("vec_b"), F.col("embedding").alias("e_b"))
+    pairs = v.join(b, "label").where("vec_id < vec_b").select(F.col("vec_id").alias("vec_a"), "vec_b", vectors.dot(F.col("embedding"), F.col("e_b")).alias("sim"))
+    return rounded(pairs.where("sim > 0.2"), "sim", digits=5)
+
+
+@query
+def centroids(spark: SparkSession, d: str) -> DataFrame:
+    out = identity.centroids(table(spark, d, "embeddings"), "label").select("label", F.posexplode("embedding").alias("i", "v"))
+    return rounded(out.select("label", F.col("i").cast("long").alias("i"), "v"), "v")
+
+
+@query
+def identity_match_top1(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    known = identity.centroids(v, "label").withColumnRenamed("label", "id")
+    return rounded(matching.best_by_cosine(v, known, 0.2), "sim", digits=5)
+
+
+@query
+def position_identity(spark: SparkSession, d: str) -> DataFrame:
+    out = identity.by_position(view(spark, d, "boxes"), [], "frame_index")
+    return out.select("det_id", "frame_index", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@query
+def identity_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = identity.summary(identity.by_position(view(spark, d, "boxes"), [], "frame_index"), ["cluster_id"])
+    return out.withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+def _steps(spark: SparkSession, d: str, least: float) -> DataFrame:
+    """Overlaps of observed boxes with those two frames later."""
+    obs = view(spark, d, "obs").where("observed").select("frame_index", "det_id", *CORNERS)
+    return matching.overlap_pairs(obs.withColumn("frame_index", F.col("frame_index") + 2), obs, ["frame_index"], least)
+
+
+@query
+def greedy_match(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(matching.greedy(_steps(spark, d, 0.0).where("iou >= 0.1"), ["frame_index"], "det_a", "det_b", "iou"), "iou")
+
+
+@query
+def seq_match_prev_next(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(matching.in_turn(_steps(spark, d, 0.3), ["frame_index"], "det_a", "det_b", "iou"), "iou")
+
+
+@query
+def interpolate_boxes(spark: SparkSession, d: str) -> DataFrame:
+    obs = view(spark, d, "obs")
+    matches = matching.in_turn(_steps(spark, d, 0.3), ["frame_index"], "det_a", "det_b", "iou")
+    return rounded(matching.interpolate(matches, obs, obs, 0.5), *CORNERS, "confidence")
+
+
+@query
+def nearest_sample_match(spark: SparkSession, d: str) -> DataFrame:
+    obs = view(spark, d, "obs").withColumn("ts", F.col("frame_index") / 30.0).withColumn("video", F.floor(F.col("frame_index") / 250))
+    samples = obs.where("frame_index % 30 = 0")
+    return matching.nearest_sample(obs, samples, ["video"])
+
+
+@query
+def sample_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    videos = spark.range(0, 40).select("id", (F.col("id") * 0.75 + 0.05).alias("duration"))
+    return rounded(sampling.sample_times(videos).select("id", "ts"), "ts")
+
+
+@query
+def frame_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    videos = spark.range(1, 6).select("id", F.col("id").cast("double").alias("duration"), F.lit(30.0).alias("fps"))
+    return rounded(sampling.frame_times(videos).select("id", "frame_index", "ts"), "ts")
+
+
+@query
+def frame_stride(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stride(view(spark, d, "boxes")).groupBy("frame_index").agg(F.count("*").alias("n"))
+
+
+@query
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.segments(view(spark, d, "boxes"), [])
+
+
+@query
+def kalman_batch(spark: SparkSession, d: str) -> DataFrame:
+    seen = F.when(F.col("observed") & (F.col("frame_index") % 2 == 0), F.col("x1"))
+    return rounded(tracking.smooth(view(spark, d, "obs").select("obj_id", "frame_index", seen.alias("z")), ["obj_id"], "z"), "x", "v", "p", "q", digits=4)
+
+
+@query
+def track_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """Frames since an object's last observation on a detection frame, and whether a track would still be there."""
+    from pyspark.sql import Window
+
+    seen = F.when(F.col("observed") & (F.col("frame_index") % 2 == 0), F.col("frame_index"))
+    last = F.last(seen, ignorenulls=True).over(Window.partitionBy("obj_id").orderBy("frame_index"))
+    out = view(spark, d, "obs").select("obj_id", "frame_index", (F.col("frame_index") - last).alias("since")).where("since is not null")
+    return out.withColumn("alive", F.col("since") <= tracking.MAX_AGE + 2)
+
+
+@query
+def tracker_full(spark: SparkSession, d: str) -> DataFrame:
+    obs = view(spark, d, "obs").withColumn("video_id", F.floor(F.col("frame_index") / 250))
+    scan = obs.where("frame_index % 30 = 0").select("video_id", F.col("obj_id").alias("cluster_id"), F.col("det_id").alias("ord"), *CORNERS)
+    return rounded(tracking.track(obs.where("observed").select("video_id", "det_id", "frame_index", *CORNERS), scan), *CORNERS, digits=4)
+
+
+@query
+def hungarian_match(spark: SparkSession, d: str) -> DataFrame:
+    """Total cost of the best assignment of the first three boxes to the next three, by frame."""
+    boxes = view(spark, d, "boxes").withColumn("k", F.col("det_id") % 8)
+    a = boxes.where("k < 3").select("frame_index", F.col("k").alias("row"), F.struct(*CORNERS).alias("a"))
+    b = boxes.where("k >= 3 and k < 6").select("frame_index", (F.col("k") - 3).alias("col"), F.struct(*CORNERS).alias("b"))
+    cost = a.join(b, "frame_index").withColumn("cost", F.abs(F.col("a.x1") - F.col("b.x1")) + F.abs(F.col("a.y1") - F.col("b.y1"))).drop("a", "b")
+    return matching.optimal(cost, ["frame_index"]).join(cost, ["frame_index", "row", "col"]).groupBy("frame_index").agg(F.sum("cost").alias("total"), F.count("*").alias("pairs"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return identity.by_position(view(spark, d, "boxes"), [], "frame_index").withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+@query
+def selection_semi(spark: SparkSession, d: str) -> DataFrame:
+    chosen = spark.range(0, 8).where("id % 2 = 0").select(F.col("id").alias("cluster_id"))
+    return _labelled(spark, d).join(chosen, "cluster_id", "left_semi").select("det_id", "cluster_id")
+
+
+@query
+def unmatched_anti(spark: SparkSession, d: str) -> DataFrame:
+    matched = matching.greedy(_steps(spark, d, 0.0).where("iou >= 0.1"), ["frame_index"], "det_a", "det_b", "iou").select(F.col("det_b").alias("det_id"))
+    return view(spark, d, "obs").where("observed").join(matched, "det_id", "left_anti").select("det_id", "frame_index")
+
+
+@query
+def style_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    overrides = spark.createDataFrame([(1, "eye-bar"), (3, "black-box")], "cluster_id long, style string")
+    return redaction.styles(_labelled(spark, d).select("det_id", "cluster_id"), overrides, "pixelate")
+
+
+@query
+def redaction_geometry(spark: SparkSession, d: str) -> DataFrame:
+    style = F.element_at(F.array(*[F.lit(s) for s in ("pixelate", "eye-bar", "eye-bar-fine", "black-box")]), (F.col("det_id") % 4 + 1).cast("int"))
+    out = redaction.regions(view(spark, d, "boxes").withColumn("style", style), 640, 480)
+    return rounded(out, "rx", "ry", "rw", "rh", "radius").select("det_id", "style", "rx", "ry", "rw", "rh", "radius")
+
+
+@query
+def mosaic_blocks(spark: SparkSession, d: str) -> DataFrame:
+    pixels = spark.range(0, 100 * 70).select((F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"), (F.col("id") * 7 % 256).alias("r"), (F.col("id") * 13 % 256).alias("g"))
+    return rounded(redaction.block_means(pixels, F.col("x"), F.col("y"), ["r", "g"]), "r", "g")
+
+
+@query
+def toggle_selection(spark: SparkSession, d: str) -> DataFrame:
+    return selection.toggled(table(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query
+def latest_override(spark: SparkSession, d: str) -> DataFrame:
+    return selection.latest(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@query
+def progress_percent(spark: SparkSession, d: str) -> DataFrame:
+    phases = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(selection.PHASES)], "ord int, phase string")
+    steps = phases.select("phase", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(5))).alias("phase_percent")).withColumn("phase_percent", F.col("phase_percent").cast("double"))
+    return selection.overall_percent(steps)
+
+
+@query
+def names(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", naming.frame_name(F.col("page_id") + 1).alias("frame"), naming.output_name(F.col("url")).alias("output"), naming.phase_label(F.col("url")).alias("label"))
+
+
+@query
+def letterbox_params(spark: SparkSession, d: str) -> DataFrame:
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return rounded(view(spark, d, "boxes").select("det_id", geometry.letterbox(w, h, 640).alias("l")).select("det_id", "l.*"), "scale")
+
+
+@query
+def actual_fps(spark: SparkSession, d: str) -> DataFrame:
+    chunks = view(spark, d, "boxes").select((F.col("frame_index") % 7).alias("video"), (F.col("det_id") % 10 == 0).alias("is_key"), ((F.col("frame_index") % 7) * 3.5).alias("duration"))
+    return rounded(sampling.actual_rate(chunks, ["video"], "duration"), "fps")
