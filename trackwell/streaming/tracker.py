@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trackwell.operators.tracking import TRACK_SCHEMA, Tracker, track_group
+from trackwell.operators.tracking import TRACK_SCHEMA, Axis, Track, Tracker, track_group
 
 
 def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]]) -> DataFrame:
@@ -21,7 +21,9 @@ def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]]
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, then, held = pickle.loads(state.get[0]) if state.exists else (Tracker(scan=scan.get(int(key[0]), [])), None, None)
+        tracks, then, held = pickle.loads(state.get[0]) if state.exists else ({}, None, None)
+        tracker = Tracker(scan=scan.get(int(key[0]), []))
+        tracker.tracks = {i: Track([Axis(*a) for a in axes], age) for i, (axes, age) in tracks.items()}
         rows = pd.concat([*([held] if held is not None else []), *batches])
         last = int(rows["frame_index"].max())
         ended = bool((rows["det_id"] < 0).any())
@@ -32,6 +34,8 @@ def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]]
             out = track_group(rows[rows["frame_index"] < stop], tracker, range(first, stop))
             out.insert(0, "video_id", key[0])
             yield out
-        state.update((pickle.dumps((tracker, max(first or 0, stop) if first is not None else None, rows[rows["frame_index"] >= stop])),))
+        plain = {i: ([(a.x, a.v, a.p, a.q) for a in t.axes], t.age) for i, t in tracker.tracks.items()}
+        then = None if first is None else max(first, stop)
+        state.update((pickle.dumps((plain, then, rows[rows["frame_index"] >= stop])),))
 
     return detections.groupBy("video_id").applyInPandasWithState(run, TRACK_SCHEMA, "state binary", "append", GroupStateTimeout.NoTimeout)
