@@ -279,6 +279,15 @@ def test_lm_counts_and_base(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_frequent_words_keep_to_their_bound(spark):
+    counts = spark.createDataFrame([(w, 0, n) for w, n in enumerate([900, 500, 40, 40, 3, 1, 1, 1])], "word long, form int, n long")
+    kept = lambda most: sorted(r["n"] for r in lm_scoring._frequent(counts, most).collect())
+    assert kept(8) == [1, 1, 1, 3, 40, 40, 500, 900]
+    assert kept(7) == [3, 40, 40, 500, 900]
+    assert kept(3) == [500, 900]  # equal counts come or stay out together
+    assert kept(0) == []
+
+
 def test_html_of_unseen_pages():
     rng = random.Random(77)
     exact = 0
