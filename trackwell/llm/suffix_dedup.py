@@ -94,7 +94,7 @@ def _candidates(numbered: DataFrame, scratch: Scratch, length: int) -> DataFrame
     found = scratch.save(numbered.select("row", "text").where(F.octet_length("text") >= length).mapInArrow(find, "row long, p long, h long"))
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = found.join(again, "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("hits"))
-    out = scratch.save(numbered.select("row", "text").join(hits, "row"))
+    out = scratch.save(numbered.select("row", "text").join(hits.hint("shuffle_hash"), "row"))
     scratch.drop(found)
     return out
 
@@ -240,7 +240,7 @@ def _windows(runs: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(known), np.concatenate(open_), np.concatenate(stands)
 
 
-def _open_windows_again(ready: DataFrame, length: int) -> DataFrame:
+def _open_windows_again(ready: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     """(row, again): the open windows that occur elsewhere, open there too or standing for others.
 
     Only windows whose leading anchor is followed by the same bytes as that of some open
@@ -261,7 +261,7 @@ def _open_windows_again(ready: DataFrame, length: int) -> DataFrame:
                                 c.append(v)
             yield _lists(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["row", "p", "h", "open"])
 
-    leads = ready.mapInArrow(lead, "row long, p long, h long, open boolean")
+    leads = scratch.save(ready.mapInArrow(lead, "row long, p long, h long, open boolean"))
     asked = leads.where("open").select("h").distinct()
     wanted = leads.where("not open").join(asked, "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("wanted"))
 
@@ -278,7 +278,8 @@ def _open_windows_again(ready: DataFrame, length: int) -> DataFrame:
                     mine = np.where(np.arange(len(x)) < len(open_), number, -1)
                     yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(x), pa.array(a), pa.array(b)], ["row", "x", "a", "b"])
 
-    windows = ready.join(wanted, "row", "left").mapInArrow(ask, "row long, x long, a long, b long")
+    windows = scratch.save(ready.join(wanted.hint("shuffle_hash"), "row", "left").mapInArrow(ask, "row long, x long, a long, b long"))
+    scratch.drop(leads)
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     return windows.where("row >= 0").join(twice, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again"))
 
@@ -305,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS,
     runs = _phrases(candidates, scratch, length)
     cover = _adjacent(runs, scratch, length, levels)
     by_row = runs.join(cover, "key", "left").groupBy("row").agg(F.collect_list(F.struct("windows", "at", "cover")).alias("runs"))
-    ready = scratch.save(candidates.select("row", "text").join(by_row, "row"))
+    ready = scratch.save(candidates.select("row", "text").join(by_row.hint("shuffle_hash"), "row"))
     scratch.drop(candidates, runs)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,12 +321,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS,
                     out[1].append([{"start": a, "stop": b} for a, b in _spans(x, x + length)])
             yield _lists(out, [pa.int64(), kind], ["row", "spans"])
 
-    answers = _open_windows_again(ready, length)
+    answers = _open_windows_again(ready, scratch, length)
     found = ready.select("row", "runs").join(answers, "row", "left").mapInArrow(settle, "row long, spans array<struct<start:bigint,stop:bigint>>")
     name = free_name(docs, "spans")
     found = found.select(F.col("row").alias(row), F.col("spans").alias(name))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    return whole.join(found, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(name, empty).alias(name))
+    return whole.join(found.hint("shuffle_hash"), row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(name, empty).alias(name))
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
