@@ -42,14 +42,11 @@ def _hashes(data: np.ndarray, length: int, by: np.uint64) -> np.ndarray:
     return _doubled(h, length - size, by) if size < length else h
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """Places whose GRAM bytes have the least hash of some SPREAD neighbouring places, ties included.
-
-    Any string of SPREAD + GRAM - 1 bytes has one that depends on its bytes alone.
-    """
+def _minima(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of GRAM bytes, the least of each SPREAD neighbouring ones, and the places that hold such a least."""
     h = _hashes(data, GRAM, _A)
     if len(h) < SPREAD:
-        return np.empty(0, np.int64)
+        return h, h[:0], np.empty(0, np.int64)
     least, size = h, 1
     while size < SPREAD:
         least = np.minimum(least[:-size], least[size:])
@@ -59,7 +56,35 @@ def anchors(data: np.ndarray) -> np.ndarray:
     while size < SPREAD:
         most = np.maximum(most[:-size], most[size:])
         size *= 2
-    return np.flatnonzero(most == h)
+    return h, least, np.flatnonzero(most == h)
+
+
+def anchors(data: np.ndarray) -> np.ndarray:
+    """Places whose GRAM bytes have the least hash of some SPREAD neighbouring places, ties included.
+
+    Any string of SPREAD + GRAM - 1 bytes has one that depends on its bytes alone.
+    """
+    return _minima(data)[2]
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+
+    def __init__(self, base: int = 0x9E3779B97F4A7C15):
+        self.bases, self.known = (base, pow(base, -1, 2**64)), [np.ones(1, np.uint64)] * 2
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.known[0]) < n:
+            size = 1 << n.bit_length()
+            self.known = [np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in self.bases]
+        return self.known
+
+
+def _following(h: np.ndarray, at: np.ndarray, grams: int, powers: _Powers) -> np.ndarray:
+    """A hash of the next `grams` values of h from each place, as the difference of two prefix sums."""
+    up, down = powers.upto(len(h))
+    sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+    return (sums[at + grams] - sums[at]) * down[at]
 
 
 def _bytes(text: str | None) -> bytes:
@@ -79,15 +104,16 @@ def _candidates(numbered: DataFrame, scratch: Scratch, length: int) -> DataFrame
     reach = length - SPREAD + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
         for batch in batches:
             rows, places, hashes = [], [], []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-                data = _bytes(text.as_py())
-                at = anchors(np.frombuffer(data, np.uint8))
+                data = np.frombuffer(_bytes(text.as_py()), np.uint8)
+                h, _, at = _minima(data)
                 at = at[at + reach <= len(data)]
                 rows.append(np.full(len(at), row, np.int64))
                 places.append(at)
-                hashes.append(np.fromiter((xxhash.xxh64_intdigest(data[p : p + reach], 9) for p in at.tolist()), np.uint64, len(at)).view(np.int64))
+                hashes.append(_following(h, at, reach - GRAM + 1, powers).view(np.int64))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, places, hashes)], ["row", "p", "h"])
 
@@ -108,24 +134,41 @@ def _spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), np.maximum.reduceat(stops, first).tolist()))
 
 
-def _leaders(data: np.ndarray) -> np.ndarray:
-    """Of each run of SPREAD places, the first with the least hash: an anchor that depends on no byte outside the run."""
-    h = _hashes(data, GRAM, _A)
-    at, size = np.arange(len(h)), 1
-    while size < SPREAD:
-        a, b = at[:-size], at[size:]
-        at = np.where(h[b] < h[a], b, a)
-        size *= 2
-    return at
+def _leaders(h: np.ndarray, least: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each run of SPREAD places from x on, the first with the least hash: an anchor that depends on no byte outside the run."""
+    i, own = np.searchsorted(at, x), h[at]
+    wrong = np.flatnonzero(own[i] != least[x])
+    while len(wrong):
+        i[wrong] += 1
+        wrong = wrong[own[i[wrong]] != least[x[wrong]]]
+    return at[i]
+
+
+def _edges(chosen: np.ndarray) -> np.ndarray:
+    """Where runs of true values start and stop, in turn."""
+    padded = np.concatenate([[False], chosen, [False]])
+    return np.flatnonzero(padded[1:] != padded[:-1])
+
+
+def _intervals(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as starts and stops of runs, in turn."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    new = np.flatnonzero(x[1:] != x[:-1] + 1)
+    return np.stack([x[np.append(0, new + 1)], x[np.append(new, len(x) - 1)] + 1], 1).ravel()
+
+
+def _expanded(edges: np.ndarray) -> np.ndarray:
+    """The numbers that _intervals was given."""
+    a, n = edges[::2], edges[1::2] - edges[::2]
+    return np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(a) else np.empty(0, np.int64)
 
 
-def _possible(data: np.ndarray, hits: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Intervals [a, b) of windows whose leading anchor is a hit; any other window occurs once."""
-    hit = np.zeros(len(data) + 1, bool)
+def _possible(h: np.ndarray, least: np.ndarray, at: np.ndarray, hits: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Starts and stops, in turn, of runs of windows whose leading anchor is a hit; any other window occurs once."""
+    hit = np.zeros(size + 1, bool)
     hit[hits] = True
-    ok = np.concatenate([[False], hit[_leaders(data)[: len(data) - length + 1]], [False]])
-    edges = np.flatnonzero(ok[1:] != ok[:-1])
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    return _edges(hit[_leaders(h, least, at, np.arange(size - length + 1))])
 
 
 def _phrases(candidates: DataFrame, scratch: Scratch, length: int) -> DataFrame:
@@ -137,15 +180,15 @@ def _phrases(candidates: DataFrame, scratch: Scratch, length: int) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for row, text, hits in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("hits")):
                 data = _bytes(text.as_py())
-                flat = np.frombuffer(data, np.uint8)
-                at, windows = anchors(flat), _possible(flat, hits.values.to_numpy(), length)
-                if not windows:
-                    continue
-                a, b = np.array(windows).T
+                h, least, at = _minima(np.frombuffer(data, np.uint8))
+                windows = _possible(h, least, at, hits.values.to_numpy(), len(data), length)
+                a, b = windows[::2], windows[1::2]
                 for lo, hi in _spans(a, b - 1 + length):
-                    own = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)].tolist()
+                    # The ends of a stretch are anchors too, so that copies of whole texts agree from end to end.
+                    inner = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi)]
+                    own = [lo, *inner.tolist(), hi]
                     names = [xxhash.xxh64_intdigest(data[i:j], 5) - 2**63 for i, j in zip(own, own[1:])]
-                    edges = [x for w in windows if lo <= w[0] < hi for x in w]
+                    edges = windows[2 * np.searchsorted(a, lo) : 2 * np.searchsorted(a, hi)]
                     for c, v in zip(out, (row, edges, own, names)):
                         c.append(v)
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -216,28 +259,45 @@ def _adjacent(runs: DataFrame, scratch: Scratch, length: int, levels: int) -> Da
     return found.groupBy("key").agg(F.collect_list(F.struct("j", "left", "right")).alias("cover"))
 
 
-def _windows(runs: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known to be repeated, open, standing for others), as windows' first bytes, rising.
+def _windows(runs: pa.Array, length: int) -> list[np.ndarray]:
+    """(known to be repeated, open, standing for others): starts and stops of runs of windows, rising.
 
     A window is looked at from the last anchor at or before it. If the suffix there shares the
     window with the one before it in suffix order, it is repeated, and its like stands for it;
     if only with the one after, it is repeated and stands for those. All others are open.
     """
-    known, open_, stands = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for run in sorted(runs, key=lambda r: r["windows"][0]):
-        edges = run["windows"]
-        x = np.concatenate([np.arange(a, b) for a, b in zip(edges[::2], edges[1::2])])
-        at = np.array(run["at"], np.int64)
+    windows, anchor, cover = (runs.field(n) for n in ("windows", "at", "cover"))
+    edges, places = windows.values.to_numpy(), anchor.values.to_numpy()
+    j, before, after = (cover.values.field(n).to_numpy() for n in ("j", "left", "right"))
+    of_windows, of_anchors, of_cover = (c.offsets.to_numpy() for c in (windows, anchor, cover))
+    found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+    for i in np.argsort(edges[of_windows[:-1]]):
+        x = _expanded(edges[of_windows[i] : of_windows[i + 1]])
+        at = places[of_anchors[i] : of_anchors[i + 1]]
         left, right = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64)
-        for c in run["cover"] or []:
-            left[c["j"] + 1], right[c["j"] + 1] = c["left"], c["right"]
+        own = slice(of_cover[i], of_cover[i + 1])
+        left[j[own] + 1], right[j[own] + 1] = before[own], after[own]
         here = np.searchsorted(at, x, side="right")
         need = x + length - np.append(0, at)[here]
         by_left, by_right = need <= left[here], need <= right[here]
-        known.append(x[by_left | by_right])
-        open_.append(x[~by_left & ~by_right])
-        stands.append(x[~by_left & by_right])
-    return np.concatenate(known), np.concatenate(open_), np.concatenate(stands)
+        for out, chosen in zip(found, (by_left | by_right, ~by_left & ~by_right, ~by_left & by_right)):
+            out.append(x[chosen])
+    return [_intervals(np.concatenate(x)) for x in found]
+
+
+def _settled(joined: DataFrame, length: int) -> DataFrame:
+    """joined(row, text, runs) -> (row, text, known, open, stands), see _windows."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            out = list(zip(*(_windows(runs.values, length) for runs in batch.column("runs"))))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("text"), *[pa.array(c, kind) for c in out]], ["row", "text", "known", "open", "stands"]
+                )
+
+    return joined.select("row", "text", "runs").mapInArrow(look, "row long, text string, known array<bigint>, open array<bigint>, stands array<bigint>")
 
 
 def _open_windows_again(ready: DataFrame, scratch: Scratch, length: int) -> DataFrame:
@@ -249,36 +309,41 @@ def _open_windows_again(ready: DataFrame, scratch: Scratch, length: int) -> Data
     reach = length - SPREAD + 1
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for number, text, own in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("runs")):
-                data, (_, open_, stands) = _bytes(text.as_py()), _windows(own.as_py(), length)
-                if len(open_) or len(stands):
-                    leader = _leaders(np.frombuffer(data, np.uint8))
-                    for x, is_open in ((open_, True), (stands, False)):
-                        for p in np.unique(leader[x]).tolist():
-                            for c, v in zip(out, (number, p, xxhash.xxh64_intdigest(data[p : p + reach], 9) - 2**63, is_open)):
-                                c.append(v)
-            yield _lists(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], ["row", "p", "h", "open"])
-
-    leads = scratch.save(ready.mapInArrow(lead, "row long, p long, h long, open boolean"))
+            out: list[list] = [[np.empty(0, np.int64)] for _ in range(3)] + [[np.empty(0, bool)]]
+            for number, text, *own in zip(batch.column("row").to_pylist(), *(batch.column(c) for c in ("text", "open", "stands"))):
+                own = [_expanded(e.values.to_numpy()) for e in own]
+                if len(own[0]) or len(own[1]):
+                    h, least, at = _minima(np.frombuffer(_bytes(text.as_py()), np.uint8))
+                    for x, is_open in zip(own, (True, False)):
+                        p = np.unique(_leaders(h, least, at, x))
+                        found = (np.full(len(p), number), p, _following(h, p, reach - GRAM + 1, powers).view(np.int64), np.full(len(p), is_open))
+                        for c, v in zip(out, found):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["row", "p", "h", "open"])
+
+    leads = scratch.save(ready.select("row", "text", "open", "stands").mapInArrow(lead, "row long, p long, h long, open boolean"))
     asked = leads.where("open").select("h").distinct()
     wanted = leads.where("not open").join(asked, "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("wanted"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, text, own, p in zip(batch.column("row").to_pylist(), *(batch.column(c) for c in ("text", "runs", "wanted"))):
+            for number, text, *own, p in zip(batch.column("row").to_pylist(), *(batch.column(c) for c in ("text", "open", "stands", "wanted"))):
+                open_, stands = (_expanded(e.values.to_numpy()) for e in own)
                 flat = np.frombuffer(_bytes(text.as_py()), np.uint8)
-                _, open_, stands = _windows(own.as_py(), length)
-                if len(stands):
-                    stands = stands[np.isin(_leaders(flat)[stands], p.as_py() or [])]
+                if p.is_valid and len(stands):
+                    stands = stands[np.isin(_leaders(*_minima(flat), stands), p.values.to_numpy())]
+                else:
+                    stands = stands[:0]
                 x = np.append(open_, stands)
                 if len(x):
                     a, b = (_hashes(flat, length, by)[x].view(np.int64) for by in (_A, _B))
                     mine = np.where(np.arange(len(x)) < len(open_), number, -1)
                     yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(x), pa.array(a), pa.array(b)], ["row", "x", "a", "b"])
 
-    windows = scratch.save(ready.join(wanted.hint("shuffle_hash"), "row", "left").mapInArrow(ask, "row long, x long, a long, b long"))
+    joined = ready.select("row", "text", "open", "stands").join(wanted.hint("shuffle_hash"), "row", "left").where("size(open) > 0 or wanted is not null")
+    windows = scratch.save(joined.select("row", "text", "open", "stands", "wanted").mapInArrow(ask, "row long, x long, a long, b long"))
     scratch.drop(leads)
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     return windows.where("row >= 0").join(twice, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again"))
@@ -306,23 +371,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS,
     runs = _phrases(candidates, scratch, length)
     cover = _adjacent(runs, scratch, length, levels)
     by_row = runs.join(cover, "key", "left").groupBy("row").agg(F.collect_list(F.struct("windows", "at", "cover")).alias("runs"))
-    ready = scratch.save(candidates.select("row", "text").join(by_row.hint("shuffle_hash"), "row"))
+    ready = scratch.save(_settled(candidates.select("row", "text").join(by_row.hint("shuffle_hash"), "row"), length))
     scratch.drop(candidates, runs)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             out: list[list] = [[], []]
-            for number, own, again in zip(*(batch.column(c) for c in ("row", "runs", "again"))):
-                known = _windows(own.as_py(), length)[0]
-                x = np.union1d(known, np.array(again.as_py() or [], np.int64)).astype(np.int64)
+            for number, own, again in zip(*(batch.column(c) for c in ("row", "known", "again"))):
+                more = again.values.to_numpy() if again.is_valid else np.empty(0, np.int64)
+                x = np.union1d(_expanded(own.values.to_numpy()), more)
                 if len(x):
                     out[0].append(number.as_py())
                     out[1].append([{"start": a, "stop": b} for a, b in _spans(x, x + length)])
             yield _lists(out, [pa.int64(), kind], ["row", "spans"])
 
     answers = _open_windows_again(ready, scratch, length)
-    found = ready.select("row", "runs").join(answers, "row", "left").mapInArrow(settle, "row long, spans array<struct<start:bigint,stop:bigint>>")
+    found = ready.select("row", "known").join(answers, "row", "left").mapInArrow(settle, "row long, spans array<struct<start:bigint,stop:bigint>>")
     name = free_name(docs, "spans")
     found = found.select(F.col("row").alias(row), F.col("spans").alias(name))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
