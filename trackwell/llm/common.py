@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,7 +75,12 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes saved tables that nothing lazy depends on any more."""
+        """Deletes saved tables that nothing lazy depends on any more.
+
+        Spark deletes the shuffle files behind them once the driver has collected its garbage, so that is asked for.
+        """
         for frame in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()

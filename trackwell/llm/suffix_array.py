@@ -17,7 +17,7 @@ NOTHING = -(2**63)
 
 
 def counts_before(keys: DataFrame, by: list[str], counts: list[str], scratch: Scratch) -> DataFrame:
-    """keys, distinct in `by`, with the sums of `counts` over all smaller keys, named <count>_before.
+    """keys, distinct in `by`, with `counts` and their sums over all smaller keys, named <count>_before.
 
     One range-partitioned sort; each task adds up its own range, and only one total for each
     partition goes to the driver. The sorted rows are written, so that ranges and totals agree.
@@ -46,7 +46,7 @@ def counts_before(keys: DataFrame, by: list[str], counts: list[str], scratch: Sc
             base[row["part"]] = running
             running += row[c]
         out[f"{c}_before"] = F.col(f"{c}_before") + F.get(F.array(*[F.lit(x).cast("long") for x in base]), F.col("part"))
-    return ordered.select(*by, *[x.alias(n) for n, x in out.items()])
+    return ordered.select(*by, *counts, *[x.alias(n) for n, x in out.items()])
 
 
 def suffix_ranks(strings: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
@@ -62,15 +62,17 @@ def suffix_ranks(strings: DataFrame, scratch: Scratch, levels: int) -> DataFrame
     end; a suffix that ends first is the smaller.
     """
     places = F.sequence(F.lit(0), F.size("s") - 1)
+    at = lambda j, n: F.coalesce(F.get(F.col("s"), j + n), F.lit(NOTHING))
+    triple = ["a", "b", "c"]
     sample = strings.where(F.size("s") > 1).select("key", F.explode(F.transform(
-        F.filter(places, lambda j: j % 3 != 0), lambda j: F.struct(j.alias("j"), F.slice(F.col("s"), j + 1, 3).alias("t"))
-    )).alias("x")).select("key", "x.j", "x.t")
-    names = counts_before(sample.groupBy("t").agg(F.count("*").alias("n")), ["t"], ["n"], scratch)
-    named = sample.join(names, "t").select(
+        F.filter(places, lambda j: j % 3 != 0), lambda j: F.struct(j.alias("j"), *[at(j, n).alias(x) for n, x in enumerate(triple)])
+    )).alias("x")).select("key", "x.*")
+    names = counts_before(sample.groupBy(*triple).agg(F.count("*").alias("n")), triple, ["n"], scratch)
+    named = sample.join(names.hint("shuffle_hash"), triple).select(
         (F.col("key") * 2 + F.when(F.col("j") % 3 == 2, 1).otherwise(0)).alias("key"), F.struct("j", (F.col("n_before") + 1).alias("name")).alias("x")
     )
     shorter = scratch.save(named.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["name"]).alias("s")))
-    if levels > 1 and sample.count() > names.count():
+    if levels > 1 and not names.where("n > 1").isEmpty():
         ranked = suffix_ranks(shorter, scratch, levels - 1)
     else:
         ranked = shorter.withColumnRenamed("s", "r")
@@ -93,8 +95,8 @@ def suffix_ranks(strings: DataFrame, scratch: Scratch, levels: int) -> DataFrame
     how_many = lambda *kinds: [F.count(F.when(F.col("kind") == k, 1)).alias(f"n{k}") for k in kinds]
     first, second = every.where("kind < 2"), every.where("kind <> 1")
     by1, by2 = ["a", "next"], ["a", "b", "after"]
-    with1 = first.join(counts_before(first.groupBy(*by1).agg(*how_many(0, 1)), by1, ["n0", "n1"], scratch), by1)
-    with2 = second.join(counts_before(second.groupBy(*by2).agg(*how_many(0, 2)), by2, ["n0", "n2"], scratch), by2)
+    with1 = first.join(counts_before(first.groupBy(*by1).agg(*how_many(0, 1)), by1, ["n0", "n1"], scratch).hint("shuffle_hash"), by1)
+    with2 = second.join(counts_before(second.groupBy(*by2).agg(*how_many(0, 2)), by2, ["n0", "n2"], scratch).hint("shuffle_hash"), by2)
     of_sample = F.col("n0_before") + F.col("own") - 1
     parts = with1.select("key", "j", F.when(F.col("kind") == 0, F.col("n0_before") + F.col("n1_before")).otherwise(of_sample).alias("v")).unionAll(
         with2.select("key", "j", F.when(F.col("kind") == 0, F.col("n2_before")).otherwise(of_sample).alias("v"))

@@ -119,7 +119,7 @@ def _candidates(numbered: DataFrame, scratch: Scratch, length: int) -> DataFrame
 
     found = scratch.save(numbered.select("row", "text").where(F.octet_length("text") >= length).mapInArrow(find, "row long, p long, h long"))
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = found.join(again, "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("hits"))
+    hits = found.join(again.hint("shuffle_hash"), "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("hits"))
     out = scratch.save(numbered.select("row", "text").join(hits.hint("shuffle_hash"), "row"))
     scratch.drop(found)
     return out
@@ -195,7 +195,9 @@ def _phrases(candidates: DataFrame, scratch: Scratch, length: int) -> DataFrame:
             yield _lists(out, kinds, ["row", "windows", "at", "s"])
 
     found = candidates.mapInArrow(cut, "row long, windows array<bigint>, at array<bigint>, s array<bigint>")
-    return scratch.save(found.withColumn("key", F.monotonically_increasing_id()))
+    out = scratch.save(found.withColumn("key", F.monotonically_increasing_id()))
+    scratch.drop()
+    return out
 
 
 def _cover(table: pa.Table, rows: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
@@ -346,7 +348,9 @@ def _open_windows_again(ready: DataFrame, scratch: Scratch, length: int) -> Data
     windows = scratch.save(joined.select("row", "text", "open", "stands", "wanted").mapInArrow(ask, "row long, x long, a long, b long"))
     scratch.drop(leads)
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    return windows.where("row >= 0").join(twice, ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again"))
+    answers = scratch.save(windows.where("row >= 0").join(twice.hint("shuffle_hash"), ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again")))
+    scratch.drop(windows)
+    return answers
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS, scratch: Scratch | None = None) -> DataFrame:
