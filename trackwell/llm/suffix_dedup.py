@@ -373,10 +373,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS,
     whole = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
     candidates = _candidates(whole.select(F.col(row).alias("row"), "text"), scratch, length)
     runs = _phrases(candidates, scratch, length)
-    cover = _adjacent(runs, scratch, length, levels)
+    cover = scratch.save(_adjacent(runs, scratch, length, levels))
+    scratch.drop()
     by_row = runs.join(cover, "key", "left").groupBy("row").agg(F.collect_list(F.struct("windows", "at", "cover")).alias("runs"))
     ready = scratch.save(_settled(candidates.select("row", "text").join(by_row.hint("shuffle_hash"), "row"), length))
-    scratch.drop(candidates, runs)
+    scratch.drop(candidates, runs, cover)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
