@@ -93,10 +93,68 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, scratch: Scrat
     ).alias(name))
 
 
-def clean(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
+def with_windows(docs: DataFrame, name: str) -> DataFrame:
+    """docs with an array column of windows: struct(k, e, h) for each two solid lines that follow each other.
+
+    k and e are the places of the two lines, between which only blank ones stand, and h is the MD5 of both.
+    """
+    lines, solid = free_name(docs, "_lines"), free_name(docs, "_solid")
+    out = settled(docs, {lines: F.split(F.coalesce("text", F.lit("")), "\n")})
+    out = settled(out, {solid: F.filter(
+        F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(F.col(lines), i).rlike(r"[^\x20\x09-\x0D]")
+    )})
+
+    def window(k: Column, n: Column) -> Column:
+        e = F.get(F.col(solid), n + 1)
+        both = F.concat(F.get(F.col(lines), k), F.lit("\n"), F.get(F.col(lines), e))
+        return F.struct(k.alias("k"), e.alias("e"), F.unhex(F.md5(both.cast("binary"))).alias("h"))
+
+    out = settled(out, {name: F.filter(F.transform(solid, window), lambda w: w["e"].isNotNull())})
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], name)
+
+
+def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """docs with a struct column `dedup`: n_lines, removed_lines, clean_text.
+
+    Every run of two or more whole solid lines that came before, by (doc_id, hash of the text,
+    place in the text), null ids first, goes, wherever it stands in its text; blank lines within
+    it don't count and go with it. All windows of two lines are compared, by 128-bit hashes that are
+    counted before the shuffle; a window that overlaps its own first occurrence isn't a repeat, so
+    the first occurrence of every line stays. Rows that agree in doc_id and text are treated
+    alike. Null text has one blank line and stays null. An empty table gives an empty result.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "passage-dedup")
+    name, ws = free_name(docs, "dedup"), free_name(docs, "_windows")
+    row_id, row_hash, gone, lines, stays = (free_name(docs, f"_{x}") for x in ("row_id", "row_hash", "gone", "lines", "stays"))
+    keyed = docs.withColumns({
+        row_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), row_hash: F.xxhash64("text"),
+    })
+    found = (
+        with_windows(keyed.select(row_id, row_hash, "text"), ws)
+        .select(F.col(row_id).alias("d"), F.col(row_hash).alias("t"), F.explode(ws).alias("w")).select("d", "t", "w.*")
+    )
+    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = scratch.save(found.join(again, "h", "left_semi"))
+    first = repeated.groupBy("h").agg(F.min(F.struct("d", "t", "k", "e")).alias("first"))
+    drop = (
+        repeated.join(first, "h").where("not (d = first.d and t = first.t and k <= first.e)")
+        .groupBy(F.col("d").alias(row_id), F.col("t").alias(row_hash))
+        .agg(F.flatten(F.collect_set(F.sequence("k", "e"))).alias(gone))
+    )
+    out = keyed.join(drop, [row_id, row_hash], "left")
+    out = settled(out, {lines: F.split(F.coalesce("text", F.lit("")), "\n"), gone: F.coalesce(gone, F.array().cast("array<int>"))})
+    out = settled(out, {stays: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))})
+    kept = F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
+        F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stays)).cast("long").alias("removed_lines"),
+        F.when(F.col("text").isNull(), F.col("text")).otherwise(kept).alias("clean_text"),
+    ).alias(name))
+
+
+def clean(docs: DataFrame) -> DataFrame:
     """docs with repeated passages gone; documents of which nothing but blank lines remains, though there was more, go too."""
     name = free_name(docs, "dedup")
-    out = remove_repeats(docs, mean_lines)
+    out = remove_passages(docs)
     solid = r"[^\x20\x09-\x0D]"
     out = out.where(F.col("text").isNull() | (F.col(f"{name}.removed_lines") == 0) | F.col(f"{name}.clean_text").rlike(solid))
     new = {"text": F.col(f"{name}.clean_text")}

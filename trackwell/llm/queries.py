@@ -81,6 +81,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated run of two or more lines; op10_line_dedup finds those that hold a whole chunk, as its SQL does."""
+    found = line_dedup.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "dedup.n_lines", "dedup.removed_lines",
+        F.length("dedup.clean_text").cast("long").alias("kept_chars"), F.md5(F.col("dedup.clean_text").cast("binary")).alias("kept_md5"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -92,6 +101,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 #: DuckDB SQL by query; a query that SQL can't express is tested against brute force instead.
