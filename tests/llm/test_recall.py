@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trackwell.llm import line_dedup
+from trackwell.llm import line_dedup, similarity
 
 DOCS = "doc_id long, text string"
 
@@ -48,3 +48,59 @@ def test_passages_against_brute_force(spark):
     got = {r.doc_id: r.dedup.clean_text for r in line_dedup.remove_passages(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == _brute_passages(rows)
     assert (got[200], got[201], got[203]) == ("x\nx\nx", "y\ny", "s\nt")
+
+
+def _brute_roots(texts):
+    """The smallest index that links of similarity 0.8 or more reach, from all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    roots = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if roots[i] != roots[j] and (a == b or 10 * len(a & b) >= 8 * len(a | b)):
+                low, high = sorted((roots[i], roots[j]))
+                roots = [low if r == high else r for r in roots]
+    return roots
+
+
+def test_near_duplicates_against_all_pairs(spark, monkeypatch):
+    """Copies with more and more words changed, around similarity 0.8, and a group larger than a tile."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    texts = [None, "", " ", "one two", "one two", "one two three"]
+    for changes in range(16):
+        for _ in range(3):
+            base = words(200)
+            near = list(base)
+            for i in rng.sample(range(200), changes):
+                near[i] = "other"
+            texts += [" ".join(base), " ".join(near)]
+    base = words(120)
+    texts += [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 120, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    want = _brute_roots(texts)
+    assert 20 < sum(r != i for i, r in enumerate(want)) and len(set(want)) > 40
+    for tile in (similarity.TILE, 3):
+        monkeypatch.setattr(similarity, "TILE", tile)
+        assert {r.doc_id: r.component_id for r in similarity.near_duplicates(docs).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in similarity.keep_one(docs).collect()} == set(want)
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id")))
+    assert similarity.keep_one(unnamed).where("doc_id is null").count() == 3
+
+
+def test_stages_against_brute_force(spark, sf_dir):
+    """Passages and near-duplicates of the given documents, as the pipeline's stages run."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stages["quality_rules"](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = _brute_passages(rows)
+    want = {d: kept[d] for d, t in rows if kept[d] == t or kept[d].strip()}
+    lines = stages["line_dedup"](spark, docs, sf_dir)
+    assert {r.doc_id: r.text for r in lines.collect()} == want
+    texts = [want[d] for d in sorted(want)]
+    stay = {d for n, (d, r) in enumerate(zip(sorted(want), _brute_roots(texts))) if r == n}
+    assert {r.doc_id for r in stages["similarity"](spark, lines, sf_dir).collect()} == stay
