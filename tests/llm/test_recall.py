@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from trackwell.llm import line_dedup, similarity
+from trackwell.llm import html_extraction, line_dedup, similarity
 
 DOCS = "doc_id long, text string"
 
@@ -104,3 +105,23 @@ def test_stages_against_brute_force(spark, sf_dir):
     texts = [want[d] for d in sorted(want)]
     stay = {d for n, (d, r) in enumerate(zip(sorted(want), _brute_roots(texts))) if r == n}
     assert {r.doc_id for r in stages["similarity"](spark, lines, sf_dir).collect()} == stay
+
+
+@pytest.mark.parametrize(("html", "texts"), [
+    ("<html><head><title>x</title><meta charset=a><body><p>a<p>b", ["a", "b"]),
+    ("<head><title>x</title><script>y</script><p>a</p>", ["a"]),
+    ("<head><style>x</style>plain", ["plain"]),
+    ("<head><noscript><link></noscript></head><p>a", ["a"]),
+    ("<head><noscript><img><body><p>a", ["a"]),
+    *[(f"<div><{t}>x</div><p>a</p>", ["a"]) for t in ("noscript", "svg", "object", "select", "iframe")],
+    ("<div><svg><path d=x><p>a</p></div>", ["a"]),
+    ("<p hidden>x<p>a</p>", ["a"]),
+    ("<p hidden>x <b>y<div>a</div>", ["a"]),
+    ("<ul><li style='display: none'>x<ul><li>y</ul><li>a</ul><p>b", ["a", "b"]),
+    ("<table><tr><td hidden>x<td>a<tr hidden><td>y<tr><td>b</table>", ["a", "b"]),
+    ("<div hidden>x<div>y</div><p>z</div><p>a</p>", ["a"]),
+    ("<p>a</p><![foo bar]><p>b</p>", ["a", "b"]),
+    ("<p>a</p><![if !IE]><p>b</p><![endif]><p>c</p>", ["a", "b", "c"]),
+])
+def test_left_out_end_tags_hide_nothing_more(html, texts):
+    assert [t for _, t in html_extraction.parse(html)[1]] == texts

@@ -29,6 +29,12 @@ KINDS = (
     ("blockquote", "pre", "figure", "figcaption"), ("body", "html"),
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What stands in a head, and what ends an svg or math element that was left open.
+IN_HEAD = frozenset("title base basefont bgsound link meta script style template noscript noframes".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
 #: Groups of words in class, id and role attributes. Fixed lists.
 TOKENS = (
     "ad ads advert adverts advertisement sponsor sponsored promo promotion promoted adsense banner".split(),
@@ -78,9 +84,34 @@ class _Tree(HTMLParser):
             self.link -= tag == "a"
         del self.open[upto:]
 
+    def _ends_hidden(self, tag: str) -> bool:
+        """Whether a start tag ends what is hidden, whose own end tag was left out; hidden elements inside it that the tag ends are closed."""
+        hidden = self.hidden_by
+        if hidden[0] == "head" and (tag == "body" or len(hidden) == 1 and tag not in IN_HEAD and tag != "head"):
+            hidden.clear()
+        elif hidden[0] in ("svg", "math") and tag in BREAKOUT and not any(t in ("foreignobject", "desc", "title", "annotation-xml") for t in hidden):
+            hidden.clear()
+        elif tag not in INLINE and tag not in UNSEEN and (tag not in VOID or tag == "hr"):  # as visible elements end each other
+            chain = [*(t for t, _ in self.open), *hidden]
+            for n in range(len(chain) - 1, 0, -1):
+                other = chain[n]
+                if other in CLOSES.get(tag, ()) or other == "p":
+                    del hidden[max(0, n - len(self.open)) :]
+                    if tag not in CLOSES:
+                        break
+                elif other in UNSEEN or other not in INLINE and (tag not in CLOSES or other in ("ul", "ol", "dl", "table", "div", "section")):
+                    break
+        return not hidden
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a malformed declaration is a comment up to the next >
+            return self.rawdata.find(">", i + 2) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
-        if self.hidden_by:
-            if tag == self.hidden_by[-1] and tag not in VOID:
+        if self.hidden_by and not self._ends_hidden(tag):
+            if tag not in VOID:
                 self.hidden_by.append(tag)
             return
         if tag in UNSEEN:
@@ -124,9 +155,13 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.hidden_by:
-            if tag == self.hidden_by[-1]:
-                self.hidden_by.pop()
-            return
+            if tag in self.hidden_by:
+                del self.hidden_by[len(self.hidden_by) - 1 - self.hidden_by[::-1].index(tag) :]
+                return
+            blocked = tag in INLINE and any(t not in INLINE and t not in UNSEEN for t in self.hidden_by)
+            if blocked or tag not in ("html", "body") and all(t != tag for t, _ in self.open):
+                return
+            self.hidden_by.clear()  # an ancestor ends, and what is hidden with it
         if tag in ("html", "body"):
             return
         for n in range(len(self.open) - 1, 0, -1):
@@ -137,6 +172,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.hidden_by == ["head"] and data.strip():
+            self.hidden_by.clear()
         if self.hidden_by or not data:
             return
         if not self.runs or self.runs[-1][0] != self.here or self.nodes_then != len(self.nodes):
@@ -153,7 +190,7 @@ def parse(html: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     try:
         tree.feed(html or "")
         tree.close()
-    except AssertionError:  # html.parser gives up on some malformed declarations; what it has read counts
+    except AssertionError:  # what it has read counts
         pass
     blocks = [(n, _SPACE.sub(" ", "".join(parts)).strip()) for n, parts in tree.runs]
     return tree.nodes, [(n, t) for n, t in blocks if t]
