@@ -131,25 +131,33 @@ def track_group(group: pd.DataFrame, tracker: Tracker, frames: range) -> pd.Data
     return pd.DataFrame(out, columns=["frame_index", "cluster_id", "x1", "y1", "x2", "y2"])
 
 
-def track(detections: DataFrame, scan: DataFrame) -> DataFrame:
-    """detections(video_id, det_id, frame_index, corners), scan(video_id, cluster_id, ord, corners) -> a row for each track and frame.
+def track(detections: DataFrame, scan: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """detections(video_id, det_id, frame_index, corners, maybe embedding), scan(video_id, cluster_id, ord, corners) -> a row for each track and frame.
 
-    Identities of a video depend on each other, so a video is one task's group; videos run in
+    known(video_id, cluster_id, embedding), unit vectors of each video's identities, brings back
+    faces by their embedding that overlap no box of the scan; the smaller cluster_id wins ties. Identities of a video depend on each other, so a video is one task's group; videos run in
     parallel. Frames run from the first detection's to the last one's.
     """
 
-    def run(key, boxes: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def run(key, boxes: pd.DataFrame, labelled: pd.DataFrame) -> pd.DataFrame:
         if boxes.empty:
             return pd.DataFrame(columns=["video_id", "frame_index", "cluster_id", "x1", "y1", "x2", "y2"])
-        rows = known.sort_values("ord")
-        tracker = Tracker(scan=[(int(r.cluster_id), (r.left, r.top, r.right, r.bottom)) for r in rows.itertuples()])
+        rows = labelled[labelled["vector"].isna()].sort_values("ord")
+        vectors = labelled[labelled["vector"].notna()].sort_values("cluster_id")
+        tracker = Tracker(
+            scan=[(int(r.cluster_id), (r.left, r.top, r.right, r.bottom)) for r in rows.itertuples()],
+            known={int(r.cluster_id): list(r.vector) for r in vectors.itertuples()},
+        )
         out = track_group(boxes, tracker, range(int(boxes["frame_index"].min()), int(boxes["frame_index"].max()) + 1))
         out.insert(0, "video_id", key[0])
         return out
 
     # New names: both sides may come from one table, and a cogroup mixes up equal columns.
     corners = [F.col(c).alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), ("left", "top", "right", "bottom"))]
-    scan = scan.select(F.col("video_id").alias("video"), "cluster_id", "ord", *corners)
+    scan = scan.select(F.col("video_id").alias("video"), "cluster_id", "ord", *corners, F.lit(None).cast("array<double>").alias("vector"))
+    if known is not None:
+        own = known.where("embedding is not null").select(F.col("video_id").alias("video"), "cluster_id", F.col("embedding").cast("array<double>").alias("vector"))
+        scan = scan.unionByName(own, allowMissingColumns=True)
     return detections.groupBy("video_id").cogroup(scan.groupBy("video")).applyInPandas(run, TRACK_SCHEMA)
 
 

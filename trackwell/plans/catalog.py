@@ -173,9 +173,15 @@ def track_expiry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tracker_full(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks over detections, scan and embeddings: vec_id is the detection's, and the centroid of a label is the identity's vector."""
     obs = view(spark, d, "obs").withColumn("video_id", F.floor(F.col("frame_index") / 250))
     scan = obs.where("frame_index % 30 = 0").select("video_id", F.col("obj_id").alias("cluster_id"), F.col("det_id").alias("ord"), *CORNERS)
-    return rounded(tracking.track(obs.where("observed").select("video_id", "det_id", "frame_index", *CORNERS), scan), *CORNERS, digits=4)
+    v = table(spark, d, "embeddings")
+    faces = v.select(F.col("vec_id").alias("det_id"), vectors.normalized(F.col("embedding")).alias("embedding"))
+    dets = obs.where("observed").select("video_id", "det_id", "frame_index", *CORNERS).join(faces, "det_id", "left")
+    people = identity.centroids(v, "label").select(F.col("label").cast("int").alias("cluster_id"), "embedding")
+    known = obs.select("video_id").distinct().crossJoin(F.broadcast(people))
+    return rounded(tracking.track(dets, scan, known), *CORNERS, digits=4)
 
 
 @query

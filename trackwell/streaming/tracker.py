@@ -12,17 +12,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trackwell.operators.tracking import TRACK_SCHEMA, Axis, Track, Tracker, track_group
 
 
-def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]]) -> DataFrame:
-    """detections: a stream of (video_id, det_id, frame_index, corners) in frame order -> tracks of each video.
+def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]], known: dict[int, dict[int, list[float]]] | None = None) -> DataFrame:
+    """detections: a stream of (video_id, det_id, frame_index, corners, maybe embedding) in frame order -> tracks of each video.
 
-    scan: the labelled boxes of each video, a short reference list. The last frame of a
+    scan: the labelled boxes of each video, and known: the unit vectors of its identities, short reference lists. The last frame of a
     batch waits for the next one, as more of its rows may come; a marker row with det_id -1
     ends a video.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracks, then, held = pickle.loads(state.get[0]) if state.exists else ({}, None, None)
-        tracker = Tracker(scan=scan.get(int(key[0]), []))
+        tracker = Tracker(scan=scan.get(int(key[0]), []), known=dict(sorted((known or {}).get(int(key[0]), {}).items())))
         tracker.tracks = {i: Track([Axis(*a) for a in axes], age) for i, (axes, age) in tracks.items()}
         rows = pd.concat([*([held] if held is not None else []), *batches])
         last = int(rows["frame_index"].max())
