@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, queries, simhash, suffix_dedup
+from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, queries, simhash, suffix_array, suffix_dedup
 
 DOCS = "doc_id long, text string, source string, words string, _row int"
 
@@ -179,16 +179,68 @@ def test_suffix_array_against_all_strings(spark):
     assert got == dict(enumerate(_repeats(texts, suffix_dedup.LENGTH)))
 
 
-def test_suffix_ranks_against_sorting(spark):
-    from trackwell.llm.common import Scratch
-    from trackwell.llm.suffix_array import suffix_ranks
+def _made_texts(rng):
+    word = lambda: "".join(rng.choices("abcdeü", k=rng.randint(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = text(400)
+    return [text(rng.randint(5, 60)) + shared[rng.randint(0, 200) : rng.randint(600, 900)] + text(30) for _ in range(30)]
+
+
+def test_ranks_against_sorting():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3, (300, 37)).astype(np.uint8)
+    rows[150:] = rows[:150]
+    order = {r: i for i, r in enumerate(sorted({r.tobytes() for r in rows}))}
+    assert suffix_array.ranks(rows).tolist() == [order[r.tobytes()] for r in rows]
+
+
+@pytest.mark.parametrize("group", [3, 0])
+def test_large_groups_are_cut_without_loss(spark, monkeypatch, group):
+    texts = _made_texts(random.Random(16))
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in suffix_dedup.repeated_spans(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(_repeats(texts, suffix_dedup.LENGTH)))
+
 
-    rng = random.Random(1)
-    strings = [(k, [rng.randint(1, 3) for _ in range(rng.randint(1, 30))]) for k in range(12)]
-    got = {r.key: r.r for r in suffix_ranks(spark.createDataFrame(strings, "key long, s array<long>"), Scratch(spark, "t"), 4).collect()}
-    every = sorted(s[i:] for _, s in strings for i in range(len(s)))
-    for k, s in strings:
-        assert got[k] == [1 + every.index(s[i:]) for i in range(len(s))]
+def test_ranks_decide_what_is_repeated(monkeypatch):
+    """With the ranks withheld, equal strings are no longer found."""
+    texts = _made_texts(random.Random(17))
+    flat = b"".join(t.encode() for t in texts)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    runs = list(suffix_array.runs(np.frombuffer(flat, np.uint8), offsets, 400))[0]
+    at = runs.p + offsets[runs.doc]
+    left, right = np.zeros((len(at), suffix_array.SPREAD), np.uint8), np.zeros((len(at), 400), np.uint8)
+    for i, (x, a, b) in enumerate(zip(at, runs.a, runs.b)):
+        left[i, :b] = np.frombuffer(flat[x - b : x][::-1], np.uint8)
+        right[i, : 400 - a] = np.frombuffer(flat[x : x - a + 400], np.uint8)
+    group = np.unique(runs.h, return_inverse=True)[1]
+    found = suffix_array.repeated(group, runs.a, runs.b, left, right, 400).sum()
+    monkeypatch.setattr(suffix_array, "ranks", lambda rows: np.random.default_rng(0).permutation(len(rows)))
+    assert suffix_array.repeated(group, runs.a, runs.b, left, right, 400).sum() < found
+
+
+def test_blocks_don_t_change_the_result(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 100, 9000).astype(np.uint8)
+    offsets = np.array([0, 10, 10, 5000, 5399, 9000])
+    starts = lambda: sorted((d, x) for r in suffix_array.runs(data, offsets, 400) for d, p, a, b in zip(r.doc, r.p, r.a, r.b) for x in range(p - b, p - a + 1))
+    want = [(d, x) for d in range(5) for x in range(offsets[d + 1] - offsets[d] - 399)]
+    assert starts() == want
+    monkeypatch.setattr(suffix_array, "BLOCK", 700)
+    assert starts() == want
+
+
+def test_suffix_query_against_brute_force(spark, sf_dir):
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    spans = dict(zip(rows, _repeats([t.decode() for t in rows.values()], 400)))
+    got = queries.op8_suffix_dedup(spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        kept, done = b"", 0
+        for i, j in spans[r.doc_id]:
+            kept, done = kept + rows[r.doc_id][done:i], j
+        kept += rows[r.doc_id][done:]
+        removed = sum(j - i for i, j in spans[r.doc_id])
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(rows[r.doc_id]), removed, len(spans[r.doc_id]), hashlib.sha256(kept).hexdigest())
 
 
 def test_mix_meets_its_targets(spark, sf_dir):

@@ -1,109 +1,191 @@
-"""Suffix ranks of many strings of long symbols by the difference-cover algorithm, as DataFrame jobs."""
+"""Suffixes at places chosen by content: where they stand, their order by names of triples, what neighbours share."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trackwell.llm.common import Scratch
+#: Bytes of the strings whose hashes choose sampled places, and how many neighbours each is compared with (a power of two).
+GRAM = 16
+SPREAD = 256
+#: Bytes that are looked at together; longer inputs take several blocks.
+BLOCK = 1 << 20
 
-#: What stands after a string's last symbol; smaller than any symbol.
-NOTHING = -(2**63)
+_POSITION = np.uint64((1 << 21) - 1)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def counts_before(keys: DataFrame, by: list[str], counts: list[str], scratch: Scratch) -> DataFrame:
-    """keys, distinct in `by`, with `counts` and their sums over all smaller keys, named <count>_before.
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each GRAM bytes, from halves."""
+    a, b = (np.uint64(x) for x in _BASES)
+    h, size = (data.astype(np.uint64) + np.uint64(1)) * a, 1
+    while size < GRAM:
+        left = h[: max(0, len(h) - size)] * a
+        left ^= left >> np.uint64(29)
+        h = (left + h[size:]) * b ^ (h[size:] >> np.uint64(32))
+        size *= 2
+    return h
 
-    One range-partitioned sort; each task adds up its own range, and only one total for each
-    partition goes to the driver. The sorted rows are written, so that ranges and totals agree.
+
+def _leaders(h: np.ndarray, n: int) -> np.ndarray:
+    """For each of n starts, the first place with the least hash among the SPREAD places from there on."""
+    key = (h[: n + SPREAD - 1] & ~_POSITION) | np.arange(min(len(h), n + SPREAD - 1), dtype=np.uint64)
+    size = 1
+    while size < SPREAD:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    return (key & _POSITION).astype(np.int64)
+
+
+class _Strings:
+    """Hashes of any strings of a block, as differences of prefix sums over the hashes of its GRAM bytes."""
+
+    _known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, h: np.ndarray, base: int):
+        size = 1 << max(10, len(h).bit_length())
+        if base not in self._known or len(self._known[base][0]) < len(h) + 1:
+            self._known[base] = tuple(
+                np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 2**64))
+            )
+        up, self.down = self._known[base]
+        self.sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+
+    def hash(self, start: np.ndarray, length: np.ndarray | int, mark: np.ndarray | int) -> np.ndarray:
+        out = (self.sums[start + length - GRAM + 1] - self.sums[start]) * self.down[start]
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(mark).astype(np.uint64)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+@dataclass
+class Runs:
+    """Strings of `length` bytes that follow each other and have the same sampled place p: those that start p - b to p - a."""
+
+    doc: np.ndarray
+    p: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    h: np.ndarray
+    g: np.ndarray
+
+
+def _hashed(grams: np.ndarray, doc: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, width: int) -> Runs:
+    """Runs cut where b - a crosses a multiple of width. h: of bytes that each string of the piece has; g: of all bytes that any has."""
+    first = a // width
+    n = b // width - first + 1
+    which = np.repeat(np.arange(len(p)), n)
+    piece = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    doc, p = doc[which], p[which]
+    a, b = np.maximum(a[which], piece * width), np.minimum(b[which], piece * width + width - 1)
+    h = _Strings(grams, _BASES[0]).hash(p - piece * width, length + 1 - width, piece)
+    g = _Strings(grams, _BASES[1]).hash(p - b, length + b - a, a << 8 | b)
+    return Runs(doc, p, a, b, h, g)
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[Runs]:
+    """Of texts laid end to end (offsets: where they start and end), every string of `length` bytes within a text, by sampled place.
+
+    The sampled place of a string is that of the first least hash among its first SPREAD
+    places. It depends on the string's bytes alone, so equal strings have it at the same
+    distance: what a difference cover grants for a fixed set of residues.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in keys.schema.fields}
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, carry = TaskContext.get().partitionId(), dict.fromkeys(counts, 0)
-        for batch in batches:
-            out = [batch.column(b) for b in by]
-            for c in counts:
-                n = batch.column(c).to_numpy()
-                through = carry[c] + np.cumsum(n)
-                carry[c] = int(through[-1]) if len(n) else carry[c]
-                out += [pa.array(through - n), pa.array(n)]
-            out.append(pa.array(np.full(batch.num_rows, part, np.int32)))
-            yield pa.RecordBatch.from_arrays(out, [*by, *[x for c in counts for x in (f"{c}_before", c)], "part"])
-
-    schema = ", ".join([*[f"{b} {kinds[b]}" for b in by], *[f"{c}_before long, {c} long" for c in counts], "part int"])
-    ordered = scratch.save(keys.select(*by, *counts).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(add, schema))
-    totals = sorted(ordered.groupBy("part").agg(*[F.sum(c).alias(c) for c in counts]).collect())
-    out = {}
-    for c in counts:
-        base, running = [0] * (totals[-1]["part"] + 1 if totals else 1), 0
-        for row in totals:
-            base[row["part"]] = running
-            running += row[c]
-        out[f"{c}_before"] = F.col(f"{c}_before") + F.get(F.array(*[F.lit(x).cast("long") for x in base]), F.col("part"))
-    return ordered.select(*by, *counts, *[x.alias(n) for n, x in out.items()])
-
-
-def suffix_ranks(strings: DataFrame, scratch: Scratch, levels: int) -> DataFrame:
-    """strings(key long, s array<long>) -> (key, r array<long>): for each suffix, 1 + the number of suffixes smaller than it.
-
-    Suffixes at places 1 and 2 modulo 3 are the sample: their triples are sorted and named,
-    the names of each class form shorter strings, and their suffixes are ranked in turn. The
-    others are merged in: a suffix at place 0 meets those at place 1 by (symbol, next rank),
-    those at place 2 by (symbol, symbol, next rank), so that its rank is a sum of three counts.
-    Equal keys are counted before they are sorted, so a triple with a third of all rows is one
-    row of the sort. Naming goes on for `levels` rounds unless all names differ before;
-    suffixes that agree in their first 3^levels symbols may then share a rank. Strings of one
-    end; a suffix that ends first is the smaller.
+    for at in range(0, int(offsets[-1]), BLOCK):
+        lo, hi = np.searchsorted(offsets, [at, at + BLOCK])
+        own = np.arange(max(0, lo - 1), min(hi, len(offsets) - 1))
+        start = np.maximum(offsets[own], at) - at
+        stop = np.minimum(offsets[own + 1] - length + 1, at + BLOCK) - at
+        start, stop = start[start < stop], stop[start < stop]
+        if not len(start):
+            continue
+        n = int(stop.max())
+        grams = _gram_hashes(data[at : at + n + length + SPREAD])
+        leader = _leaders(grams, n)
+        new, inside = np.zeros(n + 1, bool), np.zeros(n + 1, np.int8)
+        new[1:n] = leader[1:] != leader[:-1]
+        new[start] = new[stop] = True
+        inside[start] += 1
+        inside[stop] -= 1
+        cuts = np.flatnonzero(new)
+        open_ = np.flatnonzero(np.cumsum(inside)[cuts[:-1]] > 0)
+        first, last = cuts[open_], cuts[open_ + 1] - 1
+        p = leader[first]
+        doc = np.searchsorted(offsets, at + first, side="right") - 1
+        found = _hashed(grams, doc, p, p - last, p - first, length, SPREAD)
+        found.p += at - offsets[found.doc]
+        yield found
+
+
+def pieces(data: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, width: int) -> Iterator[Runs]:
+    """Given runs of one text, cut into pieces of `width` strings at most."""
+    order = np.argsort(p - b)
+    p, a, b = p[order], a[order], b[order]
+    while len(p):
+        at = int(p[0] - b[0])
+        n = max(1, int(np.searchsorted(p - b, at + BLOCK)))
+        grams = _gram_hashes(data[at : int((p[:n] - a[:n]).max()) + length])
+        found = _hashed(grams, np.zeros(n, np.int64), p[:n] - at, a[:n], b[:n], length, width)
+        found.p += at
+        yield found
+        p, a, b = p[n:], a[n:], b[n:]
+
+
+def ranks(strings: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes (n, m): symbols of eight bytes are named by rank, then triples of names, and so on upon the names."""
+    n, m = strings.shape
+    wide = np.zeros((n, -(-m // 8) * 8), np.uint8)
+    wide[:, :m] = strings
+    _, names = np.unique(wide.view(">u8").astype(np.uint64), return_inverse=True)
+    names = names.reshape(n, -1)
+    while names.shape[1] > 1:
+        padded = np.zeros((n, -(-names.shape[1] // 3) * 3), np.uint64)
+        padded[:, : names.shape[1]] = names
+        top = padded.max() + np.uint64(1)
+        triples = (padded[:, ::3] * top + padded[:, 1::3]) * top + padded[:, 2::3]
+        _, names = np.unique(triples, return_inverse=True)
+        names = names.reshape(n, -1)
+    return names[:, 0]
+
+
+def _shared(strings: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row, in order, has in common with the one before; -1 for the first."""
+    out = np.full(len(order), -1, np.int64)
+    for at in range(1, len(order), 4096):
+        part = slice(at, min(len(order), at + 4096))
+        unlike = strings[order[part]] != strings[order[part.start - 1 : part.stop - 1]]
+        out[part] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), strings.shape[1])
+    return out
+
+
+def _matrix(flat: np.ndarray, ends: np.ndarray, width: int, backwards: bool = False) -> np.ndarray:
+    """Byte strings as rows of a matrix, zeros behind."""
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), width), np.uint8)
+    row, column = np.repeat(np.arange(len(sizes)), sizes), np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], sizes)
+    out[row, np.repeat(sizes, sizes) - 1 - column if backwards else column] = flat[ends[0] : ends[-1]]
+    return out
+
+
+def repeated(group: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of each run have an equal in another run of its group: (runs, SPREAD) by distance d to the sampled place.
+
+    right: rows of what follows the sampled place, left: of what precedes it, backwards. The
+    sampled suffixes are sorted by group and rank, and so are the preceding bytes. A string at
+    distance d is the last d bytes before its sampled place and the length - d bytes from there,
+    so equal ones lie in a stretch of either order whose neighbours share as much.
     """
-    places = F.sequence(F.lit(0), F.size("s") - 1)
-    at = lambda j, n: F.coalesce(F.get(F.col("s"), j + n), F.lit(NOTHING))
-    triple = ["a", "b", "c"]
-    sample = strings.where(F.size("s") > 1).select("key", F.explode(F.transform(
-        F.filter(places, lambda j: j % 3 != 0), lambda j: F.struct(j.alias("j"), *[at(j, n).alias(x) for n, x in enumerate(triple)])
-    )).alias("x")).select("key", "x.*")
-    names = counts_before(sample.groupBy(*triple).agg(F.count("*").alias("n")), triple, ["n"], scratch)
-    named = sample.join(names.hint("shuffle_hash"), triple).select(
-        (F.col("key") * 2 + F.when(F.col("j") % 3 == 2, 1).otherwise(0)).alias("key"), F.struct("j", (F.col("n_before") + 1).alias("name")).alias("x")
-    )
-    shorter = scratch.save(named.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["name"]).alias("s")))
-    if levels > 1 and not names.where("n > 1").isEmpty():
-        ranked = suffix_ranks(shorter, scratch, levels - 1)
-    else:
-        ranked = shorter.withColumnRenamed("s", "r")
-    whole = strings
-    for n in (1, 2):
-        own = ranked.where(F.pmod("key", F.lit(2)) == n - 1).select(F.shiftright("key", 1).alias("key"), F.col("r").alias(f"r{n}"))
-        whole = whole.join(own, "key", "left")
-
-    def suffix(j):
-        i = F.floor(j / 3).cast("int")
-        r1, r2, r1_next = (F.coalesce(F.get(F.col(c), x), F.lit(0)) for c, x in (("r1", i), ("r2", i), ("r1", i + 1)))
-        kind = j % 3
-        return F.struct(
-            j.alias("j"), kind.alias("kind"), F.get(F.col("s"), j).alias("a"), F.coalesce(F.get(F.col("s"), j + 1), F.lit(NOTHING)).alias("b"),
-            F.when(kind == 1, r1).when(kind == 2, r2).otherwise(0).alias("own"),
-            F.when(kind == 0, r1).otherwise(r2).alias("next"), F.when(kind == 0, r2).otherwise(r1_next).alias("after"),
-        )
-
-    every = scratch.save(whole.select("key", F.explode(F.transform(places, suffix)).alias("x")).select("key", "x.*"))
-    how_many = lambda *kinds: [F.count(F.when(F.col("kind") == k, 1)).alias(f"n{k}") for k in kinds]
-    first, second = every.where("kind < 2"), every.where("kind <> 1")
-    by1, by2 = ["a", "next"], ["a", "b", "after"]
-    with1 = first.join(counts_before(first.groupBy(*by1).agg(*how_many(0, 1)), by1, ["n0", "n1"], scratch).hint("shuffle_hash"), by1)
-    with2 = second.join(counts_before(second.groupBy(*by2).agg(*how_many(0, 2)), by2, ["n0", "n2"], scratch).hint("shuffle_hash"), by2)
-    of_sample = F.col("n0_before") + F.col("own") - 1
-    parts = with1.select("key", "j", F.when(F.col("kind") == 0, F.col("n0_before") + F.col("n1_before")).otherwise(of_sample).alias("v")).unionAll(
-        with2.select("key", "j", F.when(F.col("kind") == 0, F.col("n2_before")).otherwise(of_sample).alias("v"))
-    )
-    ranks = parts.repartition("key").groupBy("key", "j").agg((F.sum("v") + 1).alias("r")).groupBy("key").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("j", "r"))), lambda x: x["r"]).alias("r")
-    )
-    out = scratch.save(ranks)
-    scratch.drop(shorter, every)
+    n = len(group)
+    by_right, by_left = np.lexsort((ranks(right), group)), np.argsort(ranks(left), kind="stable")
+    ahead, behind = _shared(right, by_right), _shared(left, by_left)
+    ahead[1:][group[by_right[1:]] != group[by_right[:-1]]] = -1
+    at_right, at_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    at_right[by_right] = at_left[by_left] = np.arange(n)
+    out = np.zeros((n, SPREAD), bool)
+    for d in range(int(a.min()), int(b.max()) + 1):
+        own = np.flatnonzero((a <= d) & (d <= b))
+        key = np.cumsum(ahead < length - d)[at_right[own]] * (n + 1) + np.cumsum(behind < d)[at_left[own]]
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[own, d] = count[back] > 1
     return out

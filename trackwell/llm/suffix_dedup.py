@@ -1,402 +1,222 @@
-"""Removal of long repeated byte strings: a distributed suffix array over phrases, then adjacent prefixes."""
+"""Removal of long repeated byte strings: sampled suffixes in order, the other strings merged in, adjacent prefixes compared."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwell.llm import suffix_array
 from trackwell.llm.common import Scratch, free_name
-from trackwell.llm.suffix_array import suffix_ranks
+from trackwell.llm.suffix_array import GRAM, SPREAD, Runs
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
-#: Bytes of the strings whose hashes choose anchors, and how many neighbours each is compared with.
-GRAM = 16
-SPREAD = 128
-#: Rounds of naming: ranks then tell apart suffixes by 3^LEVELS phrases at least.
-LEVELS = 2
-
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _doubled(h: np.ndarray, step: int, by: np.uint64) -> np.ndarray:
-    """Hashes of strings made of two that start `step` apart."""
-    out = h[: len(h) - step] * by
-    out ^= out >> np.uint64(29)
-    return (out + h[step:]) * _B ^ (h[step:] >> np.uint64(32))
-
-
-def _hashes(data: np.ndarray, length: int, by: np.uint64) -> np.ndarray:
-    """A 64-bit hash of each string of `length` bytes."""
-    if len(data) < length:
-        return np.empty(0, np.uint64)
-    h, size = (data.astype(np.uint64) + np.uint64(1)) * by, 1
-    while size * 2 <= length:
-        h = _doubled(h, size, by)
-        size *= 2
-    return _doubled(h, length - size, by) if size < length else h
-
-
-def _minima(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of GRAM bytes, the least of each SPREAD neighbouring ones, and the places that hold such a least."""
-    h = _hashes(data, GRAM, _A)
-    if len(h) < SPREAD:
-        return h, h[:0], np.empty(0, np.int64)
-    least, size = h, 1
-    while size < SPREAD:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    edge = np.zeros(SPREAD - 1, np.uint64)
-    most, size = np.concatenate([edge, least, edge]), 1
-    while size < SPREAD:
-        most = np.maximum(most[:-size], most[size:])
-        size *= 2
-    return h, least, np.flatnonzero(most == h)
-
-
-def anchors(data: np.ndarray) -> np.ndarray:
-    """Places whose GRAM bytes have the least hash of some SPREAD neighbouring places, ties included.
-
-    Any string of SPREAD + GRAM - 1 bytes has one that depends on its bytes alone.
-    """
-    return _minima(data)[2]
-
+#: Different contexts of one group that a task sorts together; larger groups are cut by their strings' places, see repeated_spans.
+GROUP = 16_384
+#: Runs of strings are cut into pieces of so many, level by level, where a group is too large.
+WIDTHS = (SPREAD, 16, 1)
+#: Contexts that a task sorts at a time, whole groups together.
+TOGETHER = 8_192
 
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
+_KEYED = "k1 long, k2 long, place long, h long, g long"
 
-    def __init__(self, base: int = 0x9E3779B97F4A7C15):
-        self.bases, self.known = (base, pow(base, -1, 2**64)), [np.ones(1, np.uint64)] * 2
 
-    def upto(self, n: int) -> list[np.ndarray]:
-        if len(self.known[0]) < n:
-            size = 1 << n.bit_length()
-            self.known = [np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in self.bases]
-        return self.known
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and where each starts and ends."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    offsets = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _following(h: np.ndarray, at: np.ndarray, grams: int, powers: _Powers) -> np.ndarray:
-    """A hash of the next `grams` values of h from each place, as the difference of two prefix sums."""
-    up, down = powers.upto(len(h))
-    sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
-    return (sums[at + grams] - sums[at]) * down[at]
+def _place(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return p << 16 | a << 8 | b
 
 
-def _bytes(text: str | None) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if text else b""
+def _span(p: Column, a: Column, b: Column) -> Column:
+    """Strings that start p - b to p - a, as one long: the first start, and how many follow."""
+    return F.shiftleft(p - b, 8) + b - a
 
 
-def _lists(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _of_place(place: Column) -> tuple[Column, Column, Column]:
+    return F.shiftright(place, 16), F.shiftright(place, 8).bitwiseAND(F.lit(255)), place.bitwiseAND(F.lit(255))
 
 
-def _candidates(numbered: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """numbered(row, text) -> (row, text, hits) of rows that may hold a repeated string; hits: anchors whose next bytes occur again.
+def _keyed(k1: np.ndarray, k2: np.ndarray, found: Runs) -> pa.RecordBatch:
+    columns = (k1[found.doc], k2[found.doc], _place(found.p, found.a, found.b), found.h, found.g)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "place", "h", "g"])
 
-    A string of `length` bytes has an anchor among its first SPREAD, so if it is repeated the
-    length - SPREAD + 1 bytes from there are repeated too.
-    """
-    reach = length - SPREAD + 1
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+def _all_runs(texts: DataFrame, length: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, hashes = [], [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-                data = np.frombuffer(_bytes(text.as_py()), np.uint8)
-                h, _, at = _minima(data)
-                at = at[at + reach <= len(data)]
-                rows.append(np.full(len(at), row, np.int64))
-                places.append(at)
-                hashes.append(_following(h, at, reach - GRAM + 1, powers).view(np.int64))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, places, hashes)], ["row", "p", "h"])
-
-    found = scratch.save(numbered.select("row", "text").where(F.octet_length("text") >= length).mapInArrow(find, "row long, p long, h long"))
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = found.join(again.hint("shuffle_hash"), "h", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("hits"))
-    out = scratch.save(numbered.select("row", "text").join(hits.hint("shuffle_hash"), "row"))
-    scratch.drop(found)
-    return out
-
-
-def _spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
-    """The union of intervals with rising starts."""
-    if not len(starts):
-        return []
-    new = np.concatenate([[True], starts[1:] > np.maximum.accumulate(stops)[:-1]])
-    first = np.flatnonzero(new)
-    return list(zip(starts[first].tolist(), np.maximum.reduceat(stops, first).tolist()))
-
-
-def _leaders(h: np.ndarray, least: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of each run of SPREAD places from x on, the first with the least hash: an anchor that depends on no byte outside the run."""
-    i, own = np.searchsorted(at, x), h[at]
-    wrong = np.flatnonzero(own[i] != least[x])
-    while len(wrong):
-        i[wrong] += 1
-        wrong = wrong[own[i[wrong]] != least[x[wrong]]]
-    return at[i]
+            if batch.num_rows:
+                k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+                for found in suffix_array.runs(*_texts(batch.column("text")), length):
+                    yield _keyed(k1, k2, found)
 
+    return texts.mapInArrow(scan, _KEYED)
 
-def _edges(chosen: np.ndarray) -> np.ndarray:
-    """Where runs of true values start and stop, in turn."""
-    padded = np.concatenate([[False], chosen, [False]])
-    return np.flatnonzero(padded[1:] != padded[:-1])
 
+def _finer_runs(texts: DataFrame, asked: DataFrame, length: int, width: int) -> DataFrame:
+    """asked(k1, k2, places) -> the same runs in pieces of width strings."""
 
-def _intervals(x: np.ndarray) -> np.ndarray:
-    """Rising numbers as starts and stops of runs, in turn."""
-    if not len(x):
-        return np.empty(0, np.int64)
-    new = np.flatnonzero(x[1:] != x[:-1] + 1)
-    return np.stack([x[np.append(0, new + 1)], x[np.append(new, len(x) - 1)] + 1], 1).ravel()
-
-
-def _expanded(edges: np.ndarray) -> np.ndarray:
-    """The numbers that _intervals was given."""
-    a, n = edges[::2], edges[1::2] - edges[::2]
-    return np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(a) else np.empty(0, np.int64)
-
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            data, offsets = _texts(batch.column("text"))
+            for i, places in enumerate(batch.column("places")):
+                x = np.unique(places.values.to_numpy())
+                for found in suffix_array.pieces(data[offsets[i] : offsets[i + 1]], x >> 16, x >> 8 & 255, x & 255, length, width):
+                    yield _keyed(k1[i : i + 1], k2[i : i + 1], found)
 
-def _possible(h: np.ndarray, least: np.ndarray, at: np.ndarray, hits: np.ndarray, size: int, length: int) -> np.ndarray:
-    """Starts and stops, in turn, of runs of windows whose leading anchor is a hit; any other window occurs once."""
-    hit = np.zeros(size + 1, bool)
-    hit[hits] = True
-    return _edges(hit[_leaders(h, least, at, np.arange(size - length + 1))])
+    return texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(scan, _KEYED)
 
 
-def _phrases(candidates: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(key, row, windows, at, s): stretches that may hold repeated strings, where those start, their anchors, and a hash
-    of the bytes between anchors."""
+def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """asked(k1, k2, runs: array of struct(place, h, asked)) -> one row for each run, with the bytes before and after its sampled place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for row, text, hits in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("hits")):
-                data = _bytes(text.as_py())
-                h, least, at = _minima(np.frombuffer(data, np.uint8))
-                windows = _possible(h, least, at, hits.values.to_numpy(), len(data), length)
-                a, b = windows[::2], windows[1::2]
-                for lo, hi in _spans(a, b - 1 + length):
-                    # The ends of a stretch are anchors too, so that copies of whole texts agree from end to end.
-                    inner = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi)]
-                    own = [lo, *inner.tolist(), hi]
-                    names = [xxhash.xxh64_intdigest(data[i:j], 5) - 2**63 for i, j in zip(own, own[1:])]
-                    edges = windows[2 * np.searchsorted(a, lo) : 2 * np.searchsorted(a, hi)]
-                    for c, v in zip(out, (row, edges, own, names)):
-                        c.append(v)
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield _lists(out, kinds, ["row", "windows", "at", "s"])
-
-    found = candidates.mapInArrow(cut, "row long, windows array<bigint>, at array<bigint>, s array<bigint>")
-    out = scratch.save(found.withColumn("key", F.monotonically_increasing_id()))
-    scratch.drop()
+            data, offsets = _texts(batch.column("text"))
+            data, lists = data.tobytes(), batch.column("runs")
+            n = np.diff(lists.offsets.to_numpy())
+            doc, flat = np.repeat(np.arange(len(n)), n), lists.flatten()
+            place = flat.field("place").to_numpy()
+            p, a, b = (place >> 16) + offsets[doc], place >> 8 & 255, place & 255
+            sides = [(p - b, p), (p, p - a + length)]
+            columns = [
+                *(batch.column(c).take(pa.array(doc)) for c in ("k1", "k2")), *(flat.field(c) for c in ("place", "h", "asked")),
+                *(pa.array([data[i:j] for i, j in zip(lo.tolist(), hi.tolist())], pa.binary()) for lo, hi in sides),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "place", "h", "asked", "before", "after"])
+
+    return texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(
+        cut, "k1 long, k2 long, place long, h long, asked boolean, before binary, after binary"
+    )
+
+
+def _compared(table: pa.Table, length: int) -> pa.RecordBatch:
+    """(k1, k2, span) of the strings in the asked runs that occur in another run of the group too."""
+    table = table.combine_chunks()
+    place, h = table["place"].to_numpy(), table["h"].to_numpy()
+    p, a, b = place >> 16, place >> 8 & 255, place & 255
+    sides = []
+    for name, width, backwards in (("before", SPREAD, True), ("after", length, False)):
+        column = table[name].chunk(0)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        sides.append(suffix_array._matrix(np.frombuffer(column.buffers()[2] or b"", np.uint8), ends, width, backwards))
+    found = suffix_array.repeated(np.unique(h, return_inverse=True)[1], a, b, *sides, length)
+    found &= table["asked"].to_numpy()[:, None]
+    edges = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, low = np.nonzero(edges == 1)
+    high = np.nonzero(edges == -1)[1] - 1  # of the same run, since both go row by row
+    span = (p[row] - high) << 8 | (high - low)
+    return pa.RecordBatch.from_arrays([*(pa.array(table[c].to_numpy()[row]) for c in ("k1", "k2")), pa.array(span)], ["k1", "k2", "span"])
+
+
+def _compare(contexts: DataFrame, length: int) -> DataFrame:
+    """contexts, each group in one partition and together -> (k1, k2, span)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < TOGETHER:
+                continue
+            table = pa.Table.from_batches(held)
+            h = table["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
+            if cut:
+                yield _compared(table.slice(0, cut), length)
+                held = table.slice(cut).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield _compared(pa.Table.from_batches(held), length)
+
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(work, "k1 long, k2 long, span long")
+
+
+def _settled(texts: DataFrame, make: Callable[[], DataFrame], scratch: Scratch, length: int, level: int) -> list[DataFrame]:
+    """Tables (k1, k2, span) of the repeated strings among the runs that `make` gives."""
+    counted = make().groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high"))
+    counted = scratch.save(counted.where("n > 1").select("h", (F.col("low") == F.col("high")).alias("same")))
+    hits = scratch.save(make().join(counted.hint("shuffle_hash"), "h"))
+    span = _span(*_of_place(F.col("place"))).alias("span")
+    out = [hits.where("same").select("k1", "k2", span)]
+    unlike = hits.where("not same")
+    contexts = scratch.save(unlike.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at")))
+    out.append(unlike.join(contexts.where("n > 1").select("h", "g").hint("shuffle_hash"), ["h", "g"], "left_semi").select("k1", "k2", span))
+    sizes = contexts.groupBy("h").agg(F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("asked")).where("asked > 0")
+    sized = contexts.join(sizes.select("h", "size").hint("shuffle_hash"), "h").select("h", "at.*", (F.col("n") == 1).alias("asked"), "size")
+    small = sized.where(F.col("size") <= GROUP).groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "h", "asked")).alias("runs"))
+    out.append(scratch.save(_compare(_contexts(texts, small, length), length)))
+    large = sized.where(F.col("size") > GROUP).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+    if level + 1 < len(WIDTHS) and not sizes.where(F.col("size") > GROUP).isEmpty():
+        large = scratch.save(large)
+        finer = lambda: _finer_runs(texts, large, length, WIDTHS[level + 1])
+        out += _settled(texts, finer, scratch, length, level + 1)
     return out
 
 
-def _cover(table: pa.Table, rows: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
-    """(key, j, left, right) of some rows; shared[i]: the bytes that row i has in common with the row before."""
-    own = table.select(["key", "j"]).take(pa.array(rows)).combine_chunks()
-    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (own.column("key"), own.column("j"))]
-    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(shared[rows]), pa.array(shared[rows + 1])], ["key", "j", "left", "right"])
-
-
-def _adjacent(runs: DataFrame, scratch: Scratch, length: int, levels: int) -> DataFrame:
-    """(key, cover): for each phrase start j whose suffix shares `length` bytes or more with a neighbour in suffix order,
-    struct(j, left, right), the bytes shared with the one before and the one after.
-
-    Suffixes are sorted by rank over range partitions. The first of a partition is treated as
-    if nothing came before it, which only leaves more to the last comparison.
-    """
-    ranks = suffix_ranks(runs.where(F.size("s") > 0).select("key", "s"), scratch, levels)
-    limit = length + SPREAD
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, r, s, at in zip(*(batch.column(c) for c in ("key", "r", "s", "at"))):
-                r, s, at = (x.values.to_numpy() for x in (r, s, at))
-                n, first = len(s), np.arange(len(s))
-                last = np.minimum(n, np.searchsorted(at, at[:n] + limit))  # what lies past the limit never counts
-                ends = np.append(0, np.cumsum(last - first))
-                take = np.arange(ends[-1]) + np.repeat(first - ends[:-1], last - first)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(r), pa.array(np.full(n, key.as_py())), pa.array(first.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(s[take])),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((at[take + 1] - at[take]).astype(np.int32))),
-                ], ["r", "key", "j", "s", "size"])
-
-    every = runs.join(ranks, "key").select("key", "r", "s", "at").mapInArrow(suffixes, "r long, key long, j int, s array<bigint>, size array<int>")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            s, size = table.column("s").chunk(0), table.column("size").chunk(0)
-            names, sizes, at = s.flatten().to_numpy(), size.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
-            n = np.diff(at)
-            shared, rows, k = np.zeros(len(n) + 1, np.int64), np.arange(1, len(n)), 0
-            while len(rows):  # rows that agree with the one before in their first k phrases
-                rows = rows[(n[rows] > k) & (n[rows - 1] > k)]
-                rows = rows[names[at[rows] + k] == names[at[rows - 1] + k]]
-                shared[rows] += sizes[at[rows] + k]
-                k += 1
-            # The first row was the last of the batch before, which left it without its right neighbour.
-            if last is not None:
-                shared[0] = held
-            keep = np.flatnonzero(np.maximum(shared[:-1], shared[1:])[:-1] >= length)
-            held, last = int(shared[len(n) - 1]), table.slice(len(n) - 1).to_batches()[0]
-            yield _cover(table, keep, shared)
-        if last is not None and held >= length:
-            yield _cover(pa.Table.from_batches([last]), np.zeros(1, np.int64), np.array([held, 0]))
-
-    ordered = every.repartitionByRange("r", "key", "j").sortWithinPartitions("r", "key", "j")
-    found = ordered.select("key", "j", "s", "size").mapInArrow(compare, "key long, j int, left long, right long")
-    return found.groupBy("key").agg(F.collect_list(F.struct("j", "left", "right")).alias("cover"))
-
-
-def _windows(runs: pa.Array, length: int) -> list[np.ndarray]:
-    """(known to be repeated, open, standing for others): starts and stops of runs of windows, rising.
-
-    A window is looked at from the last anchor at or before it. If the suffix there shares the
-    window with the one before it in suffix order, it is repeated, and its like stands for it;
-    if only with the one after, it is repeated and stands for those. All others are open.
-    """
-    windows, anchor, cover = (runs.field(n) for n in ("windows", "at", "cover"))
-    edges, places = windows.values.to_numpy(), anchor.values.to_numpy()
-    j, before, after = (cover.values.field(n).to_numpy() for n in ("j", "left", "right"))
-    of_windows, of_anchors, of_cover = (c.offsets.to_numpy() for c in (windows, anchor, cover))
-    found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
-    for i in np.argsort(edges[of_windows[:-1]]):
-        x = _expanded(edges[of_windows[i] : of_windows[i + 1]])
-        at = places[of_anchors[i] : of_anchors[i + 1]]
-        left, right = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64)
-        own = slice(of_cover[i], of_cover[i + 1])
-        left[j[own] + 1], right[j[own] + 1] = before[own], after[own]
-        here = np.searchsorted(at, x, side="right")
-        need = x + length - np.append(0, at)[here]
-        by_left, by_right = need <= left[here], need <= right[here]
-        for out, chosen in zip(found, (by_left | by_right, ~by_left & ~by_right, ~by_left & by_right)):
-            out.append(x[chosen])
-    return [_intervals(np.concatenate(x)) for x in found]
-
-
-def _settled(joined: DataFrame, length: int) -> DataFrame:
-    """joined(row, text, runs) -> (row, text, known, open, stands), see _windows."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
-        for batch in batches:
-            out = list(zip(*(_windows(runs.values, length) for runs in batch.column("runs"))))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("text"), *[pa.array(c, kind) for c in out]], ["row", "text", "known", "open", "stands"]
-                )
-
-    return joined.select("row", "text", "runs").mapInArrow(look, "row long, text string, known array<bigint>, open array<bigint>, stands array<bigint>")
+def _merged(spans: Column, length: int) -> Column:
+    """The union of a row's strings as struct(start, stop)."""
+    kind = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
+    @F.arrow_udf("array<struct<start:bigint,stop:bigint>>")
+    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            out = []
+            for own in lists:
+                x = np.sort(own.values.to_numpy()) if own.is_valid and len(own.values) else np.empty(0, np.int64)
+                start, reach = x >> 8, np.maximum.accumulate((x >> 8) + (x & 255) + length)
+                new = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(x) else x
+                stop = reach[np.append(new[1:] - 1, len(x) - 1)] if len(x) else x
+                out.append([{"start": i, "stop": j} for i, j in zip(start[new].tolist(), stop.tolist())])
+            yield pa.array(out, pa.list_(kind))
 
-def _open_windows_again(ready: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(row, again): the open windows that occur elsewhere, open there too or standing for others.
+    return merge(spans)
 
-    Only windows whose leading anchor is followed by the same bytes as that of some open
-    window are compared, and those by two hashes.
-    """
-    reach = length - SPREAD + 1
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
-        for batch in batches:
-            out: list[list] = [[np.empty(0, np.int64)] for _ in range(3)] + [[np.empty(0, bool)]]
-            for number, text, *own in zip(batch.column("row").to_pylist(), *(batch.column(c) for c in ("text", "open", "stands"))):
-                own = [_expanded(e.values.to_numpy()) for e in own]
-                if len(own[0]) or len(own[1]):
-                    h, least, at = _minima(np.frombuffer(_bytes(text.as_py()), np.uint8))
-                    for x, is_open in zip(own, (True, False)):
-                        p = np.unique(_leaders(h, least, at, x))
-                        found = (np.full(len(p), number), p, _following(h, p, reach - GRAM + 1, powers).view(np.int64), np.full(len(p), is_open))
-                        for c, v in zip(out, found):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["row", "p", "h", "open"])
-
-    leads = scratch.save(ready.select("row", "text", "open", "stands").mapInArrow(lead, "row long, p long, h long, open boolean"))
-    asked = leads.where("open").select("h").distinct()
-    wanted = leads.where("not open").join(asked, "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("wanted"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, text, *own, p in zip(batch.column("row").to_pylist(), *(batch.column(c) for c in ("text", "open", "stands", "wanted"))):
-                open_, stands = (_expanded(e.values.to_numpy()) for e in own)
-                flat = np.frombuffer(_bytes(text.as_py()), np.uint8)
-                if p.is_valid and len(stands):
-                    stands = stands[np.isin(_leaders(*_minima(flat), stands), p.values.to_numpy())]
-                else:
-                    stands = stands[:0]
-                x = np.append(open_, stands)
-                if len(x):
-                    a, b = (_hashes(flat, length, by)[x].view(np.int64) for by in (_A, _B))
-                    mine = np.where(np.arange(len(x)) < len(open_), number, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(x), pa.array(a), pa.array(b)], ["row", "x", "a", "b"])
-
-    joined = ready.select("row", "text", "open", "stands").join(wanted.hint("shuffle_hash"), "row", "left").where("size(open) > 0 or wanted is not null")
-    windows = scratch.save(joined.select("row", "text", "open", "stands", "wanted").mapInArrow(ask, "row long, x long, a long, b long"))
-    scratch.drop(leads)
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    answers = scratch.save(windows.where("row >= 0").join(twice.hint("shuffle_hash"), ["a", "b"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("again")))
-    scratch.drop(windows)
-    return answers
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, levels: int = LEVELS, scratch: Scratch | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
     """docs with an array column `spans` of struct(start, stop): the bytes covered by a string of `length` bytes that starts elsewhere too.
 
     Texts are UTF-8 bytes; null and shorter texts have none. Strings never cross documents,
     may overlap, and count when they occur twice in one document. All occurrences are
     covered. Repeated rows repeat each other. An empty table gives an empty result.
 
-    Only stretches that may hold such a string go on: those around anchors whose following
-    bytes occur again. There, phrases between anchors are the symbols whose suffixes are
-    ranked by the difference-cover algorithm; neighbours' common prefixes settle all strings
-    that lie within common phrases. What is left, the strings at the ends of matches and one of each group of
-    equal ones, is compared by two 64-bit hashes.
+    Each string has a sampled place among its first SPREAD bytes that its own bytes choose, so
+    equal strings have it alike and meet in the group of those whose following length + 1 - SPREAD
+    bytes agree. Strings of one sampled place form a run, with the bytes around as its context.
+    Equal contexts are counted, not sorted: any that occurs twice is repeated throughout, and
+    one stands for all. In groups of unlike contexts the sampled suffixes are sorted by names of
+    triples, upon names again; the strings that start before a sampled place are merged in by
+    their bytes up to it and its rank; neighbours' common prefixes decide (suffix_array.repeated).
+
+    A group of more than GROUP contexts, as a passage gives that stands in a great many
+    texts, is cut: its runs become pieces of 16 strings, grouped anew by the bytes that all
+    strings of a piece have, and where that is too many still, single strings that only need
+    to be counted. Groups and contexts are told apart by two 64-bit hashes. Columns k1 and k2,
+    made of id and text, name a row; rows that agree in both have the same spans.
     """
-    if length < 2 * SPREAD + GRAM:
-        raise ValueError(f"length must be at least {2 * SPREAD + GRAM}")
+    if length < SPREAD + 2 * GRAM:
+        raise ValueError(f"length must be at least {SPREAD + 2 * GRAM}")
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    row = free_name(docs, "row_number")
-    whole = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
-    candidates = _candidates(whole.select(F.col(row).alias("row"), "text"), scratch, length)
-    runs = _phrases(candidates, scratch, length)
-    cover = scratch.save(_adjacent(runs, scratch, length, levels))
-    scratch.drop()
-    by_row = runs.join(cover, "key", "left").groupBy("row").agg(F.collect_list(F.struct("windows", "at", "cover")).alias("runs"))
-    ready = scratch.save(_settled(candidates.select("row", "text").join(by_row.hint("shuffle_hash"), "row"), length))
-    scratch.drop(candidates, runs, cover)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
-            out: list[list] = [[], []]
-            for number, own, again in zip(*(batch.column(c) for c in ("row", "known", "again"))):
-                more = again.values.to_numpy() if again.is_valid else np.empty(0, np.int64)
-                x = np.union1d(_expanded(own.values.to_numpy()), more)
-                if len(x):
-                    out[0].append(number.as_py())
-                    out[1].append([{"start": a, "stop": b} for a, b in _spans(x, x + length)])
-            yield _lists(out, [pa.int64(), kind], ["row", "spans"])
-
-    answers = _open_windows_again(ready, scratch, length)
-    found = ready.select("row", "known").join(answers, "row", "left").mapInArrow(settle, "row long, spans array<struct<start:bigint,stop:bigint>>")
-    name = free_name(docs, "spans")
-    found = found.select(F.col("row").alias(row), F.col("spans").alias(name))
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    return whole.join(found.hint("shuffle_hash"), row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(name, empty).alias(name))
+    one, two, name = (free_name(docs, n) for n in ("_k1", "_k2", "spans"))
+    second = F.xxhash64("text")
+    first = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), "text"))
+    texts = docs.where(F.octet_length("text") >= length).select(first.alias("k1"), second.alias("k2"), "text")
+    found = _settled(texts, lambda: _all_runs(texts, length), scratch, length, 0)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    spans = every.groupBy(F.col("k1").alias(one), F.col("k2").alias(two)).agg(F.collect_list("span").alias(name))
+    out = docs.withColumns({one: first, two: second}).join(spans.hint("shuffle_hash"), [one, two], "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], _merged(F.col(name), length).alias(name))
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
@@ -405,9 +225,10 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     @F.arrow_udf("binary")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists in batches:
-            out = []
-            for t, spans in zip(texts, lists):
-                data, done, parts = _bytes(t.as_py()), 0, []
+            flat, offsets = _texts(texts)
+            flat, out = flat.tobytes(), []
+            for i, spans in enumerate(lists):
+                data, done, parts = flat[offsets[i] : offsets[i + 1]], 0, []
                 for s in spans.as_py():
                     parts.append(data[done : s["start"]])
                     done = s["stop"]
