@@ -229,6 +229,12 @@ def test_blocks_don_t_change_the_result(monkeypatch):
     assert starts() == want
 
 
+def test_one_letter_a_million_times(spark):
+    texts = ["x" * 1_000_000, "y" * 399, "z" * 400]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.repeated_spans(docs_of(spark, texts)).collect()}
+    assert got == {0: [(0, 1_000_000)], 1: [], 2: []}
+
+
 def test_suffix_query_against_brute_force(spark, sf_dir):
     rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     spans = dict(zip(rows, _repeats([t.decode() for t in rows.values()], 400)))

@@ -11,7 +11,7 @@ import numpy as np
 GRAM = 16
 SPREAD = 256
 #: Bytes that are looked at together; longer inputs take several blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _POSITION = np.uint64((1 << 21) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -47,9 +47,7 @@ class _Strings:
     def __init__(self, h: np.ndarray, base: int):
         size = 1 << max(10, len(h).bit_length())
         if base not in self._known or len(self._known[base][0]) < len(h) + 1:
-            self._known[base] = tuple(
-                np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 2**64))
-            )
+            self._known[base] = tuple(np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 2**64)))
         up, self.down = self._known[base]
         self.sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
 

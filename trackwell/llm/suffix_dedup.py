@@ -225,14 +225,14 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     @F.arrow_udf("binary")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists in batches:
-            flat, offsets = _texts(texts)
-            flat, out = flat.tobytes(), []
-            for i, spans in enumerate(lists):
-                data, done, parts = flat[offsets[i] : offsets[i + 1]], 0, []
+            out = []
+            for text, spans in zip(texts, lists):
+                data = memoryview(text.as_buffer() or b"")
+                done, parts = 0, []
                 for s in spans.as_py():
                     parts.append(data[done : s["start"]])
                     done = s["stop"]
-                out.append(b"".join([*parts, data[done:]]))
+                out.append(b"".join([*parts, data[done:]]) if done else data)
             yield pa.array(out, pa.binary())
 
     return cut(text, spans)
