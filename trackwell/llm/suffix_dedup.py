@@ -163,23 +163,23 @@ def _settled(texts: DataFrame, make: Callable[[], DataFrame], scratch: Scratch,
     return out
 
 
-def _merged(spans: Column, length: int) -> Column:
-    """The union of a row's strings as struct(start, stop)."""
-    kind = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+def _merged(found: DataFrame, name: str, length: int) -> DataFrame:
+    """found(k1, k2, span) -> (k1, k2, name): the union of a row's strings as struct(start, stop)."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-    @F.arrow_udf("array<struct<start:bigint,stop:bigint>>")
-    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for own in lists:
-                x = np.sort(own.values.to_numpy()) if own.is_valid and len(own.values) else np.empty(0, np.int64)
+            for own in batch.column("span"):
+                x = np.sort(own.values.to_numpy())
                 start, reach = x >> 8, np.maximum.accumulate((x >> 8) + (x & 255) + length)
-                new = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(x) else x
-                stop = reach[np.append(new[1:] - 1, len(x) - 1)] if len(x) else x
+                new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+                stop = reach[np.append(new[1:] - 1, len(x) - 1)]
                 out.append([{"start": i, "stop": j} for i, j in zip(start[new].tolist(), stop.tolist())])
-            yield pa.array(out, pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, kind)], ["k1", "k2", name])
 
-    return merge(spans)
+    lists = found.groupBy("k1", "k2").agg(F.collect_list("span").alias("span"))
+    return lists.mapInArrow(merge, f"k1 long, k2 long, `{name}` array<struct<start:bigint,stop:bigint>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
@@ -214,13 +214,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | Non
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
-    spans = every.groupBy(F.col("k1").alias(one), F.col("k2").alias(two)).agg(F.collect_list("span").alias(name))
+    spans = _merged(every, name, length).withColumnsRenamed({"k1": one, "k2": two})
     out = docs.withColumns({one: first, two: second}).join(spans.hint("shuffle_hash"), [one, two], "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], _merged(F.col(name), length).alias(name))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(name), none).alias(name))
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
-    """What is left of the text's bytes, concatenated."""
+    """What is left of the text's bytes, concatenated; none of a null text."""
 
     @F.arrow_udf("binary")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -235,4 +236,5 @@ def kept_bytes(text: Column, spans: Column) -> Column:
                 out.append(b"".join([*parts, data[done:]]) if done else data)
             yield pa.array(out, pa.binary())
 
-    return cut(text, spans)
+    changed = F.size(spans) > 0
+    return F.when(changed, cut(F.when(changed, text), spans)).otherwise(F.coalesce(text.cast("binary"), F.lit(b"")))
