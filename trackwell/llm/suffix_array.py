@@ -11,7 +11,7 @@ import numpy as np
 GRAM = 16
 SPREAD = 256
 #: Bytes that are looked at together; longer inputs take several blocks.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 _POSITION = np.uint64((1 << 21) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
