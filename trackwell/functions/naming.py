@@ -17,3 +17,8 @@ def output_name(name: Column) -> Column:
 
 def phase_label(phase: Column) -> Column:
     return F.replace(phase, F.lit("-"), F.lit(" "))
+
+
+def mebibytes(size: Column, digits: int = 1) -> Column:
+    """A size in bytes as MiB with that many digits."""
+    return F.format_string(f"%.{digits}f", size / (1024.0 * 1024.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackwell.functions.geometry import CORNERS, pixel_iou
+from trackwell.functions.geometry import CORNERS, expanded, pixel_iou
 
 #: Fixed values of the detector.
 SCORE, OVERLAP, TOP_K, INPUT = 0.3, 0.35, 5000, 640
@@ -47,6 +47,36 @@ def suppress(boxes: DataFrame, by: list[str], threshold: float = OVERLAP) -> Dat
     return out.select("b.det_id", *by, *[f"b.{c}" for c in CORNERS], (-F.col("b.order")).alias("confidence"))
 
 
+def heads(tables: list[DataFrame]) -> DataFrame:
+    """Head tables of all strides as one, with head_ord, their order, which decides between equal scores before the cell does."""
+    out = tables[0].withColumn("head_ord", F.lit(0))
+    for n, more in enumerate(tables[1:], 1):
+        out = out.unionByName(more.withColumn("head_ord", F.lit(n)))
+    return out
+
+
+def detect(rows: DataFrame, by: list[str], width: float = INPUT, height: float = INPUT, scale: float = 1.0, k: int = TOP_K) -> DataFrame:
+    """Head rows with a det_id -> detections: weak ones go, then overlapped ones, then those of odd shape, and of the rest the k best of each frame stay."""
+    return top_k(shape_filter(suppress(decode_anchors(rows, scale, width, height), by)), by, k)
+
+
+def annotated(boxes: DataFrame, frames: DataFrame, by: list[str]) -> DataFrame:
+    """boxes with the time and size of their frame: an equi-join on the frame's key; boxes of unknown frames go."""
+    return boxes.join(frames.select(*by, F.col("ts_sec").alias("frame_ts"), F.col("width").alias("frame_width"), F.col("height").alias("frame_height")), by)
+
+
+def with_embedding(boxes: DataFrame, width: float, height: float, least: float = 10) -> DataFrame:
+    """The embedding becomes null where the grown box is too small to be recognised."""
+    grown = expanded(0.2, width, height)
+    small = (grown["x2"] - grown["x1"] < least) | (grown["y2"] - grown["y1"] < least)
+    return boxes.withColumn("embedding", F.when(~small, F.col("embedding")))
+
+
+def recognised(boxes: DataFrame) -> DataFrame:
+    """Boxes that have an embedding."""
+    return boxes.where("embedding is not null")
+
+
 def top_k(boxes: DataFrame, by: list[str], k: int = TOP_K) -> DataFrame:
     """The k most confident boxes of each group."""
     order = Window.partitionBy(*by).orderBy(F.desc("confidence"), "det_id")

@@ -24,3 +24,16 @@ def centroids(vectors: DataFrame, key: str, value: str = "embedding") -> DataFra
     parts = vectors.select(key, F.posexplode(value).alias("i", "v")).groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     mean = parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
     return mean.select(key, normalized(F.col("mean")).alias("embedding"))
+
+
+def largest_frame(boxes: DataFrame, by: list[str], frame: str) -> DataFrame:
+    """The greatest number of faces in any frame of each group: as many identities there are."""
+    return boxes.groupBy(*by, frame).agg(F.count("*").alias("n")).groupBy(*by).agg(F.max("n").alias("most"))
+
+
+def previews(identities: DataFrame, boxes: DataFrame, width: float, height: float) -> DataFrame:
+    """identities(representative_det_id) with the rectangle to cut their preview from; null where it has no area or the box is missing."""
+    low, high = (lambda c: F.greatest(F.lit(0.0), F.floor(c))), (lambda c, most: F.least(F.lit(float(most)), F.ceil(c)))
+    rect = F.struct(low("x1").alias("x"), low("y1").alias("y"), (high("x2", width) - low("x1")).alias("w"), (high("y2", height) - low("y1")).alias("h"))
+    own = boxes.select(F.col("det_id").alias("representative_det_id"), F.when((rect["w"] > 0) & (rect["h"] > 0), rect).alias("preview"))
+    return identities.join(own, "representative_det_id", "left")

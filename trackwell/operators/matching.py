@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwell.functions.geometry import CORNERS, between, iou
@@ -65,23 +66,29 @@ def in_turn(pairs: DataFrame, by: list[str], left: str, right: str, score: str)
     )
 
 
-def interpolate(matches: DataFrame, prev: DataFrame, following: DataFrame, t: float) -> DataFrame:
-    """Boxes between matched ones (det_a in prev, det_b in following) at share t."""
-    a = prev.select(F.col("det_id").alias("det_a"), F.struct(*CORNERS, "confidence").alias("a"))
-    b = following.select(F.col("det_id").alias("det_b"), F.struct(*CORNERS, "confidence").alias("b"))
-    return matches.join(a, "det_a").join(b, "det_b").select("det_a", "det_b", *between(F.col("a"), F.col("b"), F.lit(t)))
+def interpolate(matches: DataFrame, prev: DataFrame, following: DataFrame, t: float | Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Boxes between matched ones (det_a in prev, det_b in following) at share t, a number or a column of matches.
+
+    carried columns, such as time, identity and embedding, come from the nearer side: prev before the middle, following from there on.
+    """
+    share = t if isinstance(t, Column) else F.lit(t)
+    a = prev.select(F.col("det_id").alias("det_a"), F.struct(*CORNERS, "confidence", *carried).alias("a"))
+    b = following.select(F.col("det_id").alias("det_b"), F.struct(*CORNERS, "confidence", *carried).alias("b"))
+    own = [F.when(share < 0.5, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in carried]
+    return matches.join(a, "det_a").join(b, "det_b").select("det_a", "det_b", *between(F.col("a"), F.col("b"), share), *own)
 
 
-def best_by_cosine(items: DataFrame, identities: DataFrame, threshold: float, most: int = 100_000) -> DataFrame:
+def best_by_cosine(items: DataFrame, identities: DataFrame, threshold: float, most_bytes: int = 16_000_000) -> DataFrame:
     """(vec_id, id, sim): the best identity of each vector above the threshold, the smaller id on ties; NaN never matches.
 
-    Identities are a reference list: they are broadcast while they are at most `most`, and a
-    longer list is matched in blocks of that size, whose winners are compared.
+    Identities are a reference list, broadcast in blocks of at most about most_bytes, whatever
+    their number; one block is one pass over the items, and the winners of several are compared.
     """
-    n = identities.count()
+    size = F.sum(F.size("embedding") * F.lit(8) + F.lit(32)).alias("bytes")
+    blocks = max(1, -(-(identities.agg(size).first()["bytes"] or 0) // most_bytes))
     parts = []
-    for k in range(max(1, -(-n // most))):
-        own = identities.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // most)))) == k)
+    for k in range(blocks):
+        own = identities.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
         gathered = own.agg(F.sort_array(F.collect_list(F.struct("id", F.col("embedding").alias("v")))).alias("known"))
         sims = F.transform("known", lambda c: F.struct(dot(F.col("embedding"), c["v"]).alias("sim"), (-c["id"]).alias("minus")))
         parts.append(items.join(F.broadcast(gathered)).select("vec_id", F.array_max(F.filter(sims, lambda s: ~F.isnan(s["sim"]))).alias("best")))
@@ -93,13 +100,42 @@ def best_by_cosine(items: DataFrame, identities: DataFrame, threshold: float, mo
     return out.where(F.col("best.sim") > threshold).select("vec_id", (-F.col("best.minus")).alias("id"), F.col("best.sim").alias("sim"))
 
 
+def cosine_links(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """vectors(vec_id, embedding) -> (vec_a, vec_b, sim), vec_a < vec_b, of all pairs whose dot product exceeds the threshold.
+
+    Vectors are dealt by hash in blocks of about `block`; each two blocks meet in one task, as
+    matrices, and only links leave it. The work grows with the square of the rows, as an exact
+    comparison of all must, but no task holds more than two blocks and no key is hot.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "embedding"
+    )
+
+    def compare(tile: pa.Table) -> pa.Table:
+        tile = tile.filter(pc.is_valid(tile["embedding"])).combine_chunks()
+        ids, own = tile["vec_id"].to_numpy(), tile["own"].to_numpy()
+        sides = [np.flatnonzero(own == n) for n in dict.fromkeys((int(tile["i"][0].as_py()), int(tile["j"][0].as_py())))] if len(ids) else []
+        if not sides:
+            return pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        matrix = np.array(tile["embedding"].to_pylist(), np.float64)
+        a, b = sides[0], sides[-1]
+        sims = matrix[a] @ matrix[b].T
+        x, y = np.nonzero((sims > threshold) & (ids[a][:, None] < ids[b][None, :]) if len(sides) == 1 else sims > threshold)
+        pair = np.sort(np.stack([ids[a][x], ids[b][y]]), axis=0)
+        return pa.table({"vec_a": pair[0], "vec_b": pair[1], "sim": sims[x, y]})
+
+    return met.groupBy("i", "j").applyInArrow(compare, "vec_a long, vec_b long, sim double").where("vec_a < vec_b")
+
+
 def nearest_sample(frames: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
-    """frames(by, ts) with sample_ts, the nearest sample time of the group, the earlier one on ties: two windows over a union, no cross join."""
+    """frames(by, ts) with sample_ts, the nearest sample time of the group, the earlier one on ties: two running windows over a union, no cross join."""
     both = frames.select(*by, "ts", F.lit(None).cast("double").alias("s")).unionByName(samples.select(*by, "ts", F.col("ts").alias("s")).distinct())
-    order = Window.partitionBy(*by).orderBy("ts")
+    group = Window.partitionBy(*by)
     both = both.withColumns({
-        "before": F.last("s", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("s", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
+        "before": F.last("s", ignorenulls=True).over(group.orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)),
+        "after": F.last("s", ignorenulls=True).over(group.orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, 0)),
     })
     near = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(
         F.col("ts") - F.col("before") <= F.col("after") - F.col("ts"), F.col("before")
@@ -107,6 +143,19 @@ def nearest_sample(frames: DataFrame, samples: DataFrame, by: list[str]) -> Data
     return both.where("s is null").select(*by, "ts", near.alias("sample_ts")).where("sample_ts is not null").distinct()
 
 
+def nearest_labelled(boxes: DataFrame, samples: DataFrame, by: list[str], least: float = 0.3) -> DataFrame:
+    """boxes(by, ts, det_id, corners) -> (by, det_id, cluster_id, iou): the labelled box of the nearest sample time that overlaps each most.
+
+    Only samples with a cluster_id count for the overlap, but all for the time. Overlaps must exceed `least`; the
+    sample with the smaller det_id wins ties; several boxes may get one identity.
+    """
+    timed = boxes.join(nearest_sample(boxes.select(*by, "ts").distinct(), samples, by), [*by, "ts"])
+    own = samples.where("cluster_id is not null").select(*by, F.col("ts").alias("sample_ts"), F.struct("det_id", "cluster_id", *CORNERS).alias("s"))
+    pairs = timed.select(*by, "sample_ts", F.struct("det_id", *CORNERS).alias("b")).join(own, [*by, "sample_ts"]).withColumn("iou", iou(F.col("b"), F.col("s")))
+    best = F.max_by("s.cluster_id", F.struct("iou", (-F.col("s.det_id")).alias("o")))
+    return pairs.where(F.col("iou") > least).groupBy(*by, F.col("b.det_id").alias("det_id")).agg(best.alias("cluster_id"), F.max("iou").alias("iou"))
+
+
 def assign(cost: list[list[float]]) -> list[tuple[int, int]]:
     """Least total cost of pairing rows with columns, each at most once; every row (or column) of the shorter side is paired."""
     n, m = len(cost), len(cost[0]) if cost else 0

@@ -1,24 +1,27 @@
-"""What is redacted and where: regions by style, block means, pixels of one frame."""
+"""What is redacted and where: regions by style, block means, frames with their regions drawn."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwell.functions import pixels
 from trackwell.functions.geometry import half_up
-
-BLOCK = 15
+from trackwell.functions.pixels import BLOCK
+from trackwell.functions.pixels import redacted as redact_pixels  # noqa: F401
 
 
-def regions(boxes: DataFrame, width: float, height: float) -> DataFrame:
+def regions(boxes: DataFrame, width: float | Column, height: float | Column) -> DataFrame:
     """boxes(…, style) with the rectangle to draw (rx, ry, rw, rh) and the corner radius; boxes under two pixels go.
 
     Styles: pixelate, black-box (the whole box), eye-bar, and eye-bar-fine, a thinner bar
     somewhat lower.
     """
     w, h = F.col("cx2") - F.col("cx1"), F.col("cy2") - F.col("cy1")
-    clip = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(c)))
+    clip = lambda c, most: F.greatest(F.lit(0.0), F.least(most if isinstance(most, Column) else F.lit(float(most)), F.col(c)))
     out = boxes.withColumns({"cx1": clip("x1", width), "cy1": clip("y1", height), "cx2": clip("x2", width), "cy2": clip("y2", height)}).where((w >= 2) & (h >= 2))
     bar, fine = F.col("style") == "eye-bar", F.col("style") == "eye-bar-fine"
     pick = lambda a, b, rest: F.when(bar, a).when(fine, b).otherwise(rest)
@@ -31,22 +34,37 @@ def regions(boxes: DataFrame, width: float, height: float) -> DataFrame:
     }).drop("cx1", "cy1", "cx2", "cy2")
 
 
-def block_means(pixels: DataFrame, x: Column, y: Column, channels: list[str], block: int = BLOCK) -> DataFrame:
+def block_means(values: DataFrame, x: Column, y: Column, channels: list[str], block: int = BLOCK) -> DataFrame:
     """Mean of each channel over square blocks; those at the edges are smaller."""
-    return pixels.groupBy(F.floor(x / block).alias("bx"), F.floor(y / block).alias("by")).agg(*[F.avg(c).alias(c) for c in channels], F.count("*").alias("n"))
-
-
-def redact_pixels(rgba: np.ndarray, style: str, x: int, y: int, w: int, h: int, block: int = BLOCK) -> np.ndarray:
-    """A frame (height, width, 4) with one rectangle redacted: block means, or black."""
-    out, part = rgba.copy(), rgba[y : y + h, x : x + w]
-    if style != "pixelate":
-        out[y : y + h, x : x + w, :3] = 0
-        return out
-    for top in range(0, part.shape[0], block):
-        for left in range(0, part.shape[1], block):
-            own = part[top : top + block, left : left + block, :3]
-            out[y + top : y + top + own.shape[0], x + left : x + left + own.shape[1], :3] = own.mean(axis=(0, 1)).astype(rgba.dtype)
-    return out
+    return values.groupBy(F.floor(x / block).alias("bx"), F.floor(y / block).alias("by")).agg(*[F.avg(c).alias(c) for c in channels], F.count("*").alias("n"))
+
+
+def redact_frames(frames: DataFrame, targets: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """frames(by, width, height, rgba) with every region of targets(by, ord, style, corners) drawn in turn, by rising ord, over what was drawn before.
+
+    Boxes are cut to their own frame, and go if under two pixels; a frame without targets stays as it is. Frames meet their targets
+    in a join, one list of boxes for each frame; pixels never leave their task.
+    """
+    size = {c: F.col(f"_{c}") for c in ("width", "height")}
+    sized = targets.join(frames.select(*by, *[F.col(c).alias(f"_{c}") for c in size]), by)
+    regions_of = regions(sized, size["width"], size["height"])
+    lists = regions_of.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "style", "rx", "ry", "rw", "rh", "radius"))).alias("_regions"))
+
+    @F.arrow_udf("binary")
+    def draw(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for rgba, width, height, own in batches:
+            out = []
+            for data, w, h, boxes in zip(rgba, width.to_pylist(), height.to_pylist(), own.to_pylist()):
+                if not boxes or not data.is_valid:
+                    out.append(data.as_py())
+                    continue
+                image = pixels.frame(data.as_py(), w, h)
+                for r in boxes:
+                    image = pixels.redacted(image, r["style"], r["rx"], r["ry"], r["rw"], r["rh"], r["radius"], block)
+                out.append(image.tobytes())
+            yield pa.array(out, pa.binary())
+
+    return frames.join(lists, by, "left").withColumn("rgba", draw("rgba", "width", "height", "_regions")).drop("_regions")
 
 
 def styles(targets: DataFrame, overrides: DataFrame, default: str) -> DataFrame:

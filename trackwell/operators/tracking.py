@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +62,12 @@ class Track:
         self.age = 0
 
 
-def overlap(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of each box of a (n, 4) with each of b (m, 4)."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.clip(high - low, 0, None).prod(axis=2)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    return np.divide(both, area(a)[:, None] + area(b)[None, :] - both, out=np.zeros_like(both), where=both > 0)
 
 
 @dataclass
@@ -76,6 +78,10 @@ class Tracker:
     known: dict[int, list[float]] = field(default_factory=dict)
     tracks: dict[int, Track] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self._owners = np.array([i for i, _ in self.scan], dtype=np.int64)
+        self._boxes = np.array([b for _, b in self.scan], dtype=np.float64).reshape(-1, 4)
+
     def step(self, frame: int, boxes: list[tuple], vectors: list | None = None) -> list[tuple[int, tuple]]:
         """Advances by one frame; boxes, in order, count on detection frames only. -> (identity, box) of every track."""
         if frame % EVERY:
@@ -86,22 +92,22 @@ class Tracker:
         for t in self.tracks.values():
             t.predict()
         ids = list(self.tracks)
-        pairs = [(overlap(b, self.tracks[i].box), d, k) for d, b in enumerate(boxes) for k, i in enumerate(ids)]
+        scores = overlaps(np.array(boxes, dtype=np.float64).reshape(-1, 4), np.array([t.box for t in self.tracks.values()]).reshape(-1, 4))
+        close = np.argwhere(scores >= TRACK_IOU)
         taken: set[int] = set()
         matched: set[int] = set()
-        for score, d, k in sorted(((s, d, k) for s, d, k in pairs if s >= TRACK_IOU), key=lambda p: (-p[0], p[1], p[2])):
+        for d, k in sorted(map(tuple, close.tolist()), key=lambda p: (-scores[p], *p)):
             if d not in taken and k not in matched:
                 taken.add(d)
                 matched.add(k)
                 self.tracks[ids[k]].update(boxes[d])
         for d, box in enumerate(boxes):  # by a labelled box of the scan that it overlaps most
             if d not in taken:
-                best, who = SCAN_IOU, None
-                for i, other in self.scan:
-                    if i not in self.tracks and (s := overlap(box, other)) > best:
-                        best, who = s, i
-                if who is not None:
-                    self.tracks[who] = Track.at(box)
+                shared = overlaps(np.array([box], dtype=np.float64), self._boxes)[0]
+                shared[np.isin(self._owners, list(self.tracks))] = 0.0
+                at = int(shared.argmax()) if len(shared) else 0  # the first on ties
+                if len(shared) and shared[at] > SCAN_IOU:
+                    self.tracks[int(self._owners[at])] = Track.at(box)
                     taken.add(d)
         for d, box in enumerate(boxes):  # by the likest identity
             vector = vectors[d] if vectors else None

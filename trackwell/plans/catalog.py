@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackwell.functions import geometry, naming, vectors
 from trackwell.operators import detection, identity, matching, redaction, sampling, selection, tracking
 from trackwell.plans.sql import SQL
-from trackwell.plans.views import table, view
+from trackwell.plans.views import progress, table, view
 
 QUERIES: dict = {}
 
@@ -70,11 +70,8 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of one label whose dot product exceeds 0.2; a label is the join key."""
-    v = table(spark, d, "embeddings")
-    b = v.select("label", F.col("vec_id").alias("vec_b"), F.col("embedding").alias("e_b"))
-    pairs = v.join(b, "label").where("vec_id < vec_b").select(F.col("vec_id").alias("vec_a"), "vec_b", vectors.dot(F.col("embedding"), F.col("e_b")).alias("sim"))
-    return rounded(pairs.where("sim > 0.2"), "sim", digits=5)
+    """All pairs of vectors whose dot product exceeds 0.2."""
+    return rounded(matching.cosine_links(table(spark, d, "embeddings"), 0.2), "sim", digits=5)
 
 
 @query
@@ -134,14 +131,12 @@ def nearest_sample_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sample_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    videos = spark.range(0, 40).select("id", (F.col("id") * 0.75 + 0.05).alias("duration"))
-    return rounded(sampling.sample_times(videos).select("id", "ts"), "ts")
+    return rounded(sampling.sample_times(view(spark, d, "videos")).select("id", "ts"), "ts")
 
 
 @query
 def frame_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    videos = spark.range(1, 6).select("id", F.col("id").cast("double").alias("duration"), F.lit(30.0).alias("fps"))
-    return rounded(sampling.frame_times(videos).select("id", "frame_index", "ts"), "ts")
+    return rounded(sampling.frame_times(view(spark, d, "videos")).select("id", "frame_index", "ts"), "ts")
 
 
 @query
@@ -156,8 +151,11 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kalman_batch(spark: SparkSession, d: str) -> DataFrame:
-    seen = F.when(F.col("observed") & (F.col("frame_index") % 2 == 0), F.col("x1"))
-    return rounded(tracking.smooth(view(spark, d, "obs").select("obj_id", "frame_index", seen.alias("z")), ["obj_id"], "z"), "x", "v", "p", "q", digits=4)
+    """All four coordinates of each object, measured on detection frames."""
+    seen = F.col("observed") & (F.col("frame_index") % 2 == 0)
+    axes = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.when(seen, F.col(c)).alias("z")) for c in CORNERS]))
+    out = tracking.smooth(view(spark, d, "obs").select("obj_id", "frame_index", axes.alias("a")).select("obj_id", "frame_index", "a.*"), ["obj_id", "axis"], "z")
+    return rounded(out, "x", "v", "p", "q", digits=4)
 
 
 @query
@@ -186,12 +184,12 @@ def tracker_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hungarian_match(spark: SparkSession, d: str) -> DataFrame:
-    """Total cost of the best assignment of the first three boxes to the next three, by frame."""
-    boxes = view(spark, d, "boxes").withColumn("k", F.col("det_id") % 8)
-    a = boxes.where("k < 3").select("frame_index", F.col("k").alias("row"), F.struct(*CORNERS).alias("a"))
-    b = boxes.where("k >= 3 and k < 6").select("frame_index", (F.col("k") - 3).alias("col"), F.struct(*CORNERS).alias("b"))
-    cost = a.join(b, "frame_index").withColumn("cost", F.abs(F.col("a.x1") - F.col("b.x1")) + F.abs(F.col("a.y1") - F.col("b.y1"))).drop("a", "b")
-    return matching.optimal(cost, ["frame_index"]).join(cost, ["frame_index", "row", "col"]).groupBy("frame_index").agg(F.sum("cost").alias("total"), F.count("*").alias("pairs"))
+    """The best assignment of the observed boxes of each frame to those two frames later: 1 - IoU in all."""
+    obs = view(spark, d, "obs").where("observed").select("frame_index", "det_id", F.struct(*CORNERS).alias("b"))
+    before = obs.select((F.col("frame_index") + 2).alias("frame_index"), F.col("det_id").alias("row"), F.col("b").alias("a"))
+    cost = before.join(obs.withColumnRenamed("det_id", "col"), "frame_index").withColumn("cost", 1 - geometry.iou(F.col("a"), F.col("b"))).drop("a", "b")
+    total = matching.optimal(cost, ["frame_index"]).join(cost, ["frame_index", "row", "col"]).groupBy("frame_index")
+    return rounded(total.agg(F.sum("cost").alias("total"), F.count("*").alias("pairs")), "total")
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -225,8 +223,10 @@ def redaction_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mosaic_blocks(spark: SparkSession, d: str) -> DataFrame:
-    pixels = spark.range(0, 100 * 70).select((F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"), (F.col("id") * 7 % 256).alias("r"), (F.col("id") * 13 % 256).alias("g"))
-    return rounded(redaction.block_means(pixels, F.col("x"), F.col("y"), ["r", "g"]), "r", "g")
+    """Block means of an image 100 pixels wide, one for each event."""
+    e, at = table(spark, d, "events"), F.col("event_id")
+    image = e.select((at % 100).alias("x"), F.floor(at / 100).alias("y"), (at * 7 % 256).alias("r"), ((at * 13 + F.col("user_id")) % 256).alias("g"))
+    return rounded(redaction.block_means(image, F.col("x"), F.col("y"), ["r", "g"]), "r", "g")
 
 
 @query
@@ -241,9 +241,7 @@ def latest_override(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def progress_percent(spark: SparkSession, d: str) -> DataFrame:
-    phases = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(selection.PHASES)], "ord int, phase string")
-    steps = phases.select("phase", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(5))).alias("phase_percent")).withColumn("phase_percent", F.col("phase_percent").cast("double"))
-    return selection.overall_percent(steps)
+    return selection.overall_percent(progress(spark, d)).select("event_id", "phase", "phase_percent", "overall_percent")
 
 
 @query
@@ -262,3 +260,146 @@ def letterbox_params(spark: SparkSession, d: str) -> DataFrame:
 def actual_fps(spark: SparkSession, d: str) -> DataFrame:
     chunks = view(spark, d, "boxes").select((F.col("frame_index") % 7).alias("video"), (F.col("det_id") % 10 == 0).alias("is_key"), ((F.col("frame_index") % 7) * 3.5).alias("duration"))
     return rounded(sampling.actual_rate(chunks, ["video"], "duration"), "fps")
+
+
+@query
+def detector_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Head rows to detections: decoded, strong, not overlapped, of likely shape, the 20 best of each frame."""
+    rows = view(spark, d, "anchors").withColumnRenamed("anchor_id", "det_id")
+    return detection.detect(rows, ["frame_index"], k=20).select("frame_index", "det_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def head_union(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of three strides as one, ordered by head and cell within each frame."""
+    rows = view(spark, d, "anchors")
+    return detection.heads([rows.where(F.col("stride") == s) for s in (8, 16, 32)]).groupBy("frame_index", F.col("head_ord").cast("long").alias("head_ord")).agg(
+        F.count("*").alias("n"), F.min("cell").cast("long").alias("first_cell")
+    )
+
+
+@query
+def frame_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with time and size of their frame; every seventh frame is missing."""
+    boxes = view(spark, d, "boxes")
+    frames = boxes.select("frame_index").distinct().where("frame_index % 7 <> 3").withColumns({"ts_sec": F.col("frame_index") / 30.0, "width": F.lit(640), "height": F.lit(480)})
+    return rounded(detection.annotated(boxes, frames, ["frame_index"]), "frame_ts").select("det_id", "frame_index", "frame_ts", "frame_width", "frame_height")
+
+
+@query
+def embedding_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with an embedding that are large enough, once grown, to have one: 28 pixels here."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("det_id"), "embedding")
+    boxes = view(spark, d, "boxes").join(v, "det_id", "left")
+    return detection.recognised(detection.with_embedding(boxes, 640.0, 480.0, 28)).select("det_id", "frame_index")
+
+
+@query
+def nearest_identity(spark: SparkSession, d: str) -> DataFrame:
+    """The identity of each observed box by the labelled boxes of the nearest sample time; object 5 has no label."""
+    obs = view(spark, d, "obs").withColumn("ts", F.col("frame_index") / 30.0).withColumn("video", F.floor(F.col("frame_index") / 250))
+    samples = obs.where("frame_index % 30 = 0").withColumn("cluster_id", F.when(F.col("obj_id") != 5, F.col("obj_id").cast("long")))
+    return rounded(matching.nearest_labelled(obs.where("observed"), samples, ["video"]), "iou")
+
+
+@query
+def bracketing_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Of the frames that hold object 1 observed, the detection frames around each, among them."""
+    frames = view(spark, d, "obs").where("observed and obj_id = 1").select("frame_index", F.floor(F.col("frame_index") / 250).alias("video"))
+    return rounded(sampling.bracketed(frames, ["video"], 4), "t")
+
+
+@query
+def interpolate_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes at a quarter, half or three quarters of the way, with frame and object of the nearer side."""
+    obs = view(spark, d, "obs")
+    matches = matching.in_turn(_steps(spark, d, 0.3), ["frame_index"], "det_a", "det_b", "iou").drop("frame_index")
+    share = (F.col("det_a") % 3 + 1) / 4
+    return rounded(matching.interpolate(matches, obs, obs, share, ("frame_index", "obj_id")), *CORNERS, "confidence")
+
+
+@query
+def largest_frame_faces(spark: SparkSession, d: str) -> DataFrame:
+    strong = view(spark, d, "boxes").where("confidence > 0.6").withColumn("video", F.floor(F.col("frame_index") / 25))
+    return identity.largest_frame(strong, ["video"], "frame_index")
+
+
+@query
+def identity_previews(spark: SparkSession, d: str) -> DataFrame:
+    """Each identity with the rectangle of its preview; one whose representative is unknown has none."""
+    boxes = view(spark, d, "boxes")
+    people = identity.summary(identity.by_position(boxes, [], "frame_index"), ["cluster_id"]).select(F.col("cluster_id").cast("long").alias("cluster_id"), "representative_det_id")
+    out = identity.previews(people, boxes.where("det_id % 3 <> 0"), 640, 480)
+    return out.select("cluster_id", "representative_det_id", *[F.col(f"preview.{c}").alias(c) for c in "xywh"])
+
+
+@query
+def expected_frames(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.expected_frames(view(spark, d, "videos")).select("id", "expected_frames")
+
+
+@query
+def frame_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    out = sampling.ordinals(table(spark, d, "events"), ["user_id"], "event_id")
+    return out.select("user_id", "event_id", F.col("frame_index").cast("long").alias("frame_index"))
+
+
+@query
+def sampled_progress(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.every_nth(progress(spark, d), "event_id", 5).select("event_id", "phase")
+
+
+@query
+def running_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes found up to each frame of a video."""
+    boxes = view(spark, d, "boxes").where("confidence > 0.6").groupBy("frame_index").agg(F.count("*").alias("n"))
+    return selection.running_totals(boxes.withColumn("video", F.floor(F.col("frame_index") / 250)), ["video"], "frame_index", F.col("n"))
+
+
+@query
+def loading_percent(spark: SparkSession, d: str) -> DataFrame:
+    """Progress before each of a user's loads, in their order."""
+    loads = table(spark, d, "events").where("event_type = 'signup'").select("user_id", "event_id")
+    return rounded(selection.loading_percent(loads, ["user_id"], "event_id"), "loading_percent")
+
+
+@query
+def frame_percent(spark: SparkSession, d: str) -> DataFrame:
+    rows = progress(spark, d).select("event_id", "done", F.lit(900).alias("total"))
+    return selection.frame_percent(rows).select("event_id", "percent")
+
+
+@query
+def phase_steps(spark: SparkSession, d: str) -> DataFrame:
+    return progress(spark, d).select("event_id", selection.step_index(F.col("phase")).cast("long").alias("step"), naming.mebibytes(F.col("event_id") * 7919).alias("size"))
+
+
+@query
+def merged_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's partial records folded into one."""
+    return selection.merged(progress(spark, d), ["user_id"], "event_id", ["phase", "description", "done"])
+
+
+def _chosen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events").select("user_id", "event_type")
+    return e, selection.toggled(e, ["user_id"], "event_type").where("user_id % 2 = 0")
+
+
+@query
+def select_all(spark: SparkSession, d: str) -> DataFrame:
+    """Everything chosen for even users, nothing for the others."""
+    e, _ = _chosen(spark, d)
+    return selection.everything(e.where("user_id % 2 = 0"), ["user_id"], "event_type").unionByName(selection.nothing(e.where("user_id % 2 = 1"), ["user_id"], "event_type"))
+
+
+@query
+def all_selected(spark: SparkSession, d: str) -> DataFrame:
+    return selection.all_chosen(*_chosen(spark, d), ["user_id"], "event_type")
+
+
+@query
+def override_clear(spark: SparkSession, d: str) -> DataFrame:
+    """Styles set since a user's last change of the global one, which is every 17th event."""
+    e = table(spark, d, "events").withColumn("item", F.col("event_id") % 5)
+    out = selection.overrides(e, ["user_id"], "item", "event_id", F.col("event_id") % 17 == 0)
+    return out.select("user_id", "item", "event_id", F.col("event_type").alias("style"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trackwell.operators.selection import PHASES
-from trackwell.plans.views import ANCHORS, BOXES, OBS
+from trackwell.operators.selection import PHASES, STEPS
+from trackwell.plans.views import ANCHORS, BOXES, OBS, PROGRESS, VIDEOS
 
 _B, _O = f"WITH boxes AS ({BOXES})", f"WITH obs AS ({OBS})"
 
@@ -15,6 +15,8 @@ def _iou(a: str, b: str, plus: str = "") -> str:
     return f"(CASE WHEN {w} <= 0 OR {h} <= 0 THEN 0 ELSE {w} * {h} / ({area(a)} + {area(b)} - {w} * {h}) END)"
 
 
+_V = f"WITH videos AS ({VIDEOS})"
+_P = "WITH progress AS (" + PROGRESS.replace("element_at(PHASES, CAST(event_id % 10 + 1 AS INT))", "[" + ", ".join(f"'{p}'" for p in (*(p for p, _ in PHASES), "done", "idle")) + "][event_id % 10 + 1]") + ")"
 _PAIRS = f"{_B} SELECT a.frame_index, a.det_id AS det_a, b.det_id AS det_b, round({_iou('a', 'b')}, 6) AS iou FROM boxes a JOIN boxes b ON a.frame_index = b.frame_index AND a.det_id < b.det_id WHERE {_iou('a', 'b')} > 0"
 _STEPS = f"""{_O}, p AS (SELECT b.frame_index, a.det_id AS det_a, b.det_id AS det_b, {_iou('a', 'b')} AS iou
   FROM obs a JOIN obs b ON b.frame_index = a.frame_index + 2 WHERE a.observed AND b.observed)"""
@@ -34,7 +36,7 @@ _CENTROIDS = """e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unne
 m AS (SELECT label, i, avg(v) AS m FROM e GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label)"""
 _LABELLED = f"{_B}, l AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY x1, det_id) - 1 AS cluster_id FROM boxes)"
 _COLS = "CAST(floor(640 / stride) AS BIGINT)"
-_PERCENT = "".join(f" WHEN '{p}' THEN {sum(w for _, w in PHASES[:i])} + p * {w} / 100" for i, (p, w) in enumerate(PHASES[:5]))
+_PERCENT = "".join(f" WHEN '{p}' THEN {sum(w for _, w in PHASES[:i])} + phase_percent * {w} / 100" for i, (p, w) in enumerate(PHASES[:5]))
 
 SQL: dict[str, str] = {
     "nms_per_frame": f"""{_B}, l AS (SELECT frame_index, list([{{d: det_id, c: confidence, x1: x1, y1: y1, x2: x2, y2: y2}}] ORDER BY confidence DESC, det_id) AS bs FROM boxes GROUP BY frame_index),
@@ -54,7 +56,7 @@ SELECT anchor_id, frame_index, round(confidence, 4) AS confidence, round(greates
     "l2_normalize": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e)
 SELECT vec_id, round(n, 6) AS norm, round(v[1] / n, 6) AS first, round(1.0::DOUBLE, 6) AS unit FROM n""",
     "cosine_pairs": """SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.2""",
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.2""",
     "centroids": f"WITH {_CENTROIDS} SELECT label, CAST(i - 1 AS BIGINT) AS i, round(m / n, 6) AS v FROM m JOIN n USING (label)",
     "identity_match_top1": f"""WITH {_CENTROIDS}, k AS (SELECT label AS id, list(m / n ORDER BY i) AS c FROM m JOIN n USING (label) GROUP BY label),
 s AS (SELECT vec_id, id, list_dot_product(CAST(embedding AS DOUBLE[]), c) AS sim FROM embeddings, k),
@@ -68,24 +70,22 @@ SELECT cluster_id, c AS face_count, det_id AS representative_det_id, confidence
     "nearest_sample_match": f"""{_O}, t AS (SELECT DISTINCT CAST(floor(frame_index / 250) AS BIGINT) AS video, frame_index, frame_index / 30.0::DOUBLE AS ts FROM obs),
 r AS (SELECT t.video, t.ts, s.ts AS sample_ts, row_number() OVER (PARTITION BY t.video, t.frame_index ORDER BY abs(t.frame_index - s.frame_index), s.frame_index) AS n
       FROM t JOIN t s ON s.video = t.video AND s.frame_index % 30 = 0) SELECT video, ts, sample_ts FROM r WHERE n = 1""",
-    "sample_timestamps": """WITH v AS (SELECT i AS id, i * 0.75::DOUBLE + 0.05::DOUBLE AS d FROM range(40) t(i))
-SELECT id, round(k + 0.1::DOUBLE, 6) AS ts FROM v, range(60) r(k) WHERE k + 0.1::DOUBLE < d - 0.1::DOUBLE AND k < ceil(d - 0.2::DOUBLE - 1e-9)""",
-    "frame_timestamps": "SELECT i AS id, k AS frame_index, round(least(k / 30.0::DOUBLE, i - 0.001::DOUBLE), 6) AS ts FROM range(1, 6) t(i), range(150) r(k) WHERE k < i * 30",
+    "sample_timestamps": f"""{_V}, k AS (SELECT id, duration AS d, unnest(range(CAST(ceil(duration) AS BIGINT))) AS k FROM videos)
+SELECT id, round(k + 0.1::DOUBLE, 6) AS ts FROM k WHERE k + 0.1::DOUBLE < d - 0.1::DOUBLE AND k < ceil(d - 0.2::DOUBLE - 1e-9)""",
+    "frame_timestamps": f"""{_V}, k AS (SELECT id, duration, unnest(range(CAST(ceil(duration * fps) AS BIGINT))) AS frame_index FROM videos)
+SELECT id, frame_index, round(least(frame_index / 30.0::DOUBLE, duration - 0.001::DOUBLE), 6) AS ts FROM k""",
     "frame_stride": f"{_B} SELECT frame_index, count(*) AS n FROM boxes WHERE frame_index % 2 = 0 GROUP BY frame_index",
     "segments": f"{_B} SELECT CAST(floor(frame_index / 300) AS BIGINT) AS segment, min(frame_index + 1) AS first, max(frame_index + 1) AS last FROM boxes GROUP BY 1",
-    "kalman_batch": f"""WITH RECURSIVE obs AS ({OBS}), z AS (SELECT obj_id, frame_index, CASE WHEN observed AND frame_index % 2 = 0 THEN x1 END AS z FROM obs),
-k AS (SELECT obj_id, frame_index, z AS x, 0.0::DOUBLE AS v, 10.0::DOUBLE AS p, 100.0::DOUBLE AS q FROM z WHERE (obj_id, frame_index) IN (SELECT (obj_id, min(frame_index)) FROM z WHERE z IS NOT NULL GROUP BY obj_id)
+    "kalman_batch": f"""WITH RECURSIVE obs AS ({OBS}), z AS (SELECT obj_id, a.axis, frame_index, CASE WHEN observed AND frame_index % 2 = 0 THEN a.z END AS z
+  FROM (SELECT *, unnest([{', '.join(f"{{axis: '{c}', z: {c}}}" for c in ("x1", "y1", "x2", "y2"))}]) AS a FROM obs)),
+k AS (SELECT obj_id, axis, frame_index, z AS x, 0.0::DOUBLE AS v, 10.0::DOUBLE AS p, 100.0::DOUBLE AS q FROM z WHERE (obj_id, frame_index) IN (SELECT (obj_id, min(frame_index)) FROM z WHERE z IS NOT NULL GROUP BY obj_id)
   UNION ALL
-  SELECT obj_id, f, CASE WHEN z IS NULL THEN xp ELSE xp + pp / (pp + 2) * (z - xp) END, CASE WHEN z IS NULL THEN v ELSE v + qp / (pp + 2) * (z - xp) END,
+  SELECT obj_id, axis, f, CASE WHEN z IS NULL THEN xp ELSE xp + pp / (pp + 2) * (z - xp) END, CASE WHEN z IS NULL THEN v ELSE v + qp / (pp + 2) * (z - xp) END,
          CASE WHEN z IS NULL THEN pp ELSE pp * (1 - pp / (pp + 2)) END, CASE WHEN z IS NULL THEN qp ELSE qp * (1 - qp / (pp + 2)) END
-  FROM (SELECT k.obj_id, z.frame_index AS f, z.z, k.x + k.v AS xp, k.v, k.p + 2 * k.q + 4 AS pp, k.q + 2 AS qp FROM k JOIN z ON z.obj_id = k.obj_id AND z.frame_index = k.frame_index + 1))
-SELECT obj_id, frame_index, round(x, 4) AS x, round(v, 4) AS v, round(p, 4) AS p, round(q, 4) AS q FROM k""",
+  FROM (SELECT k.obj_id, k.axis, z.frame_index AS f, z.z, k.x + k.v AS xp, k.v, k.p + 2 * k.q + 4 AS pp, k.q + 2 AS qp FROM k JOIN z ON z.obj_id = k.obj_id AND z.axis = k.axis AND z.frame_index = k.frame_index + 1))
+SELECT obj_id, axis, frame_index, round(x, 4) AS x, round(v, 4) AS v, round(p, 4) AS p, round(q, 4) AS q FROM k""",
     "track_expiry": f"""{_O}, s AS (SELECT obj_id, frame_index, frame_index - max(CASE WHEN observed AND frame_index % 2 = 0 THEN frame_index END) OVER (PARTITION BY obj_id ORDER BY frame_index) AS since FROM obs)
 SELECT obj_id, frame_index, since, since <= 17 AS alive FROM s WHERE since IS NOT NULL""",
-    "hungarian_match": f"""{_B}, k AS (SELECT *, det_id % 8 AS k FROM boxes), c AS (SELECT a.frame_index, a.k AS r, b.k - 3 AS c, abs(a.x1 - b.x1) + abs(a.y1 - b.y1) AS cost
-  FROM k a JOIN k b ON a.frame_index = b.frame_index AND a.k < 3 AND b.k BETWEEN 3 AND 5)
-SELECT x.frame_index, min(x.cost + y.cost + z.cost) AS total, CAST(3 AS BIGINT) AS pairs FROM c x JOIN c y ON y.frame_index = x.frame_index AND y.r = 1 AND y.c <> x.c
-JOIN c z ON z.frame_index = x.frame_index AND z.r = 2 AND z.c <> x.c AND z.c <> y.c WHERE x.r = 0 GROUP BY x.frame_index""",
     "selection_semi": f"{_LABELLED} SELECT det_id, cluster_id FROM l WHERE cluster_id IN (0, 2, 4, 6)",
     "unmatched_anti": f"{_GREEDY} SELECT det_id, frame_index FROM obs WHERE observed AND det_id NOT IN (SELECT m.r FROM g)",
     "style_coalesce": f"{_LABELLED} SELECT det_id, cluster_id, CASE cluster_id WHEN 1 THEN 'eye-bar' WHEN 3 THEN 'black-box' ELSE 'pixelate' END AS style FROM l",
@@ -96,15 +96,61 @@ SELECT det_id, style, round(CASE style WHEN 'eye-bar' THEN x + w * 0.05::DOUBLE
        round(CASE style WHEN 'eye-bar' THEN y + h * 0.22::DOUBLE WHEN 'eye-bar-fine' THEN y + h * 0.28::DOUBLE ELSE floor(y + 0.5) END, 6) AS ry,
        round(CASE style WHEN 'eye-bar' THEN w * 0.9::DOUBLE WHEN 'eye-bar-fine' THEN w * 0.85::DOUBLE ELSE floor(w + 0.5) END, 6) AS rw, round(rh, 6) AS rh,
        round(CASE style WHEN 'eye-bar' THEN least(4, rh / 2) WHEN 'eye-bar-fine' THEN least(3, rh / 2) ELSE 0 END, 6)::DOUBLE AS radius FROM r""",
-    "mosaic_blocks": """SELECT (i % 100) // 15 AS bx, (i // 100) // 15 AS "by", round(avg(i * 7 % 256), 6) AS r, round(avg(i * 13 % 256), 6) AS g, count(*) AS n FROM range(7000) t(i) GROUP BY 1, 2""",
+    "mosaic_blocks": """SELECT event_id % 100 // 15 AS bx, event_id // 100 // 15 AS "by", round(avg(event_id * 7 % 256), 6) AS r, round(avg((event_id * 13 + user_id) % 256), 6) AS g, count(*) AS n FROM events GROUP BY 1, 2""",
     "toggle_selection": "SELECT user_id, event_type FROM events GROUP BY user_id, event_type HAVING count(*) % 2 = 1",
     "latest_override": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
-    "progress_percent": f"""WITH s AS (SELECT unnest([{', '.join(f"'{p}'" for p, _ in PHASES)}]) AS phase), p AS (SELECT phase, CAST(k * 5 AS DOUBLE) AS p FROM s, range(21) t(k))
-SELECT phase, p AS phase_percent, least(100, floor(CASE phase{_PERCENT} ELSE 80 END + 0.5))::DOUBLE AS overall_percent FROM p""",
+    "progress_percent": f"""{_P} SELECT event_id, phase, phase_percent, least(100, floor(CASE phase{_PERCENT} ELSE 80 END + 0.5))::DOUBLE AS overall_percent FROM progress""",
     "names": r"""SELECT page_id, 'frame_' || printf('%04d', page_id + 1) || '.jpg' AS frame, regexp_replace(coalesce(url, 'video.mp4'), '\.[A-Za-z0-9_]+$', '_blurred.mp4') AS output, replace(url, '-', ' ') AS label FROM pages""",
     "letterbox_params": f"""{_B}, s AS (SELECT det_id, x2 - x1 AS w, y2 - y1 AS h, least(640 / (x2 - x1), 640 / (y2 - y1)) AS scale FROM boxes),
 n AS (SELECT det_id, scale, floor(w * scale + 0.5) AS nw, floor(h * scale + 0.5) AS nh FROM s)
 SELECT det_id, round(scale, 6) AS scale, nw AS new_width, nh AS new_height, CAST(floor((640 - nw) / 2) AS BIGINT) AS pad_x, CAST(floor((640 - nh) / 2) AS BIGINT) AS pad_y FROM n""",
     "actual_fps": f"""{_B} SELECT frame_index % 7 AS video, count(*) AS frames, count(*) FILTER (det_id % 10 = 0) AS keyframes,
   round(CASE WHEN max(frame_index % 7) > 0 THEN count(*) / (max(frame_index % 7) * 3.5::DOUBLE) END, 6) AS fps FROM boxes GROUP BY 1""",
+    "detector_tail": f"""WITH anchors AS ({ANCHORS}), s AS (SELECT *, sqrt(greatest(0, least(1, cls)) * greatest(0, least(1, obj))) AS confidence,
+  (cell % {_COLS} + dx) * stride AS cx, (cell // {_COLS} + dy) * stride AS cy, exp(dw) * stride AS w, exp(dh) * stride AS h FROM anchors),
+boxes AS (SELECT anchor_id AS det_id, frame_index, confidence, greatest(0, least(640, cx - w / 2)) AS x1, greatest(0, least(640, cy - h / 2)) AS y1,
+  greatest(0, least(640, cx + w / 2)) AS x2, greatest(0, least(640, cy + h / 2)) AS y2 FROM s WHERE confidence >= 0.3),
+l AS (SELECT frame_index, list([{{d: det_id, c: confidence, x1: x1, y1: y1, x2: x2, y2: y2}}] ORDER BY confidence DESC, det_id) AS bs FROM boxes GROUP BY frame_index),
+k AS (SELECT frame_index, unnest(list_reduce(bs, lambda kept, n: CASE WHEN len(list_filter(kept, lambda k: {_iou('k', 'n[1]', ' + 1')} > 0.35)) > 0 THEN kept ELSE list_concat(kept, n) END)) AS b FROM l),
+o AS (SELECT frame_index, b.d AS det_id, row_number() OVER (PARTITION BY frame_index ORDER BY b.c DESC, b.d) AS rank FROM k
+  WHERE b.x2 - b.x1 >= 10 AND b.y2 - b.y1 >= 10 AND b.x2 - b.x1 > (b.y2 - b.y1) * CAST(0.4 AS DOUBLE) AND b.x2 - b.x1 < (b.y2 - b.y1) * CAST(2.5 AS DOUBLE))
+SELECT * FROM o WHERE rank <= 20""",
+    "head_union": f"""WITH anchors AS ({ANCHORS}) SELECT frame_index, CAST(CASE stride WHEN 8 THEN 0 WHEN 16 THEN 1 ELSE 2 END AS BIGINT) AS head_ord, count(*) AS n, CAST(min(cell) AS BIGINT) AS first_cell FROM anchors GROUP BY 1, 2""",
+    "frame_lookup": f"{_B} SELECT det_id, frame_index, round(frame_index / 30.0::DOUBLE, 6) AS frame_ts, 640 AS frame_width, 480 AS frame_height FROM boxes WHERE frame_index % 7 <> 3",
+    "embedding_filter": f"""{_B}, e AS (SELECT *, (x2 - x1) * CAST(0.2 AS DOUBLE) AS dx, (y2 - y1) * CAST(0.2 AS DOUBLE) AS dy FROM boxes JOIN embeddings ON vec_id = det_id)
+SELECT det_id, frame_index FROM e WHERE least(640, floor(x2 + dx + 0.5)) - greatest(0, floor(x1 - dx + 0.5)) >= 28 AND least(480, floor(y2 + dy + 0.5)) - greatest(0, floor(y1 - dy + 0.5)) >= 28""",
+    "nearest_identity": f"""{_O}, t AS (SELECT *, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM obs),
+f AS (SELECT DISTINCT video, frame_index FROM t),
+r AS (SELECT f.video, f.frame_index, s.frame_index AS sample, row_number() OVER (PARTITION BY f.video, f.frame_index ORDER BY abs(f.frame_index - s.frame_index), s.frame_index) AS n
+      FROM f JOIN f s ON s.video = f.video AND s.frame_index % 30 = 0),
+p AS (SELECT a.video, a.det_id, CAST(b.obj_id AS BIGINT) AS cluster_id, {_iou('a', 'b')} AS iou, b.det_id AS d FROM t a JOIN r ON r.video = a.video AND r.frame_index = a.frame_index AND r.n = 1
+      JOIN t b ON b.video = a.video AND b.frame_index = r.sample WHERE a.observed AND b.obj_id <> 5),
+o AS (SELECT *, row_number() OVER (PARTITION BY video, det_id ORDER BY iou DESC, d) AS n FROM p WHERE iou > 0.3)
+SELECT video, det_id, cluster_id, round(iou, 6) AS iou FROM o WHERE n = 1""",
+    "bracketing_frames": f"""{_O}, f AS (SELECT frame_index, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM obs WHERE observed AND obj_id = 1),
+b AS (SELECT *, max(CASE WHEN frame_index % 4 = 0 THEN frame_index END) OVER (PARTITION BY video ORDER BY frame_index) AS prev_index,
+  min(CASE WHEN frame_index % 4 = 0 THEN frame_index END) OVER (PARTITION BY video ORDER BY frame_index DESC) AS next_index FROM f)
+SELECT *, round(CASE WHEN next_index > prev_index THEN (frame_index - prev_index) / (next_index - prev_index)::DOUBLE WHEN next_index = prev_index THEN 0 END, 6) AS t FROM b""",
+    "interpolate_detections": f"""{_TURNS}, q AS (SELECT *, (det_a % 3 + 1) / 4.0::DOUBLE AS t FROM m) SELECT det_a, det_b, """
+    + ", ".join(f"round(a.{c} + (b.{c} - a.{c}) * t, 6) AS {c}" for c in ("x1", "y1", "x2", "y2", "confidence"))
+    + ", " + ", ".join(f"CASE WHEN t < 0.5 THEN a.{c} ELSE b.{c} END AS {c}" for c in ("frame_index", "obj_id")) + " FROM q JOIN obs a ON a.det_id = det_a JOIN obs b ON b.det_id = det_b",
+    "largest_frame_faces": f"""{_B}, n AS (SELECT frame_index, count(*) AS n FROM boxes WHERE confidence > 0.6 GROUP BY 1) SELECT CAST(floor(frame_index / 25) AS BIGINT) AS video, max(n) AS most FROM n GROUP BY 1""",
+    "identity_previews": f"""{_LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, det_id) AS n FROM l),
+p AS (SELECT cluster_id, det_id, floor(greatest(0, x1)) AS x, floor(greatest(0, y1)) AS y, least(640, ceil(x2)) AS x9, least(480, ceil(y2)) AS y9, det_id % 3 <> 0 AS known FROM r WHERE n = 1)
+SELECT cluster_id, det_id AS representative_det_id, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN x9 - x END AS w, CASE WHEN ok THEN y9 - y END AS h
+FROM (SELECT *, known AND x9 > x AND y9 > y AS ok FROM p)""",
+    "expected_frames": f"{_V} SELECT id, CAST(ceil(duration * fps) AS BIGINT) AS expected_frames FROM videos",
+    "frame_ordinals": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index FROM events",
+    "sampled_progress": f"{_P} SELECT event_id, phase FROM progress WHERE event_id % 5 = 0",
+    "running_faces": f"""{_B}, n AS (SELECT frame_index, count(*) AS n, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM boxes WHERE confidence > 0.6 GROUP BY 1)
+SELECT *, CAST(sum(n) OVER (PARTITION BY video ORDER BY frame_index) AS BIGINT) AS total FROM n""",
+    "loading_percent": """SELECT user_id, event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / (count(*) OVER (PARTITION BY user_id))::DOUBLE * 60, 6) AS loading_percent FROM events WHERE event_type = 'signup'""",
+    "frame_percent": f"{_P} SELECT event_id, least(99, floor(done * 100.0::DOUBLE / 900 + 0.5))::DOUBLE AS percent FROM (SELECT * FROM progress WHERE done IS NOT NULL) UNION ALL SELECT event_id, 99.0::DOUBLE * NULL FROM progress WHERE done IS NULL",
+    "phase_steps": f"""{_P} SELECT event_id, CAST(CASE phase {' '.join(f"WHEN '{s}' THEN {n}" for n, s in enumerate(STEPS))} WHEN 'waiting-selection' THEN {len(STEPS)} WHEN 'done' THEN {len(STEPS)} ELSE 0 END AS BIGINT) AS step,
+  printf('%.1f', event_id * 7919 / 1048576.0::DOUBLE) AS size FROM progress""",
+    "merged_progress": f"""{_P} SELECT user_id, {', '.join(f"arg_max({c}, event_id) FILTER ({c} IS NOT NULL) AS {c}" for c in ("phase", "description", "done"))} FROM progress GROUP BY user_id""",
+    "select_all": "SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 2 = 0",
+    "all_selected": """WITH c AS (SELECT user_id, event_type, user_id % 2 = 0 AND count(*) % 2 = 1 AS chosen FROM events GROUP BY 1, 2) SELECT user_id, bool_and(chosen) AS all_selected FROM c GROUP BY 1""",
+    "override_clear": """WITH e AS (SELECT *, event_id % 5 AS item, max(CASE WHEN event_id % 17 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS cleared FROM events)
+SELECT user_id, item, max(event_id) AS event_id, arg_max(event_type, event_id) AS style FROM e WHERE event_id % 17 <> 0 AND (cleared IS NULL OR event_id > cleared) GROUP BY 1, 2""",
 }

@@ -26,12 +26,27 @@ SELECT event_id AS anchor_id, CAST(floor(event_id / 50) AS BIGINT) AS frame_inde
        CAST((event_id * 11) % 20 AS DOUBLE) / 10 AS dw, CAST((event_id * 13) % 20 AS DOUBLE) / 10 AS dh
 FROM events"""
 
-VIEWS = {"boxes": BOXES, "obs": OBS, "anchors": ANCHORS}
+VIDEOS = "SELECT user_id AS id, CAST(count(*) AS DOUBLE) * 0.75 + 0.05 AS duration, CAST(30 AS DOUBLE) AS fps FROM events GROUP BY user_id"
+
+PROGRESS = """
+SELECT event_id, user_id, CAST(event_id * 3 % 101 AS DOUBLE) AS phase_percent, element_at(PHASES, CAST(event_id % 10 + 1 AS INT)) AS phase,
+       CASE WHEN event_id % 3 = 0 THEN event_type END AS description, CASE WHEN event_id % 5 < 2 THEN event_id % 1000 END AS done FROM events"""
+
+VIEWS = {"boxes": BOXES, "obs": OBS, "anchors": ANCHORS, "videos": VIDEOS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress records made from events, see PROGRESS."""
+    from trackwell.operators.selection import PHASES
+
+    names = ", ".join(f"'{p}'" for p in (*(p for p, _ in PHASES), "done", "idle"))
+    text = PROGRESS.replace("PHASES", f"array({names})").replace("FROM events", "FROM {events}")
+    return spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]]
 
     scan: the labelled boxes of each video, and known: the unit vectors of its identities, short reference lists. The last frame of a
     batch waits for the next one, as more of its rows may come; a marker row with det_id -1
-    ends a video.
+    ends a video, whose state then goes.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,6 +34,9 @@ def track_stream(detections: DataFrame, scan: dict[int, list[tuple[int, tuple]]]
             out = track_group(rows[rows["frame_index"] < stop], tracker, range(first, stop))
             out.insert(0, "video_id", key[0])
             yield out
+        if ended:
+            state.remove()
+            return
         plain = {i: ([(a.x, a.v, a.p, a.q) for a in t.axes], t.age) for i, t in tracker.tracks.items()}
         then = None if first is None else max(first, stop)
         state.update((pickle.dumps((plain, then, rows[rows["frame_index"] >= stop])),))
