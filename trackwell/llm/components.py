@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwell.llm.common import Scratch
+from trackwell.llm.common import Scratch, free_name
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -55,3 +55,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return row[0], row[1]
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """docs with one row of each component; grouped: doc_id, th (xxhash64 of the text) and root of every row.
+
+    That with the smallest doc_id stays, null ids last, and of rows with one id that with the
+    smallest hash of its text; of rows alike in both, any one. An id that stands for unlike texts
+    keeps a row in each of their components.
+    """
+    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("x"))
+    kept, own, text = (free_name(docs, n) for n in ("_kept_id", "_kept_text", "_text_hash"))
+    first = least.select(F.col("x.doc_id").alias(kept), F.col("x.th").alias(own))
+    hashed = docs.withColumn(text, F.xxhash64("text"))
+    stay = hashed.join(first, F.col("doc_id").eqNullSafe(F.col(kept)) & (F.col(text) == F.col(own)), "left_semi")
+    return stay.dropDuplicates(["doc_id", text]).drop(text)

@@ -10,6 +10,8 @@ from trackwell.llm.common import Scratch, free_name, settled
 #: Weights of the newest and the two lines before it in the rolling hash, and the mean lines of a chunk.
 WEIGHTS = (1, 257, 66049)
 MEAN_LINES = 3
+#: Tasks over which a hash that many rows share is dealt in joins.
+SALT = 8
 
 
 def line_hash(line: Column) -> Column:
@@ -17,6 +19,11 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """The first 60 bits of a text's MD5, as a long; it orders rows of one id. Null: -1."""
+    return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(-1))
+
+
 def with_chunks(docs: DataFrame, name: str, mean_lines: int = MEAN_LINES) -> DataFrame:
     """docs with an array column of chunks: struct(k, n_lines, n_solid, body), whose bodies joined by line feeds are the text.
 
@@ -65,7 +72,7 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, scratch: Scrat
     name, cs = free_name(docs, "dedup"), free_name(docs, "_chunks")
     row_id, row_hash, gone = (free_name(docs, f"_{x}") for x in ("row_id", "row_hash", "gone"))
     keyed = docs.withColumns({
-        row_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), row_hash: F.xxhash64("text"),
+        row_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), row_hash: text_hash(F.col("text")),
     })
     chunked = with_chunks(keyed.select(row_id, row_hash, "text"), cs, mean_lines)
     found = (
@@ -94,9 +101,9 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, scratch: Scrat
 
 
 def with_windows(docs: DataFrame, name: str) -> DataFrame:
-    """docs with an array column of windows: struct(k, e, h) for each two solid lines that follow each other.
+    """docs with an array column of windows: struct(k, e, body) for each two solid lines that follow each other.
 
-    k and e are the places of the two lines, between which only blank ones stand, and h is the MD5 of both.
+    k and e are the places of the two lines, between which only blank ones stand; body is both, joined by a line feed.
     """
     lines, solid = free_name(docs, "_lines"), free_name(docs, "_solid")
     out = settled(docs, {lines: F.split(F.coalesce("text", F.lit("")), "\n")})
@@ -106,8 +113,7 @@ def with_windows(docs: DataFrame, name: str) -> DataFrame:
 
     def window(k: Column, n: Column) -> Column:
         e = F.get(F.col(solid), n + 1)
-        both = F.concat(F.get(F.col(lines), k), F.lit("\n"), F.get(F.col(lines), e))
-        return F.struct(k.alias("k"), e.alias("e"), F.unhex(F.md5(both.cast("binary"))).alias("h"))
+        return F.struct(k.alias("k"), e.alias("e"), F.concat(F.get(F.col(lines), k), F.lit("\n"), F.get(F.col(lines), e)).alias("body"))
 
     out = settled(out, {name: F.filter(F.transform(solid, window), lambda w: w["e"].isNotNull())})
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], name)
@@ -118,26 +124,29 @@ def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
     Every run of two or more whole solid lines that came before, by (doc_id, hash of the text,
     place in the text), null ids first, goes, wherever it stands in its text; blank lines within
-    it don't count and go with it. All windows of two lines are compared, by 128-bit hashes that are
-    counted before the shuffle; a window that overlaps its own first occurrence isn't a repeat, so
-    the first occurrence of every line stays. Rows that agree in doc_id and text are treated
+    it don't count and go with it. Its boundaries are where the windows of two lines, all of which
+    are hashed, begin and end to repeat, so they move with inserted text. Windows are counted by a 64-bit
+    hash, combined before the shuffle; those whose hash comes up again travel with their bytes,
+    which grouping then compares. Joins on a hash are dealt over SALT tasks, so that one very
+    common window is shared. A window that overlaps its own first occurrence isn't a repeat, so the
+    first occurrence of every line stays. Rows that agree in doc_id and text are treated
     alike. Null text has one blank line and stays null. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "passage-dedup")
     name, ws = free_name(docs, "dedup"), free_name(docs, "_windows")
     row_id, row_hash, gone, lines, stays = (free_name(docs, f"_{x}") for x in ("row_id", "row_hash", "gone", "lines", "stays"))
-    keyed = docs.withColumns({
-        row_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), row_hash: F.xxhash64("text"),
-    })
+    keyed = docs.withColumns({row_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), row_hash: text_hash(F.col("text"))})
     found = (
         with_windows(keyed.select(row_id, row_hash, "text"), ws)
-        .select(F.col(row_id).alias("d"), F.col(row_hash).alias("t"), F.explode(ws).alias("w")).select("d", "t", "w.*")
+        .select(F.col(row_id).alias("d"), F.col(row_hash).alias("t"), F.explode(ws).alias("w"))
+        .select("d", "t", "w.*", F.xxhash64("w.body").alias("h"), F.pmod(F.xxhash64("d", "w.k"), F.lit(SALT)).cast("int").alias("salt"))
     )
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    repeated = scratch.save(found.join(again, "h", "left_semi"))
-    first = repeated.groupBy("h").agg(F.min(F.struct("d", "t", "k", "e")).alias("first"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", salts)
+    repeated = scratch.save(found.join(again, ["h", "salt"], "left_semi"))
+    first = repeated.groupBy("h", "body").agg(F.min(F.struct("d", "t", "k", "e")).alias("first")).select("h", "body", "first", salts)
     drop = (
-        repeated.join(first, "h").where("not (d = first.d and t = first.t and k <= first.e)")
+        repeated.join(first, ["h", "body", "salt"]).where("not (d = first.d and t = first.t and k <= first.e)")
         .groupBy(F.col("d").alias(row_id), F.col("t").alias(row_hash))
         .agg(F.flatten(F.collect_set(F.sequence("k", "e"))).alias(gone))
     )
@@ -152,7 +161,11 @@ def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages gone; documents of which nothing but blank lines remains, though there was more, go too."""
+    """docs with repeated passages gone; documents of which nothing but blank lines remains, though there was more, go too.
+
+    Null and blank texts stay as they are. Repeated rows are treated alike: all lose what a smaller
+    id has before. n_chars follows the text where docs have it. An empty table stays empty.
+    """
     name = free_name(docs, "dedup")
     out = remove_passages(docs)
     solid = r"[^\x20\x09-\x0D]"

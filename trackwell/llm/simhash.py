@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackwell.llm.common import Scratch, free_name
-from trackwell.llm.components import connected_components
+from trackwell.llm.common import Scratch
+from trackwell.llm.components import connected_components, keep_first
 
 #: Bits of each block of a 64-bit fingerprint.
 BLOCK_BITS = (13, 13, 13, 13, 12)
@@ -119,16 +119,9 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return tiled.mapInArrow(verify, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, fp (long), component_id.
-
-    component_id is the smallest doc_id that links reach, the row's own included. Documents of
-    equal fingerprint count as linked, blank and null texts too. Rows with a null doc_id take
-    part but don't name a component unless it has no other id (then component_id is null).
-    Repeated rows give repeated rows. An empty table gives an empty result.
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
+def grouped(docs: DataFrame, shingle: int, distance: int, scratch: Scratch) -> DataFrame:
+    """One row per row of docs: doc_id, th (xxhash64 of the text), fp, root (a fingerprint), component_id."""
+    marked = scratch.save(docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint(F.col("text"), shingle).alias("fp")))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(classes.select("fp"), distance), scratch)
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -136,23 +129,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, scratc
     )
     placed = scratch.save(placed)
     merged = placed.join(roots.select(F.col("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("whole"))
-    ids = placed.join(merged, "root", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = placed.join(merged, "root", "left").select("fp", "root", F.coalesce("whole", "least").alias("component_id"))
+    return marked.join(ids, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id.
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp (long), component_id.
 
-    Rows without an id stay only where their whole component has none, and then one for each
-    fingerprint. Columns beyond doc_id and text pass through.
+    component_id is the smallest doc_id that links reach, the row's own included. Documents of
+    equal fingerprint count as linked, blank and null texts too. Rows with a null doc_id take
+    part but don't name a component unless it has no other id (then component_id is null).
+    Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = near_duplicates(docs, shingle, distance, scratch)
-    kept = free_name(docs, "kept_id")
-    stay = scratch.save(found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct())
-    named = docs.join(stay, F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id"])
-    mark = free_name(docs, "fp")
-    bare = found.where("component_id is null").select(F.col("fp").alias(mark)).distinct()
-    unnamed = docs.where("doc_id is null").withColumn(mark, fingerprint(F.col("text"), shingle))
-    unnamed = unnamed.join(bare, mark, "left_semi").dropDuplicates([mark]).drop(mark)
-    return named.unionByName(unnamed)
+    return grouped(docs, shingle, distance, scratch or Scratch(docs.sparkSession, "simhash")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """docs with one row of each component, see components.keep_first; null and blank texts are one component. An empty table stays empty."""
+    return keep_first(docs, grouped(docs, shingle, distance, Scratch(docs.sparkSession, "simhash-keep")))

@@ -41,21 +41,34 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM m"""
 
 _ROLLED = " + ".join(f"{w} * coalesce(lag(h, {n}) OVER p, 0)" if n else "h" for n, w in enumerate(WEIGHTS))
+_TEXTS = "SELECT DISTINCT doc_id, text, coalesce(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), -1) AS t FROM documents"
+_LINES = "unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i"
 OP10 = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-u AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, * FROM ({_TEXTS})),
+l AS (SELECT r, doc_id, t, {_LINES} FROM d),
+s AS (SELECT * FROM l WHERE regexp_matches(line, {_SOLID})),
+w AS (SELECT r, doc_id, t, i AS k, lead(i) OVER p AS e, line || chr(10) || lead(line) OVER p AS body FROM s WINDOW p AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT *, row_number() OVER p AS n, first_value(r) OVER p AS fr, first_value(e) OVER p AS fe FROM w WHERE e IS NOT NULL WINDOW p AS (PARTITION BY body ORDER BY doc_id NULLS FIRST, t, k)),
+g AS (SELECT DISTINCT r, unnest(range(k, e + 1)) AS i FROM f WHERE NOT (r = fr AND k <= fe)),
+o AS (SELECT l.r, count(*) AS n_lines, count(g.i) AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS clean FROM l LEFT JOIN g ON g.r = l.r AND g.i = l.i GROUP BY l.r)
+SELECT x.doc_id, n_lines, removed_lines, CAST(length(CASE WHEN x.text IS NULL THEN NULL ELSE clean END) AS BIGINT) AS kept_chars, CASE WHEN x.text IS NULL THEN NULL ELSE md5(clean) END AS kept_md5
+FROM documents x JOIN d ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text IS NOT DISTINCT FROM x.text JOIN o ON o.r = d.r"""
+
+OP10_CHUNKS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM ({_TEXTS})),
+u AS (SELECT r, doc_id, t, {_LINES} FROM d),
 l AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM u),
 e AS (SELECT *, CASE WHEN ({_ROLLED}) % {MEAN_LINES} = 0 THEN 1 ELSE 0 END AS cut FROM l WINDOW p AS (PARTITION BY r ORDER BY i)),
 k AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-c AS (SELECT r, doc_id, k, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, {_SOLID})) AS n_solid, string_agg(line, chr(10) ORDER BY i) AS body
-      FROM k GROUP BY r, doc_id, k),
-f AS (SELECT *, n_solid > 1 AND row_number() OVER (PARTITION BY n_solid > 1, body ORDER BY doc_id NULLS FIRST, k) > 1 AS gone FROM c),
+c AS (SELECT r, doc_id, t, k, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, {_SOLID})) AS n_solid, string_agg(line, chr(10) ORDER BY i) AS body
+      FROM k GROUP BY r, doc_id, t, k),
+f AS (SELECT *, n_solid > 1 AND row_number() OVER (PARTITION BY n_solid > 1, body ORDER BY doc_id NULLS FIRST, t, k) > 1 AS gone FROM c),
 o AS (SELECT r, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(count(*) AS BIGINT) AS n_chunks, CAST(count(*) FILTER (gone) AS BIGINT) AS removed_chunks,
              CAST(coalesce(sum(n_lines) FILTER (gone), 0) AS BIGINT) AS removed_lines,
              coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS clean FROM f GROUP BY r)
-SELECT doc_id, n_lines, n_chunks, removed_chunks, removed_lines, CAST(length(CASE WHEN text IS NULL THEN NULL ELSE clean END) AS BIGINT) AS kept_chars,
-       CASE WHEN text IS NULL THEN NULL ELSE md5(clean) END AS kept_md5
-FROM o JOIN d USING (r)"""
+SELECT x.doc_id, n_lines, n_chunks, removed_chunks, removed_lines, CAST(length(CASE WHEN x.text IS NULL THEN NULL ELSE clean END) AS BIGINT) AS kept_chars,
+       CASE WHEN x.text IS NULL THEN NULL ELSE md5(clean) END AS kept_md5
+FROM documents x JOIN d ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text IS NOT DISTINCT FROM x.text JOIN o ON o.r = d.r"""
 
 
 def _license_regex(template: str) -> str:
