@@ -101,9 +101,9 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, scratch: Scrat
 
 
 def with_windows(docs: DataFrame, name: str) -> DataFrame:
-    """docs with an array column of windows: struct(k, e, body) for each two solid lines that follow each other.
+    """docs with an array column of windows: struct(k, e, h) for each two solid lines that follow each other.
 
-    k and e are the places of the two lines, between which only blank ones stand; body is both, joined by a line feed.
+    k and e are the places of the two lines, between which only blank ones stand, and h is the MD5 of both.
     """
     lines, solid = free_name(docs, "_lines"), free_name(docs, "_solid")
     out = settled(docs, {lines: F.split(F.coalesce("text", F.lit("")), "\n")})
@@ -113,7 +113,8 @@ def with_windows(docs: DataFrame, name: str) -> DataFrame:
 
     def window(k: Column, n: Column) -> Column:
         e = F.get(F.col(solid), n + 1)
-        return F.struct(k.alias("k"), e.alias("e"), F.concat(F.get(F.col(lines), k), F.lit("\n"), F.get(F.col(lines), e)).alias("body"))
+        both = F.concat(F.get(F.col(lines), k), F.lit("\n"), F.get(F.col(lines), e))
+        return F.struct(k.alias("k"), e.alias("e"), F.unhex(F.md5(both.cast("binary"))).alias("h"))
 
     out = settled(out, {name: F.filter(F.transform(solid, window), lambda w: w["e"].isNotNull())})
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], name)
@@ -125,10 +126,9 @@ def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     Every run of two or more whole solid lines that came before, by (doc_id, hash of the text,
     place in the text), null ids first, goes, wherever it stands in its text; blank lines within
     it don't count and go with it. Its boundaries are where the windows of two lines, all of which
-    are hashed, begin and end to repeat, so they move with inserted text. Windows are counted by a 64-bit
-    hash, combined before the shuffle; those whose hash comes up again travel with their bytes,
-    which grouping then compares. Joins on a hash are dealt over SALT tasks, so that one very
-    common window is shared. A window that overlaps its own first occurrence isn't a repeat, so the
+    are hashed, begin and end to repeat, so they move with inserted text. Windows are counted by 128-bit
+    digests, combined before the shuffle, and compared by them: bytes stay where they are. Joins on
+    a digest are dealt over SALT tasks, so that one very common window is shared. A window that overlaps its own first occurrence isn't a repeat, so the
     first occurrence of every line stays. Rows that agree in doc_id and text are treated
     alike. Null text has one blank line and stays null. An empty table gives an empty result.
     """
@@ -139,14 +139,14 @@ def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     found = (
         with_windows(keyed.select(row_id, row_hash, "text"), ws)
         .select(F.col(row_id).alias("d"), F.col(row_hash).alias("t"), F.explode(ws).alias("w"))
-        .select("d", "t", "w.*", F.xxhash64("w.body").alias("h"), F.pmod(F.xxhash64("d", "w.k"), F.lit(SALT)).cast("int").alias("salt"))
+        .select("d", "t", "w.*", F.pmod(F.xxhash64("d", "w.k"), F.lit(SALT)).cast("int").alias("salt"))
     )
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", salts)
     repeated = scratch.save(found.join(again, ["h", "salt"], "left_semi"))
-    first = repeated.groupBy("h", "body").agg(F.min(F.struct("d", "t", "k", "e")).alias("first")).select("h", "body", "first", salts)
+    first = repeated.groupBy("h").agg(F.min(F.struct("d", "t", "k", "e")).alias("first")).select("h", "first", salts)
     drop = (
-        repeated.join(first, ["h", "body", "salt"]).where("not (d = first.d and t = first.t and k <= first.e)")
+        repeated.join(first, ["h", "salt"]).where("not (d = first.d and t = first.t and k <= first.e)")
         .groupBy(F.col("d").alias(row_id), F.col("t").alias(row_hash))
         .agg(F.flatten(F.collect_set(F.sequence("k", "e"))).alias(gone))
     )
