@@ -266,7 +266,47 @@ def test_mix_meets_its_targets(spark, sf_dir):
         assert abs(taken[s] - target[s]) <= max(r["size"] for r in rows if source[r.doc_id] == s) / 2 + 1
     mixed = mixing.mixture(docs, block_words=256, shard_words=4096)
     sizes = mixed.groupBy("shard").count().collect()
-    assert len(sizes) > 3 and mixed.count() == sum(r.taken // r["size"] for r in rows if r["size"])
+    draws = mixing.mix(docs, block_words=256, shard_words=4096).select(F.sum(F.size("mix.draws"))).first()[0]
+    assert len(sizes) > 3 and mixed.count() == draws
+
+
+def test_shards_draw_what_the_tree_deals(spark):
+    """Against a plain walk: blocks of each source, permuted, dealt by the tree; documents of the blocks, cut at the target."""
+    rng = random.Random(9)
+    texts = [" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    docs = docs_of(spark, texts, ["a", "b", None, "a", "a", "a", "a"])
+    docs = docs.unionByName(docs.where("doc_id < 5"))  # repeated rows are drawn alike
+    got = mixing.mix(docs, block_words=64, shard_words=1500).collect()
+    sources = ["a", "b", None]
+    own = {s: sum(r.mix.size for r in got if r.source == s) for s in sources}
+    goal = dict(zip(sources, mixing.targets(list(own.values()), [1, 2, 3], sum(own.values()))))
+    blocks_of_shard: dict = {}
+    for s in sources:
+        rows = [r for r in got if r.source == s]
+        assert all(r.mix.target == pytest.approx(goal[s]) and r.mix.source_size == own[s] for r in rows)
+        assert abs(sum(r.mix.size * len(r.mix.draws) for r in rows) - goal[s]) <= 2 * max(r.mix.size for r in rows)
+        assert len({len(r.mix.draws) for r in rows if r.mix.size}) <= 2  # every block in each full pass, some once more
+        by_pass = Counter((r.doc_id, d["pass"]) for r in rows for d in r.mix.draws)
+        assert all(n == (2 if d < 5 else 1) for (d, _), n in by_pass.items())
+        for r in rows:
+            for d in r.mix.draws:
+                blocks_of_shard.setdefault(d["shard"], Counter())[s] += r.mix.size
+    assert len(blocks_of_shard) > 8 and sum(len(c) > 1 for c in blocks_of_shard.values()) > 4
+    assert sum(not r.mix.draws for r in got) > 0
+    for r in docs.join(spark.createDataFrame([(r.doc_id, len(r.mix.draws)) for r in got], "doc_id long, n int"), "doc_id").where("text = ''").collect():
+        assert r.n == 0
+
+
+def test_tree_deals_exact_quotas():
+    quotas = [37, 5, 120]
+    tree = mixing.SplittingTree(quotas, 11, 3)
+    source = np.repeat(np.arange(3), quotas)
+    rank = np.concatenate([np.arange(q) for q in quotas])
+    shard = tree.place(source, rank)
+    assert np.bincount(shard, minlength=11).tolist() == [tree.blocks_before(k + 1) - tree.blocks_before(k) for k in range(11)]
+    assert all((np.diff(shard[source == s]) >= 0).all() for s in range(3))  # a shard draws consecutive permuted blocks
+    part = np.random.default_rng(0).permutation(len(rank))[:50]
+    assert (tree.place(source[part], rank[part]) == shard[part]).all()
 
 
 def test_targets_reshare_the_excess():

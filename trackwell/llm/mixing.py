@@ -1,9 +1,8 @@
-"""Mixing sources to target weights: a splitting tree deals exact block quotas to output shards."""
+"""Mixing sources to target weights: a splitting tree deals exact block quotas to output shards, which draw permuted blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from trackwell.llm.common import WORD, free_name
+from trackwell.llm.common import WORD, Scratch, free_name
 
 #: Sources that one mix may have: weights are a list that somebody writes, so one row each may pass through the driver.
 MAX_SOURCES = 65_536
-#: Rows that one task sorts together, on average.
-BUCKET_ROWS = 1024
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = 3.0) -> list[float]:
@@ -44,24 +41,21 @@ class SplittingTree:
     A node stands for a range of shards and holds a quota of blocks for each source. Its left
     half draws, without replacement, as many blocks as its shards hold; the right half gets
     the rest. Draws depend on the seed and the node alone, so any task can walk from the root
-    to the shard of a block, and a rerun agrees. Nodes are made when first visited.
+    to the shard of a block, and a rerun agrees. Only the nodes on the way are held.
     """
 
     def __init__(self, quotas: list[int], shards: int, seed: int):
         self.quotas, self.shards, self.seed = np.asarray(quotas, dtype=np.int64), shards, seed
         self.total = int(self.quotas.sum())
-        self.left: dict[tuple[int, int], np.ndarray] = {}
 
     def blocks_before(self, shard: int) -> int:
         return self.total * shard // self.shards
 
     def _left_quota(self, lo: int, hi: int, quota: np.ndarray) -> np.ndarray:
-        if (lo, hi) not in self.left:
-            mid = (lo + hi) // 2
-            draw = self.blocks_before(mid) - self.blocks_before(lo)
-            rng = np.random.default_rng([self.seed, lo, hi])
-            self.left[lo, hi] = rng.multivariate_hypergeometric(quota, draw, method="marginals").astype(np.int64)
-        return self.left[lo, hi]
+        mid = (lo + hi) // 2
+        draw = self.blocks_before(mid) - self.blocks_before(lo)
+        rng = np.random.default_rng([self.seed, lo, hi])
+        return rng.multivariate_hypergeometric(quota, draw, method="marginals").astype(np.int64)
 
     def place(self, source: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """The shard of each (source, rank among its source's permuted blocks)."""
@@ -81,101 +75,115 @@ class SplittingTree:
         return out
 
 
-def _permutation(quota: int, rng: np.random.Generator) -> tuple[int, int]:
-    """(a, c) of the bijection b -> (a * b + c) mod quota."""
-    a = int(rng.integers(1, max(2, quota)))
-    while np.gcd(a, quota) != 1:
-        a = a % quota + 1
-    return a, int(rng.integers(0, max(1, quota)))
+def _permuted(blocks: DataFrame, seed: int) -> DataFrame:
+    """blocks(index, bits, block, words) with rank and start: blocks and words before each in a hashed order of its source's blocks.
+
+    Sums run in two levels, groups of blocks and blocks in a group, so that no task holds all blocks of a large source.
+    """
+    keyed = blocks.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "index", "block"), 4))
+    keyed = keyed.withColumn("group", F.expr("`key` >> cast(60 - `bits` div 2 as int)"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    groups = keyed.groupBy("index", "group").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    outer = before(["index"], ["group"])
+    groups = groups.select("index", "group", earlier("n", outer).alias("n"), earlier("w", outer).alias("w"))
+    inner = before(["index", "group"], ["key", "block"])
+    return keyed.join(groups, ["index", "group"]).select(
+        "index", "block", "words", (F.col("n") + F.coalesce(F.count("*").over(inner), F.lit(0))).alias("rank"), (F.col("w") + earlier("words", inner)).alias("start"),
+    )
 
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7,
-    block_words: int = 16_384, shard_words: int = 4_194_304,
+    block_words: int = 16_384, shard_words: int = 4_194_304, scratch: Scratch | None = None,
 ) -> DataFrame:
     """docs with a struct column `mix`: size, source_size (longs), target (double), draws (array of struct(pass, shard, place)).
 
     size is the number of words of the text (null: 0). Sources in code-point order, the null
-    source last, get the weights in turn. The documents of a source stand in a hashed order,
-    end to end, as often as its target asks for; those whose middle lies before the target are
-    drawn, so the words taken miss the target by half a document at most. That line is cut
-    into blocks of block_words (doubled until there are fewer than 2^29 blocks in all), the
-    blocks of a source are permuted, and the splitting tree deals them to shards of about
-    shard_words; `place` is a random order within the shard. No row is drawn more than `most`
-    times (rounded up). Documents without words are never drawn. Repeated rows are drawn each
-    by itself. An empty table gives an empty result.
-
-    Sums run over hashed buckets of about BUCKET_ROWS rows in two levels, so a source with a
-    third of all rows is spread like any other. Only one row for each source goes to the
-    driver; more than MAX_SOURCES sources are refused.
+    source last, get the weights in turn. A hash deals the documents of a source in blocks of
+    about block_words (more where there would be over 2^28 blocks in all), and another hash permutes the blocks. A source's quota
+    is the number of blocks that its target asks for, in the permuted order: all of them in each full
+    pass, then the first ones. The splitting tree deals the quotas to shards of about
+    shard_words, each shard draws the next of the permuted blocks that it was dealt, and the documents of
+    those blocks are taken. Of the block at which a source's target falls, the documents up to a
+    place in the hashed order are, so the words taken miss the target by half a document or so. `place` is a random
+    order within the shard. No row is drawn more than `most` times (rounded up). Documents
+    without words are never drawn. Rows alike in id, source and text are drawn alike, so reruns agree. An empty table gives an empty result.
+
+    Words are counted once, into a table without texts; texts are never shuffled unless the table of
+    blocks is too large to be broadcast. Only one row for each source goes to the driver; more than
+    MAX_SOURCES sources are refused.
     """
     spark, name = docs.sparkSession, free_name(docs, "mix")
-    own = ("size", "order", "index", "bits", "whole", "target", "quota", "a", "c", "fine", "coarse", "before", "start", "draws")
-    size, order, index, bits, whole, target, quota, mul, add, fine, coarse, before, start, draws = (free_name(docs, f"_{x}") for x in own)
-
-    sized = docs.withColumns({
+    scratch = scratch or Scratch(spark, "mix")
+    size, order, index, bits, key, block, draws, whole, target = (
+        free_name(docs, f"_{x}") for x in ("size", "order", "index", "bits", "source", "block", "draws", "whole", "target")
+    )
+    counted = {
         size: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        order: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.col("source"), F.length("text")), 4),
-    })
-    found = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum(size).alias("words")).limit(MAX_SOURCES + 1).collect()
+        order: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.col("source"), "text"), 4),
+    }
+    sizes_of = scratch.save(docs.select("source", *[c.alias(n) for n, c in zip(("size", "order"), counted.values())]))
+    found = sizes_of.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["words"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], sum(sizes), most)
-    while sum(goal) / block_words > 2**29:
+    while sum(goal) / block_words > 2**28:
         block_words *= 2
-    quotas = [ceil(g / block_words) for g in goal]
+    rows = []
+    for i, (r, g) in enumerate(zip(found, goal)):
+        full = int(g / r["words"] + 1e-9) if r["words"] else 0
+        rows.append((r["source"], i, (r["words"] // block_words).bit_length(), r["words"], g, full, max(0.0, g - full * r["words"])))
+    plan = spark.createDataFrame(rows, T.StructType([
+        T.StructField("name", docs.schema["source"].dataType),
+        *[T.StructField(n, T.DoubleType() if n in ("target", "rest") else T.LongType()) for n in ("index", "bits", "whole", "target", "full", "rest")],
+    ]))
+    in_block = lambda o, b: F.expr(f"`{o}` >> cast(60 - `{b}` as int)")
+    with_plan = sizes_of.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))
+    blocks = with_plan.withColumn("block", in_block("order", "bits")).groupBy("index", "bits", "block").agg(F.sum("size").alias("words"))
+    ranked = scratch.save(_permuted(blocks, seed).join(F.broadcast(plan.select("index", "full", "rest")), "index"))
+    used = F.when(F.col("start") < F.col("rest"), F.lit(1)).otherwise(F.lit(0))
+    quotas = [0] * len(rows)
+    many = [0] * len(rows)
+    for r in ranked.groupBy("index").agg(F.sum(F.col("full") + used).alias("quota"), F.count("*").alias("n")).collect():
+        quotas[r["index"]], many[r["index"]] = r["quota"], r["n"]
     shards = max(1, min(sum(quotas), round(sum(goal) / shard_words)))
-    rng = np.random.default_rng(seed)
-    rows = [
-        (r["source"], i, max(0, (r["n"] // BUCKET_ROWS).bit_length()), r["words"], goal[i], quotas[i], *_permutation(max(1, quotas[i]), rng))
-        for i, r in enumerate(found)
-    ]
-    key = free_name(docs, "_source")
-    schema = T.StructType([
-        T.StructField(key, docs.schema["source"].dataType), *[
-            T.StructField(n, T.DoubleType() if n == target else T.LongType()) for n in (index, bits, whole, target, quota, mul, add)
-        ],
-    ])
-    plan = spark.createDataFrame(rows, schema)
-    sized = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(key)), "left").drop(key).withColumns({
-        fine: F.expr(f"`{order}` >> cast(60 - `{bits}` as int)"),
-        coarse: F.expr(f"`{order}` >> cast(60 - `{bits}` div 2 as int)"),
-    })
-    sums = sized.groupBy(index, coarse, fine).agg(F.sum(size).alias("own"))
-    high = sums.groupBy(index, coarse).agg(F.sum("own").alias("own"))
-    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    high = high.select(index, coarse, F.coalesce(F.sum("own").over(earlier(index).orderBy(coarse)), F.lit(0)).alias("high"))
-    sums = sums.join(high, [index, coarse]).select(
-        index, fine, (F.col("high") + F.coalesce(F.sum("own").over(earlier(index, coarse).orderBy(fine)), F.lit(0))).alias(before)
-    )
-    placed = sized.join(sums, [index, fine])
-    in_bucket = Window.partitionBy(index, fine).orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn(start, F.col(before) + F.coalesce(F.sum(size).over(in_bucket), F.lit(0)))
-
     tree = SplittingTree(quotas, shards, seed)
 
-    @arrow_udf("array<bigint>")
-    def shards_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for source, ranks in batches:
-            ranks = ranks.combine_chunks() if isinstance(ranks, pa.ChunkedArray) else ranks
-            counts = np.diff(ranks.offsets.to_numpy())
-            flat = ranks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            out = tree.place(np.repeat(source.to_numpy(zero_copy_only=False).astype(np.int64), counts), flat)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(out))
-
-    passes = F.filter(
-        F.sequence(F.lit(0), F.lit(ceil(most))),
-        lambda e: (F.col(size) > 0) & ((e * F.col(whole) + F.col(start)) * 2 + F.col(size) <= F.col(target) * 2),
+    @arrow_udf("long")
+    def shard_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for source, rank in batches:
+            yield pa.array(tree.place(source.to_numpy(zero_copy_only=False).astype(np.int64), rank.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    in_all = spark.createDataFrame(list(enumerate(many)), "index long, blocks long")
+    cut = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("words") > F.col("rest"))
+    passes = ranked.where(F.col("full") + used > 0).join(F.broadcast(in_all), "index").select(
+        "index", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") + used - 1)).alias("pass"), "full", (F.col("rest") - F.col("start")).alias("left"), cut.alias("cut"), "rank", "blocks",
     )
-    block = lambda e: F.least(F.floor((e * F.col(whole) + F.col(start)) / block_words), F.col(quota) - 1)
-    ranks = F.transform(passes, lambda e: F.pmod(F.col(mul) * block(e) + F.col(add), F.col(quota)))
-    drawn = F.transform(
-        F.arrays_zip(passes.alias("e"), shards_of(F.col(index), ranks).alias("s")),
-        lambda x: F.struct(x["e"].alias("pass"), x["s"].alias("shard"), F.xxhash64(F.lit(seed + 1), x["e"], x["s"], F.col(order), F.col("doc_id")).alias("place")),
+    dealt = scratch.save(passes.select(
+        "index", "block", "pass", shard_of("index", F.col("pass") * F.col("blocks") + F.col("rank")).alias("shard"),
+        (F.col("cut") & (F.col("pass") == F.col("full"))).alias("cut"), "left",
+    ))
+    # Of the one block of a source at which its target falls: the place in the hashed order up to which documents are taken.
+    ends = dealt.where("cut").select("index", "block", "left")
+    edge = with_plan.withColumn("block", in_block("order", "bits")).join(F.broadcast(ends), ["index", "block"])
+    upto = F.coalesce(F.sum("size").over(Window.partitionBy("index").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.withColumn("middle", upto * 2 + F.col("size")).where(F.col("middle") <= F.col("left") * 2).groupBy("index").agg(F.max("order").alias("last"))
+    last = F.when(F.col("cut"), F.coalesce("last", F.lit(-1)))
+    of_block = dealt.join(F.broadcast(edge), "index", "left").groupBy("index", "block").agg(
+        F.sort_array(F.collect_list(F.struct("pass", "shard", last.alias("last")))).alias("passes")
     )
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
+    mine = of_block.select(F.col("index").alias(index), F.col("block").alias(block), F.col("passes").alias(draws))
+    own = plan.select(*[F.col(a).alias(b) for a, b in (("name", key), ("index", index), ("bits", bits), ("whole", whole), ("target", target))])
+    out = docs.withColumns(counted).join(F.broadcast(own), F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
+    out = out.withColumn(block, in_block(order, bits)).join(mine, [index, block], "left")
+    taken = F.filter(F.coalesce(F.col(draws), F.array().cast("array<struct<pass:bigint,shard:bigint,last:bigint>>")), lambda x: (F.col(size) > 0) & (x["last"].isNull() | (F.col(order) <= x["last"])))
+    drawn = F.transform(taken, lambda x: F.struct(
+        x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), x["pass"], x["shard"], F.col(order)).alias("place")
+    ))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
         F.col(size).alias("size"), F.col(whole).alias("source_size"), F.col(target).alias("target"), drawn.alias("draws"),
     ).alias(name))
 
