@@ -276,7 +276,7 @@ def test_shards_draw_what_the_tree_deals(spark):
     texts = [" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     docs = docs_of(spark, texts, ["a", "b", None, "a", "a", "a", "a"])
     docs = docs.unionByName(docs.where("doc_id < 5"))  # repeated rows are drawn alike
-    got = mixing.mix(docs, block_words=64, shard_words=1500).collect()
+    got = mixing.mix(docs, block_words=64, shard_words=1000).collect()
     sources = ["a", "b", None]
     own = {s: sum(r.mix.size for r in got if r.source == s) for s in sources}
     goal = dict(zip(sources, mixing.targets(list(own.values()), [1, 2, 3], sum(own.values()))))
@@ -361,6 +361,50 @@ def test_network_gradients_and_state():
     assert whole == pytest.approx(alone, rel=1e-4)
 
 
+def test_scores_against_a_plain_network():
+    """One word at a time, every probability from whole soft-maxes, the state carried to the end."""
+    words = np.arange(1, 71, dtype=np.uint64)
+    model = lm_scoring.RecurrentModel(lm_scoring.Vocabulary(words, np.arange(70), 70), np.arange(90, 17, -1.0))
+    p, n, full = model.p, lm_scoring.HIDDEN, model.full
+    rng = np.random.default_rng(4)
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    docs, plain = [rng.integers(0, 73, k) for k in (1, 5, 90, 301)], []
+    for ids in docs:
+        h, last, total = np.zeros(n), 0, 0.0
+        for y in ids:
+            d = p["e"][last] + p["b"]
+            zr = squash(d[: 2 * n] + h @ p["u"])
+            h = zr[:n] * h + (1 - zr[:n]) * np.tanh(d[2 * n :] + (zr[n:] * h) @ p["uh"])
+            k = y // lm_scoring.CLASS_WORDS if y < 70 else full + y - 70
+            total += np.log10(soft(h @ p["c"] + p["cb"])[k])
+            if y < 70:
+                own = slice(k * lm_scoring.CLASS_WORDS, (k + 1) * lm_scoring.CLASS_WORDS)
+                total += np.log10(soft(h @ p["w"][:, own] + p["wb"][own])[y % lm_scoring.CLASS_WORDS])
+            last = y
+        plain.append(total)
+    assert lm_scoring._document_scores(model, docs, 0) == pytest.approx(plain, rel=1e-4)
+
+
+def test_long_texts_are_not_padded_to_each_other(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "AREA", 1000)
+    ids = [np.arange(k) for k in (3000, 5, 400, 7, 6, 300)]
+    groups = list(lm_scoring._lockstep(ids, 4))
+    assert all(y.size <= 1000 or y.shape[1] == 1 for _, _, y in groups)
+    assert sorted(i for own, _, _ in groups for i in own) == list(range(6))
+    for own, length, y in groups:
+        for j, i in enumerate(own):
+            assert (y[: length[j], j] == ids[i]).all() and (y[length[j] :, j] == -1).all()
+
+
+def test_training_reruns_agree(spark):
+    texts = [" ".join(random.Random(k).choices(["red", "green", "blue", "the", "sky"], k=40)) for k in range(60)]
+    words = np.sort(np.array([xxhash.xxh64_intdigest(w, 3) for w in (b"red", b"green", b"blue", b"the", b"sky", b"\n")], np.uint64))
+    vocabulary = lm_scoring.Vocabulary(words, np.arange(6), 6)
+    made = [lm_scoring.train(docs_of(spark, texts).repartition(k), vocabulary, np.ones(9), tasks=3).p for k in (5, 2)]
+    assert all((made[0][k] == made[1][k]).all() for k in made[0])
+
+
 def test_lm_counts_and_base(spark, sf_dir):
     import math
     import zlib
