@@ -87,6 +87,33 @@ def test_decontamination_against_full_alignment(spark):
     assert got == want and want
 
 
+def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = lambda: sorted((r.doc_id, *r.leak) for r in decontamination.contaminated(docs, bench).collect())
+    whole, clean = rows(), decontamination.clean(docs, bench).count()
+    monkeypatch.setattr(decontamination, "PASS_CHARS", 1500)
+    assert len(list(decontamination._passes(bench))) > 2
+    assert rows() == whole and decontamination.clean(docs, bench).count() == clean
+
+
+def test_filter_is_bounded(monkeypatch):
+    items = [(1, "the quick brown fox jumps over the lazy dog and runs away")]
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 4)
+    index = decontamination.Index(items)
+    assert len(index.seen) == 2 and index.matches("xx " + items[0][1] + " yy")[0][0] == 1 and not index.matches("nothing of that kind stands here " * 3)
+
+
+def test_decontamination_query_against_plain_search(spark, sf_dir):
+    """Every item that stands in a text word for word is found by the query; what it finds more lies within the budget."""
+    texts = {r.doc_id: decontamination.normalize(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: decontamination.normalize(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r for r in queries.op1_decontamination(spark, sf_dir).collect()}
+    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
+    assert exact and {k for k, r in got.items() if r.edits == 0} == exact
+    for (d, i), r in got.items():
+        assert _edits(items[i], texts[d][max(0, r.start - 60) : r.stop + 60]) == r.edits <= decontamination.edit_budget(len(items[i]))
+
+
 def _fingerprint(text, shingle=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     grams = [" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([" ".join(words)] if words else [])
@@ -334,6 +361,18 @@ def test_quality_scores_separate_held_out_labels(spark):
     assert np.mean([a > b for a, b in pairs]) > 0.95
 
 
+def test_quality_query_on_held_out_labels(spark):
+    import zlib
+
+    rows = {r.doc_id: r for r in queries.op3_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for d, r in rows.items())
+    held = [(rows[d].score, q) for d, q in labels.items() if d in rows and rows[d].held_out and q is not None]
+    pairs = [(a > b) + (a == b) / 2 for a, q in held if q for b, p in held if not p]
+    assert len(held) > 30 and np.mean(pairs) > 0.95
+    assert np.mean([int(s >= 0.3) == q for s, q in held]) > 0.9
+
+
 def test_isotonic_is_the_best_monotone_fit():
     x, y = quality_classifier.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]

@@ -19,6 +19,8 @@ ERROR_RATE = 0.06
 BAND = 32
 #: Benchmark characters that one pass over the documents looks for; a larger benchmark takes several passes.
 PASS_CHARS = 16_000_000
+#: Bits of the numbers that the filter before the sorted q-grams is addressed by, at most: 16 MB in each worker.
+FILTER_BITS = 27
 #: Pairs of equal q-grams that are counted at a time.
 PAIRS = 1 << 20
 
@@ -102,13 +104,15 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         self.item, self.place = item[order], place[order]
         self.hashes, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
-        self.bits = max(10, int(len(self.hashes)).bit_length() + 7)
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.bits = min(FILTER_BITS, max(10, int(len(self.hashes)).bit_length() + 7))
+        marked = np.unique(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.seen = np.zeros(1 << self.bits - 3, dtype=np.uint8)
+        np.bitwise_or.at(self.seen, marked >> 3, (1 << (marked & 7)).astype(np.uint8))
 
     def regions(self, grams: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) that hold enough shared q-grams; band b of an item starts at diagonal b times its band width."""
-        at = np.flatnonzero(self.seen[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
+        mark = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = np.flatnonzero(self.seen[mark >> 3] >> (mark & 7).astype(np.uint8) & 1)
         if not len(self.ids) or len(at) < self.least:
             return []
         slot = np.minimum(np.searchsorted(self.hashes, grams[at]), len(self.hashes) - 1)
@@ -170,18 +174,28 @@ _NAMES = ("item_id", "start", "stop", "edits")
 _KIND = "array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>"
 
 
+_held: list = [None, None]
+
+
+def _index_of(items: list[tuple[int, str]]) -> Index:
+    """The index of a broadcast part, made once in each worker process while that part is looked for."""
+    if _held[0] is not items:
+        _held[:] = items, Index(items)
+    return _held[1]
+
+
 def _search(shared):
     """A function of texts that lists what they hold of a broadcast part of the benchmark."""
 
     @F.arrow_udf(_KIND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(shared.value)
+        index = _index_of(shared.value)
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in _NAMES]))
         for batch in batches:
             found = [index.matches(normalize(t.as_py())) for t in batch]
             yield pa.array([[dict(zip(_NAMES, x)) for x in row] for row in found], kind)
 
-    return search
+    return search.asNondeterministic()  # or Spark would search again for the filters that it infers
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item of the benchmark; all other rows stay as they are."""
+    """docs without those that hold an item of the benchmark; all other rows stay as they are, null and empty texts and repeated rows among them."""
     hit, out = free_name(docs, "_hit"), docs
     for items in _passes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
