@@ -125,3 +125,66 @@ def test_stages_against_brute_force(spark, sf_dir):
 ])
 def test_left_out_end_tags_hide_nothing_more(html, texts):
     assert [t for _, t in html_extraction.parse(html)[1]] == texts
+
+
+_LONG = [
+    "The harbour was rebuilt after the storm of that winter, and the new wall reached further out than the old one ever had.",
+    "Fishermen complained at first, since the current now ran faster along the quay, but within two years most had changed their minds.",
+    "A survey counted forty boats in spring and sixty in autumn, more than at any time since records began in the town hall.",
+    "What the engineers had not foreseen was the sand. It gathered behind the wall, and by the third year the inner basin had to be dredged.",
+]
+
+
+def _page(body, head="<title>Harbour news</title>"):
+    return f"<!doctype html><html lang=en><head>{head}</head><body>{body}</body></html>"
+
+
+#: Pages written by hand, unlike those that the model learns from.
+_HAND = {
+    "divs with generated class names": (_page(
+        "<div class='_1xk9'><a href=/>The Courier</a><div class='_8s'><a href=/a>News</a><a href=/b>Sport</a><a href=/c>Weather</a><a href=/d>Letters</a></div></div>"
+        "<div class='_2m0'><div class='_77a'><h1>A wall against the sea</h1><div class='_by'>By Ann Miller, 3 May</div>"
+        + "".join(f"<div class='_p3'>{x}</div>" for x in _LONG) +
+        "</div></div><div class='_9f'><a href=/x>Imprint</a> <a href=/y>Privacy</a> &copy; The Courier</div>"), _LONG),
+    "main without article": (_page(
+        "<header><a href=/>Home</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></nav><main><h1>A wall against the sea</h1>"
+        + "".join(f"<p>{x}" for x in _LONG) + "</main><footer>Some rights reserved</footer>"), _LONG),
+    "sections and a quotation": (_page(
+        "<div id=top><a href=/>Log in</a> <a href=/s>Sign up</a></div><article><h1>A wall against the sea</h1><section><h2>Before</h2><p>" + _LONG[0] + "</p></section>"
+        "<section><h2>After</h2><blockquote>" + _LONG[1] + "</blockquote><p>" + _LONG[2] + "</p><p>" + _LONG[3] + "</p></section></article>"
+        "<section class=comments><h2>Comments</h2><div class=comment><p>I never liked that wall at all, said nobody ever.</p></div></section>"), _LONG),
+    "head and paragraphs left open, a formula": (
+        "<title>x</title><meta name=a><body><ul class=menu><li><a href=1>One</a><li><a href=2>Two</a></ul><div class=post><p>" + _LONG[0] + "<p>" + _LONG[1] +
+        " Its height was <math><mi>h</mi><mo>=</mo><mn>7</mn></math> metres.<p>" + _LONG[2] + "<p>" + _LONG[3] + "</div>",
+        [_LONG[0], _LONG[1] + " Its height was h=7 metres.", *_LONG[2:]]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(_HAND))
+def test_pages_written_by_hand(name):
+    html, want = _HAND[name]
+    got = html_extraction.main_blocks([html], html_extraction.trained())[0]
+    assert [x for x in got if x in want] == want
+    junk = " ".join(x for x in got if x not in want)
+    assert not any(w in junk for w in ("Sport", "Imprint", "Privacy", "Two", "rights reserved", "Sign up", "never liked"))
+
+
+def test_generated_pages_of_bare_divs():
+    rng, same = random.Random(4711), 0
+    for _ in range(60):
+        html = html_extraction._plain_page(rng)
+        tree = html_extraction._Wanted()
+        tree.feed(html)
+        tree.close()
+        want = [t for n, t in ((n, " ".join("".join(p).split())) for n, p in tree.runs) if t and tree.wanted[n]]
+        same += html_extraction.main_blocks([html.replace("<z>", "").replace("</z>", "")], html_extraction.trained())[0] == want
+    assert same >= 52
+
+
+def test_pages_null_empty_repeated_and_none(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "   ", "x"), (4, _HAND["main without article"][0], "x"), (4, _HAND["main without article"][0], "x"), (None, "<p>" + _LONG[0], "x")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, blocks string")
+    got = sorted(((r.page_id or 0), r.blocks_) for r in html_extraction.extract(pages).collect())
+    assert [b for d, b in got if d in (1, 2, 3)] == [[], [], []] and got[0] == (0, [_LONG[0]])
+    assert got[-1] == got[-2] and set(_LONG) <= set(got[-1][1])
+    assert html_extraction.extract(pages.where("false")).collect() == []

@@ -19,17 +19,17 @@ from trackwell.llm.common import free_name
 #: Fixed lists of element names.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+    "time tt u var wbr math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript title head svg math iframe object audio video canvas select datalist textarea".split())
+UNSEEN = frozenset("script style template noscript title head svg annotation annotation-xml iframe object audio video canvas select datalist textarea".split())
 KINDS = (
     ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("nav",), ("aside",), ("header",), ("footer",),
     ("form", "fieldset", "button", "dialog"), ("section",), ("article", "main"), ("div", "center"), ("table", "tbody", "thead", "tr", "td", "th"),
     ("blockquote", "pre", "figure", "figcaption"), ("body", "html"),
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: What stands in a head, and what ends an svg or math element that was left open.
+#: What stands in a head, and what ends an svg element that was left open.
 IN_HEAD = frozenset("title base basefont bgsound link meta script style template noscript noframes".split())
 BREAKOUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
@@ -89,7 +89,7 @@ class _Tree(HTMLParser):
         hidden = self.hidden_by
         if hidden[0] == "head" and (tag == "body" or len(hidden) == 1 and tag not in IN_HEAD and tag != "head"):
             hidden.clear()
-        elif hidden[0] in ("svg", "math") and tag in BREAKOUT and not any(t in ("foreignobject", "desc", "title", "annotation-xml") for t in hidden):
+        elif hidden[0] == "svg" and tag in BREAKOUT and not any(t in ("foreignobject", "desc", "title", "annotation-xml") for t in hidden):
             hidden.clear()
         elif tag not in INLINE and tag not in UNSEEN and (tag not in VOID or tag == "hr"):  # as visible elements end each other
             chain = [*(t for t, _ in self.open), *hidden]
@@ -411,6 +411,47 @@ def training_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body><script>var a='</p>';</script>{top}{before}{page}{after}{foot}</body></html>"
 
 
+def _plain_page(rng: random.Random) -> str:
+    """A made-up page of bare divs with generated class names, as site builders make them: only density, links, place and kin tell parts apart."""
+    def name() -> str:
+        return rng.choice(("", "", f' class="{rng.choice("abcdefg")}{rng.randrange(16**4):04x}"', f' class="css-{rng.randrange(36**3)} r{rng.randrange(99)}"', f' id="n{rng.randrange(999)}"'))
+
+    def say(lo: int, hi: int) -> str:
+        return _words(rng, lo, hi).replace("###", "").replace("%%%", "").replace("!!", "")
+
+    link = lambda lo=1, hi=4: f'<a href="/{rng.randrange(999)}">{say(lo, hi).rstrip(".?")}</a>'
+    box = lambda body, tag="div": f"<{tag}{name()}>{body}</{tag}>"
+    many = lambda make, lo, hi: "".join(make() for _ in range(rng.randint(lo, hi)))
+    unit = rng.choice(("p", "p", "div", "div", "section"))
+    menu = lambda: box(rng.choice((many(lambda: box(link()), 3, 9), many(lambda: link() + " ", 3, 9), "<ul>" + many(lambda: f"<li>{link()}</li>", 3, 9) + "</ul>")))
+    teaser = lambda: box(box(link(2, 8)) + (box(say(3, 14)) if rng.random() < 0.6 else ""))
+    person = lambda: box(box(f"{link(1, 2)} {rng.randint(1, 28)} {rng.choice(('h', 'days', 'May'))}") + box(say(3, 40), "p") + rng.choice(("", box(link(1, 1) + link(1, 1)))))
+    paragraph = lambda: box(say(18, 110).replace(" ", f" {link(1, 3)} ", int(rng.random() < 0.25)), unit)
+    other = lambda: rng.choice((
+        lambda: f"<h2>{say(1, 7)}</h2>",
+        lambda: "<ul>" + many(lambda: f"<li>{say(3, 22)}</li>", 2, 6) + "</ul>", lambda: box(say(6, 40), "blockquote"),
+        lambda: "<figure><img src='a.jpg'><figcaption>" + say(2, 14) + "</figcaption></figure>", lambda: box(f"<span>{say(12, 60)}</span>", unit),
+    ))()
+    body = "".join(paragraph() if rng.random() < 0.8 else other() for _ in range(rng.randint(2, 16)))
+    head = f"<h1>{say(2, 12)}</h1>" + (box(f"{say(1, 2)} {link(1, 2)} · {rng.randint(1, 28)} {say(1, 1)}", rng.choice(("div", "p", "span"))) if rng.random() < 0.6 else "")
+    if rng.random() < 0.3:
+        head = box(head)
+    inner = body if rng.random() < 0.4 else box(body)
+    if rng.random() < 0.35:
+        cut = inner.find(f"</{unit}>") + len(unit) + 3
+        inner = inner[:cut] + "<z>" + rng.choice((teaser, lambda: box("<form><input><button>" + say(1, 2) + "</button></form>" + say(2, 10)), menu))() + "</z>" + inner[cut:]
+    article = f"<div{name()} data-want>{head}{inner}</div>"
+    for _ in range(rng.choice((0, 0, 1, 2))):
+        article = box(article)
+    top = rng.choice(("", box(box(link()) + menu()), menu(), box(say(1, 4)) + menu()))
+    side = rng.choice(("", "", box(f"<h3>{say(1, 3)}</h3>" + many(teaser, 2, 8)), box(many(teaser, 2, 8)), menu()))
+    after = rng.choice(("", box(f"<h3>{say(1, 3)}</h3>" + many(teaser, 2, 6)), box(f"<h3>{say(1, 2)}</h3>" + many(person, 1, 14)), box(many(person, 2, 25))))
+    note = rng.choice(("", "", box(say(5, 30) + f"<button>{say(1, 2)}</button>"), box(box(say(4, 20), "p") + link(1, 2) + f"<button>{say(1, 1)}</button>")))
+    foot = rng.choice(("", box(menu() + box("&copy; " + say(2, 12))), box("&copy; " + say(2, 20) + " " + many(lambda: link() + " ", 2, 6)), box(say(2, 10), "p") + menu()))
+    middle = box(side + article) if rng.random() < 0.3 else box(article + side) if rng.random() < 0.5 else article + side
+    return f"<html><head><meta charset=utf-8><title>x</title></head><body{name()}>{note if rng.random() < 0.5 else ''}{top}{middle}{after}{foot}{note if rng.random() < 0.3 else ''}</body></html>"
+
+
 class _Wanted(_Tree):
     """Also tells which nodes stand in wanted parts; <z> marks junk inside them."""
 
@@ -430,13 +471,13 @@ class _Wanted(_Tree):
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 700, seed: int = SEED) -> BoostedTrees:
-    """The model, fitted on made-up pages: a node is kept if it lies in the article or holds it."""
+def trained(pages: int = 700, plain: int = 450, seed: int = SEED) -> BoostedTrees:
+    """The model, fitted on made-up pages, of which `plain` are of bare divs: a node is kept if it lies in the article or holds it."""
     rng = random.Random(seed)
     xs, ys = [], []
-    for _ in range(pages):
+    for n in range(pages + plain):
         tree = _Wanted()
-        tree.feed(training_page(rng))
+        tree.feed(training_page(rng) if n < pages else _plain_page(rng))
         tree.close()
         blocks = [(n, _SPACE.sub(" ", "".join(t)).strip()) for n, t in tree.runs]
         keep = np.array([tree.wanted[i] for i in range(len(tree.nodes))])
