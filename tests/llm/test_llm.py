@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, queries, simhash, suffix_array, suffix_dedup
+from trackwell.llm import components, decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, queries, similarity, simhash, suffix_array, suffix_dedup
+from trackwell.llm.common import Scratch
 
 DOCS = "doc_id long, text string, source string, words string, _row int"
 
@@ -488,55 +489,98 @@ def test_decoding_never_contradicts_ancestors():
     assert all(kept[n.parent] for n, k in zip(nodes, kept) if k and n.parent >= 0) and kept[3] and not kept[4]
 
 
-def test_pipeline_against_brute_force(spark, sf_dir):
-    import corpus_pipeline
+def _fails(x):
+    words = len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    marks = len(re.findall(quality_rules.SYMBOLS, x)) + len(re.findall(quality_rules.SHOUTS, x))
+    prose = x.rstrip(" \t\n\x0b\x0c\r")[-1:] in quality_rules.TERMINAL_MARKS or re.search(quality_rules.SENTENCE_END, x)
+    return words and (not prose or marks * 10 > words or re.search(quality_rules.NAVIGATION, x) or re.search(quality_rules.BOILERPLATE, x))
 
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    solid = lambda s: re.search(r"[^\x20\x09-\x0D]", s)
-
-    def fails(x):
-        words = len(re.findall(r"[^\x20\x09-\x0D]+", x))
-        marks = len(re.findall(quality_rules.SYMBOLS, x)) + len(re.findall(quality_rules.SHOUTS, x))
-        prose = x.rstrip(" \t\n\x0b\x0c\r")[-1:] in quality_rules.TERMINAL_MARKS or re.search(quality_rules.SENTENCE_END, x)
-        return words and (not prose or marks * 10 > words or re.search(quality_rules.NAVIGATION, x) or re.search(quality_rules.BOILERPLATE, x))
 
+def _after_rules(rows):
+    """(doc_id, text) of the documents that the rules keep, failing lines left out."""
     docs = []
     for r in rows:
         ws = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         grams = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
         rep = {i + k for i in range(len(ws) - 4) if grams[tuple(ws[i : i + 5])] > 1 for k in range(5)}
         lines = (r.text or "").split("\n")
-        lost = sum(len("".join(re.findall(r"[^\x20\x09-\x0D]+", x))) for x in lines if fails(x))
+        lost = sum(len("".join(re.findall(r"[^\x20\x09-\x0D]+", x))) for x in lines if _fails(x))
         if len(ws) >= 10 and 100 * len(rep) <= 20 * len(ws) and 100 * lost <= 30 * sum(map(len, ws)):
-            docs.append((r.doc_id, "\n".join(x for x in lines if not fails(x)), r.source))
-    seen, out = set(), []
-    for d, text, source in sorted(docs):
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in text.split("\n")]
-        chunks, own = [], []
-        for i, x in enumerate(text.split("\n")):
-            own.append(x)
-            if sum(w * h[i - k] for k, w in enumerate(line_dedup.WEIGHTS) if i >= k) % line_dedup.MEAN_LINES == 0:
-                chunks.append(own)
-                own = []
-        kept = []
-        for c in [*chunks, *([own] if own else [])]:
-            body = "\n".join(c)
-            if sum(bool(solid(x)) for x in c) > 1 and body in seen:
-                continue
-            if sum(bool(solid(x)) for x in c) > 1:
-                seen.add(body)
-            kept.append(body)
-        if "\n".join(kept) == text or solid("\n".join(kept)):
-            out.append((d, "\n".join(kept), source))
-    roots = _components([_fingerprint(t, 5) for _, t, _ in out])
-    out = [x for i, x in enumerate(out) if roots[i] == i]
+            docs.append((r.doc_id, "\n".join(x for x in lines if not _fails(x))))
+    return docs
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """All stages by plain means: the rules, repeated runs of two solid lines, all pairs of similarity 0.8, the benchmark's items, the mixture's draws."""
+    import corpus_pipeline
+    from test_recall import _brute_passages, _brute_roots
+
+    docs = _after_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    kept = _brute_passages(docs)
+    left = [(d, kept[d]) for d, t in sorted(docs) if kept[d] == t or kept[d].strip(" \t\n\x0b\x0c\r")]
+    left = [x for i, (x, root) in enumerate(zip(left, _brute_roots([t for _, t in left]))) if root == i]
     items = [decontamination.normalize(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    want = {(d, t) for d, t, _ in out if not any(i in decontamination.normalize(t) for i in items)}
-    got = corpus_pipeline.run(spark, sf_dir)
-    drawn = {(r.doc_id, r.text) for r in got.collect()}
-    assert drawn <= want and len(want) - len(drawn) < len(want) / 2
+    want = {(d, t) for d, t in left if not any(i in decontamination.normalize(t) for i in items)}
     stages = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         stages = stage(spark, stages, sf_dir)
     assert {(r.doc_id, r.text) for r in stages.collect()} == want
     assert stages.columns == spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    draws = {(r.doc_id, r.text): len(r.mix.draws) for r in mixing.mix(stages).collect()}
+    assert got == Counter({k: n for k, n in draws.items() if n})
+
+
+def test_pipeline_over_an_empty_table(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "shard"} <= set(out.columns)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """One id for unlike texts, repeated rows, rows without an id: no component is lost, none stays twice."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (3, b, "y"), (3, b, "y"), (None, c, "z"), (None, c, "z"), (None, a, "z"), (5, None, "n"), (4, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    want = [(1, a), (1, b), (4, ""), (None, c)]
+    for keep in (simhash.keep_one, similarity.keep_one):
+        got = [(r.doc_id, r.text) for r in keep(docs).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and keep(docs).columns == docs.columns
+        assert keep(docs.where("false")).count() == 0
+
+
+def test_tiles_of_a_hot_key_lose_no_link(spark, monkeypatch):
+    rng = random.Random(13)
+    base = rng.getrandbits(38)
+    prints = sorted({base | rng.getrandbits(26) << 38 for _ in range(60)})
+    want = _components(prints)
+    monkeypatch.setattr(simhash, "TILE", 7)
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    roots = {r.node: r.root for r in components.connected_components(edges, Scratch(spark, "t")).collect()}
+    for (i, p), (j, q) in itertools.combinations(enumerate(signed), 2):
+        assert (roots.get(p, p) == roots.get(q, q)) == (want[i] == want[j])
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(1, 700).selectExpr("id * 7919 % 100003 as u", "(id - 1) * 7919 % 100003 as v")
+    nodes = {n * 7919 % 100003 for n in range(700)}
+    got = {r.node: r.root for r in components.connected_components(edges, Scratch(spark, "t")).collect()}
+    assert set(got.values()) == {min(nodes)} and set(got) >= nodes - {min(nodes)}
+
+
+def test_shards_are_written_shuffled(spark, tmp_path):
+    docs = docs_of(spark, [" ".join("w" * 40) for _ in range(200)], ["a", "b"])
+    mixing.write_shards(docs, f"{tmp_path}/out", block_words=100, shard_words=1000)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == mixing.mixture(docs, block_words=100, shard_words=1000).count() and back.select("shard").distinct().count() > 4
+
+
+def test_scratch_needs_a_shared_folder():
+    from trackwell.llm import common
+
+    with pytest.raises(ValueError):
+        common._local_folder("spark://host:7077")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,20 +48,24 @@ def settled(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return out.select(*keep, *[F.col(f"{held}.{n}").alias(n) for n in columns])
 
 
+@lru_cache(maxsize=1)
+def _local_folder(master: str) -> str:
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share.
 
-    The folder is the one named in spark.checkpoint.dir; only where that is unset
-    (tests, local runs) a local one is made. Written tables cut the lineage, survive
+    The folder is the one named in spark.checkpoint.dir. Where that is unset, a local run
+    (tests) makes one of its own, and a cluster is refused, as its machines share no such folder. Written tables cut the lineage, survive
     the loss of executors, and are dropped as soon as a later table replaces them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TRACKWELL_SCRATCH")
-        if not root:
-            root = tempfile.mkdtemp(prefix="spark-")
-            os.environ["TRACKWELL_SCRATCH"] = root
+        root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.conf.get("spark.master"))
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
