@@ -350,6 +350,29 @@ def test_license_automata():
         license_scan.parse("x", "<<opt>>a b")
 
 
+_MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def test_whole_license_texts(spark):
+    texts = [_MIT, _MIT.replace("sublicense, ", ""), _NOTICE, _NOTICE.replace("governing", "on"), _MIT + " " + _NOTICE]
+    got = {r.doc_id: {m.label for m in r.licenses.matches} for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert [sorted(x for x in got[i] if x.endswith(("text", "notice"))) for i in range(5)] == [["mit-text"], [], ["apache-2.0-notice"], [], ["apache-2.0-notice", "mit-text"]]
+    assert "apache" in got[3] and "apache-2.0" in got[3]
+
+
 def test_quality_scores_separate_held_out_labels(spark):
     rng = random.Random(5)
     good = [" ".join("".join(rng.choices("aeioulnrst", k=rng.randint(2, 8))) for _ in range(60)) + "." for _ in range(150)]

@@ -19,6 +19,53 @@ PHRASES = (
     ("apache", "apache license"),
     ("gpl", "general public license"),
 )
+#: Fixed wording of whole license texts: grants, conditions and disclaimers, names replaceable.
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software "
+)
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<any 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<any 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = (
+    "<<any 1>> neither the name of <<any 12>> nor the names of <<opt>>its<</opt>> contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+)
+_BSD_AS_IS = (
+    "this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose "
+    "are disclaimed in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+WHOLE_TEXTS = (
+    ("mit-text", _MIT_GRANT + _AS_IS),
+    ("bsd-2-clause-text", _BSD_TERMS + _BSD_AS_IS),
+    ("bsd-3-clause-text", _BSD_TERMS + _BSD_NAMES + _BSD_AS_IS),
+    ("isc-text", "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+                 "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+                 "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+                 "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+                  "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+                  "<<any 1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+                  "<<any 1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+                  "<<any 1>> this notice may not be removed or altered from any source distribution"),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any 8>> "
+                          "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+                          "see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-notice", "<<opt>>this program is free software<</opt>> you can redistribute it and or modify it under the terms of the gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license as published by the free software foundation "
+                   "either version <<any 1>> of the license or <<opt>>at your option<</opt>> any later version "
+                   "<<any 4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+                   "see the gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license for more details"),
+)
 #: Fixed wording of well-known notices. <<opt>>...<</opt>> may be absent; <<any N>> stands for up to N words.
 TEMPLATES = (
     ("mit", "released under the mit license"),
@@ -41,6 +88,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under <<opt>>a<</opt>> cc by nc <<opt>>license<</opt>> 4 0"),
     ("cc0", "<<opt>>creative commons<</opt>> cc0 1 0 <<opt>>universal<</opt>>"),
     ("proprietary", "copyright <<opt>>c<</opt>> <<any 8>> all rights reserved"),
+    *WHOLE_TEXTS,
 )
 
 
