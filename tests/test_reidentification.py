@@ -49,3 +49,64 @@ def test_tracker_full_uses_embeddings(spark, sf_dir, monkeypatch):
     assert catalog.QUERIES["tracker_full"](spark, sf_dir).count() > 0
     dets, _, known = given[0]
     assert dets.where("embedding is not null").count() > 0 and known.count() > 0
+
+
+def _plain_tracks(dets, scan, known):
+    """The tracker of one video with loops only: dets {frame: [(box, vector)]}, scan [(identity, box)], known {identity: vector}."""
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h) if w > 0 and h > 0 else 0.0
+
+    tracks, out = {}, []
+    for f in range(min(dets), max(dets) + 1):
+        if f % 2 == 0:
+            for i in [i for i, t in tracks.items() if t["age"] > 15]:
+                del tracks[i]
+        for t in tracks.values():
+            t["axes"] = [(x + v, v, p + 2 * q + 4, q + 2) for x, v, p, q in t["axes"]]
+            t["age"] += 1
+        if f % 2 == 0:
+            boxes = dets.get(f, [])
+            order = list(tracks)
+            pairs = [(-overlap(b, [a[0] for a in tracks[i]["axes"]]), d, k) for d, (b, _) in enumerate(boxes) for k, i in enumerate(order)]
+            used, done = set(), set()
+            for s, d, k in sorted(x for x in pairs if -x[0] >= 0.1):
+                if d in used or k in done:
+                    continue
+                used.add(d)
+                done.add(k)
+                t = tracks[order[k]]
+                t["axes"] = [(x + p / (p + 2) * (z - x), v + q / (p + 2) * (z - x), p * (1 - p / (p + 2)), q * (1 - q / (p + 2))) for (x, v, p, q), z in zip(t["axes"], boxes[d][0])]
+                t["age"] = 0
+            for step in ("scan", "vector"):
+                for d, (b, vector) in enumerate(boxes):
+                    if d in used or step == "vector" and (vector is None or b[2] - b[0] < 20 or b[3] - b[1] < 20):
+                        continue
+                    if step == "scan":
+                        found = [(overlap(b, o), -n, i) for n, (i, o) in enumerate(scan) if i not in tracks and overlap(b, o) > 0.15]
+                    else:
+                        found = [(s, -i, i) for i, o in known.items() if i not in tracks and (s := sum(x * y for x, y in zip(vector, o))) > 0.45]
+                    if found:
+                        used.add(d)
+                        tracks[max(found)[2]] = {"axes": [(float(z), 0.0, 10.0, 100.0) for z in b], "age": 0}
+        out += [(f, i, *[round(a[0], 4) for a in t["axes"]]) for i, t in tracks.items()]
+    return out
+
+
+def test_tracker_query_against_plain_loops(spark, sf_dir, monkeypatch):
+    given = []
+    track = tracking.track
+    monkeypatch.setattr(tracking, "track", lambda *a: given.append(a) or track(*a))
+    got = catalog.QUERIES["tracker_full"](spark, sf_dir).collect()
+    box = lambda r: (r.x1, r.y1, r.x2, r.y2)
+    dets, scan, known = ({} for _ in range(3))
+    for r in sorted(given[0][0].collect(), key=lambda r: r.det_id):
+        dets.setdefault(r.video_id, {}).setdefault(r.frame_index, []).append((box(r), r.embedding))
+    for r in sorted(given[0][1].collect(), key=lambda r: r.ord):
+        scan.setdefault(r.video_id, []).append((r.cluster_id, box(r)))
+    for r in given[0][2].collect():
+        known.setdefault(r.video_id, {})[r.cluster_id] = r.embedding
+    want = sorted((v, *row) for v in dets for row in _plain_tracks(dets[v], scan.get(v, []), known.get(v, {})))
+    rows = sorted((r.video_id, r.frame_index, r.cluster_id, r.x1, r.y1, r.x2, r.y2) for r in got)
+    assert [r[:3] for r in rows] == [w[:3] for w in want]
+    assert all(abs(a - b) < 2e-4 for r, w in zip(rows, want) for a, b in zip(r[3:], w[3:]))
