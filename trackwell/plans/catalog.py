@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwell.functions import geometry, naming, vectors
 from trackwell.operators import detection, identity, matching, redaction, sampling, selection, tracking
 from trackwell.plans.sql import SQL
-from trackwell.plans.views import progress, table, view
+from trackwell.plans.views import observations, progress, shared_folder, table, view
+from trackwell.streaming.tracker import track_stream
 
 QUERIES: dict = {}
 
@@ -403,3 +406,26 @@ def override_clear(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("item", F.col("event_id") % 5)
     out = selection.overrides(e, ["user_id"], "item", "event_id", F.col("event_id") % 17 == 0)
     return out.select("user_id", "item", "event_id", F.col("event_type").alias("style"))
+
+
+@query
+def tracker_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The tracks of a stream of detections, whose videos end with their 250th frame; of a video that goes on, all frames but the newest.
+
+    The stream reads the events as they are, so far as they go (available now), and writes to the shared folder.
+    """
+    events = f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream takes no single file
+    seen = observations(spark, stream).withColumn("video_id", F.floor(F.col("frame_index") / 250))
+    own = F.struct("video_id", "det_id", "frame_index", *CORNERS)
+    end = F.struct("video_id", F.lit(-1).cast("long").alias("det_id"), "frame_index", *CORNERS)
+    rows = F.array_compact(F.array(F.when(F.col("observed"), own), F.when(F.col("det_id") % 2000 == 1999, end)))
+    dets = seen.select(F.explode(rows).alias("r")).select("r.*")
+    scan: dict = {}
+    obs = view(spark, d, "obs").where("frame_index % 30 = 0").withColumn("video_id", F.floor(F.col("frame_index") / 250))
+    for r in obs.select("video_id", "obj_id", "det_id", *CORNERS).sort("det_id").collect():
+        scan.setdefault(r.video_id, []).append((r.obj_id, (r.x1, r.y1, r.x2, r.y2)))
+    folder = f"{shared_folder(spark)}/tracks-{uuid.uuid4().hex}"
+    out = track_stream(dets, scan).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(tracking.TRACK_SCHEMA).parquet(f"{folder}/out"), *CORNERS, digits=4)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 BOXES = """
@@ -39,6 +42,23 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def observations(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The view obs of any table or stream of events."""
+    return spark.sql(OBS.replace("FROM events", "FROM {events}"), events=events)
+
+
+@lru_cache(maxsize=1)
+def _local_folder(master: str) -> str:
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a local run without one gets its own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.conf.get("spark.master"))).rstrip("/")
+
+
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress records made from events, see PROGRESS."""
     from trackwell.operators.selection import PHASES
