@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -195,15 +197,23 @@ def assign(cost: list[list[float]]) -> list[tuple[int, int]]:
 
 
 def optimal(costs: DataFrame, by: list[str]) -> DataFrame:
-    """costs(by, row, col, cost), complete in each group -> (by, row, col) of the optimal assignment; a group is one frame."""
-    kinds = {f.name: f.dataType.simpleString() for f in costs.schema.fields}
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="row", columns="col", values="cost")
-        pairs = assign(table.to_numpy().tolist())
-        out = pd.DataFrame({"row": [int(table.index[r]) for r, _ in pairs], "col": [int(table.columns[c]) for _, c in pairs]})
-        for b in reversed(by):
-            out.insert(0, b, group[b].iloc[0])
-        return out
-
-    return costs.groupBy(*by).applyInPandas(solve, ", ".join([*[f"{b} {kinds[b]}" for b in by], "row long", "col long"]))
+    """costs(by, row, col, cost), complete in each group -> (by, row, col, cost) of the optimal assignment.
+
+    A group is one frame, whose costs travel as one list; many frames go to Python in one batch.
+    """
+    kind = "array<struct<row:bigint,col:bigint,cost:double>>"
+
+    @F.arrow_udf(kind)
+    def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for cells in batch:
+                cost = {(c["row"], c["col"]): c["cost"] for c in cells.as_py()}
+                rows, cols = sorted({r for r, _ in cost}), sorted({c for _, c in cost})
+                pairs = assign([[cost.get((r, c), math.nan) for c in cols] for r in rows])
+                out.append([{"row": rows[r], "col": cols[c], "cost": cost[rows[r], cols[c]]} for r, c in pairs])
+            yield pa.array(out, pa.list_(pa.struct([("row", pa.int64()), ("col", pa.int64()), ("cost", pa.float64())])))
+
+    cells = F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("row", "long"), ("col", "long"), ("cost", "double"))]))
+    solved = costs.groupBy(*by).agg(cells.alias("_cells")).select(*by, solve("_cells").alias("_pairs"))
+    return solved.select(*by, F.explode_outer("_pairs").alias("_pair")).select(*by, "_pair.*").where("row is not null")

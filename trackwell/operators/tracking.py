@@ -81,6 +81,8 @@ class Tracker:
     def __post_init__(self):
         self._owners = np.array([i for i, _ in self.scan], dtype=np.int64)
         self._boxes = np.array([b for _, b in self.scan], dtype=np.float64).reshape(-1, 4)
+        self._people = list(self.known)
+        self._vectors = np.array(list(self.known.values()), dtype=np.float64)
 
     def step(self, frame: int, boxes: list[tuple], vectors: list | None = None) -> list[tuple[int, tuple]]:
         """Advances by one frame; boxes, in order, count on detection frames only. -> (identity, box) of every track."""
@@ -101,24 +103,25 @@ class Tracker:
                 taken.add(d)
                 matched.add(k)
                 self.tracks[ids[k]].update(boxes[d])
-        for d, box in enumerate(boxes):  # by a labelled box of the scan that it overlaps most
-            if d not in taken:
-                shared = overlaps(np.array([box], dtype=np.float64), self._boxes)[0]
-                shared[np.isin(self._owners, list(self.tracks))] = 0.0
-                at = int(shared.argmax()) if len(shared) else 0  # the first on ties
-                if len(shared) and shared[at] > SCAN_IOU:
-                    self.tracks[int(self._owners[at])] = Track.at(box)
-                    taken.add(d)
+        free = [d for d in range(len(boxes)) if d not in taken] if len(self.scan) else []
+        shared_by = overlaps(np.array([boxes[d] for d in free], dtype=np.float64).reshape(-1, 4), self._boxes)
+        open_ = ~np.isin(self._owners, ids)
+        for d, shared in zip(free, shared_by):  # by a labelled box of the scan that it overlaps most
+            box, shared = boxes[d], np.where(open_, shared, 0.0)
+            at = int(shared.argmax())  # the first on ties
+            if shared[at] > SCAN_IOU:
+                open_ &= self._owners != self._owners[at]
+                self.tracks[int(self._owners[at])] = Track.at(box)
+                taken.add(d)
         for d, box in enumerate(boxes):  # by the likest identity
             vector = vectors[d] if vectors else None
-            if d in taken or vector is None or box[2] - box[0] < LEAST_SIDE or box[3] - box[1] < LEAST_SIDE:
+            if d in taken or vector is None or not self._people or box[2] - box[0] < LEAST_SIDE or box[3] - box[1] < LEAST_SIDE:
                 continue
-            best, who = COSINE, None
-            for i, other in self.known.items():
-                if i not in self.tracks and (s := sum(x * y for x, y in zip(vector, other))) > best:
-                    best, who = s, i
-            if who is not None:
-                self.tracks[who] = Track.at(box)
+            like = self._vectors @ np.asarray(vector, dtype=np.float64)
+            like = np.where((like > COSINE) & [i not in self.tracks for i in self._people], like, -np.inf)
+            at = int(like.argmax())  # the first on ties
+            if like[at] > COSINE:
+                self.tracks[self._people[at]] = Track.at(box)
         return [(i, t.box) for i, t in self.tracks.items()]
 
 
@@ -127,13 +130,13 @@ TRACK_SCHEMA = "video_id long, frame_index long, cluster_id int, x1 double, y1 d
 
 def track_group(group: pd.DataFrame, tracker: Tracker, frames: range) -> pd.DataFrame:
     """Runs a tracker over the frames of one video; group: det_id, frame_index, corners, maybe embedding."""
-    by_frame = {f: g.sort_values("det_id") for f, g in group.groupby("frame_index")}
+    group = group.sort_values(["frame_index", "det_id"])
+    boxes = list(map(tuple, group[["x1", "y1", "x2", "y2"]].to_numpy(dtype=np.float64).tolist()))
+    vectors = list(group["embedding"]) if "embedding" in group else None
+    at = np.searchsorted(group["frame_index"].to_numpy(), np.arange(frames.start, frames.stop + 1)).tolist()
     out = []
-    for f in frames:
-        own = by_frame.get(f)
-        boxes = [] if own is None else list(own[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-        vectors = None if own is None or "embedding" not in own else list(own["embedding"])
-        out += [(f, i, *box) for i, box in tracker.step(int(f), boxes, vectors)]
+    for f, lo, hi in zip(frames, at, at[1:]):
+        out += [(f, i, *box) for i, box in tracker.step(f, boxes[lo:hi], vectors and vectors[lo:hi])]
     return pd.DataFrame(out, columns=["frame_index", "cluster_id", "x1", "y1", "x2", "y2"])
 
 

@@ -191,7 +191,7 @@ def hungarian_match(spark: SparkSession, d: str) -> DataFrame:
     obs = view(spark, d, "obs").where("observed").select("frame_index", "det_id", F.struct(*CORNERS).alias("b"))
     before = obs.select((F.col("frame_index") + 2).alias("frame_index"), F.col("det_id").alias("row"), F.col("b").alias("a"))
     cost = before.join(obs.withColumnRenamed("det_id", "col"), "frame_index").withColumn("cost", 1 - geometry.iou(F.col("a"), F.col("b"))).drop("a", "b")
-    total = matching.optimal(cost, ["frame_index"]).join(cost, ["frame_index", "row", "col"]).groupBy("frame_index")
+    total = matching.optimal(cost, ["frame_index"]).groupBy("frame_index")
     return rounded(total.agg(F.sum("cost").alias("total"), F.count("*").alias("pairs")), "total")
 
 
