@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql, suffix_dedup
+from trackwell.llm import byte_pairs, decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql, suffix_dedup
 from trackwell.llm.common import bucket_of, table
 
 
@@ -90,6 +90,15 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -102,6 +111,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
     "op10_chunk_dedup": op10_chunk_dedup,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 #: DuckDB SQL by query; a query that SQL can't express is tested against brute force instead.
