@@ -29,9 +29,9 @@ LATER = (
 _L, _N = rf"[\p{{L}}--[{LATER}]]", rf"[\p{{N}}--[{LATER}]]"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:[^\s\p{{L}}\p{{N}}]|[{LATER}])+|\s+(?!\S)|\s+"
 #: Words that a worker remembers (twice as many at most), and the longest of them in characters.
-REMEMBERED, KEPT_CHARS = 500_000, 32
+REMEMBERED, KEPT_CHARS = 250_000, 32
 #: Characters of text that are encoded together, and the longest pieces, in bytes, that are merged side by side in arrays.
-TOGETHER, SIDE_BY_SIDE = 4_000_000, 64
+TOGETHER, SIDE_BY_SIDE = 2_000_000, 64
 #: Bytes of the tokens that are decoded as rows of a table.
 WIDE = 16
 NONE = 1 << 62
@@ -222,7 +222,7 @@ class Codec:
         while low < SIDE_BY_SIDE:
             width = max(4, 2 * low)
             own = np.flatnonzero((lengths > low) & (lengths <= width))
-            for part in np.array_split(own, 1 + len(own) * width // 4_000_000):
+            for part in np.array_split(own, 1 + len(own) * width // 1_000_000):
                 place = np.arange(width)[None, :]
                 inside = place < lengths[part][:, None]
                 at = (starts[part][:, None] + place)[inside]
