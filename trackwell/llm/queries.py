@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import byte_pairs, decontamination, html_extraction, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql, suffix_dedup
+from trackwell.llm import (
+    byte_pairs, decontamination, html_extraction, lexical_search, license_scan, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, sql,
+    suffix_dedup, whitening,
+)
 from trackwell.llm.common import bucket_of, table
 
 
@@ -90,6 +93,14 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -111,8 +122,10 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
     "op10_chunk_dedup": op10_chunk_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_whitening": op12_whitening,
     "op13_byte_pairs": op13_byte_pairs,
 }
 
 #: DuckDB SQL by query; a query that SQL can't express is tested against brute force instead.
-SQL: dict[str, str] = {"op2_license_scan": sql.OP2, "op7_quality_rules": sql.OP7, "op10_line_dedup": sql.OP10, "op10_chunk_dedup": sql.OP10_CHUNKS}
+SQL: dict[str, str] = {"op2_license_scan": sql.OP2, "op7_quality_rules": sql.OP7, "op10_line_dedup": sql.OP10, "op10_chunk_dedup": sql.OP10_CHUNKS, "op11_lexical_search": sql.OP11}
