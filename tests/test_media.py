@@ -10,7 +10,7 @@ from trackwell.functions import pixels
 from trackwell.operators import redaction
 from trackwell.plans import catalog
 from trackwell.plans.views import view
-from trackwell.sources import media
+from trackwell.sources import media, segments
 
 
 def _image(w=20, h=16):
@@ -76,8 +76,8 @@ def test_media_files_to_frames_and_back(spark, tmp_path):
     for r in media.decode_frames(files, decoder, times).collect():
         shown.setdefault(r.path[-6:], []).append(r.frame_index)
     assert {k.strip("/"): sorted(v) for k, v in shown.items()} == {"a.mp4": [0, 1, 12, 24], "b.webm": [0, 1, 2]}
-    media.write_segments(every.where("path like '%a.mp4'"), f"{tmp_path}/out", 10)
-    back = media.read_segments(spark, f"{tmp_path}/out")
+    segments.write_segments(every.where("path like '%a.mp4'"), f"{tmp_path}/out", ["path"], 10)
+    back = segments.read_segments(spark, f"{tmp_path}/out")
     assert [(r.frame_index, r.segment, r.file_name) for r in back.collect()] == [(n, n // 10, f"frame_{n + 1:04d}.jpg") for n in range(25)]
 
 

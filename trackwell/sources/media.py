@@ -1,4 +1,4 @@
-"""Media files as tables: intake and metadata, frames by an injected decoder, frames as segments."""
+"""Media files as tables: intake, metadata, frames of files whose bytes are in rows already, models over batches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME_SCHEMA = "path string, frame_index long, ts_sec double, width int, height int, rgba binary"
-VIDEO_SCHEMA = "path string, duration double, width int, height int, fps double, codec string"
 LARGE_BYTES = 500 * 1024 * 1024
 #: Bytes of frames that go to the JVM in one Arrow batch.
 BATCH_BYTES = 32 * 1024 * 1024
@@ -25,16 +24,22 @@ def media_files(spark: SparkSession, path: str, pattern: str = "*.{mp4,webm,mov}
 
 
 def video_metadata(files: DataFrame, probe: Callable[[bytes], tuple[float, int, int, float, str]]) -> DataFrame:
-    """files(path, file_name, file_size, is_large, content) -> the same without content, and duration, width, height, fps, codec from an injected probe."""
+    """files(path, file_name, file_size, is_large, content) -> the same without content, and duration, width, height, fps, codec from an injected probe.
+
+    Files are read once. trackwell.sources.frames.video_info reads no more of a file than its header.
+    """
+    kept = [c for c in files.columns if c != "content"]
+    names = ("duration", "width", "height", "fps", "codec")
+    kinds = (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [probe(c.as_py()) for c in batch.column("content")]
             columns = list(zip(*found)) or [()] * 5
-            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["path", "duration", "width", "height", "fps", "codec"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*kept, *names])
 
-    return files.drop("content").join(files.select("path", "content").mapInArrow(run, VIDEO_SCHEMA), "path")
+    fields = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
+    return files.select(*kept, "content").mapInArrow(run, f"{fields}, duration double, width int, height int, fps double, codec string")
 
 
 def decode_frames(
@@ -100,16 +105,3 @@ def run_model(frames: DataFrame, model: Callable[[], Callable], schema: str) ->
             yield apply(batch)
 
     return frames.mapInPandas(run, schema)
-
-
-def write_segments(frames: DataFrame, path: str, size: int = 300) -> None:
-    """Output frames by encoding segment, in order within each, with their file names."""
-    out = frames.withColumns({
-        "segment": F.floor(F.col("frame_index") / size), "file_name": F.format_string("frame_%04d.jpg", F.col("frame_index") + 1),
-    })
-    out.repartition("segment").sortWithinPartitions("segment", "frame_index").write.partitionBy("segment").parquet(path)
-
-
-def read_segments(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
-    """The frames of all segments again, in order: segments end to end, ordinals within each."""
-    return spark.read.parquet(path).orderBy(*(by or []), "segment", "frame_index")
