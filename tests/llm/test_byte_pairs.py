@@ -82,6 +82,9 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.text, r.ids, r.decoded, len(r.ids_)) for r in out.collect()), key=repr)
     assert got == sorted([(1, None, 5, "", 0), (2, "", 5, "", 0), (3, "Hello there", 5, "Hello there", 2), (3, "Hello there", 5, "Hello there", 2), (None, "x", None, "x", 1)], key=repr)
     assert byte_pairs.encode(docs.where("false")).collect() == []
+    both = byte_pairs.encode(docs, decoded="text")
+    assert both.columns == ["doc_id", "text", "ids", "ids_", "text_"]
+    assert sorted(((r.doc_id, r.text, r.ids, r.text_, len(r.ids_)) for r in both.collect()), key=repr) == got
 
 
 def test_query_against_library(spark, library):

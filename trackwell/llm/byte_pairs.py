@@ -334,33 +334,43 @@ def _codec(path: str) -> Codec:
         return Codec(file.read())
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with an array of the token ids of the whole text (null and empty texts: none) in a column `ids`, renamed where docs has one.
 
     path names a byte-level vocabulary in JSON, read by the driver and sent to the workers once;
     its size bounds what is sent. Added tokens in a text are found as such. Rows are encoded where
     they are: repeated rows alike, other columns as they were, an empty table stays empty. A piece without
-    a boundary takes n log n steps, however long.
+    a boundary takes n log n steps, however long. Where `decoded` names a column, it gets what `decode` makes of the ids, without
+    their way to another worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_codec(path or vocabulary_path()))
+    both = decoded is not None
 
-    @F.arrow_udf("array<int>")
+    def column(codec: Codec, texts: list[str]) -> pa.Array:
+        found = codec.encode_all(texts)
+        ends = np.cumsum([0, *map(len, found)])
+        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+        return pa.StructArray.from_arrays([out, pa.array(map(codec.decode, found), pa.string())], ["ids", "decoded"]) if both else out
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>" if both else "array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.value
         for batch in batches:
-            found, held, size = [], [], 0
+            held, size = [], 0
             for t in batch:
                 held.append(t.as_py() or "")
                 size += len(held[-1])
                 if size >= TOGETHER:
-                    found += codec.encode_all(held)
+                    yield column(codec, held)
                     held, size = [], 0
-            found += codec.encode_all(held)
-            ends = np.cumsum([0, *map(len, found)])
-            values = np.concatenate([*found, np.empty(0, np.int32)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-
-    return docs.withColumn(free_name(docs, ids), run(text))
+            yield column(codec, held)
+
+    name = free_name(docs, ids)
+    out = docs.withColumn(name, run(text))
+    if both:
+        kept = [F.col(f"`{c}`") for c in docs.columns]
+        out = out.select(*kept, F.col(f"{name}.ids").alias(name), F.col(f"{name}.decoded").alias(free_name(out, decoded)))
+    return out
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:

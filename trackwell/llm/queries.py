@@ -102,7 +102,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
