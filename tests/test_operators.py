@@ -79,14 +79,11 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     obs = view(spark, sf_dir, "obs").withColumn("video_id", F.floor(F.col("frame_index") / 50))
     scan = obs.where("frame_index % 30 = 0").select("video_id", F.col("obj_id").alias("cluster_id"), F.col("det_id").alias("ord"), *geometry.CORNERS)
     dets = obs.where("observed").select("video_id", "det_id", "frame_index", *geometry.CORNERS)
-    known: dict = {}
-    for r in scan.orderBy("ord").collect():
-        known.setdefault(r.video_id, []).append((r.cluster_id, (r.x1, r.y1, r.x2, r.y2)))
     ends = dets.groupBy("video_id").agg(F.lit(-1).cast("long").alias("det_id"), F.max("frame_index").alias("frame_index"), *[F.lit(0.0).alias(c) for c in geometry.CORNERS])
     for n, part in enumerate([dets.where("frame_index % 50 < 17"), dets.where("frame_index % 50 >= 17"), ends]):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
         stream = spark.readStream.schema(part.schema).parquet(f"{tmp_path}/in/*")
-        track_stream(stream, known).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        track_stream(stream, scan).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     key = lambda df: sorted(tuple(round(v, 6) for v in r) for r in df.collect())
     assert key(spark.read.parquet(f"{tmp_path}/out")) == key(tracking.track(dets, scan))
 

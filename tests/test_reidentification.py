@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from trackwell.functions import geometry
@@ -36,19 +39,64 @@ def test_a_vector_brings_a_streamed_track_back(spark, tmp_path):
     for n, part in enumerate([dets.where("frame_index < 4"), dets.where("frame_index >= 4"), ends]):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
         stream = spark.readStream.schema(part.schema).parquet(f"{tmp_path}/in/*")
-        out = track_stream(stream, {1: [(3, (0.0, 0.0, 50.0, 50.0))]}, {1: {7: [0.0, 1.0], 3: [0.6, 0.8]}})
+        out = track_stream(stream, scan, known)
         out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(spark.read.parquet(f"{tmp_path}/out")) == key(tracking.track(dets, scan, known))
 
 
-def test_tracker_full_uses_embeddings(spark, sf_dir, monkeypatch):
-    given = []
-    track = tracking.track
-    monkeypatch.setattr(tracking, "track", lambda *a: given.append(a) or track(*a))
-    assert catalog.QUERIES["tracker_full"](spark, sf_dir).count() > 0
-    dets, _, known = given[0]
-    assert dets.where("embedding is not null").count() > 0 and known.count() > 0
+def test_abandoned_videos_end_and_late_frames_are_told(spark, tmp_path):
+    """A pause of over a second ends video 1 with its newest frame; a frame before that one is an error, or left out."""
+    dets, scan, known = _tables(spark)
+
+    def streamed(part, n, folder, **how):
+        part.coalesce(1).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in/*")
+        return track_stream(stream, scan, known, **how).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+
+    def arrive(*args, **how):
+        streamed(*args, **how).trigger(availableNow=True).start().awaitTermination(60)
+
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(tracking.track(dets.where("video_id = 1"), scan, known))
+    running = streamed(dets.where("video_id = 1"), 0, tmp_path, idle_ms=1000).trigger(processingTime="500 milliseconds").start()
+    try:
+        until, got = time.time() + 60, []
+        while got != want and time.time() < until:
+            time.sleep(1)
+            got = key(spark.read.schema(tracking.TRACK_SCHEMA).parquet(f"{tmp_path}/out")) if (tmp_path / "out").exists() else []
+    finally:
+        running.stop()
+    assert got == want
+    for how in ("drop", "error"):
+        folder = tmp_path / how
+        arrive(dets.where("video_id = 1"), 0, folder, late=how)
+        late = dets.where("det_id = 2")
+        if how == "error":
+            with pytest.raises(Exception, match="came after frame"):
+                arrive(late, 1, folder, late=how)
+        else:
+            arrive(late, 1, folder, late=how)
+            assert spark.read.parquet(f"{folder}/out").agg(F.max("frame_index")).first()[0] == 5
+    with pytest.raises(ValueError):
+        track_stream(dets, scan, late="perhaps")
+
+
+def test_identities_of_all_videos(spark, monkeypatch):
+    """Vectors without a video serve every one, up to a checked size."""
+    dets, scan, known = _tables(spark)
+    own = known.drop("video_id")
+    each = dets.select("video_id").distinct().crossJoin(own)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(tracking.track(dets, scan, own)) == key(tracking.track(dets, scan, each))
+    monkeypatch.setattr(tracking, "PEOPLE_BYTES", 10)
+    with pytest.raises(ValueError):
+        tracking.track(dets, scan, own)
+
+
+def test_embeddings_decide_in_the_query(spark, sf_dir):
+    dets, scan, known = catalog._faces(spark, sf_dir)
+    assert tracking.track(dets, scan).count() < tracking.track(dets, scan, known).count()
 
 
 def _plain_tracks(dets, scan, known):
@@ -104,9 +152,9 @@ def test_tracker_query_against_plain_loops(spark, sf_dir, monkeypatch):
         dets.setdefault(r.video_id, {}).setdefault(r.frame_index, []).append((box(r), r.embedding))
     for r in sorted(given[0][1].collect(), key=lambda r: r.ord):
         scan.setdefault(r.video_id, []).append((r.cluster_id, box(r)))
-    for r in given[0][2].collect():
-        known.setdefault(r.video_id, {})[r.cluster_id] = r.embedding
-    want = sorted((v, *row) for v in dets for row in _plain_tracks(dets[v], scan.get(v, []), known.get(v, {})))
+    for r in sorted(given[0][2].collect()):
+        known[r.cluster_id] = r.embedding
+    want = sorted((v, *row) for v in dets for row in _plain_tracks(dets[v], scan.get(v, []), known))
     rows = sorted((r.video_id, r.frame_index, r.cluster_id, r.x1, r.y1, r.x2, r.y2) for r in got)
     assert [r[:3] for r in rows] == [w[:3] for w in want]
     assert all(abs(a - b) < 2e-4 for r, w in zip(rows, want) for a, b in zip(r[3:], w[3:]))

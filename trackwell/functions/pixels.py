@@ -88,9 +88,12 @@ def redacted(rgba: np.ndarray, style: str, x: float, y: float, w: float, h: floa
         out[inside_bar(rgba.shape[1], rgba.shape[0], x, y, w, h, radius), :3] = 0
         return out
     x, y, w, h = int(x), int(y), int(w), int(h)
-    part = rgba[y : y + h, x : x + w]
-    for top in range(0, part.shape[0], block):
-        for left in range(0, part.shape[1], block):
-            own = part[top : top + block, left : left + block, :3]
-            out[y + top : y + top + own.shape[0], x + left : x + left + own.shape[1], :3] = own.mean(axis=(0, 1)).astype(rgba.dtype)
+    part = rgba[y : y + h, x : x + w, :3]
+    if not part.size:
+        return out
+    rows, columns = np.arange(0, part.shape[0], block), np.arange(0, part.shape[1], block)
+    tall, wide = np.diff([*rows, part.shape[0]]), np.diff([*columns, part.shape[1]])
+    sums = np.add.reduceat(np.add.reduceat(part, rows, axis=0, dtype=np.int64), columns, axis=1)
+    means = sums // (tall[:, None] * wide[None, :])[..., None]
+    out[y : y + h, x : x + w, :3] = np.repeat(np.repeat(means, tall, axis=0), wide, axis=1)
     return out

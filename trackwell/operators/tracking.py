@@ -140,14 +140,29 @@ def track_group(group: pd.DataFrame, tracker: Tracker, frames: range) -> pd.Data
     return pd.DataFrame(out, columns=["frame_index", "cluster_id", "x1", "y1", "x2", "y2"])
 
 
+#: Bytes of identities' vectors that may serve all videos at once.
+PEOPLE_BYTES = 64_000_000
+
+
+def shared_people(known: DataFrame) -> dict[int, list[float]]:
+    """known(cluster_id, embedding) of all videos, for each task; refused beyond PEOPLE_BYTES, where each video must have its own."""
+    own = known.where("embedding is not null").select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    if (own.agg(F.sum(F.size("vector") * F.lit(8) + F.lit(32)).alias("bytes")).first()["bytes"] or 0) > PEOPLE_BYTES:
+        raise ValueError("too many identities for all videos: give known a video_id")
+    return {r.cluster_id: list(r.vector) for r in own.collect()}
+
+
 def track(detections: DataFrame, scan: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """detections(video_id, det_id, frame_index, corners, maybe embedding), scan(video_id, cluster_id, ord, corners) -> a row for each track and frame.
 
     known(video_id, cluster_id, embedding), unit vectors of each video's identities, brings back
-    faces by their embedding that overlap no box of the scan; the smaller cluster_id wins ties. Identities of a video depend on each other, so a video is one task's group; videos run in
+    faces by their embedding that overlap no box of the scan; the smaller cluster_id wins ties. known without video_id serves
+    all videos and goes to every task, up to PEOPLE_BYTES. Identities of a video depend on each other, so a video is one task's group; videos run in
     parallel. Frames run from the first detection's to the last one's.
     """
 
+    people = shared_people(known) if known is not None and "video_id" not in known.columns else {}
+
     def run(key, boxes: pd.DataFrame, labelled: pd.DataFrame) -> pd.DataFrame:
         if boxes.empty:
             return pd.DataFrame(columns=["video_id", "frame_index", "cluster_id", "x1", "y1", "x2", "y2"])
@@ -155,7 +170,7 @@ def track(detections: DataFrame, scan: DataFrame, known: DataFrame | None = None
         vectors = labelled[labelled["vector"].notna()].sort_values("cluster_id")
         tracker = Tracker(
             scan=[(int(r.cluster_id), (r.left, r.top, r.right, r.bottom)) for r in rows.itertuples()],
-            known={int(r.cluster_id): list(r.vector) for r in vectors.itertuples()},
+            known=dict(sorted({**people, **{int(r.cluster_id): list(r.vector) for r in vectors.itertuples()}}.items())),
         )
         out = track_group(boxes, tracker, range(int(boxes["frame_index"].min()), int(boxes["frame_index"].max()) + 1))
         out.insert(0, "video_id", key[0])
@@ -164,7 +179,7 @@ def track(detections: DataFrame, scan: DataFrame, known: DataFrame | None = None
     # New names: both sides may come from one table, and a cogroup mixes up equal columns.
     corners = [F.col(c).alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), ("left", "top", "right", "bottom"))]
     scan = scan.select(F.col("video_id").alias("video"), "cluster_id", "ord", *corners, F.lit(None).cast("array<double>").alias("vector"))
-    if known is not None:
+    if known is not None and "video_id" in known.columns:
         own = known.where("embedding is not null").select(F.col("video_id").alias("video"), "cluster_id", F.col("embedding").cast("array<double>").alias("vector"))
         scan = scan.unionByName(own, allowMissingColumns=True)
     return detections.groupBy("video_id").cogroup(scan.groupBy("video")).applyInPandas(run, TRACK_SCHEMA)

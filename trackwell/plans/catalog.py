@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from trackwell.functions import geometry, naming, vectors
 from trackwell.operators import detection, identity, matching, redaction, sampling, selection, tracking
 from trackwell.plans.sql import SQL
-from trackwell.plans.views import observations, progress, shared_folder, table, view
-from trackwell.streaming.tracker import track_stream
+from trackwell.plans.views import progress, shared_folder, table, view
+from trackwell.streaming import tracker as tracking_stream
 
 QUERIES: dict = {}
 
@@ -172,17 +172,28 @@ def track_expiry(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("alive", F.col("since") <= tracking.MAX_AGE + 2)
 
 
-@query
-def tracker_full(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks over detections, scan and embeddings: vec_id is the detection's, and the centroid of a label is the identity's vector."""
+def _faces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Detections with embeddings, labelled boxes of the scan, and the identities' vectors.
+
+    An object's embedding is its label's centroid, mixed with the vector whose vec_id is the detection's, where there is one. The scan of each video leaves out
+    two of the eight objects, which only their embedding can bring in.
+    """
     obs = view(spark, d, "obs").withColumn("video_id", F.floor(F.col("frame_index") / 250))
-    scan = obs.where("frame_index % 30 = 0").select("video_id", F.col("obj_id").alias("cluster_id"), F.col("det_id").alias("ord"), *CORNERS)
+    labelled = obs.where("frame_index % 30 = 0 and (obj_id + video_id) % 4 <> 3")
+    scan = labelled.select("video_id", F.col("obj_id").alias("cluster_id"), F.col("det_id").alias("ord"), *CORNERS)
     v = table(spark, d, "embeddings")
-    faces = v.select(F.col("vec_id").alias("det_id"), vectors.normalized(F.col("embedding")).alias("embedding"))
-    dets = obs.where("observed").select("video_id", "det_id", "frame_index", *CORNERS).join(faces, "det_id", "left")
     people = identity.centroids(v, "label").select(F.col("label").cast("int").alias("cluster_id"), "embedding")
-    known = obs.select("video_id").distinct().crossJoin(F.broadcast(people))
-    return rounded(tracking.track(dets, scan, known), *CORNERS, digits=4)
+    own = v.select(F.col("vec_id").alias("det_id"), vectors.normalized(F.col("embedding")).alias("own"))
+    mixed = F.zip_with("embedding", "own", lambda a, b: a + b * 0.5)
+    dets = obs.where("observed").join(people.withColumnRenamed("cluster_id", "obj_id"), "obj_id", "left").join(own, "det_id", "left")
+    face = vectors.normalized(F.coalesce(mixed, F.col("embedding")))
+    return dets.select("video_id", "det_id", "frame_index", *CORNERS, face.alias("embedding")), scan, people
+
+
+@query
+def tracker_full(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks over detections, scan and embeddings, see _faces."""
+    return rounded(tracking.track(*_faces(spark, d)), *CORNERS, digits=4)
 
 
 @query
@@ -410,22 +421,20 @@ def override_clear(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tracker_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The tracks of a stream of detections, whose videos end with their 250th frame; of a video that goes on, all frames but the newest.
+    """`tracker_full` as a stream: a third of each video's frames arrive at a time, and the query stops and starts again in between; videos end with their 250th frame.
 
-    The stream reads the events as they are, so far as they go (available now), and writes to the shared folder.
+    Of a video that goes on, all frames but the newest. Detections, state and tracks are in the shared folder.
     """
-    events = f"{d}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream takes no single file
-    seen = observations(spark, stream).withColumn("video_id", F.floor(F.col("frame_index") / 250))
-    own = F.struct("video_id", "det_id", "frame_index", *CORNERS)
-    end = F.struct("video_id", F.lit(-1).cast("long").alias("det_id"), "frame_index", *CORNERS)
-    rows = F.array_compact(F.array(F.when(F.col("observed"), own), F.when(F.col("det_id") % 2000 == 1999, end)))
-    dets = seen.select(F.explode(rows).alias("r")).select("r.*")
-    scan: dict = {}
-    obs = view(spark, d, "obs").where("frame_index % 30 = 0").withColumn("video_id", F.floor(F.col("frame_index") / 250))
-    for r in obs.select("video_id", "obj_id", "det_id", *CORNERS).sort("det_id").collect():
-        scan.setdefault(r.video_id, []).append((r.obj_id, (r.x1, r.y1, r.x2, r.y2)))
+    dets, scan, people = _faces(spark, d)
     folder = f"{shared_folder(spark)}/tracks-{uuid.uuid4().hex}"
-    out = track_stream(dets, scan).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-    out.trigger(availableNow=True).start().awaitTermination()
+    last = F.col("frame_index") % 250 == 249
+    end = view(spark, d, "obs").where(last & (F.col("obj_id") == 0)).select(
+        F.floor(F.col("frame_index") / 250).alias("video_id"), F.lit(-1).cast("long").alias("det_id"), "frame_index", *CORNERS, F.lit(None).cast("array<double>").alias("embedding"),
+    )
+    rows = dets.unionByName(end)
+    for k in range(3):
+        rows.where(F.floor(F.col("frame_index") % 250 / 84) == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        out = tracking_stream.track_stream(stream, scan, people).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.schema(tracking.TRACK_SCHEMA).parquet(f"{folder}/out"), *CORNERS, digits=4)

@@ -42,11 +42,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def observations(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The view obs of any table or stream of events."""
-    return spark.sql(OBS.replace("FROM events", "FROM {events}"), events=events)
-
-
 @lru_cache(maxsize=1)
 def _local_folder(master: str) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
