@@ -1,6 +1,7 @@
 """Recall on planted cases and against brute force over all pairs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,36 @@ def test_pages_null_empty_repeated_and_none(spark):
     assert [b for d, b in got if d in (1, 2, 3)] == [[], [], []] and got[0] == (0, [_LONG[0]])
     assert got[-1] == got[-2] and set(_LONG) <= set(got[-1][1])
     assert html_extraction.extract(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("before, after", [("", ""), ("<h1>A title of some words</h1>", ""), ("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"),
+    ("<nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav>", "<footer>&copy; 2020 Someone</footer>")])
+def test_articles_in_bare_bodies_and_shells(before, after):
+    """Every paragraph stays, be there three or a thousand, with or without an element around them."""
+    rng = random.Random(3)
+    words = "the council has voted to open a new park near the river after long debate among residents who asked for more green space".split()
+    for n in (3, 10, 30, 100, 1000):
+        said = [f"Number {k} {' '.join(rng.choices(words, k=rng.randint(12, 60)))}." for k in range(n)]
+        page = f"<html><head><title>t</title></head><body>{before}{''.join(f'<p>{t}</p>' for t in said)}{after}</body></html>"
+        found = html_extraction.main_blocks([page], html_extraction.trained())[0]
+        assert [t for t in found if t.startswith("Number")] == said
+        assert not {"Home", "About", "© 2020 Someone"} & set(found)
+
+
+def test_hidden_inline_elements_and_details():
+    texts = lambda html: [t for _, t in html_extraction.parse(html)[1]]
+    assert texts('<p>a <span style="display: none">gone</span> b</p>') == ["a b"]
+    assert texts("<p>x <b hidden>no<p>y") == ["x", "y"]
+    body = "<h1>News of today</h1><p>Paragraph one of an article that has a number of words, as usual.</p><details><summary>More</summary><p>A paragraph inside, of some words too.</p></details>"
+    found = html_extraction.main_blocks([f"<html><body><article>{body}</article></body></html>"], html_extraction.trained())[0]
+    assert "A paragraph inside, of some words too." in found
+
+
+@pytest.mark.parametrize("close", ["", "</div>"])
+def test_hidden_nesting_takes_time_in_proportion(close):
+    spent = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert html_extraction.parse("<div hidden>" + "<div>" * n + "x" + close * n + "</div><p>seen")[1][-1:] == ([(1, "seen")] if close else [])
+        spent.append(time.process_time() - began)
+    assert spent[1] < 8 * spent[0] + 0.5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style template noscript title head svg annotation annotation-xml iframe object audio video canvas select datalist textarea".split())
 KINDS = (
     ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("nav",), ("aside",), ("header",), ("footer",),
-    ("form", "fieldset", "button", "dialog"), ("section",), ("article", "main"), ("div", "center"), ("table", "tbody", "thead", "tr", "td", "th"),
+    ("form", "fieldset", "button", "dialog"), ("section",), ("article", "main"), ("div", "center", "details", "summary"), ("table", "tbody", "thead", "tr", "td", "th"),
     ("blockquote", "pre", "figure", "figcaption"), ("body", "html"),
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -64,6 +65,30 @@ class Node:
     inputs: int = 0
 
 
+class _Hidden(list):
+    """The tags of hidden elements, outermost first, with their counts, so that no tag of a page walks over all of them."""
+
+    def __init__(self):
+        super().__init__()
+        self.counts: Counter = Counter()
+
+    def append(self, tag: str) -> None:
+        super().append(tag)
+        self.counts[tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Leaves the outermost `at` elements."""
+        while len(self) > at:
+            self.counts[self.pop()] -= 1
+
+    def innermost(self, tag: str) -> int:
+        return next(n for n in range(len(self) - 1, -1, -1) if self[n] == tag) if self.counts[tag] else -1
+
+    @property
+    def has_blocks(self) -> bool:
+        return any(n for t, n in self.counts.items() if t not in INLINE and t not in UNSEEN)
+
+
 class _Tree(HTMLParser):
     """Block-level nodes in page order, and runs of text that each belong to one of them."""
 
@@ -73,7 +98,7 @@ class _Tree(HTMLParser):
         self.open: list[tuple[str, int]] = [("html", 0)]
         self.runs: list[tuple[int, list[str]]] = []
         self.link = self.nodes_then = 0
-        self.hidden_by: list[str] = []
+        self.hidden_by = _Hidden()
 
     @property
     def here(self) -> int:
@@ -88,15 +113,14 @@ class _Tree(HTMLParser):
         """Whether a start tag ends what is hidden, whose own end tag was left out; hidden elements inside it that the tag ends are closed."""
         hidden = self.hidden_by
         if hidden[0] == "head" and (tag == "body" or len(hidden) == 1 and tag not in IN_HEAD and tag != "head"):
-            hidden.clear()
-        elif hidden[0] == "svg" and tag in BREAKOUT and not any(t in ("foreignobject", "desc", "title", "annotation-xml") for t in hidden):
-            hidden.clear()
+            hidden.cut(0)
+        elif hidden[0] == "svg" and tag in BREAKOUT and not any(hidden.counts[t] for t in ("foreignobject", "desc", "title", "annotation-xml")):
+            hidden.cut(0)
         elif tag not in INLINE and tag not in UNSEEN and (tag not in VOID or tag == "hr"):  # as visible elements end each other
-            chain = [*(t for t, _ in self.open), *hidden]
-            for n in range(len(chain) - 1, 0, -1):
-                other = chain[n]
+            for n in range(len(self.open) + len(hidden) - 1, 0, -1):
+                other = hidden[n - len(self.open)] if n >= len(self.open) else self.open[n][0]
                 if other in CLOSES.get(tag, ()) or other == "p":
-                    del hidden[max(0, n - len(self.open)) :]
+                    hidden.cut(max(0, n - len(self.open)))
                     if tag not in CLOSES:
                         break
                 elif other in UNSEEN or other not in INLINE and (tag not in CLOSES or other in ("ul", "ol", "dl", "table", "div", "section")):
@@ -127,7 +151,11 @@ class _Tree(HTMLParser):
             elif tag == "input":
                 self.nodes[self.here].inputs += 1
             return
+        unseen = any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
         if tag in INLINE:
+            if unseen:
+                self.hidden_by.append(tag)
+                return
             self.link += tag == "a"
             self.open.append((tag, self.here))
             return
@@ -147,7 +175,7 @@ class _Tree(HTMLParser):
         for w in words:
             if w in _TOKEN_GROUP:
                 marks |= 1 << _TOKEN_GROUP[w]
-        if any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs):
+        if unseen:
             self.hidden_by.append(tag)
             return
         self.nodes.append(Node(tag, self.here, self.nodes[self.here].depth + 1, marks))
@@ -155,13 +183,13 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.hidden_by:
-            if tag in self.hidden_by:
-                del self.hidden_by[len(self.hidden_by) - 1 - self.hidden_by[::-1].index(tag) :]
+            if (at := self.hidden_by.innermost(tag)) >= 0:
+                self.hidden_by.cut(at)
                 return
-            blocked = tag in INLINE and any(t not in INLINE and t not in UNSEEN for t in self.hidden_by)
+            blocked = tag in INLINE and self.hidden_by.has_blocks
             if blocked or tag not in ("html", "body") and all(t != tag for t, _ in self.open):
                 return
-            self.hidden_by.clear()  # an ancestor ends, and what is hidden with it
+            self.hidden_by.cut(0)  # an ancestor ends, and what is hidden with it
         if tag in ("html", "body"):
             return
         for n in range(len(self.open) - 1, 0, -1):
@@ -173,7 +201,7 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.hidden_by == ["head"] and data.strip():
-            self.hidden_by.clear()
+            self.hidden_by.cut(0)
         if self.hidden_by or not data:
             return
         if not self.runs or self.runs[-1][0] != self.here or self.nodes_then != len(self.nodes):
@@ -367,32 +395,36 @@ def _junk(rng: random.Random) -> str:
     return out.replace("</X>", f"</{re.match(r'<(\w+)', out)[1]}>")
 
 
+def _block(rng: random.Random) -> str:
+    """A block of an article."""
+    text = _words(rng, 1, 90)
+    if rng.random() < 0.3:
+        text = text.replace(" ", f' <a href="#">{_words(rng, 1, 3)}</a> ', rng.randint(1, 3))
+    kind = rng.random()
+    if kind < 0.66:
+        return rng.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><em>{text}</em></p>"))
+    if kind < 0.76:
+        return f"<h2>{_words(rng, 1, 8)}</h2>"
+    if kind < 0.84:
+        return "<ul>" + "".join(f"<li>{_words(rng, 2, 25)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
+    if kind < 0.89:
+        return f"<blockquote><p>{text}</p></blockquote>"
+    if kind < 0.92:
+        return "<table>" + "".join(f"<tr><td>{_words(rng, 1, 5)}</td><td>{_words(rng, 1, 5)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+    if kind < 0.95:
+        return f'<figure><img src="x.png"><figcaption>{_words(rng, 2, 15)}</figcaption></figure>'
+    if kind < 0.97:
+        return f"<details><summary>{_words(rng, 1, 6)}</summary><p>{text}</p></details>"
+    return f"<div>{text}</div>"
+
+
 def training_page(rng: random.Random) -> str:
     """A made-up page; wanted text stands in elements with data-want, and only there."""
-    def block() -> str:
-        text = _words(rng, 1, 90)
-        if rng.random() < 0.3:
-            text = text.replace(" ", f' <a href="#">{_words(rng, 1, 3)}</a> ', rng.randint(1, 3))
-        kind = rng.random()
-        if kind < 0.68:
-            return rng.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><em>{text}</em></p>"))
-        if kind < 0.78:
-            return f"<h2>{_words(rng, 1, 8)}</h2>"
-        if kind < 0.86:
-            return "<ul>" + "".join(f"<li>{_words(rng, 2, 25)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
-        if kind < 0.91:
-            return f"<blockquote><p>{text}</p></blockquote>"
-        if kind < 0.94:
-            return "<table>" + "".join(f"<tr><td>{_words(rng, 1, 5)}</td><td>{_words(rng, 1, 5)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
-        if kind < 0.97:
-            return f'<figure><img src="x.png"><figcaption>{_words(rng, 2, 15)}</figcaption></figure>'
-        return f"<div>{text}</div>"
-
     title = _words(rng, 1, 12)
     heading = f"<h1>{title}</h1>"
     if rng.random() < 0.3:
         heading = f"<header>{heading}" + (f"<p>{_words(rng, 2, 12)}</p>" if rng.random() < 0.5 else "") + "</header>"
-    blocks = [block() for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14)))]
+    blocks = [_block(rng) for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14)))]
     article = heading * (rng.random() < 0.9) + "".join(blocks)
     inner = [_junk(rng) for _ in range(rng.choice((0, 0, 0, 1, 2)))]  # junk inside the article
     cut = rng.randint(0, len(blocks))
@@ -411,6 +443,23 @@ def training_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body><script>var a='</p>';</script>{top}{before}{page}{after}{foot}</body></html>"
 
 
+def _bare_page(rng: random.Random) -> str:
+    """A made-up page whose article has no element of its own: its blocks, one to hundreds, stand in the body beside what isn't wanted. <w> marks them."""
+    size = rng.choice((1, 2, 3, 3, 4, 6, 10, 18, 30, 60, 120, 250))
+    plain = rng.random() < 0.5
+    blocks = [f"<p>{_words(rng, 6, 90)}</p>" if plain else _block(rng) for _ in range(size)]
+    if rng.random() < 0.7:
+        blocks.insert(0, f"<h1>{_words(rng, 1, 12)}</h1>")
+    junk = rng.random() < 0.65
+    some = lambda most: "".join(_junk(rng) for _ in range(rng.randint(0, most))) if junk else ""
+    cut = rng.randint(0, len(blocks))
+    middle = some(1) if rng.random() < 0.3 else ""
+    top = f"<header><a href='/'>{_words(rng, 1, 3)}</a></header>" if junk and rng.random() < 0.4 else ""
+    foot = rng.choice((f"<footer>&copy; {_words(rng, 2, 25)}</footer>", f"<footer><p>{_words(rng, 2, 25)}</p></footer>", f"<hr><p><small>&copy; {_words(rng, 1, 6)}</small></p>")) if junk and rng.random() < 0.6 else ""
+    article = f"<w>{''.join(blocks[:cut])}</w>{middle}<w>{''.join(blocks[cut:])}</w>"
+    return f"<html><head><title>x</title></head><body>{top}{some(2)}{article}{some(3)}{foot}</body></html>"
+
+
 def _plain_page(rng: random.Random) -> str:
     """A made-up page of bare divs with generated class names, as site builders make them: only density, links, place and kin tell parts apart."""
     def name() -> str:
@@ -453,31 +502,31 @@ def _plain_page(rng: random.Random) -> str:
 
 
 class _Wanted(_Tree):
-    """Also tells which nodes stand in wanted parts; <z> marks junk inside them."""
+    """Also tells which nodes stand in wanted parts; <z> marks junk inside them, <w> wanted parts that no element holds."""
 
     def __init__(self):
         super().__init__()
         self.wanted: dict[int, bool] = {0: False}
 
     def handle_starttag(self, tag, attrs):
-        if tag == "z":
-            self.open.append(("z", self.here))
+        if tag in ("z", "w"):
+            self.open.append((tag, self.here))
             return
         n = len(self.nodes)
         super().handle_starttag(tag, attrs)
         if len(self.nodes) > n:
-            inside = self.wanted[self.nodes[n].parent] or any(k == "data-want" for k, _ in attrs)
+            inside = self.wanted[self.nodes[n].parent] or any(k == "data-want" for k, _ in attrs) or any(t == "w" for t, _ in self.open)
             self.wanted[n] = inside and not any(t == "z" for t, _ in self.open)
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 700, plain: int = 450, seed: int = SEED) -> BoostedTrees:
-    """The model, fitted on made-up pages, of which `plain` are of bare divs: a node is kept if it lies in the article or holds it."""
+def trained(pages: int = 700, plain: int = 450, bare: int = 250, seed: int = SEED) -> BoostedTrees:
+    """The model, fitted on made-up pages, besides `plain` of bare divs and `bare` of bare bodies: a node is kept if it lies in the article or holds it."""
     rng = random.Random(seed)
     xs, ys = [], []
-    for n in range(pages + plain):
+    for make in [training_page] * pages + [_plain_page] * plain + [_bare_page] * bare:
         tree = _Wanted()
-        tree.feed(training_page(rng) if n < pages else _plain_page(rng))
+        tree.feed(make(rng))
         tree.close()
         blocks = [(n, _SPACE.sub(" ", "".join(t)).strip()) for n, t in tree.runs]
         keep = np.array([tree.wanted[i] for i in range(len(tree.nodes))])
