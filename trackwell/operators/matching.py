@@ -24,17 +24,19 @@ def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str], least: float = 0.0)
     ).where(F.col("iou") > least)
 
 
+def spread_by_cell(boxes: DataFrame, by: list[str], name: str, cell: int, more: tuple[str, ...] = (), margin: float = 0.0) -> DataFrame:
+    """boxes as a struct `name`, once for each grid cell (cx, cy) that they, grown by a margin at their far edges, touch."""
+    index = lambda c: F.floor(c / cell)
+    return (
+        boxes.select(*by, F.struct("det_id", *CORNERS, *more).alias(name), F.explode(F.sequence(index(F.col("x1")), index(F.col("x2") + margin))).alias("cx"), index(F.col("y1")).alias("t"), index(F.col("y2") + margin).alias("e"))
+        .select(*by, name, "cx", F.explode(F.sequence("t", "e")).alias("cy"))
+    )
+
+
 def overlap_pairs_by_cell(a: DataFrame, b: DataFrame, by: list[str], least: float = 0.0, cell: int = 128) -> DataFrame:
     """The same pairs for crowded groups: boxes meet by grid cell, and count in the cell where their intersection begins."""
-    def spread(boxes: DataFrame, name: str) -> DataFrame:
-        index = lambda c: F.floor(F.col(c) / cell)
-        return (
-            boxes.select(*by, F.struct("det_id", *CORNERS).alias(name), F.explode(F.sequence(index("x1"), index("x2"))).alias("cx"), index("y1").alias("t"), index("y2").alias("e"))
-            .select(*by, name, "cx", F.explode(F.sequence("t", "e")).alias("cy"))
-        )
-
     first = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell)
-    return spread(a, "a").join(spread(b, "b"), [*by, "cx", "cy"]).where((F.col("cx") == first("x1")) & (F.col("cy") == first("y1"))).select(
+    return spread_by_cell(a, by, "a", cell).join(spread_by_cell(b, by, "b", cell), [*by, "cx", "cy"]).where((F.col("cx") == first("x1")) & (F.col("cy") == first("y1"))).select(
         *by, F.col("a.det_id").alias("det_a"), F.col("b.det_id").alias("det_b"), iou(F.col("a"), F.col("b")).alias("iou")
     ).where(F.col("iou") > least)
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwell.functions import geometry, naming, vectors
-from trackwell.operators import detection, identity, matching, redaction, sampling, selection, tracking
+from trackwell.operators import detection, identity, matching, redaction, rounds, sampling, selection, tracking
 from trackwell.plans.sql import SQL
-from trackwell.plans.views import progress, shared_folder, table, view
+from trackwell.plans.views import progress, recorded, shared_folder, table, view
+from trackwell.sources import frames as frame_files
+from trackwell.sources import segments as segment_files
+from trackwell.sources.y4m import Y4M
 from trackwell.streaming import tracker as tracking_stream
 
 QUERIES: dict = {}
@@ -33,6 +36,13 @@ def nms_per_frame(spark: SparkSession, d: str) -> DataFrame:
     return detection.suppress(view(spark, d, "boxes"), ["frame_index"]).select("frame_index", "det_id", "confidence")
 
 
+@query
+def nms_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """The same boxes by rounds over an edge table, 50 of the others' frames as one: for frames that are too crowded to be collected."""
+    boxes = view(spark, d, "boxes").withColumn("frame_index", F.floor(F.col("frame_index") / 50))
+    return rounds.suppress_crowded(boxes, ["frame_index"], detection.OVERLAP).select("frame_index", "det_id", "confidence")
+
+
 @query
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     boxes = view(spark, d, "boxes")
@@ -113,6 +123,12 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.greedy(_steps(spark, d, 0.0).where("iou >= 0.1"), ["frame_index"], "det_a", "det_b", "iou"), "iou")
 
 
+@query
+def greedy_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs by rounds of pairs that are the best of both sides."""
+    return rounded(rounds.greedy_crowded(_steps(spark, d, 0.0).where("iou >= 0.1"), ["frame_index"], "det_a", "det_b", "iou"), "iou")
+
+
 @query
 def seq_match_prev_next(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.in_turn(_steps(spark, d, 0.3), ["frame_index"], "det_a", "det_b", "iou"), "iou")
@@ -438,3 +454,35 @@ def tracker_stream(spark: SparkSession, d: str) -> DataFrame:
         out = tracking_stream.track_stream(stream, scan, people).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         out.trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.schema(tracking.TRACK_SCHEMA).parquet(f"{folder}/out"), *CORNERS, digits=4)
+
+
+def _recorded_as(frames: DataFrame) -> DataFrame:
+    """Frames of recorded videos with the video's number and the value of their pixels."""
+    return frames.withColumns({
+        "video": F.regexp_extract("path", r"([0-9]+)\.y4m$", 1).cast("long"), "value": F.conv(F.hex(F.substring("rgba", 1, 1)), 16, 10).cast("long"),
+    })
+
+
+@query
+def frames_by_range(spark: SparkSession, d: str) -> DataFrame:
+    """All frames of uncompressed videos, recorded from the events, each file read by several tasks."""
+    found = frame_files.read_frames(spark, recorded(spark, d), Y4M(), "*.y4m", range_bytes=4096)
+    return rounded(_recorded_as(found).select("video", "frame_index", "ts_sec", "width", "height", "value"), "ts_sec")
+
+
+@query
+def frames_at_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of the recorded videos that are shown at 0.1 s and every second after it."""
+    folder = recorded(spark, d)
+    info = frame_files.video_info(spark.createDataFrame([(p,) for p, _ in frame_files.list_files(folder, "*.y4m")], "path string"), Y4M())
+    times = sampling.sample_times(info.withColumn("id", F.col("path"))).select(F.col("id").alias("path"), "ts")
+    return _recorded_as(frame_files.frames_at(times, Y4M(), span=5.0)).select("video", "frame_index", "value")
+
+
+@query
+def segments_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The recorded frames written by segments of 100 from the tasks that read them, and read back as the manifest has them."""
+    out = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    found = frame_files.read_frames(spark, recorded(spark, d), Y4M(), "*.y4m", range_bytes=4096)
+    segment_files.write_segments(found, out, ["path"], size=100, arranged=True)
+    return _recorded_as(segment_files.read_segments(spark, out)).select("video", "segment", "frame_index", "file_name", "value")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trackwell.operators.selection import PHASES, STEPS
-from trackwell.plans.views import ANCHORS, BOXES, OBS, PROGRESS, VIDEOS
+from trackwell.plans.views import ANCHORS, BOXES, OBS, PROGRESS, RECORDED, VIDEOS
 
 _B, _O = f"WITH boxes AS ({BOXES})", f"WITH obs AS ({OBS})"
 
@@ -154,3 +154,15 @@ SELECT *, CAST(sum(n) OVER (PARTITION BY video ORDER BY frame_index) AS BIGINT)
     "override_clear": """WITH e AS (SELECT *, event_id % 5 AS item, max(CASE WHEN event_id % 17 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS cleared FROM events)
 SELECT user_id, item, max(event_id) AS event_id, arg_max(event_type, event_id) AS style FROM e WHERE event_id % 17 <> 0 AND (cleared IS NULL OR event_id > cleared) GROUP BY 1, 2""",
 }
+
+_CROWDED = f"WITH singles AS ({BOXES}), boxes AS (SELECT * REPLACE (CAST(floor(frame_index / 50) AS BIGINT) AS frame_index) FROM singles)"
+_RECORDED = f"WITH r AS ({RECORDED}), n AS (SELECT video, count(*) AS n FROM r GROUP BY video)"
+SQL |= {
+    "nms_crowded": SQL["nms_per_frame"].replace(_B, _CROWDED),
+    "greedy_crowded": SQL["greedy_match"],
+    "frames_by_range": f"{_RECORDED} SELECT video, frame_index, round(frame_index / 30, 6) AS ts_sec, 8 AS width, 4 AS height, value FROM r",
+    "frames_at_samples": f"""{_RECORDED}, t AS (SELECT video, unnest(range(0, CAST(ceil(n / 30.0 - 0.2) AS BIGINT))) AS k FROM n)
+SELECT DISTINCT video, frame_index, value FROM t JOIN r USING (video) WHERE frame_index = 3 + 30 * k""",
+    "segments_in_order": f"""{_RECORDED} SELECT video, CAST(floor(frame_index / 100) AS BIGINT) AS segment, frame_index,
+  'frame_' || lpad(CAST(frame_index + 1 AS VARCHAR), 4, '0') || '.jpg' AS file_name, value FROM r""",
+}

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackwell.sources.y4m import write_mono
 
 BOXES = """
 SELECT event_id AS det_id, CAST(floor(event_id / 8) AS BIGINT) AS frame_index, x1, y1, x1 + w AS x2, y1 + h AS y2, conf AS confidence
@@ -65,3 +69,16 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+RECORDED = """
+SELECT CAST(floor(event_id / 500) AS BIGINT) AS video, event_id % 500 AS frame_index, (event_id * 7 + user_id) % 256 AS value FROM events"""
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the events as uncompressed videos of 500 frames of 8 x 4 pixels, a frame an event, to the shared folder, and returns their folder."""
+    folder = f"{shared_folder(spark)}/videos-{uuid.uuid4().hex}"
+    frames = spark.sql(RECORDED.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    luma = F.unhex(F.repeat(F.lpad(F.hex("value"), 2, "0"), 32))
+    write_mono(frames.select("video", "frame_index", F.lit(8).alias("width"), F.lit(4).alias("height"), luma.alias("luma")), folder, "video").count()
+    return folder

@@ -15,20 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from trackwell.sources.frames import store_of
+
 #: Frames of a segment.
 SEGMENT = 300
 MANIFEST = "manifest.json"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """The store and the folder in it; any that Arrow knows."""
-    store, own = fs.FileSystem.from_uri(path)
-    return store, own.rstrip("/")
-
-
 def manifest(path: str) -> dict:
     """What the last commit wrote: the schema, the columns that name a video, and the parts in order."""
-    store, own = _store(path)
+    store, own = store_of(path)
     with store.open_input_stream(f"{own}/{MANIFEST}") as file:
         return json.loads(file.read())
 
@@ -49,7 +45,7 @@ class SegmentWriter(DataSourceArrowWriter):
         self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, own = _store(self.path)
+        store, own = store_of(self.path)
         attempt = f"{own}/_attempts-{self.job}/{uuid.uuid4().hex}"
         parts: list[dict] = []
         writer = None
@@ -91,13 +87,13 @@ class SegmentWriter(DataSourceArrowWriter):
                 store.delete_dir(attempt)
 
     def _sweep(self, folders: list[str]) -> None:
-        store, own = _store(self.path)
+        store, own = store_of(self.path)
         for folder in folders:
             if store.get_file_info(f"{own}/{folder}").type != fs.FileType.NotFound:
                 store.delete_dir(f"{own}/{folder}")
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, own = _store(self.path)
+        store, own = store_of(self.path)
         store.create_dir(own)
         known = store.get_file_info(f"{own}/{MANIFEST}").type != fs.FileType.NotFound
         old = manifest(self.path) if known else {"parts": []}
@@ -152,7 +148,7 @@ class SegmentReader(DataSourceReader):
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not part.file:
             return
-        store, own = _store(self.path)
+        store, own = store_of(self.path)
         with store.open_input_file(f"{own}/{part.file}") as file:
             yield from pq.ParquetFile(file).iter_batches(batch_size=64)
 

@@ -9,9 +9,10 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from trackwell.sources.frames import store_of
+
 MARK = b"FRAME"
 
 
@@ -112,7 +113,7 @@ def write_mono(frames: DataFrame, folder: str, by: str, rate: int = 30) -> DataF
     kind = frames.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, own = fs.FileSystem.from_uri(folder)
+        store, own = store_of(folder)
         store.create_dir(own)
         done, out, now, n = [], None, None, 0
 
