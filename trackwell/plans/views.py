@@ -75,10 +75,16 @@ RECORDED = """
 SELECT CAST(floor(event_id / 500) AS BIGINT) AS video, event_id % 500 AS frame_index, (event_id * 7 + user_id) % 256 AS value FROM events"""
 
 
-def recorded(spark: SparkSession, sf_dir: str) -> str:
-    """Writes the events as uncompressed videos of 500 frames of 8 x 4 pixels, a frame an event, to the shared folder, and returns their folder."""
+def recorded(spark: SparkSession, sf_dir: str, spots: bool = False) -> str:
+    """Writes the events as uncompressed videos of 500 frames of 8 x 4 pixels, a frame an event, to the shared folder, and returns their folder.
+
+    All pixels of a frame have its value; or, with spots, two of them are bright and the rest dark.
+    """
     folder = f"{shared_folder(spark)}/videos-{uuid.uuid4().hex}"
     frames = spark.sql(RECORDED.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
     luma = F.unhex(F.repeat(F.lpad(F.hex("value"), 2, "0"), 32))
+    if spots:
+        bright = lambda p: (p == F.col("value") % 32) | (p == (F.col("value") * 3 + 5) % 32)
+        luma = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda p: F.when(bright(p), "FF").otherwise("10")), ""))
     write_mono(frames.select("video", "frame_index", F.lit(8).alias("width"), F.lit(4).alias("height"), luma.alias("luma")), folder, "video").count()
     return folder
