@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwell.functions import geometry, naming, vectors
-from trackwell.operators import detection, identity, matching, redaction, rounds, sampling, selection, tracking
+from trackwell.operators import detection, identity, long_tracks, matching, neighbours, redaction, rounds, sampling, selection, tracking
 from trackwell.plans import scan as scan_job
 from trackwell.plans.sql import SQL
 from trackwell.plans.views import progress, recorded, shared_folder, table, view
@@ -89,6 +89,12 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.cosine_links(table(spark, d, "embeddings"), 0.2), "sim", digits=5)
 
 
+@query
+def cosine_pairs_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs by pivots, which spare vectors that cluster from meeting all others."""
+    return rounded(neighbours.cosine_links_pruned(table(spark, d, "embeddings"), 0.2), "sim", digits=5)
+
+
 @query
 def centroids(spark: SparkSession, d: str) -> DataFrame:
     out = identity.centroids(table(spark, d, "embeddings"), "label").select("label", F.posexplode("embedding").alias("i", "v"))
@@ -179,6 +185,15 @@ def kalman_batch(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "x", "v", "p", "q", digits=4)
 
 
+@query
+def kalman_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same by blocks of 256 frames, whose values are spread over tasks: for tracks that are too long for one."""
+    seen = F.col("observed") & (F.col("frame_index") % 2 == 0)
+    axes = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.when(seen, F.col(c)).alias("z")) for c in CORNERS]))
+    rows = view(spark, d, "obs").select("obj_id", "frame_index", axes.alias("a")).select("obj_id", "frame_index", "a.*")
+    return rounded(long_tracks.smooth_long(rows, ["obj_id", "axis"], "z", span=256), "x", "v", "p", "q", digits=4)
+
+
 @query
 def track_expiry(spark: SparkSession, d: str) -> DataFrame:
     """Frames since an object's last observation on a detection frame, and whether a track would still be there."""
@@ -336,9 +351,9 @@ def nearest_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bracketing_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Of the frames that hold object 1 observed, the detection frames around each, among them."""
-    frames = view(spark, d, "obs").where("observed and obj_id = 1").select("frame_index", F.floor(F.col("frame_index") / 250).alias("video"))
-    return rounded(sampling.bracketed(frames, ["video"], 4), "t")
+    """Of the frames that hold an object observed, the detection frames around each, among them."""
+    frames = view(spark, d, "obs").where("observed").select("frame_index", "obj_id", F.floor(F.col("frame_index") / 250).alias("video"))
+    return rounded(sampling.bracketed(frames, ["obj_id", "video"], 4), "t")
 
 
 @query
@@ -352,8 +367,8 @@ def interpolate_detections(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def largest_frame_faces(spark: SparkSession, d: str) -> DataFrame:
-    strong = view(spark, d, "boxes").where("confidence > 0.6").withColumn("video", F.floor(F.col("frame_index") / 25))
-    return identity.largest_frame(strong, ["video"], "frame_index")
+    boxes = view(spark, d, "obs").where("observed").withColumn("video", F.floor(F.col("frame_index") / 25))
+    return identity.largest_frame(boxes, ["video"], "frame_index")
 
 
 @query
@@ -383,15 +398,15 @@ def sampled_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def running_faces(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes found up to each frame of a video."""
-    boxes = view(spark, d, "boxes").where("confidence > 0.6").groupBy("frame_index").agg(F.count("*").alias("n"))
+    """Observed boxes up to each frame of a video."""
+    boxes = view(spark, d, "obs").where("observed").groupBy("frame_index").agg(F.count("*").alias("n"))
     return selection.running_totals(boxes.withColumn("video", F.floor(F.col("frame_index") / 250)), ["video"], "frame_index", F.col("n"))
 
 
 @query
 def loading_percent(spark: SparkSession, d: str) -> DataFrame:
     """Progress before each of a user's loads, in their order."""
-    loads = table(spark, d, "events").where("event_type = 'signup'").select("user_id", "event_id")
+    loads = table(spark, d, "events").select("user_id", "event_id")
     return rounded(selection.loading_percent(loads, ["user_id"], "event_id"), "loading_percent")
 
 

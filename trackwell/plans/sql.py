@@ -127,14 +127,14 @@ p AS (SELECT a.video, a.det_id, CAST(b.obj_id AS BIGINT) AS cluster_id, {_iou('a
       JOIN t b ON b.video = a.video AND b.frame_index = r.sample WHERE a.observed AND b.obj_id <> 5),
 o AS (SELECT *, row_number() OVER (PARTITION BY video, det_id ORDER BY iou DESC, d) AS n FROM p WHERE iou > 0.3)
 SELECT video, det_id, cluster_id, round(iou, 6) AS iou FROM o WHERE n = 1""",
-    "bracketing_frames": f"""{_O}, f AS (SELECT frame_index, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM obs WHERE observed AND obj_id = 1),
-b AS (SELECT *, max(CASE WHEN frame_index % 4 = 0 THEN frame_index END) OVER (PARTITION BY video ORDER BY frame_index) AS prev_index,
-  min(CASE WHEN frame_index % 4 = 0 THEN frame_index END) OVER (PARTITION BY video ORDER BY frame_index DESC) AS next_index FROM f)
+    "bracketing_frames": f"""{_O}, f AS (SELECT frame_index, obj_id, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM obs WHERE observed),
+b AS (SELECT *, max(CASE WHEN frame_index % 4 = 0 THEN frame_index END) OVER (PARTITION BY obj_id, video ORDER BY frame_index) AS prev_index,
+  min(CASE WHEN frame_index % 4 = 0 THEN frame_index END) OVER (PARTITION BY obj_id, video ORDER BY frame_index DESC) AS next_index FROM f)
 SELECT *, round(CASE WHEN next_index > prev_index THEN (frame_index - prev_index) / (next_index - prev_index)::DOUBLE WHEN next_index = prev_index THEN 0 END, 6) AS t FROM b""",
     "interpolate_detections": f"""{_TURNS}, q AS (SELECT *, (det_a % 3 + 1) / 4.0::DOUBLE AS t FROM m) SELECT det_a, det_b, """
     + ", ".join(f"round(a.{c} + (b.{c} - a.{c}) * t, 6) AS {c}" for c in ("x1", "y1", "x2", "y2", "confidence"))
     + ", " + ", ".join(f"CASE WHEN t < 0.5 THEN a.{c} ELSE b.{c} END AS {c}" for c in ("frame_index", "obj_id")) + " FROM q JOIN obs a ON a.det_id = det_a JOIN obs b ON b.det_id = det_b",
-    "largest_frame_faces": f"""{_B}, n AS (SELECT frame_index, count(*) AS n FROM boxes WHERE confidence > 0.6 GROUP BY 1) SELECT CAST(floor(frame_index / 25) AS BIGINT) AS video, max(n) AS most FROM n GROUP BY 1""",
+    "largest_frame_faces": f"""{_O}, n AS (SELECT frame_index, count(*) AS n FROM obs WHERE observed GROUP BY 1) SELECT CAST(floor(frame_index / 25) AS BIGINT) AS video, max(n) AS most FROM n GROUP BY 1""",
     "identity_previews": f"""{_LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, det_id) AS n FROM l),
 p AS (SELECT cluster_id, det_id, floor(greatest(0, x1)) AS x, floor(greatest(0, y1)) AS y, least(640, ceil(x2)) AS x9, least(480, ceil(y2)) AS y9, det_id % 3 <> 0 AS known FROM r WHERE n = 1)
 SELECT cluster_id, det_id AS representative_det_id, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN x9 - x END AS w, CASE WHEN ok THEN y9 - y END AS h
@@ -142,9 +142,9 @@ FROM (SELECT *, known AND x9 > x AND y9 > y AS ok FROM p)""",
     "expected_frames": f"{_V} SELECT id, CAST(ceil(duration * fps) AS BIGINT) AS expected_frames FROM videos",
     "frame_ordinals": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index FROM events",
     "sampled_progress": f"{_P} SELECT event_id, phase FROM progress WHERE event_id % 5 = 0",
-    "running_faces": f"""{_B}, n AS (SELECT frame_index, count(*) AS n, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM boxes WHERE confidence > 0.6 GROUP BY 1)
+    "running_faces": f"""{_O}, n AS (SELECT frame_index, count(*) AS n, CAST(floor(frame_index / 250) AS BIGINT) AS video FROM obs WHERE observed GROUP BY 1)
 SELECT *, CAST(sum(n) OVER (PARTITION BY video ORDER BY frame_index) AS BIGINT) AS total FROM n""",
-    "loading_percent": """SELECT user_id, event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / (count(*) OVER (PARTITION BY user_id))::DOUBLE * 60, 6) AS loading_percent FROM events WHERE event_type = 'signup'""",
+    "loading_percent": """SELECT user_id, event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / (count(*) OVER (PARTITION BY user_id))::DOUBLE * 60, 6) AS loading_percent FROM events""",
     "frame_percent": f"{_P} SELECT event_id, least(99, floor(done * 100.0::DOUBLE / 900 + 0.5))::DOUBLE AS percent FROM (SELECT * FROM progress WHERE done IS NOT NULL) UNION ALL SELECT event_id, 99.0::DOUBLE * NULL FROM progress WHERE done IS NULL",
     "phase_steps": f"""{_P} SELECT event_id, CAST(CASE phase {' '.join(f"WHEN '{s}' THEN {n}" for n, s in enumerate(STEPS))} WHEN 'waiting-selection' THEN {len(STEPS)} WHEN 'done' THEN {len(STEPS)} ELSE 0 END AS BIGINT) AS step,
   printf('%.1f', event_id * 7919 / 1048576.0::DOUBLE) AS size FROM progress""",
@@ -159,6 +159,8 @@ _CROWDED = f"WITH singles AS ({BOXES}), boxes AS (SELECT * REPLACE (CAST(floor(f
 _RECORDED = f"WITH r AS ({RECORDED}), n AS (SELECT video, count(*) AS n FROM r GROUP BY video)"
 SQL |= {
     "nms_crowded": SQL["nms_per_frame"].replace(_B, _CROWDED),
+    "cosine_pairs_pruned": SQL["cosine_pairs"],
+    "kalman_long": SQL["kalman_batch"],
     "greedy_crowded": SQL["greedy_match"],
     "frames_by_range": f"{_RECORDED} SELECT video, frame_index, round(frame_index / 30, 6) AS ts_sec, 8 AS width, 4 AS height, value FROM r",
     "frames_at_samples": f"""{_RECORDED}, t AS (SELECT video, unnest(range(0, CAST(ceil(n / 30.0 - 0.2) AS BIGINT))) AS k FROM n)
