@@ -108,6 +108,14 @@ def identity_match_top1(spark: SparkSession, d: str) -> DataFrame:
     return rounded(matching.best_by_cosine(v, known, 0.2), "sim", digits=5)
 
 
+@query
+def identity_match_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same identities by pivots, for more of them than can be broadcast."""
+    v = table(spark, d, "embeddings")
+    known = identity.centroids(v, "label").withColumnRenamed("label", "id")
+    return rounded(neighbours.best_by_cosine_pruned(v, known, 0.2), "sim", digits=5)
+
+
 @query
 def position_identity(spark: SparkSession, d: str) -> DataFrame:
     out = identity.by_position(view(spark, d, "boxes"), [], "frame_index")

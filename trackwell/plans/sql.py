@@ -160,6 +160,7 @@ _RECORDED = f"WITH r AS ({RECORDED}), n AS (SELECT video, count(*) AS n FROM r G
 SQL |= {
     "nms_crowded": SQL["nms_per_frame"].replace(_B, _CROWDED),
     "cosine_pairs_pruned": SQL["cosine_pairs"],
+    "identity_match_pruned": SQL["identity_match_top1"],
     "kalman_long": SQL["kalman_batch"],
     "greedy_crowded": SQL["greedy_match"],
     "frames_by_range": f"{_RECORDED} SELECT video, frame_index, round(frame_index / 30, 6) AS ts_sec, 8 AS width, 4 AS height, value FROM r",
