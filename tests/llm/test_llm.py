@@ -298,6 +298,17 @@ def test_mix_meets_its_targets(spark, sf_dir):
     assert len(sizes) > 3 and mixed.count() == draws
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Sources far smaller than a block: what a source takes misses its target by less than its largest document in the cut, mostly by a few words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs).select("source", "mix.target", mixing.words_taken(F.col("mix")).alias("taken"))
+    for r in mixed.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 0.025 * r.target
+    copies = spark.createDataFrame([(1, "a b c", "x")] * 5 + [(2, "w " * 30, "x"), (3, None, "x"), (4, "q " * 200, "y")], "doc_id long, text string, source string")
+    rows = mixing.mix(copies, weights=(1,)).select("doc_id", mixing.words_taken(F.col("mix")).alias("taken")).collect()
+    assert len(rows) == 8 and len({r.taken for r in rows if r.doc_id == 1}) == 1
+
+
 def test_shards_draw_what_the_tree_deals(spark):
     """Against a plain walk: blocks of each source, permuted, dealt by the tree; documents of the blocks, cut at the target."""
     rng = random.Random(9)

@@ -105,12 +105,12 @@ def mix(
     is the number of blocks that its target asks for, in the permuted order: all of them in each full
     pass, then the first ones. The splitting tree deals the quotas to shards of about
     shard_words, each shard draws the next of the permuted blocks that it was dealt, and the documents of
-    those blocks are taken. Of the block at which a source's target falls, the documents up to a
-    place in the hashed order are, so the words taken miss the target by half a document or so. `place` is a random
+    those blocks are taken. Of the block at which a source's target falls, the documents that still fit, in the hashed order,
+    are, and the one of the others that fills the gap best, so the words taken miss the target by less than half of the smallest document left out. `place` is a random
     order within the shard. No row is drawn more than `most` times (rounded up). Documents
     without words are never drawn. Rows alike in id, source and text are drawn alike, so reruns agree. An empty table gives an empty result.
 
-    Words are counted once, into a table without texts; texts are never shuffled unless the table of
+    Words are counted into a table without texts, and once more where the documents are put out; texts are never shuffled unless the table of
     blocks is too large to be broadcast. Only one row for each source goes to the driver; more than
     MAX_SOURCES sources are refused.
     """
@@ -166,20 +166,28 @@ def mix(
         "index", "block", "pass", shard_of("index", F.col("pass") * F.col("blocks") + F.col("rank")).alias("shard"),
         (F.col("cut") & (F.col("pass") == F.col("full"))).alias("cut"), "left",
     ))
-    # Of the one block of a source at which its target falls: the place in the hashed order up to which documents are taken.
+    # Of the one block of a source at which its target falls: the documents, by their place in the hashed order, that fit one after the other, and then the one that fills the gap best.
     ends = dealt.where("cut").select("index", "block", "left")
-    edge = with_plan.withColumn("block", in_block("order", "bits")).join(F.broadcast(ends), ["index", "block"])
-    upto = F.coalesce(F.sum("size").over(Window.partitionBy("index").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("middle", upto * 2 + F.col("size")).where(F.col("middle") <= F.col("left") * 2).groupBy("index").agg(F.max("order").alias("last"))
-    last = F.when(F.col("cut"), F.coalesce("last", F.lit(-1)))
-    of_block = dealt.join(F.broadcast(edge), "index", "left").groupBy("index", "block").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "shard", last.alias("last")))).alias("passes")
-    )
+    edge = with_plan.where(F.col("size") > 0).withColumn("block", in_block("order", "bits")).join(F.broadcast(ends), ["index", "block"])
+    listed = edge.groupBy("index", "left", "order").agg(F.sum("size").alias("size")).groupBy("index", "left").agg(F.sort_array(F.collect_list(F.struct("order", "size"))).alias("docs"))
+    none = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<bigint>").alias("orders"))
+    filled = F.aggregate("docs", none, lambda held, d: F.when(held["words"] + d["size"] <= F.col("left"), F.struct(
+        (held["words"] + d["size"]).alias("words"), F.concat(held["orders"], F.array(d["order"])).alias("orders"),
+    )).otherwise(held))
+    listed = listed.withColumn("held", filled).withColumn("gap", F.col("left") - F.col("held.words"))
+    missed = lambda d: F.struct(F.abs(F.col("gap") - d["size"]).alias("missed"), d["order"].alias("order"))
+    open_ = F.filter("docs", lambda d: ~F.array_contains("held.orders", d["order"]) & (F.abs(F.col("gap") - d["size"]) < F.col("gap")))
+    extra = F.array_min(F.transform(open_, missed))["order"]
+    edges = scratch.save(listed.select("index", F.array_compact(F.concat("held.orders", F.array(extra))).alias("taken")))
+    of_block = dealt.join(F.broadcast(edges), "index", "left").groupBy("index", "block").agg(F.sort_array(F.collect_list(F.struct(
+        "pass", "shard", F.when(F.col("cut"), F.coalesce("taken", F.array().cast("array<bigint>"))).alias("only"),
+    ))).alias("passes"))
     mine = of_block.select(F.col("index").alias(index), F.col("block").alias(block), F.col("passes").alias(draws))
     own = plan.select(*[F.col(a).alias(b) for a, b in (("name", key), ("index", index), ("bits", bits), ("whole", whole), ("target", target))])
     out = docs.withColumns(counted).join(F.broadcast(own), F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
     out = out.withColumn(block, in_block(order, bits)).join(mine, [index, block], "left")
-    taken = F.filter(F.coalesce(F.col(draws), F.array().cast("array<struct<pass:bigint,shard:bigint,last:bigint>>")), lambda x: (F.col(size) > 0) & (x["last"].isNull() | (F.col(order) <= x["last"])))
+    passes = F.coalesce(F.col(draws), F.array().cast("array<struct<pass:bigint,shard:bigint,only:array<bigint>>>"))
+    taken = F.filter(passes, lambda x: (F.col(size) > 0) & (x["only"].isNull() | F.array_contains(x["only"], F.col(order))))
     drawn = F.transform(taken, lambda x: F.struct(
         x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), x["pass"], x["shard"], F.col(order)).alias("place")
     ))
