@@ -224,11 +224,17 @@ def _faces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     scan = labelled.select("video_id", F.col("obj_id").alias("cluster_id"), F.col("det_id").alias("ord"), *CORNERS)
     v = table(spark, d, "embeddings")
     people = identity.centroids(v, "label").select(F.col("label").cast("int").alias("cluster_id"), "embedding")
-    own = v.select(F.col("vec_id").alias("det_id"), vectors.normalized(F.col("embedding")).alias("own"))
+    own = _unit(v.select(F.col("vec_id").alias("det_id"), F.col("embedding").alias("own")), "own")
     mixed = F.zip_with("embedding", "own", lambda a, b: a + b * 0.5)
     dets = obs.where("observed").join(people.withColumnRenamed("cluster_id", "obj_id"), "obj_id", "left").join(own, "det_id", "left")
-    face = vectors.normalized(F.coalesce(mixed, F.col("embedding")))
-    return dets.select("video_id", "det_id", "frame_index", *CORNERS, face.alias("embedding")), scan, people
+    faces = _unit(dets.withColumn("embedding", F.explode(F.array(F.coalesce(mixed, F.col("embedding"))))), "embedding")
+    return faces.select("video_id", "det_id", "frame_index", *CORNERS, "embedding"), scan, people
+
+
+def _unit(frame: DataFrame, name: str) -> DataFrame:
+    """frame with a vector column of unit length; generators of one row keep the length from being worked out again for every entry."""
+    long = frame.withColumn("_norm", F.explode(F.array(vectors.norm(F.col(name)))))
+    return long.withColumn(name, F.explode(F.array(F.transform(name, lambda x: x.cast("double") / F.col("_norm"))))).drop("_norm")
 
 
 @query
@@ -491,7 +497,7 @@ def _recorded_as(frames: DataFrame) -> DataFrame:
 @query
 def frames_by_range(spark: SparkSession, d: str) -> DataFrame:
     """All frames of uncompressed videos, recorded from the events, each file read by several tasks."""
-    found = frame_files.read_frames(spark, recorded(spark, d), Y4M(), "*.y4m", range_bytes=4096)
+    found = frame_files.read_frames(spark, recorded(spark, d), Y4M(), "*.y4m", range_bytes=32_768)
     return rounded(_recorded_as(found).select("video", "frame_index", "ts_sec", "width", "height", "value"), "ts_sec")
 
 
@@ -508,7 +514,7 @@ def frames_at_samples(spark: SparkSession, d: str) -> DataFrame:
 def segments_in_order(spark: SparkSession, d: str) -> DataFrame:
     """The recorded frames written by segments of 100 from the tasks that read them, and read back as the manifest has them."""
     out = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    found = frame_files.read_frames(spark, recorded(spark, d), Y4M(), "*.y4m", range_bytes=4096)
+    found = frame_files.read_frames(spark, recorded(spark, d), Y4M(), "*.y4m", range_bytes=32_768)
     segment_files.write_segments(found, out, ["path"], size=100, arranged=True)
     return _recorded_as(segment_files.read_segments(spark, out)).select("video", "segment", "frame_index", "file_name", "value")
 
@@ -535,10 +541,10 @@ def spot_recogniser():
 
 @query
 def scan_recorded(spark: SparkSession, d: str) -> DataFrame:
-    """The identities that the scan finds in videos recorded from the events, looked at every five seconds, with the size of their preview."""
+    """The identities that the scan finds in videos recorded from the events, looked at every twenty seconds, with the size of their preview."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     paths = spark.createDataFrame([(p,) for p, _ in frame_files.list_files(recorded(spark, d, spots=True), "*.y4m")], "path string")
-    found = scan_job.scan(spark, paths, Y4M(), spot_detector, spot_recogniser, folder, fps=0.2)
+    found = scan_job.scan(spark, paths, Y4M(), spot_detector, spot_recogniser, folder, fps=0.05)
     out = found["identities"].join(found["previews"].select("path", "cluster_id", "w", "h", F.octet_length("rgba").alias("bytes")), ["path", "cluster_id"], "left")
     out = out.withColumn("video", F.regexp_extract("path", r"([0-9]+)\.y4m$", 1).cast("long"))
     return rounded(out.select("video", "cluster_id", "face_count", "frame_index", "det_id", "best_confidence", "w", "h", "bytes"), "best_confidence")

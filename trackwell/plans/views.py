@@ -72,11 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 RECORDED = """
-SELECT CAST(floor(event_id / 500) AS BIGINT) AS video, event_id % 500 AS frame_index, (event_id * 7 + user_id) % 256 AS value FROM events"""
+SELECT CAST(floor(event_id / 5000) AS BIGINT) AS video, event_id % 5000 AS frame_index, (event_id * 7 + user_id) % 256 AS value FROM events"""
 
 
 def recorded(spark: SparkSession, sf_dir: str, spots: bool = False) -> str:
-    """Writes the events as uncompressed videos of 500 frames of 8 x 4 pixels, a frame an event, to the shared folder, and returns their folder.
+    """Writes the events as uncompressed videos of 5,000 frames of 8 x 4 pixels, a frame an event, to the shared folder, and returns their folder.
 
     All pixels of a frame have its value; or, with spots, two of them are bright and the rest dark.
     """
