@@ -169,3 +169,67 @@ SELECT DISTINCT video, frame_index, value FROM t JOIN r USING (video) WHERE fram
     "segments_in_order": f"""{_RECORDED} SELECT video, CAST(floor(frame_index / 100) AS BIGINT) AS segment, frame_index,
   'frame_' || lpad(CAST(frame_index + 1 AS VARCHAR), 4, '0') || '.jpg' AS file_name, value FROM r""",
 }
+
+SQL["hungarian_match"] = f"""WITH RECURSIVE obs AS ({OBS}), p AS (SELECT b.frame_index, a.det_id AS a, b.det_id AS b, 1 - {_iou('a', 'b')} AS cost
+  FROM obs a JOIN obs b ON b.frame_index = a.frame_index + 2 WHERE a.observed AND b.observed),
+c AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY frame_index ORDER BY a) AS turn, dense_rank() OVER (PARTITION BY frame_index ORDER BY b) AS place FROM p),
+n AS (SELECT frame_index, max(turn) AS rows, least(max(turn), max(place)) AS pairs FROM c GROUP BY 1),
+o AS MATERIALIZED (SELECT frame_index, turn, CAST(1 AS BIGINT) << CAST(place - 1 AS INT) AS bit, cost FROM c
+  UNION ALL SELECT DISTINCT frame_index, turn, CAST(0 AS BIGINT), 0.0::DOUBLE FROM c),
+s AS (SELECT frame_index, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS used, 0.0::DOUBLE AS total FROM n
+  UNION ALL SELECT s.frame_index, o.turn, s.used | o.bit, min(s.total + o.cost) FROM s JOIN o ON o.frame_index = s.frame_index AND o.turn = s.turn + 1 WHERE s.used & o.bit = 0 GROUP BY ALL)
+SELECT s.frame_index, round(min(total), 6) AS total, any_value(pairs) AS pairs FROM s JOIN n ON n.frame_index = s.frame_index AND turn = rows AND bit_count(used) = pairs GROUP BY 1"""
+
+
+def _list_iou(a: str, b: str) -> str:
+    """Overlap of two boxes that are lists of corners."""
+    w, h = (f"(least({a}[{k + 2}], {b}[{k + 2}]) - greatest({a}[{k}], {b}[{k}]))" for k in (1, 2))
+    area = lambda r: f"(({r}[3] - {r}[1]) * ({r}[4] - {r}[2]))"
+    return f"(CASE WHEN {w} <= 0 OR {h} <= 0 THEN 0 ELSE {w} * {h} / ({area(a)} + {area(b)} - {w} * {h}) END)"
+
+
+_AXES = range(1, 5)
+_TRACK = "STRUCT(i INT, x DOUBLE[], v DOUBLE[], p DOUBLE, q DOUBLE, age INT)[]"
+# One row a video and frame. Its tracks are a list in the order of their making; all four coordinates of a track share their variances.
+_TRACKS = f"""WITH RECURSIVE {_CENTROIDS}, obs AS ({OBS}), b AS (SELECT *, CAST(floor(frame_index / 250) AS BIGINT) AS video_id FROM obs),
+people AS (SELECT CAST(label AS INT) AS id, list(m / n ORDER BY i) AS c FROM m JOIN n USING (label) GROUP BY label),
+w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+own AS (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u FROM w),
+face AS (SELECT b.*, CASE WHEN u IS NULL THEN c ELSE list_transform(list_zip(c, u), lambda z: z[1] + z[2] * 0.5::DOUBLE) END AS f
+  FROM b LEFT JOIN people ON id = obj_id LEFT JOIN own ON vec_id = det_id WHERE observed AND frame_index % 2 = 0),
+likely AS (SELECT det_id, id, list_dot_product(f, c) / sqrt(list_dot_product(f, f)) AS sim FROM face, people WHERE f IS NOT NULL AND x2 - x1 >= 20 AND y2 - y1 >= 20),
+likes AS (SELECT det_id, list(id ORDER BY sim DESC, id) AS likes FROM likely WHERE sim > 0.45::DOUBLE GROUP BY det_id),
+near AS (SELECT a.det_id, b.obj_id AS id, b.det_id AS ord, {_iou('a', 'b')} AS iou FROM b a JOIN b ON b.video_id = a.video_id AND b.frame_index % 30 = 0 AND (b.obj_id + b.video_id) % 4 <> 3
+  WHERE a.observed AND a.frame_index % 2 = 0),
+nearest AS (SELECT det_id, list(id ORDER BY iou DESC, ord) AS near FROM (SELECT *, row_number() OVER (PARTITION BY det_id, id ORDER BY iou DESC, ord) AS n FROM near WHERE iou > 0.15::DOUBLE) WHERE n = 1 GROUP BY det_id),
+dets AS MATERIALIZED (SELECT video_id, frame_index, list({{b: [x1, y1, x2, y2], near: coalesce(near, []), likes: coalesce(likes, [])}} ORDER BY face.det_id) AS ds
+  FROM face LEFT JOIN nearest USING (det_id) LEFT JOIN likes USING (det_id) GROUP BY 1, 2),
+ends AS (SELECT video_id, min(frame_index) AS lo, max(frame_index) AS hi FROM b WHERE observed GROUP BY 1),
+t AS (SELECT video_id, lo - 1 AS frame_index, hi, CAST([] AS {_TRACK}) AS ts FROM ends
+  UNION ALL
+  SELECT video_id, f, hi, list_concat(
+    list_transform(list_zip(ts, zs), lambda e: CASE WHEN e[2] IS NULL THEN e[1] ELSE {{i: e[1].i,
+      x: [{', '.join(f'e[1].x[{k}] + e[1].p / (e[1].p + 2) * (e[2][{k}] - e[1].x[{k}])' for k in _AXES)}],
+      v: [{', '.join(f'e[1].v[{k}] + e[1].q / (e[1].p + 2) * (e[2][{k}] - e[1].x[{k}])' for k in _AXES)}],
+      p: e[1].p * (1 - e[1].p / (e[1].p + 2)), q: e[1].q * (1 - e[1].q / (e[1].p + 2)), age: 0}} END),
+    list_transform(fresh, lambda e: {{i: e.i, x: ds[e.d].b, v: [0.0::DOUBLE, 0, 0, 0], p: 10.0::DOUBLE, q: 100.0::DOUBLE, age: 0}}))
+  FROM (SELECT *, list_transform(range(1, len(ts) + 1), lambda k: ds[list_filter(won, lambda e: e.k = k)[1].d].b) AS zs,
+      list_reduce(list_transform(free, lambda d: [{{i: CAST(NULL AS INT), d: d}}]), lambda done, e:
+        CASE WHEN list_contains(list_transform(done, lambda x: x.d), e[1].d) THEN done ELSE list_concat(done, list_transform(
+          list_filter(ds[e[1].d].likes, lambda c: NOT list_contains(ids, c) AND NOT list_contains(list_transform(done, lambda x: x.i), c))[1:1], lambda c: {{i: c, d: e[1].d}})) END, scanned) AS fresh
+    FROM (SELECT *, list_reduce(list_transform(free, lambda d: [{{i: CAST(NULL AS INT), d: d}}]), lambda done, e:
+        list_concat(done, list_transform(list_filter(ds[e[1].d].near, lambda c: NOT list_contains(ids, c) AND NOT list_contains(list_transform(done, lambda x: x.i), c))[1:1],
+          lambda c: {{i: c, d: e[1].d}})), CAST([] AS STRUCT(i INT, d BIGINT)[])) AS scanned
+      FROM (SELECT *, list_transform(ts, lambda e: e.i) AS ids, list_filter(range(1, len(ds) + 1), lambda d: NOT list_contains(list_transform(won, lambda e: e.d), d)) AS free
+        FROM (SELECT *, list_reduce(list_transform(list_sort(pairs), lambda e: [e]), lambda done, e:
+            CASE WHEN len(list_filter(done, lambda x: x.d = e[1].d OR x.k = e[1].k)) > 0 THEN done ELSE list_concat(done, e) END, CAST([] AS STRUCT(s DOUBLE, d BIGINT, k BIGINT)[])) AS won
+          FROM (SELECT *, flatten(list_transform(range(1, len(ds) + 1), lambda d: list_filter(
+              list_transform(range(1, len(ts) + 1), lambda k: {{s: -{_list_iou('ds[d].b', 'ts[k].x')}, d: d, k: k}}), lambda e: e.s <= -0.1::DOUBLE))) AS pairs
+            FROM (SELECT t.video_id, t.frame_index + 1 AS f, t.hi, coalesce(d.ds, []) AS ds, list_transform(
+                CASE WHEN (t.frame_index + 1) % 2 = 0 THEN list_filter(t.ts, lambda e: e.age <= 15) ELSE t.ts END,
+                lambda e: {{i: e.i, x: [{', '.join(f'e.x[{k}] + e.v[{k}]' for k in _AXES)}], v: e.v, p: e.p + (2 * e.q + 4), q: e.q + 2, age: e.age + 1}}) AS ts
+              FROM t LEFT JOIN dets d ON d.video_id = t.video_id AND d.frame_index = t.frame_index + 1 WHERE t.frame_index < t.hi)))))))
+SELECT video_id, frame_index, e.i AS cluster_id, {', '.join(f'round(e.x[{k}], 4) AS {c}' for k, c in zip(_AXES, ('x1', 'y1', 'x2', 'y2')))}
+FROM (SELECT video_id, frame_index, hi, unnest(ts) AS e FROM t)"""
+SQL["tracker_full"] = _TRACKS
+SQL["tracker_stream"] = f"{_TRACKS} WHERE frame_index < hi OR hi % 250 = 249"
