@@ -475,10 +475,25 @@ def test_training_reruns_agree(spark):
     texts = [" ".join(random.Random(k).choices(["red", "green", "blue", "the", "sky"], k=40)) for k in range(60)]
     words = np.sort(np.array([xxhash.xxh64_intdigest(w, 3) for w in (b"red", b"green", b"blue", b"the", b"sky", b"\n")], np.uint64))
     vocabulary = lm_scoring.Vocabulary(words, np.arange(6), 6)
-    made = [lm_scoring.train(docs_of(spark, texts).repartition(k), vocabulary, np.ones(9), tasks=3).p for k in (5, 2)]
+    lessons = docs_of(spark, texts).withColumn("round", (F.col("doc_id") % 2).cast("int"))
+    made = [lm_scoring.train(lessons.repartition(k), vocabulary, np.ones(9), rounds=2, tasks=3).p for k in (5, 2)]
     assert all((made[0][k] == made[1][k]).all() for k in made[0])
 
 
+def test_training_rounds_and_tasks_both_grow():
+    plans = [lm_scoring.rounds_of(n * lm_scoring.TASK_ROWS) for n in (0, 1, 8, 1_000, 10**6)]
+    assert plans == [(2, 1), (2, 1), (3, 3), (11, 91), (101, 9901)]
+
+
+def test_more_lessons_make_better_scores(spark):
+    """Held-out log10 a token with one share of the rows to learn from and a larger one, the corpus counts being the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    of = lambda share: lm_scoring.score(docs, ~held, share=share).where(held).agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    (few, base), (more, _) = of(1 / 32), of(1 / 2)
+    assert more > few + 0.05 and more > base + 0.15
+
+
 def test_lm_counts_and_base(spark, sf_dir):
     import math
     import zlib

@@ -69,10 +69,11 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, frame: DataFrame) -> DataFrame:
+    def save(self, frame: DataFrame, *by: str) -> DataFrame:
+        """The frame as a written table, in folders by the last columns, if named."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        frame.write.parquet(path)
+        frame.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._scratch_path = path
         return out
