@@ -94,6 +94,12 @@ def test_nan_similarity_never_matches(spark):
     assert [(r.vec_id, r.id) for r in matching.best_by_cosine(items, known, 0.5).collect()] == [(2, 7)]
 
 
+def test_mebibytes_round_halves_to_even(spark):
+    sizes = [0, 1, 52_429, 1 << 18, 3 << 18, 5 << 18, (1 << 20) * 12_345 + (1 << 18), (1 << 52) + (1 << 18), 7919 * 262_144]
+    made = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", naming.mebibytes(F.col("s")).alias("m"), naming.mebibytes(F.col("s"), 0).alias("w")).collect()
+    assert [(r.m, r.w) for r in made] == [(f"{s / 2**20:.1f}", f"{s / 2**20:.0f}") for s in sizes]
+
+
 def test_progress(spark):
     p = spark.createDataFrame([("detecting-faces", 40.0), ("processing-frames", 10.0)], "phase string, phase_percent double")
     assert [r.overall_percent for r in selection.overall_percent(p).collect()] == [35.0, 80.0]

@@ -20,5 +20,6 @@ def phase_label(phase: Column) -> Column:
 
 
 def mebibytes(size: Column, digits: int = 1) -> Column:
-    """A size in bytes as MiB with that many digits."""
-    return F.format_string(f"%.{digits}f", size / (1024.0 * 1024.0))
+    """A size in bytes as MiB with that many digits, 6 at most; a size halfway between two goes to the even one, as in C's printf."""
+    exact = size.cast("decimal(30,10)") / F.lit(1 << 20).cast("decimal(7,0)")  # 18 decimals: none but a half looks like one
+    return F.bround(exact, digits).cast("string")
