@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackwell.sources import frames as fr
 from trackwell.sources import segments as sg
+from trackwell.sources.y4m import Y4M, write_mono
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 W, H = 4, 2
@@ -185,3 +186,27 @@ def test_arranged_frames_go_from_file_to_file_without_exchange(spark, folder):
     back = sg.read_segments(spark, path)
     assert [(r.path[-5:], r.frame_index) for r in back.collect()] == [("a.mp4", k) for k in range(250)] + [("b.mov", k) for k in range(7)]
     assert len(sg.manifest(path)["parts"]) > 4
+
+
+def test_small_ranges_and_parts_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks don't grow with the files where these are small; all frames come, in order, whatever shares a task."""
+    sizes = [190_000] * 1_200
+    reader = fr.FrameReader([(f"/v/{k}.y4m", n) for k, n in enumerate(sizes)], Y4M(), fr.open_file, 32_768)
+    tasks = reader.partitions()
+    assert len(tasks) <= 1.2 * fr.TASKS and [r for t in tasks for r in t.ranges] == [fr.Range(f"/v/{k}.y4m", n, n + 1, 6) for k in range(1_200) for n in range(6)]
+    assert [s.stop - s.start for s in fr.dealt([fr.RANGE_BYTES] * 1_000)] == [1] * 1_000 and list(fr.dealt([])) == []
+    parts = [{"video": [str(k)], "segment": 0, "first": 0, "last": 9, "rows": 10, "bytes": 2_000, "file": str(k)} for k in range(60_000)]
+    own = sg.SegmentReader("/s", {"by": ["path"], "parts": parts}).partitions()
+    assert len(own) <= 1.2 * fr.TASKS and [f for t in own for f in t.files] == [p["file"] for p in parts]
+    rows = spark.range(60).selectExpr("id div 20 as video", "id % 20 as frame_index", "8 as width", "4 as height", "unhex(repeat(lpad(hex(id), 2, '0'), 32)) as luma")
+    write_mono(rows, f"{tmp_path}/v", "video").count()
+    monkeypatch.setattr(fr, "TASKS", 4)
+    reader = fr.FrameReader(fr.list_files(f"{tmp_path}/v", "*.y4m"), Y4M(), fr.open_file, 100)
+    tasks = reader.partitions()
+    read = [(r["path"][-5:], r["frame_index"], r["rgba"][0]) for t in tasks for b in reader.read(t) for r in b.to_pylist()]
+    want = [(f"{v}.y4m", n, 20 * v + n) for v in range(3) for n in range(20)]
+    assert len(tasks) <= 6 and read == want
+    sg.write_segments(fr.read_frames(spark, f"{tmp_path}/v", Y4M(), "*.y4m"), f"{tmp_path}/s", ["path"], size=7, arranged=True)
+    back = sg.SegmentReader(f"{tmp_path}/s", sg.manifest(f"{tmp_path}/s"))
+    tasks = back.partitions()
+    assert len(tasks) <= 6 and [(r["path"][-5:], r["frame_index"], r["rgba"][0]) for t in tasks for b in back.read(t) for r in b.to_pylist()] == want

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from trackwell.sources.frames import store_of
+from trackwell.sources.frames import RANGE_BYTES, dealt, store_of
 
 #: Frames of a segment.
 SEGMENT = 300
@@ -31,7 +31,7 @@ def manifest(path: str) -> dict:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The parts of one task: dicts of video (the values of its columns), segment, first and last ordinal, rows and file."""
+    """The parts of one task: dicts of video (the values of its columns), segment, first and last ordinal, rows, bytes and file."""
 
     parts: list[dict] = field(default_factory=list)
 
@@ -63,11 +63,12 @@ class SegmentWriter(DataSourceArrowWriter):
                         if writer is not None:
                             writer.close()
                         store.create_dir(attempt)
-                        last = {"video": list(keys[start][:-1]), "segment": keys[start][-1], "first": ordinals[start], "rows": 0, "temporary": f"{attempt}/{len(parts)}.parquet"}
+                        last = {"video": list(keys[start][:-1]), "segment": keys[start][-1], "first": ordinals[start], "rows": 0, "bytes": 0, "temporary": f"{attempt}/{len(parts)}.parquet"}
                         parts.append(last)
                         writer = pq.ParquetWriter(last["temporary"], batch.schema, filesystem=store, use_dictionary=[])
-                    writer.write_batch(batch.slice(start, stop - start))
-                    last["last"], last["rows"] = ordinals[stop - 1], last["rows"] + stop - start
+                    run = batch.slice(start, stop - start)
+                    writer.write_batch(run)
+                    last["last"], last["rows"], last["bytes"] = ordinals[stop - 1], last["rows"] + stop - start, last["bytes"] + run.nbytes
                     start = stop
             if writer is not None:
                 writer.close()
@@ -121,13 +122,12 @@ def _plain(value) -> str:
 
 
 @dataclass
-class Part(InputPartition):
-    file: str
-    first: int = 0
+class Parts(InputPartition):
+    files: list[str]
 
 
 class SegmentReader(DataSourceReader):
-    """One task for each part, in the manifest's order; filters on the video's columns and the segment leave files out."""
+    """Tasks of one part or of several small neighbours, in the manifest's order; filters on the video's columns and the segment leave files out."""
 
     def __init__(self, path: str, found: dict):
         self.path, self.by, self.parts = path, found["by"], found["parts"]
@@ -142,15 +142,15 @@ class SegmentReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Part]:
-        return [Part(p["file"], p["first"]) for p in self.parts] or [Part("")]
+    def partitions(self) -> list[Parts]:
+        files = [p["file"] for p in self.parts]
+        return [Parts(files[run]) for run in dealt([p.get("bytes", RANGE_BYTES) for p in self.parts])] or [Parts([])]
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        if not part.file:
-            return
+    def read(self, part: Parts) -> Iterator[pa.RecordBatch]:
         store, own = store_of(self.path)
-        with store.open_input_file(f"{own}/{part.file}") as file:
-            yield from pq.ParquetFile(file).iter_batches(batch_size=64)
+        for name in part.files:
+            with store.open_input_file(f"{own}/{name}") as file:
+                yield from pq.ParquetFile(file).iter_batches(batch_size=64)
 
 
 class Segments(DataSource):
