@@ -210,3 +210,12 @@ def test_small_ranges_and_parts_share_tasks(spark, tmp_path, monkeypatch):
     back = sg.SegmentReader(f"{tmp_path}/s", sg.manifest(f"{tmp_path}/s"))
     tasks = back.partitions()
     assert len(tasks) <= 6 and [(r["path"][-5:], r["frame_index"], r["rgba"][0]) for t in tasks for b in back.read(t) for r in b.to_pylist()] == want
+
+
+def test_frames_at_times_are_dealt_over_the_asked_tasks(spark, folder):
+    """Times are few bytes, so left to their size all would be read by one task."""
+    files = [p for p, _ in fr.list_files(f"{folder}/in", "*.mp4,*.mov")]
+    times = spark.createDataFrame([(p, k / 10) for p in files for k in range(40)], "path string, ts double")
+    rows = lambda frame: sorted((r.path, r.frame_index) for r in frame.select("path", "frame_index").collect())
+    spread = fr.frames_at(times, Made(), span=0.5, tasks=9)
+    assert spread.rdd.getNumPartitions() == 9 and rows(spread) == rows(fr.frames_at(times, Made(), span=0.5))
