@@ -19,8 +19,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
-    return similarity.keep_one(docs)
+    """One document of each group of near-duplicates stays: SimHash fingerprints within 3 bits, or five-word shingles of similarity 0.8 or more."""
+    return similarity.keep_one_by_both(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -601,6 +601,24 @@ def test_one_row_of_each_component_stays(spark):
         assert keep(docs.where("false")).count() == 0
 
 
+def test_fingerprints_and_similarity_link_together(spark, monkeypatch):
+    """A text linked by its fingerprint to one and by its set to another joins both; the pipeline's stage takes both links."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    a, c = " ".join(words), " ".join(f"x{n}" for n in range(60))
+    near = " ".join([*words[:57], "y1", "y2", "y3"])  # by its set to a
+    shuffled = " ".join(f"{x} {y} {z}" for x, y, z in [("p", "q", "r")] * 400)
+    longer = shuffled + " p q r s"  # other sets of shingles, nearly the same repeated ones
+    docs = docs_of(spark, [a, near, c, shuffled, longer, " ".join(rng.choices(words, k=40))])
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    sets = {r.doc_id: r.component_id for r in similarity.near_duplicates(docs).collect()}
+    assert prints[4] == 3 and sets[4] == 4 and sets[1] == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3, 5]
+    assert similarity.keep_one_by_both(docs.where("false")).count() == 0
+
+
 def test_tiles_of_a_hot_key_lose_no_link(spark, monkeypatch):
     rng = random.Random(13)
     base = rng.getrandbits(38)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from trackwell.llm import simhash
 from trackwell.llm.common import Scratch
 from trackwell.llm.components import connected_components, keep_first
 
@@ -176,3 +177,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, see components.keep_first; null and blank texts are one component. An empty table stays empty."""
     return keep_first(docs, grouped(docs, Scratch(docs.sparkSession, "similarity-keep")))
+
+
+def keep_one_by_both(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """docs with one row of each component of both links together: SimHash fingerprints within `distance` bits, and shingle sets of similarity 0.8 or more.
+
+    No link of either kind is lost: a text that is linked by its fingerprint to one and by its set to another joins their components. Which row stays, and null, blank and
+    empty input, as in keep_one.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies-keep")
+    sets = scratch.save(grouped(docs, scratch).select("doc_id", "th", "root"))
+    prints = simhash.grouped(docs, shingle, distance, scratch).select("th", F.col("root").alias("print")).distinct()
+    pairs = scratch.save(sets.select("th", "root").distinct().join(prints, "th").select("root", "print").distinct())
+    hubs = pairs.groupBy("print").agg(F.min("root").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    edges = scratch.save(pairs.join(hubs, "print").where("root <> hub").select(F.col("root").alias("u"), F.col("hub").alias("v")).distinct())
+    joined = connected_components(edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return keep_first(docs, sets.join(joined, "root", "left").select("doc_id", "th", F.coalesce("whole", "root").alias("root")))
