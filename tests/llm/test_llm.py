@@ -619,6 +619,14 @@ def test_fingerprints_and_similarity_link_together(spark, monkeypatch):
     assert similarity.keep_one_by_both(docs.where("false")).count() == 0
 
 
+def test_network_learns_from_every_learning_row(spark, monkeypatch):
+    seen, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda lessons, *more: seen.extend(r.doc_id for r in lessons.collect()) or train(lessons, *more))
+    docs = docs_of(spark, [f"red green {n}" for n in range(40)])
+    assert lm_scoring.score(docs, F.col("doc_id") % 4 != 0).count() == 40
+    assert sorted(seen) == [n for n in range(40) if n % 4]
+
+
 def test_tiles_of_a_hot_key_lose_no_link(spark, monkeypatch):
     rng = random.Random(13)
     base = rng.getrandbits(38)

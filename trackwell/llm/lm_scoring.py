@@ -36,7 +36,9 @@ PIECE = 1_500_000
 WIDTH = 1_024
 AREA = 1 << 21
 #: The share of the learning rows that the network's weights are fitted on, and the rows, about, of which a task learns in a round.
-SHARE, TASK_ROWS = 1 / 8, 500
+SHARE, TASK_ROWS = 1.0, 500
+#: Sequences of up to SEGMENT tokens that learn side by side, a window a step.
+BESIDE = 64
 
 
 def _form(word: bytes) -> int:
@@ -350,7 +352,7 @@ def train(lessons: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, rou
                     _, ids = _tokens(words, vocabulary, _Words())
                     pairs = [np.stack([np.append(end, d[:-1]), d]) for d in ids]
                     parts = [p[:, i : i + SEGMENT] for p in pairs for i in range(0, p.shape[1], SEGMENT)]
-                    for chosen, _, y in _lockstep([p[1] for p in parts], 64):
+                    for chosen, _, y in _lockstep([p[1] for p in parts], BESIDE):
                         x = np.zeros_like(y)
                         for j, i in enumerate(chosen):
                             x[: parts[i].shape[1], j] = parts[i][0]
@@ -386,8 +388,8 @@ def score(docs: DataFrame, learn: Column, scratch: Scratch | None = None, share:
     the class given the state after all tokens before it, then the word given class and state;
     a rare word's share of its form comes from the corpus counts, smoothed alike. The state is
     carried through the whole document, whatever its length. The network's weights are fitted
-    on a fixed share of the learning rows, whole texts chosen by a hash, each of them once, so what it learns from grows with the input;
-    the counts, on which its outputs begin, are of all rows. Null and blank texts have one token, their end. Rows without an id are scored
+    on all learning rows, each of them once, in rounds; the counts, on which its outputs begin, are of all rows too. With a `share` below 1, which is for
+    tests, they are fitted on that share, whole texts chosen by a hash. Null and blank texts have one token, their end. Rows without an id are scored
     and not learned from. An empty table gives an empty result; with nothing to learn from all
     words are unknown.
 
