@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwell.functions.geometry import CORNERS, between, iou
 from trackwell.functions.vectors import dot
+from trackwell.plans.views import shared_folder
+from trackwell.sources.frames import store_of
+
+#: Vectors of one block whose products with the other block are made at once.
+STRIP = 512
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str], least: float = 0.0) -> DataFrame:
@@ -107,30 +114,51 @@ def best_by_cosine(items: DataFrame, identities: DataFrame, threshold: float, mo
 def cosine_links(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     """vectors(vec_id, embedding) -> (vec_a, vec_b, sim), vec_a < vec_b, of all pairs whose dot product exceeds the threshold.
 
-    Vectors are dealt by hash in blocks of about `block`; each two blocks meet in one task, as
-    matrices, and only links leave it. The work grows with the square of the rows, as an exact
-    comparison of all must, but no task holds more than two blocks and no key is hot.
+    Vectors are dealt by hash in blocks of about `block`, which are written once to the shared folder; each two
+    blocks meet in a task that reads them there, and only links leave it. The work grows with the square of the rows, as an exact
+    comparison of all must, but what is exchanged and written grows as the rows do; a task holds two blocks and
+    the products of a strip of one with the other. Vectors or ids that are null have no links.
     """
+    spark = vectors.sparkSession
     blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "embedding"
-    )
-
-    def compare(tile: pa.Table) -> pa.Table:
-        tile = tile.filter(pc.is_valid(tile["embedding"])).combine_chunks()
-        ids, own = tile["vec_id"].to_numpy(), tile["own"].to_numpy()
-        sides = [np.flatnonzero(own == n) for n in dict.fromkeys((int(tile["i"][0].as_py()), int(tile["j"][0].as_py())))] if len(ids) else []
-        if not sides:
-            return pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        matrix = np.array(tile["embedding"].to_pylist(), np.float64)
-        a, b = sides[0], sides[-1]
-        sims = matrix[a] @ matrix[b].T
-        x, y = np.nonzero((sims > threshold) & (ids[a][:, None] < ids[b][None, :]) if len(sides) == 1 else sims > threshold)
-        pair = np.sort(np.stack([ids[a][x], ids[b][y]]), axis=0)
-        return pa.table({"vec_a": pair[0], "vec_b": pair[1], "sim": sims[x, y]})
-
-    return met.groupBy("i", "j").applyInArrow(compare, "vec_a long, vec_b long, sim double").where("vec_a < vec_b")
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    named = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    named.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition("own").write.partitionBy("own").parquet(folder)
+
+    def read(n: int) -> tuple[np.ndarray, np.ndarray]:
+        store, root = store_of(folder)
+        infos = store.get_file_info(fs.FileSelector(f"{root}/own={n}", allow_not_found=True))
+        parts = [pq.read_table(i.path, filesystem=store, columns=["vec_id", "embedding"], partitioning=None) for i in infos if i.base_name.endswith(".parquet")]
+        if not parts:
+            return np.empty(0, np.int64), np.empty((0, 0))
+        whole = pa.concat_tables(parts).combine_chunks()
+        lists = whole["embedding"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        if (sizes != sizes[0]).any():
+            raise ValueError("vectors of unlike lengths")
+        return whole["vec_id"].to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, right = -1, None
+        for batch in batches:
+            for pair in batch.column("id").to_pylist():
+                j = (math.isqrt(8 * pair + 1) - 1) // 2
+                i = pair - j * (j + 1) // 2
+                if j != held:
+                    held, right = j, read(j)
+                left = read(i) if i != j else right
+                if not len(left[0]) or not len(right[0]):
+                    continue
+                for start in range(0, len(left[0]), STRIP):
+                    ids = left[0][start : start + STRIP]
+                    sims = left[1][start : start + STRIP] @ right[1].T
+                    x, y = np.nonzero((sims > threshold) & (ids[:, None] < right[0][None, :]) if i == j else sims > threshold)
+                    a, b = ids[x], right[0][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sims[x, y])], ["vec_a", "vec_b", "sim"])
+
+    pairs = blocks * (blocks + 1) // 2
+    tasks = max(min(pairs, 256), -(-pairs // 16))
+    return spark.range(0, pairs, 1, tasks).mapInArrow(compare, "vec_a long, vec_b long, sim double").where("vec_a < vec_b")
 
 
 def nearest_sample(frames: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
