@@ -45,3 +45,23 @@ def test_a_long_track_is_spread_over_tasks(spark):
             want[1, f] = (axis.x, axis.v, axis.p, axis.q)
     got = _rows(got)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-6) for k in got)
+
+
+def test_a_track_passes_through_a_task_by_batches(spark):
+    """Tracks longer than Arrow's batches, side by side in one task: the state goes on over batches and not over tracks; no task gets a group whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [(obj, f, float(f * (obj or 3)) if f % 3 == 0 and f >= 7 else None) for obj in (1, 2, None) for f in range(180)]
+        made = tracking.smooth(spark.createDataFrame(rows, "obj int, frame_index long, z double").repartition(3), ["obj"], "z")
+        assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+        got = _rows(made)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for obj in (1, 2, None):
+        axis = tracking.Axis(9.0 * (obj or 3))
+        for f in range(10, 180):
+            axis.predict()
+            if f % 3 == 0:
+                axis.update(float(f * (obj or 3)))
+            assert got[obj, f] == (axis.x, axis.v, axis.p, axis.q)
+    assert len(got) == 3 * 171 and tracking.smooth(spark.createDataFrame([], "obj int, frame_index long, z double"), ["obj"], "z").collect() == []

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,26 +188,34 @@ def track(detections: DataFrame, scan: DataFrame, known: DataFrame | None = None
 
 
 def smooth(observations: DataFrame, by: list[str], value: str) -> DataFrame:
-    """observations(by, frame_index, value or null) -> the filter's x, velocity and variances after each frame, from the first value on."""
+    """observations(by, frame_index, value or null) -> the filter's x, velocity and variances after each frame, from the first value on.
+
+    A track's frames pass through one task in order, batch by batch, and no task holds more of a track than a batch.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in observations.schema.fields}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame_index")
-        axis, out = None, []
-        for f, z in zip(group["frame_index"], group[value]):
-            if axis is None:
-                if z == z and z is not None:
-                    axis = Axis(float(z))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, axis = None, None
+        for batch in batches:
+            keys = zip(*([str(v) if isinstance(v, float) else v for v in batch.column(b).to_pylist()] for b in by))  # NaN as text: it equals itself
+            at, out = [], []
+            for n, (key, z) in enumerate(zip(keys, batch.column("_z").to_pylist())):
+                if key != now:
+                    now, axis = key, None
+                if axis is None:
+                    if z is None or z != z:
+                        continue
+                    axis = Axis(z)
                 else:
-                    continue
-            else:
-                axis.predict()
-                if z == z and z is not None:
-                    axis.update(float(z))
-            out.append((f, axis.x, axis.v, axis.p, axis.q))
-        frame = pd.DataFrame(out, columns=["frame_index", "x", "v", "p", "q"])
-        for b in reversed(by):
-            frame.insert(0, b, group[b].iloc[0])
-        return frame
-
-    return observations.groupBy(*by).applyInPandas(run, ", ".join([*[f"{b} {kinds[b]}" for b in by], "frame_index long, x double, v double, p double, q double"]))
+                    axis.predict()
+                    if z is not None and z == z:
+                        axis.update(z)
+                at.append(n)
+                out.append((axis.x, axis.v, axis.p, axis.q))
+            if at:
+                own = batch.select([*by, "frame_index"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, pa.float64()) for c in zip(*out)]], [*by, "frame_index", "x", "v", "p", "q"])
+
+    rows = observations.select(*by, F.col("frame_index").cast("long").alias("frame_index"), F.col(value).cast("double").alias("_z"))
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "frame_index")
+    return ordered.mapInArrow(run, ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "frame_index long, x double, v double, p double, q double"]))
