@@ -47,6 +47,16 @@ def test_a_long_track_is_spread_over_tasks(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-6) for k in got)
 
 
+def test_no_grid_grows_with_the_batch(spark, monkeypatch):
+    """A batch of many blocks is filtered a few at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(long_tracks, "CELLS", 100)
+    batch = pa.RecordBatch.from_pydict({"z": pa.array([[float(n)] * (n % 31) for n in range(200)], pa.list_(pa.float64()))})
+    parts = list(long_tracks._slices(iter([batch])))
+    assert max(long_tracks._columns(p)[0].size for p in parts) <= 100 and [z for p in parts for z in p.to_pydict()["z"]] == batch.to_pydict()["z"]
+
+
 def test_a_track_passes_through_a_task_by_batches(spark):
     """Tracks longer than Arrow's batches, side by side in one task: the state goes on over batches and not over tracks; no task gets a group whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")

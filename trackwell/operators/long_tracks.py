@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from trackwell.operators.tracking import MEASURE_NOISE, POSITION_NOISE, VELOCITY_NOISE, Axis
 
-#: Frames of a block, the unit of parallel work.
-SPAN = 4096
+#: Frames of a block, the unit of parallel work, and frames of all blocks that a task filters side by side.
+SPAN, CELLS = 4096, 1 << 18
 _START = Axis(0.0)
 
 
@@ -32,6 +32,15 @@ def _pattern_walk(pieces: Iterator[str], p: float, q: float, begun: bool) -> Ite
                 p, q = p * (1 - p / total), q * (1 - q / total)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in batches of about CELLS frames, so that the grids don't grow with Arrow's batches."""
+    for batch in batches:
+        longest = int(batch.column("z").value_lengths().to_numpy().max(initial=1))
+        size = max(1, CELLS // max(1, longest))
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of the blocks of a batch as rows of a grid, which of them are seen, and which are frames at all."""
     lists = batch.column("z")
@@ -80,7 +89,7 @@ def smooth_long(observations: DataFrame, by: list[str], value: str, span: int =
         return pa.table([*[group[b] for b in by], group["_block"], pa.array(p, pa.float64()), pa.array(q, pa.float64()), pa.array(begun)], [*by, "_block", "p", "q", "begun"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             z, seen, inside = _columns(batch)
             n = len(z)
             m, c = np.tile(np.eye(2), (n, 1, 1)), np.zeros((n, 2))
@@ -105,7 +114,7 @@ def smooth_long(observations: DataFrame, by: list[str], value: str, span: int =
         return pa.table([*[group[b] for b in (*by, "_block", "p", "q", "begun")], pa.array(xs, pa.float64()), pa.array(vs, pa.float64())], [*by, "_block", "p", "q", "begun", "x", "v"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             z, seen, inside = _columns(batch)
             x, v, p, q, begun = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("x", "v", "p", "q", "begun"))
             out, known = np.zeros((4, *z.shape)), np.zeros(z.shape, bool)
