@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -480,6 +481,58 @@ def test_training_reruns_agree(spark):
     assert all((made[0][k] == made[1][k]).all() for k in made[0])
 
 
+def test_words_of_odd_texts():
+    """Against plain splitting: hashes, forms, ends, in one piece and in several."""
+    texts = ["  Red\x0bGREEN,  42.\n", None, "", " \t ", "\x1cx \u00a0y \u2003 Ä ä... ... a.b 日本 日.", "Red red"]
+    own = lambda w: 2 if any(c < 65 or 90 < c < 97 or 122 < c < 128 for c in w.rstrip(b".,")) else int(not w.isascii())
+    want = [[*((xxhash.xxh64_intdigest(w, 3), own(w)) for w in (t or "").encode().lower().split()), (lm_scoring.END, 0)] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        found = lm_scoring._tokens(pa.array(texts, kind))
+        assert [[(int(found.hashes[w]), int(found.forms[w])) for w in found.word[found.doc == d]] for d in range(len(texts))] == want
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *texts, "x" * 9_000_000, *texts])], ["text"])
+    pieces = list(lm_scoring._pieces(batch))
+    assert [first for first, _ in pieces] == [0, 7, 8] and [t for _, p in pieces for t in p.to_pylist()] == batch.column("text").to_pylist()
+
+
+def test_training_takes_words_that_are_numbered_already(spark):
+    """Texts are split once for training and scoring: ids in place of texts give the same weights."""
+    texts = [" ".join(random.Random(k).choices(["red", "green", "blue", "the", "sky", "q7", "ж"], k=40)) for k in range(30)] + ["", None]
+    words = np.sort(np.array([xxhash.xxh64_intdigest(w, 3) for w in (b"red", b"green", b"the", b"sky", b"\n")], np.uint64))
+    vocabulary = lm_scoring.Vocabulary(words, np.arange(5), 5)
+    lessons = docs_of(spark, texts).withColumn("round", (F.col("doc_id") % 2).cast("int"))
+    ids = []
+    for d, text in enumerate(texts):
+        hashes = [*(xxhash.xxh64_intdigest(w, 3) for w in (text or "").encode().split()), lm_scoring.END]
+        forms = [*({"q7": 2, "ж": 1}.get(w, 0) for w in (text or "").split()), 0]
+        ids.append((d, vocabulary.number(np.array(hashes, np.uint64), np.array(forms)).astype(np.int16).tobytes(), d % 2))
+    made = [lm_scoring.train(x, vocabulary, np.ones(8), rounds=2, tasks=3).p for x in (lessons, spark.createDataFrame(ids, "doc_id long, ids binary, round int"))]
+    assert all((made[0][k] == made[1][k]).all() for k in made[0])
+
+
+def test_a_step_follows_the_slope():
+    """The first step divides each gradient by its size, so every weight moves by the rate where the likelihood's slope, by differences, isn't near 0."""
+    words = np.arange(1, 41, dtype=np.uint64)
+    model = lm_scoring.RecurrentModel(lm_scoring.Vocabulary(words, np.arange(40), 40), np.arange(60, 17, -1.0))
+    model.p = {k: a.astype(np.float64) for k, a in model.p.items()}
+    rng = np.random.default_rng(1)
+    x, y, h = rng.integers(0, 43, (6, 3)), rng.integers(0, 43, (6, 3)), rng.normal(size=(3, lm_scoring.HIDDEN))
+    y[4:, 0] = -1
+    total = lambda: model.log_probability(model.states(x, h)[y >= 0], y[y >= 0]).sum() / (y >= 0).sum()
+    kept = {k: a.copy() for k, a in model.p.items()}
+    model.train_window(x, y, h, {}, 1e-3)
+    moved, model.p = {k: model.p[k] - kept[k] for k in kept}, kept
+    for name, a in model.p.items():
+        for at in rng.choice(a.size, min(a.size, 40), replace=False):
+            before = a.flat[at]
+            slope = []
+            for d in (1e-5, -1e-5):
+                a.flat[at] = before + d
+                slope.append(total())
+            a.flat[at] = before
+            slope = (slope[0] - slope[1]) / 2e-5
+            assert moved[name].flat[at] == pytest.approx(1e-3 * slope / (abs(slope) + 1e-5), abs=2e-6), name
+
+
 def test_training_rounds_and_tasks_both_grow():
     plans = [lm_scoring.rounds_of(n * lm_scoring.TASK_ROWS) for n in (0, 1, 8, 1_000, 10**6)]
     assert plans == [(2, 1), (2, 1), (3, 3), (11, 91), (101, 9901)]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,54 +32,58 @@ SEGMENT = 256
 UNIT, PART = 1 << 16, 1 << 10
 SMOOTH = 0.1
 SEED = 17
-#: Words of documents that are read at a time, documents that the network reads side by side, and tokens of them, the padding included.
-PIECE = 1_500_000
+#: Bytes of documents that are split into words at a time, documents that the network reads side by side, tokens of them, the padding included, and
+#: tokens whose outputs are worked out together.
+PIECE = 8_000_000
 WIDTH = 1_024
 AREA = 1 << 21
+TOGETHER = 8_192
 #: The share of the learning rows that the network's weights are fitted on, and the rows, about, of which a task learns in a round.
 SHARE, TASK_ROWS = 1.0, 500
 #: Sequences of up to SEGMENT tokens that learn side by side, a window a step.
 BESIDE = 64
 
 
-def _form(word: bytes) -> int:
-    return 2 if not word.isalpha() and any(c < 65 or 90 < c < 97 or 122 < c < 128 for c in word.rstrip(b".,")) else int(not word.isascii())
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+    """The documents' texts, PIECE bytes at a time, one document at least: (number of the first document, texts)."""
+    texts = batch.column("text")
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+        yield first, texts.slice(first, stop - first)
+        first = stop
 
 
-def _split(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The documents' words, PIECE at a time: (number of the first document, words of each)."""
-    held, size, first = [], 0, 0
-    for i, text in enumerate(batch.column("text")):
-        words = _split(text.as_py())
-        held.append(words)
-        size += len(words)
-        if size >= PIECE:
-            yield first, held
-            held, size, first = [], 0, i + 1
-    if held:
-        yield first, held
-
-
-class _Words(dict):
-    """Numbers of words; a word's hash and form are found when it is first met."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-        self.forms: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 3))
-        self.forms.append(_form(word))
-        return n
+@dataclass
+class _Tokens:
+    """Of some documents: each token's document and word, its end being the last; and of the words hash and form."""
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    doc: np.ndarray
+    word: np.ndarray
+    hashes: np.ndarray
+    forms: np.ndarray
+
+
+def _tokens(texts: pa.Array) -> _Tokens:
+    """Lower-cased words between white space, and an end for each document, the last of the words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at either end gives an empty word
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    empty = np.flatnonzero(~real.to_numpy(zero_copy_only=False))
+    n = np.diff(ends, prepend=0) - np.bincount(np.searchsorted(ends, empty, side="right"), minlength=len(texts))
+    coded = flat.filter(real).dictionary_encode()
+    words = coded.dictionary
+    marked = pc.match_substring_regex(pc.ascii_rtrim(words, characters=".,"), r"[\x00-\x40\x5b-\x60\x7b-\x7f]")
+    forms = np.where(marked, 2, pc.invert(pc.string_is_ascii(words)))
+    as_bytes = words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 3) for w in as_bytes), np.uint64, len(words))
+    return _Tokens(
+        np.repeat(np.arange(len(texts)), n + 1), np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(n), len(words)),
+        np.append(hashes, np.uint64(END)), np.append(forms, 0).astype(np.int64),
+    )
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -86,14 +91,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, docs_words in _pieces(batch):
-                words = _Words()
-                ids = np.concatenate([words.of(d) for d in docs_words])
-                n = np.bincount(ids, minlength=len(words.hashes))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.array([*words.hashes, END], np.uint64).view(np.int64)), pa.array(np.array([*words.forms, 0], np.int32)),
-                    pa.array(np.append(n, len(docs_words)).astype(np.int64)),
-                ], ["word", "form", "n"])
+            for _, texts in _pieces(batch):
+                found = _tokens(texts)
+                n = np.bincount(found.word, minlength=len(found.hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), pa.array(found.forms.astype(np.int32)), pa.array(n)], ["word", "form", "n"])
 
     found = docs.select("text").mapInArrow(count, "word long, form int, n long")
     return found.groupBy("word").agg(F.max("form").alias("form"), F.sum("n").alias("n"))
@@ -137,14 +138,27 @@ class Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Changes x in place; by tanh, which doesn't overflow."""
-    x *= 0.5
+    """Of 2 x, changed in place; by tanh, which doesn't overflow."""
     np.tanh(x, out=x)
     x *= 0.5
     x += 0.5
     return x
 
 
+def _log_softmax(logit: np.ndarray, y: np.ndarray, gradient: bool) -> np.ndarray:
+    """log p(y) for logits (outputs, rows), each row a column; with gradient, the logits become its gradient by them."""
+    rows = np.arange(len(y))
+    logit -= logit.max(axis=0)
+    out = logit[y, rows]
+    np.exp(logit, out=logit)
+    norm = logit.sum(axis=0)
+    out -= np.log(norm)
+    if gradient:
+        logit *= -1 / norm
+        logit[y, rows] += 1
+    return out
+
+
 class RecurrentModel:
     """A GRU over words; log p(word) = log p(class | state) + log p(word | class, state). A rare form is a class of its own.
 
@@ -175,95 +189,135 @@ class RecurrentModel:
             self.p["wb"][vocabulary.size :] = -30.0
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: bool = False):
-        """x (steps, docs) of inputs, h (docs, HIDDEN) carried in -> states after each step."""
+        """x (steps, docs) of inputs, h (docs, HIDDEN) carried in -> states after each step; with keep, also (states before each, gates, candidates).
+
+        Update and reset gate lie apart, (2, steps, docs, HIDDEN), so that all that is worked out for a step lies in one piece.
+        """
         n, u, uh = HIDDEN, self.p["u"], self.p["uh"]
-        inputs = self.p["e"] + self.p["b"]
-        out = np.empty((*x.shape, n), np.float32)
-        gates = []
+        half = np.stack([u[:, :n], u[:, n:]]) * u.dtype.type(0.5)
+        inputs = np.add(self.p["e"].reshape(-1, 3, n).transpose(1, 0, 2), self.p["b"].reshape(3, 1, n), order="C")
+        inputs[:2] *= 0.5
+        zr = np.empty((2, *x.shape, n), u.dtype)
+        for i in (0, 1):
+            inputs[i].take(x, axis=0, out=zr[i], mode="clip")
+        k = inputs[2].take(x, axis=0)
+        out = np.empty((len(x) + 1, x.shape[1], n), u.dtype)
+        out[0] = h
+        both, one = np.empty((2, x.shape[1], n), u.dtype), np.empty((x.shape[1], n), u.dtype)
         for t in range(len(x)):
-            d = inputs.take(x[t], axis=0)
-            zr = h @ u
-            zr += d[:, : 2 * n]
-            _sigmoid(zr)
-            z, r = zr[:, :n], zr[:, n:]
-            k = (r * h) @ uh
-            k += d[:, 2 * n :]
-            np.tanh(k, out=k)
-            if keep:
-                gates.append((h, z, r, k))
-            h = np.subtract(h, k, out=out[t])
-            h *= z
-            h += k
-        return (out, gates) if keep else out
+            h, gates, c, new = out[t], zr[:, t], k[t], out[t + 1]
+            np.matmul(h, half, out=both)
+            gates += both
+            _sigmoid(gates)
+            np.multiply(gates[1], h, out=new)
+            np.matmul(new, uh, out=one)
+            c += one
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=new)
+            new *= gates[0]
+            new += c
+        return (out[1:], (out[:-1], zr, k)) if keep else out[1:]
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
         return np.where(y < self.v.size, y // CLASS_WORDS, y - self.v.size + self.full)
 
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
-        """Natural log of p(y | state) for rows of h; with grads, also d(sum)/dh, and gradients are added."""
-        k = self.class_of(y)
-        out, dh = self._one_of(h, "c", "cb", slice(0, self.classes), k, grads)
+        """Natural log of p(y | state) for rows of h; with grads, also d(sum)/dh, and gradients are added.
+
+        Rows are put in order by class; outputs are rows of the arrays of logits, and a bias is the weight of a one behind the state.
+        """
+        n, k = HIDDEN, self.class_of(y).astype(np.int16)
         order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(self.full + 1))
-        for c in range(self.full):
-            own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                s = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-                more, dmore = self._one_of(h[own], "w", "wb", s, y[own] - s.start, grads)
-                out[own] += more
-                if grads is not None:
-                    dh[own] += dmore
-        return (out, dh) if grads is not None else out
-
-    def _one_of(self, h: np.ndarray, weights: str, bias: str, s: slice, y: np.ndarray, grads: dict | None):
-        """log p(y | state) among the outputs s of a softmax, and its gradient by h; outputs are rows here, so that sums run along states."""
-        w, rows = self.p[weights][:, s], np.arange(len(y))
-        logit = w.T @ h.T
-        logit += self.p[bias][s, None]
-        logit -= logit.max(axis=0)
-        out = logit[y, rows]
-        soft = np.exp(logit, out=logit)
-        norm = soft.sum(axis=0)
-        out -= np.log(norm)
+        k, y = k[order], y[order]
+        own = np.ones((len(y), n + 1), h.dtype)
+        own[:, :n] = h[order]
+        ends = np.searchsorted(k, np.arange(self.full + 1))
+        inner = y[: ends[-1]] - k[: ends[-1]].astype(np.int64) * CLASS_WORDS
+        present = [(c, slice(ends[c], ends[c + 1])) for c in range(self.full) if ends[c] < ends[c + 1]]
+        outer_w = np.vstack([self.p["c"], self.p["cb"]])
+        inner_w = np.vstack([self.p["w"], self.p["wb"]]).reshape(n + 1, self.full, CLASS_WORDS).transpose(1, 2, 0).copy()
+        outer = outer_w.T @ own.T
+        words = np.empty((CLASS_WORDS, len(inner)), outer.dtype)
+        for c, s in present:
+            np.matmul(inner_w[c], own[s].T, out=words[:, s])
+        logp = _log_softmax(outer, k, grads is not None)
+        logp[: len(inner)] += _log_softmax(words, inner, grads is not None)
+        out = np.empty_like(logp)
+        out[order] = logp
         if grads is None:
-            return out, None
-        g = soft
-        g /= -norm
-        g[y, rows] += 1
-        grads[weights][:, s] += (g @ h).T
-        grads[bias][s] += g.sum(axis=1)
-        return out, (w @ g).T
+            return out
+        g = outer @ own
+        grads["c"] += g[:, :n].T
+        grads["cb"] += g[:, n]
+        g = np.zeros_like(inner_w)
+        dh = outer_w[:n] @ outer
+        back = np.empty((n, len(inner)), dh.dtype)
+        for c, s in present:
+            np.matmul(words[:, s], own[s], out=g[c])
+            np.matmul(inner_w[c, :, :n].T, words[:, s], out=back[:, s])
+        g = g.reshape(-1, n + 1)
+        grads["w"] += g[:, :n].T
+        grads["wb"] += g[:, n]
+        dh[:, : len(inner)] += back
+        dout = np.empty_like(h)
+        dout[order] = dh.T
+        return out, dout
 
     def train_window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, moments: dict, rate: float):
         """One step of truncated backpropagation through a window; -> (log p, tokens, state carried out). y < 0: no token."""
-        states, gates = self.states(x, h, keep=True)
+        states, (before, zr, k) = self.states(x, h, keep=True)
         real = y >= 0
-        grads = {n: np.zeros_like(a) for n, a in self.p.items()}
+        grads = {n: np.zeros_like(a) for n, a in self.p.items() if n != "e"}
         logp, dreal = self.log_probability(states[real], y[real], grads)
         d = np.zeros_like(states)
         d[real] = dreal
-        n, back = HIDDEN, np.zeros_like(h)
-        dinput = np.zeros((*x.shape, 3 * n), np.float32)
+        n, (z, r) = HIDDEN, zr
+        u = np.stack([self.p["u"][:, :n].T, self.p["u"][:, n:].T])
+        uh = self.p["uh"].T
+        of_k = (1 - z) * (1 - k * k)
+        of_z = (before - k) * z * (1 - z)
+        of_r = before * r * (1 - r)
+        dzr, dk = np.empty_like(zr), np.empty_like(k)
+        drh, both = np.empty_like(k[0]), np.empty_like(zr[:, 0])
+        back = np.zeros_like(k[0])
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, k = gates[t]
-            g = d[t] + back
-            dk = g * (1 - z) * (1 - k * k)
-            drh = dk @ self.p["uh"].T
-            dzr = np.hstack([g * (before - k) * z * (1 - z), drh * before * r * (1 - r)])
-            grads["uh"] += (r * before).T @ dk
-            grads["u"] += before.T @ dzr
-            dinput[t] = np.hstack([dzr, dk])
-            back = g * z + drh * r + dzr @ self.p["u"].T
-        flat = dinput.reshape(-1, 3 * n)
-        grads["b"] += flat.sum(axis=0)
-        order = np.argsort(x, axis=None, kind="stable")
-        used, first = np.unique(x.ravel()[order], return_index=True)
-        grads["e"][used] = np.add.reduceat(flat[order], first, axis=0)
+            back += d[t]
+            np.multiply(back, of_k[t], out=dk[t])
+            np.matmul(dk[t], uh, out=drh)
+            np.multiply(back, of_z[t], out=dzr[0, t])
+            np.multiply(drh, of_r[t], out=dzr[1, t])
+            np.matmul(dzr[:, t], u, out=both)
+            back *= z[t]
+            drh *= r[t]
+            back += drh
+            back += both[0]
+            back += both[1]
+        rows = lambda a: a.reshape(-1, n)
+        flat = [rows(dzr[0]), rows(dzr[1]), rows(dk)]
+        grads["uh"] += rows(r * before).T @ flat[2]
+        grads["u"] += np.hstack([rows(before).T @ d for d in flat[:2]])
+        grads["b"] += np.concatenate([np.ones(len(d), d.dtype) @ d for d in flat])
+        at = x.ravel().astype(np.int16)
+        order = np.argsort(at, kind="stable")
+        used, first = np.unique(at[order], return_index=True)
+        grads["e"] = np.add.reduceat(np.concatenate([d.take(order, axis=0) for d in flat], axis=1), first, axis=0)
         scale = 1 / max(1, real.sum())
         for name, g in grads.items():
             g *= scale
-            moments[name] = 0.99 * moments.get(name, 0) + 0.01 * g * g if name in moments else g * g
-            self.p[name] += rate * g / (np.sqrt(moments[name]) + 1e-5)
+            own = used if name == "e" else slice(None)  # the other inputs' embeddings have no gradient
+            squares = g * g
+            if name in moments:
+                squares *= 0.01
+                moments[name] *= 0.99
+                moments[name][own] += squares
+            else:
+                moments[name] = np.zeros_like(self.p[name])
+                moments[name][own] = squares
+            np.sqrt(moments[name][own], out=squares)
+            squares += 1e-5
+            g *= rate
+            g /= squares
+            self.p[name][own] += g
         return float(logp.sum()), int(real.sum()), states[-1]
 
 
@@ -296,18 +350,36 @@ def _document_scores(model: "RecurrentModel", ids: list[np.ndarray], end: int) -
             states = model.states(x[t : t + WINDOW, live:], h[live:])
             h[live:] = states[-1]
             real = part >= 0
+            own_states, own_y = states[real], part[real]
             logp = np.zeros(part.shape)
-            logp[real] = model.log_probability(states[real], part[real]) / np.log(10)
+            logp[real] = np.concatenate([model.log_probability(own_states[i : i + TOGETHER], own_y[i : i + TOGETHER]) for i in range(0, len(own_y), TOGETHER)]) / np.log(10)
             out[own[live:]] += logp.sum(axis=0)
     return out
 
 
-def _tokens(words: list[list[bytes]], vocabulary: Vocabulary, found: _Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each document: word numbers within `found`, and model ids with the end."""
-    numbers = [found.of(d) for d in words]
-    ids = vocabulary.number(np.array(found.hashes, np.uint64), np.array(found.forms, np.int64))
-    end = vocabulary.number(np.array([END], np.uint64), np.zeros(1, np.int64))
-    return numbers, [np.append(ids[n], end) for n in numbers]
+def _model_ids(found: _Tokens, docs: int, vocabulary: Vocabulary) -> tuple[np.ndarray, pa.Array]:
+    """The model's id of each word; and of each document those of its tokens, as 16-bit numbers end to end."""
+    ids = vocabulary.number(found.hashes, found.forms)
+    ends = np.append(0, np.cumsum(np.bincount(found.doc, minlength=docs))) * 2
+    flat = ids[found.word].astype(np.int16)
+    return ids, pa.Array.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int16) for x in batch.column("ids")]
+
+
+def _numbered(lessons: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """lessons(doc_id, text, round) -> (doc_id, ids, round), ids being the model's, of every word and the end."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in _pieces(batch):
+                own = batch.slice(first, len(texts))
+                ids = _model_ids(_tokens(texts), len(texts), vocabulary)[1]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), ids, own.column("round")], ["doc_id", "ids", "round"])
+
+    return lessons.select("doc_id", "text", F.col("round").cast("int")).mapInArrow(number, "doc_id long, ids binary, round int")
 
 
 def rounds_of(rows: int) -> tuple[int, int]:
@@ -329,37 +401,37 @@ def _add_up(rows: pa.Table) -> pa.Table:
 def train(lessons: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, rounds: int, tasks: int, rate: float = 0.02, seed: int = SEED) -> RecurrentModel:
     """Truncated backpropagation in rounds over rows of their own: in each, tasks go on from the last average, and their weights are averaged by tokens.
 
-    lessons(doc_id, text, round) should be the rows to learn from, dealt over rounds; each task sees its share whole, in an order fixed by
-    id and text. How far each task's weights have moved is added up in Spark, as whole multiples of 1 / UNIT so that the
+    lessons(doc_id, text, round) should be the rows to learn from, dealt over rounds, with the model's ids instead of texts where those are known; each
+    task sees its share whole, in an order fixed by id and tokens. How far each task's weights have moved is added up in Spark, as whole multiples of 1 / UNIT so that the
     order doesn't matter and reruns agree; the driver gets one model's arrays, bounded by the vocabulary. Null and blank texts teach their end. Without rows the weights stay as they began.
     """
     model = RecurrentModel(vocabulary, frequency, seed)
     if not vocabulary.size:
         return model
+    if "ids" not in lessons.columns:
+        lessons = _numbered(lessons, vocabulary)
+    end = vocabulary.number(np.array([END], np.uint64), np.zeros(1, np.int64))[0].astype(np.int16)
     for n in range(rounds):
         start, step = model.p, rate / (1 + n) ** 0.5
-        own_hash = F.xxhash64("doc_id", "text")
-        shares = lessons.where(F.col("round") == n).select("doc_id", "text").repartition(tasks, own_hash).sortWithinPartitions(own_hash, "doc_id", "text").select("text")
+        own_hash = F.xxhash64("doc_id", "ids")
+        shares = lessons.where(F.col("round") == n).select("doc_id", "ids").repartition(tasks, own_hash).sortWithinPartitions(own_hash, "doc_id", "ids").select("ids")
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = RecurrentModel(vocabulary, None, seed)
             own.p = {k: a.copy() for k, a in start.items()}
             moments: dict = {}
             tokens = 0
-            end = vocabulary.number(np.array([END], np.uint64), np.zeros(1, np.int64))[0]
             for batch in batches:
-                for _, words in _pieces(batch):
-                    _, ids = _tokens(words, vocabulary, _Words())
-                    pairs = [np.stack([np.append(end, d[:-1]), d]) for d in ids]
-                    parts = [p[:, i : i + SEGMENT] for p in pairs for i in range(0, p.shape[1], SEGMENT)]
-                    for chosen, _, y in _lockstep([p[1] for p in parts], BESIDE):
-                        x = np.zeros_like(y)
-                        for j, i in enumerate(chosen):
-                            x[: parts[i].shape[1], j] = parts[i][0]
-                        h = np.zeros((y.shape[1], HIDDEN), np.float32)
-                        for t in range(0, len(y), WINDOW):
-                            _, k, h = own.train_window(x[t : t + WINDOW], y[t : t + WINDOW], h, moments, step)
-                            tokens += k
+                pairs = [np.stack([np.append(end, d[:-1]), d]) for d in _ids_of(batch)]
+                parts = [p[:, i : i + SEGMENT] for p in pairs for i in range(0, p.shape[1], SEGMENT)]
+                for chosen, _, y in _lockstep([p[1] for p in parts], BESIDE):
+                    x = np.zeros_like(y)
+                    for j, i in enumerate(chosen):
+                        x[: parts[i].shape[1], j] = parts[i][0]
+                    h = np.zeros((y.shape[1], HIDDEN), np.float32)
+                    for t in range(0, len(y), WINDOW):
+                        _, k, h = own.train_window(x[t : t + WINDOW], y[t : t + WINDOW], h, moments, step)
+                        tokens += k
             if tokens:
                 moved = np.concatenate([(own.p[k] - start[k]).ravel() for k in sorted(start)])
                 moved = np.rint(moved.astype(np.float64) * UNIT).astype(np.int32)
@@ -416,56 +488,68 @@ def score(docs: DataFrame, learn: Column, scratch: Scratch | None = None, share:
     rare_v -= np.bincount(forms_of_top, minlength=FORMS)
     rounds, tasks = rounds_of(int(n_docs * share))
     picked = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    dealt = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text"), F.lit(rounds)).cast("int").alias("round")
-    lessons = scratch.save(learned.where(picked).select("doc_id", "text", dealt), "round")
-    model = train(lessons, vocabulary, np.append(n[:size], rare_n), rounds, tasks)
+    dealt = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "ids"), F.lit(rounds)).cast("int")
     known = spark.sparkContext.broadcast((np.sort(word), n[np.argsort(word)]))
     rare_log = np.log10(rare_n + SMOOTH * (rare_v + 1))
     base_log = np.log10(total + SMOOTH * (types + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, known_counts = known.value
-        end = vocabulary.number(np.array([END], np.uint64), np.zeros(1, np.int64))[0]
         for batch in batches:
-            rows, doc_ids = batch.column(name).to_numpy(), batch.column("doc_id").cast(pa.int64())
-            for first, words in _pieces(batch):
-                found = _Words()
-                numbers, ids = _tokens(words, vocabulary, found)
-                hashes = np.array([*found.hashes, END], np.uint64)
+            for first, texts in _pieces(batch):
+                own, docs_here, found = batch.slice(first, len(texts)), len(texts), _tokens(texts)
                 if len(known_words):
-                    at = np.minimum(np.searchsorted(known_words, hashes), len(known_words) - 1)
-                    count = np.where(known_words[at] == hashes, known_counts[at], 0)
+                    at = np.minimum(np.searchsorted(known_words, found.hashes), len(known_words) - 1)
+                    count = np.where(known_words[at] == found.hashes, known_counts[at], 0)
                 else:
-                    count = np.zeros(len(hashes), np.int64)
-                share, seen = np.log10(count + SMOOTH), count > 0
-                network = _document_scores(model, ids, end)
-                row, which, key, times, tokens, n_known, base, net = [], [], [], [], [], [], [], []
-                for i, (number, own_ids) in enumerate(zip(numbers, ids)):
-                    number_end = np.append(number, len(hashes) - 1)
-                    u, m = np.unique(number_end, return_counts=True)
-                    missing = u[~seen[u]]
-                    rare = own_ids >= vocabulary.size
-                    forms = np.bincount(own_ids[rare] - vocabulary.size, minlength=FORMS)
-                    row.append(np.full(len(missing) + 1, rows[first + i]))
-                    which.append(np.full(len(missing) + 1, first + i))
-                    key.append(np.concatenate([hashes[missing], np.array([END ^ int(rows[first + i]) & (2**64 - 1)], np.uint64)]))
-                    times.append(np.append(m[~seen[u]], 0))
-                    here = (m * seen[u] * share[u]).sum()
-                    rare_here = share[number_end[rare]][seen[number_end[rare]]].sum()
-                    pad = np.zeros(len(missing))
-                    tokens.append(np.append(pad, len(number_end)))
-                    n_known.append(np.append(pad, (m * seen[u]).sum()))
-                    base.append(np.append(pad, here - len(number_end) * base_log))
-                    net.append(np.append(pad, network[i] + rare_here - (forms * rare_log).sum()))
+                    count = np.zeros(len(found.hashes), np.int64)
+                seen = count > 0
+                share = np.where(seen, np.log10(count + SMOOTH), 0)
+                ids, ids_of_docs = _model_ids(found, docs_here, vocabulary)
+                of_form = np.where(ids >= size, share - rare_log[np.maximum(ids - size, 0)], 0)
+                total_of = lambda values: np.bincount(found.doc, values[found.word], docs_here)
+                n = np.bincount(found.doc, minlength=docs_here)
+                missing = ~seen[found.word]
+                key, times = np.unique(found.doc[missing] * len(seen) + found.word[missing], return_counts=True)
+                ends = np.searchsorted(key, np.arange(docs_here + 1) * len(seen)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    doc_ids.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(row).astype(np.int64)), pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64)),
-                    pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(n_known).astype(np.int64)),
-                    pa.array(np.concatenate(base)), pa.array(np.concatenate(net)),
-                ], ["doc_id", "row", "word", "times", "tokens", "known", "base", "net"])
+                    own.column("doc_id").cast(pa.int64()), own.column(name), ids_of_docs,
+                    pa.ListArray.from_arrays(ends, found.hashes[key % len(seen)].view(np.int64)), pa.ListArray.from_arrays(ends, times),
+                    pa.array(n), pa.array(total_of(seen).astype(np.int64)), pa.array(total_of(share) - n * base_log), pa.array(total_of(of_form)),
+                ], ["doc_id", "row", "ids", "words", "times", "tokens", "known", "base", "net"])
 
-    emitted = docs.select("doc_id", F.monotonically_increasing_id().alias(name), "text").mapInArrow(
-        read, "doc_id long, row long, word long, times long, tokens long, known long, base double, net double"
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias(name), "text").mapInArrow(
+        read, "doc_id long, row long, ids binary, words array<long>, times array<long>, tokens long, known long, base double, net double"
     )
+    numbered = scratch.save(numbered.withColumn("round", F.when(learn & picked, dealt).otherwise(-1)), "round")
+    model = train(numbered.where("round >= 0").select("doc_id", "ids", "round"), vocabulary, np.append(n[:size], rare_n), rounds, tasks)
+
+    def network(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each word that is still to be counted and one for the document, whose word is no other's."""
+        end = vocabulary.number(np.array([END], np.uint64), np.zeros(1, np.int64))[0]
+        for batch in batches:
+            words, times = batch.column("words"), batch.column("times")
+            n = pc.list_value_length(words).to_numpy()
+            last = np.cumsum(n + 1) - 1
+            which = np.repeat(np.arange(len(n)), n + 1)
+            other = np.ones(len(which), bool)
+            other[last] = False
+
+            def spread(of_words: np.ndarray | None, of_docs: np.ndarray) -> pa.Array:
+                out = np.zeros(len(which), of_docs.dtype)
+                out[last] = of_docs
+                if of_words is not None:
+                    out[other] = of_words
+                return pa.array(out)
+
+            own = {c: batch.column(c).to_numpy() for c in ("row", "tokens", "known", "base", "net")}
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(pa.array(which)), pa.array(own["row"][which]),
+                spread(words.flatten().to_numpy(), np.int64(np.uint64(END).astype(np.int64)) ^ own["row"]), spread(times.flatten().to_numpy(), np.zeros(len(n), np.int64)),
+                spread(None, own["tokens"]), spread(None, own["known"]), spread(None, own["base"]), spread(None, own["net"] + _document_scores(model, _ids_of(batch), end)),
+            ], ["doc_id", "row", "word", "times", "tokens", "known", "base", "net"])
+
+    emitted = numbered.drop("round").mapInArrow(network, "doc_id long, row long, word long, times long, tokens long, known long, base double, net double")
     of_word = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))
     return (
         emitted.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
