@@ -489,7 +489,7 @@ def test_words_of_odd_texts():
     for kind in (pa.string(), pa.large_string()):
         found = lm_scoring._tokens(pa.array(texts, kind))
         assert [[(int(found.hashes[w]), int(found.forms[w])) for w in found.word[found.doc == d]] for d in range(len(texts))] == want
-    batch = pa.RecordBatch.from_arrays([pa.array([None, *texts, "x" * 9_000_000, *texts])], ["text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *texts, "x" * 13_000_000, *texts])], ["text"])
     pieces = list(lm_scoring._pieces(batch))
     assert [first for first, _ in pieces] == [0, 7, 8] and [t for _, p in pieces for t in p.to_pylist()] == batch.column("text").to_pylist()
 

@@ -34,7 +34,7 @@ SMOOTH = 0.1
 SEED = 17
 #: Bytes of documents that are split into words at a time, documents that the network reads side by side, tokens of them, the padding included, and
 #: tokens whose outputs are worked out together.
-PIECE = 8_000_000
+PIECE = 12_000_000
 WIDTH = 1_024
 AREA = 1 << 21
 TOGETHER = 8_192
@@ -74,7 +74,7 @@ def _tokens(texts: pa.Array) -> _Tokens:
     ends = np.cumsum(pc.list_value_length(lists).to_numpy())
     empty = np.flatnonzero(~real.to_numpy(zero_copy_only=False))
     n = np.diff(ends, prepend=0) - np.bincount(np.searchsorted(ends, empty, side="right"), minlength=len(texts))
-    coded = flat.filter(real).dictionary_encode()
+    coded = (flat.filter(real) if len(empty) else flat).dictionary_encode()
     words = coded.dictionary
     marked = pc.match_substring_regex(pc.ascii_rtrim(words, characters=".,"), r"[\x00-\x40\x5b-\x60\x7b-\x7f]")
     forms = np.where(marked, 2, pc.invert(pc.string_is_ascii(words)))
@@ -137,18 +137,11 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.ids[at], self.size + forms)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of 2 x, changed in place; by tanh, which doesn't overflow."""
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
-
-
 def _log_softmax(logit: np.ndarray, y: np.ndarray, gradient: bool) -> np.ndarray:
     """log p(y) for logits (outputs, rows), each row a column; with gradient, the logits become its gradient by them."""
-    rows = np.arange(len(y))
-    logit -= logit.max(axis=0)
+    rows, most = np.arange(len(y)), logit.max(axis=0)
+    if len(y) and max(most.max(), -most.min()) > 40:  # else exp neither overflows nor vanishes
+        logit -= most
     out = logit[y, rows]
     np.exp(logit, out=logit)
     norm = logit.sum(axis=0)
@@ -204,18 +197,22 @@ class RecurrentModel:
         out = np.empty((len(x) + 1, x.shape[1], n), u.dtype)
         out[0] = h
         both, one = np.empty((2, x.shape[1], n), u.dtype), np.empty((x.shape[1], n), u.dtype)
-        for t in range(len(x)):
-            h, gates, c, new = out[t], zr[:, t], k[t], out[t + 1]
-            np.matmul(h, half, out=both)
+        matmul, multiply, tanh = np.matmul, np.multiply, np.tanh
+        h = out[0]
+        for new, gates, z, r, c in zip(out[1:], zr.transpose(1, 0, 2, 3), *zr, k):
+            matmul(h, half, out=both)
             gates += both
-            _sigmoid(gates)
-            np.multiply(gates[1], h, out=new)
-            np.matmul(new, uh, out=one)
+            tanh(gates, out=gates)  # of half the argument; with the next two lines the logistic function, which can't overflow
+            gates *= 0.5
+            gates += 0.5
+            multiply(r, h, out=new)
+            matmul(new, uh, out=one)
             c += one
-            np.tanh(c, out=c)
+            tanh(c, out=c)
             np.subtract(h, c, out=new)
-            new *= gates[0]
+            new *= z
             new += c
+            h = new
         return (out[1:], (out[:-1], zr, k)) if keep else out[1:]
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
@@ -226,13 +223,13 @@ class RecurrentModel:
 
         Rows are put in order by class; outputs are rows of the arrays of logits, and a bias is the weight of a one behind the state.
         """
-        n, k = HIDDEN, self.class_of(y).astype(np.int16)
-        order = np.argsort(k, kind="stable")
-        k, y = k[order], y[order]
+        n, k = HIDDEN, self.class_of(y)
+        order = np.argsort(k.astype(np.int16), kind="stable")
+        k, y = k[order].astype(np.intp), y[order].astype(np.intp)
         own = np.ones((len(y), n + 1), h.dtype)
-        own[:, :n] = h[order]
+        own[:, :n] = h.take(order, axis=0)
         ends = np.searchsorted(k, np.arange(self.full + 1))
-        inner = y[: ends[-1]] - k[: ends[-1]].astype(np.int64) * CLASS_WORDS
+        inner = y[: ends[-1]] - k[: ends[-1]] * CLASS_WORDS
         present = [(c, slice(ends[c], ends[c + 1])) for c in range(self.full) if ends[c] < ends[c + 1]]
         outer_w = np.vstack([self.p["c"], self.p["cb"]])
         inner_w = np.vstack([self.p["w"], self.p["wb"]]).reshape(n + 1, self.full, CLASS_WORDS).transpose(1, 2, 0).copy()
@@ -280,43 +277,47 @@ class RecurrentModel:
         dzr, dk = np.empty_like(zr), np.empty_like(k)
         drh, both = np.empty_like(k[0]), np.empty_like(zr[:, 0])
         back = np.zeros_like(k[0])
-        for t in range(len(x) - 1, -1, -1):
-            back += d[t]
-            np.multiply(back, of_k[t], out=dk[t])
-            np.matmul(dk[t], uh, out=drh)
-            np.multiply(back, of_z[t], out=dzr[0, t])
-            np.multiply(drh, of_r[t], out=dzr[1, t])
-            np.matmul(dzr[:, t], u, out=both)
-            back *= z[t]
-            drh *= r[t]
+        matmul, multiply = np.matmul, np.multiply
+        steps = (d, of_k, of_z, of_r, z, r, dk, *dzr, dzr.transpose(1, 0, 2, 3))
+        for d_t, by_k, by_z, by_r, z_t, r_t, dk_t, dz_t, dr_t, dzr_t in zip(*(a[::-1] for a in steps)):
+            back += d_t
+            multiply(back, by_k, out=dk_t)
+            matmul(dk_t, uh, out=drh)
+            multiply(back, by_z, out=dz_t)
+            multiply(drh, by_r, out=dr_t)
+            matmul(dzr_t, u, out=both)
+            back *= z_t
+            drh *= r_t
             back += drh
             back += both[0]
             back += both[1]
         rows = lambda a: a.reshape(-1, n)
-        flat = [rows(dzr[0]), rows(dzr[1]), rows(dk)]
-        grads["uh"] += rows(r * before).T @ flat[2]
-        grads["u"] += np.hstack([rows(before).T @ d for d in flat[:2]])
-        grads["b"] += np.concatenate([np.ones(len(d), d.dtype) @ d for d in flat])
+        grads["uh"] += rows(r * before).T @ rows(dk)
         at = x.ravel().astype(np.int16)
         order = np.argsort(at, kind="stable")
-        used, first = np.unique(at[order], return_index=True)
-        grads["e"] = np.add.reduceat(np.concatenate([d.take(order, axis=0) for d in flat], axis=1), first, axis=0)
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        used = at[first]
+        flat = np.concatenate([rows(a).take(order, axis=0) for a in (*dzr, dk)], axis=1)
+        grads["u"] += rows(before).take(order, axis=0).T @ flat[:, : 2 * n]
+        grads["b"] += np.ones(len(flat), flat.dtype) @ flat
+        grads["e"] = np.add.reduceat(flat, first, axis=0)
         scale = 1 / max(1, real.sum())
         for name, g in grads.items():
             g *= scale
             own = used if name == "e" else slice(None)  # the other inputs' embeddings have no gradient
-            squares = g * g
+            size = g * g
             if name in moments:
-                squares *= 0.01
                 moments[name] *= 0.99
-                moments[name][own] += squares
+                size *= 0.01
+                size += moments[name][own]
             else:
                 moments[name] = np.zeros_like(self.p[name])
-                moments[name][own] = squares
-            np.sqrt(moments[name][own], out=squares)
-            squares += 1e-5
+            moments[name][own] = size
+            np.sqrt(size, out=size)
+            size += 1e-5
             g *= rate
-            g /= squares
+            g /= size
             self.p[name][own] += g
         return float(logp.sum()), int(real.sum()), states[-1]
 
@@ -350,7 +351,7 @@ def _document_scores(model: "RecurrentModel", ids: list[np.ndarray], end: int) -
             states = model.states(x[t : t + WINDOW, live:], h[live:])
             h[live:] = states[-1]
             real = part >= 0
-            own_states, own_y = states[real], part[real]
+            own_states, own_y = (states.reshape(-1, HIDDEN), part.ravel()) if real.all() else (states[real], part[real])
             logp = np.zeros(part.shape)
             logp[real] = np.concatenate([model.log_probability(own_states[i : i + TOGETHER], own_y[i : i + TOGETHER]) for i in range(0, len(own_y), TOGETHER)]) / np.log(10)
             out[own[live:]] += logp.sum(axis=0)
@@ -507,15 +508,15 @@ def score(docs: DataFrame, learn: Column, scratch: Scratch | None = None, share:
                 share = np.where(seen, np.log10(count + SMOOTH), 0)
                 ids, ids_of_docs = _model_ids(found, docs_here, vocabulary)
                 of_form = np.where(ids >= size, share - rare_log[np.maximum(ids - size, 0)], 0)
-                total_of = lambda values: np.bincount(found.doc, values[found.word], docs_here)
-                n = np.bincount(found.doc, minlength=docs_here)
+                n = np.bincount(found.doc, minlength=docs_here)  # each has its end, and its tokens follow each other
+                total_of = lambda values: np.add.reduceat(values[found.word], np.cumsum(n) - n)
                 missing = ~seen[found.word]
                 key, times = np.unique(found.doc[missing] * len(seen) + found.word[missing], return_counts=True)
                 ends = np.searchsorted(key, np.arange(docs_here + 1) * len(seen)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     own.column("doc_id").cast(pa.int64()), own.column(name), ids_of_docs,
                     pa.ListArray.from_arrays(ends, found.hashes[key % len(seen)].view(np.int64)), pa.ListArray.from_arrays(ends, times),
-                    pa.array(n), pa.array(total_of(seen).astype(np.int64)), pa.array(total_of(share) - n * base_log), pa.array(total_of(of_form)),
+                    pa.array(n), pa.array(total_of(seen.astype(np.int64))), pa.array(total_of(share) - n * base_log), pa.array(total_of(of_form)),
                 ], ["doc_id", "row", "ids", "words", "times", "tokens", "known", "base", "net"])
 
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias(name), "text").mapInArrow(
