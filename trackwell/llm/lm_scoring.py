@@ -40,6 +40,8 @@ AREA = 1 << 21
 TOGETHER = 8_192
 #: The share of the learning rows that the network's weights are fitted on, and the rows, about, of which a task learns in a round.
 SHARE, TASK_ROWS = 1.0, 500
+#: Rows, about, that a task scores where there are more such tasks than cores: like lengths go side by side, so that more rows mean fuller arrays.
+SCORED_ROWS = 8_000
 #: Sequences of up to SEGMENT tokens that learn side by side, a window a step.
 BESIDE = 64
 
@@ -550,7 +552,8 @@ def score(docs: DataFrame, learn: Column, scratch: Scratch | None = None, share:
                 spread(None, own["tokens"]), spread(None, own["known"]), spread(None, own["base"]), spread(None, own["net"] + _document_scores(model, _ids_of(batch), end)),
             ], ["doc_id", "row", "word", "times", "tokens", "known", "base", "net"])
 
-    emitted = numbered.drop("round").mapInArrow(network, "doc_id long, row long, word long, times long, tokens long, known long, base double, net double")
+    few = numbered.drop("round").coalesce(max(spark.sparkContext.defaultParallelism, numbered.count() // SCORED_ROWS))
+    emitted = few.mapInArrow(network, "doc_id long, row long, word long, times long, tokens long, known long, base double, net double")
     of_word = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))
     return (
         emitted.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
