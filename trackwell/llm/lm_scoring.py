@@ -140,17 +140,17 @@ class Vocabulary:
 
 
 def _log_softmax(logit: np.ndarray, y: np.ndarray, gradient: bool) -> np.ndarray:
-    """log p(y) for logits (outputs, rows), each row a column; with gradient, the logits become its gradient by them."""
-    rows, most = np.arange(len(y)), logit.max(axis=0)
+    """log p(y) for logits (outputs, rows) in one piece, each row a column; with gradient, the logits become its gradient by them."""
+    chosen, most = y * len(y) + np.arange(len(y)), logit.max(axis=0)
     if len(y) and max(most.max(), -most.min()) > 40:  # else exp neither overflows nor vanishes
         logit -= most
-    out = logit[y, rows]
+    out = logit.reshape(-1)[chosen]
     np.exp(logit, out=logit)
     norm = logit.sum(axis=0)
     out -= np.log(norm)
     if gradient:
         logit *= -1 / norm
-        logit[y, rows] += 1
+        logit.reshape(-1)[chosen] += 1
     return out
 
 
@@ -267,15 +267,23 @@ class RecurrentModel:
         states, (before, zr, k) = self.states(x, h, keep=True)
         real = y >= 0
         grads = {n: np.zeros_like(a) for n, a in self.p.items() if n != "e"}
-        logp, dreal = self.log_probability(states[real], y[real], grads)
-        d = np.zeros_like(states)
-        d[real] = dreal
         n, (z, r) = HIDDEN, zr
+        if real.all():
+            logp, d = self.log_probability(states.reshape(-1, n), y.ravel(), grads)
+            d = d.reshape(states.shape)
+        else:
+            logp, dreal = self.log_probability(states[real], y[real], grads)
+            d = np.zeros_like(states)
+            d[real] = dreal
         u = np.stack([self.p["u"][:, :n].T, self.p["u"][:, n:].T])
         uh = self.p["uh"].T
-        of_k = (1 - z) * (1 - k * k)
-        of_z = (before - k) * z * (1 - z)
-        of_r = before * r * (1 - r)
+        kept, inner = 1 - z, r * before
+        of_k, of_z, of_r = k * k, before - k, 1 - r
+        np.subtract(1, of_k, out=of_k)
+        of_k *= kept
+        of_z *= z
+        of_z *= kept
+        of_r *= inner
         dzr, dk = np.empty_like(zr), np.empty_like(k)
         drh, both = np.empty_like(k[0]), np.empty_like(zr[:, 0])
         back = np.zeros_like(k[0])
@@ -294,7 +302,7 @@ class RecurrentModel:
             back += both[0]
             back += both[1]
         rows = lambda a: a.reshape(-1, n)
-        grads["uh"] += rows(r * before).T @ rows(dk)
+        grads["uh"] += rows(inner).T @ rows(dk)
         at = x.ravel().astype(np.int16)
         order = np.argsort(at, kind="stable")
         at = at[order]
@@ -303,7 +311,8 @@ class RecurrentModel:
         flat = np.concatenate([rows(a).take(order, axis=0) for a in (*dzr, dk)], axis=1)
         grads["u"] += rows(before).take(order, axis=0).T @ flat[:, : 2 * n]
         grads["b"] += np.ones(len(flat), flat.dtype) @ flat
-        grads["e"] = np.add.reduceat(flat, first, axis=0)
+        pairs = flat.view(np.result_type(flat, np.complex64))  # two numbers at a time: half as many sums to begin
+        grads["e"] = np.add.reduceat(pairs, first, axis=0).view(flat.dtype)
         scale = 1 / max(1, real.sum())
         for name, g in grads.items():
             g *= scale
