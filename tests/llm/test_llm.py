@@ -21,6 +21,13 @@ def docs_of(spark, texts, sources=None):
     return spark.createDataFrame(rows, DOCS)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def odd_texts():
     long = " ".join(f"word{i % 977} of" for i in range(30000)) + "."
     return [None, "", "   \n\t ", "one.", "A line that ends well, as prose does for ten words.\nHome | About | Contact | Terms", long, long, "ümläut ß " * 30]
@@ -672,6 +679,17 @@ def test_fingerprints_and_similarity_link_together(spark, monkeypatch):
     assert similarity.keep_one_by_both(docs.where("false")).count() == 0
 
 
+def test_texts_are_not_sorted_for_line_dedup(spark, no_broadcast):
+    """Texts stream past the places of removed lines; nothing sorts or holds a partition's texts."""
+    passage = "one line here.\nand one more."
+    docs = docs_of(spark, [f"{passage}\nfirst of all.", f"second.\n{passage}", None, "\n".join([passage] * 3)])
+    found = line_dedup.remove_passages(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "LeftOuter" in line]
+    assert joins and all("ShuffledHashJoin" in line and "BuildRight" in line for line in joins)
+    assert [r.dedup.clean_text for r in found.orderBy("doc_id").collect()] == [f"{passage}\nfirst of all.", "second.", None, ""]
+
+
 def test_network_learns_from_every_learning_row(spark, monkeypatch):
     seen, train = [], lm_scoring.train
     monkeypatch.setattr(lm_scoring, "train", lambda lessons, *more: seen.extend(r.doc_id for r in lessons.collect()) or train(lessons, *more))

@@ -128,7 +128,8 @@ def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     it don't count and go with it. Its boundaries are where the windows of two lines, all of which
     are hashed, begin and end to repeat, so they move with inserted text. Windows are counted by 128-bit
     digests, combined before the shuffle, and compared by them: bytes stay where they are. Joins on
-    a digest are dealt over SALT tasks, so that one very common window is shared. A window that overlaps its own first occurrence isn't a repeat, so the
+    a digest are dealt over SALT tasks, so that one very common window is shared. Texts stream past
+    what goes from them, so a task holds the places of a partition's removed lines, not its texts. A window that overlaps its own first occurrence isn't a repeat, so the
     first occurrence of every line stays. Rows that agree in doc_id and text are treated
     alike. Null text has one blank line and stays null. An empty table gives an empty result.
     """
@@ -150,7 +151,7 @@ def remove_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         .groupBy(F.col("d").alias(row_id), F.col("t").alias(row_hash))
         .agg(F.flatten(F.collect_set(F.sequence("k", "e"))).alias(gone))
     )
-    out = keyed.join(drop, [row_id, row_hash], "left")
+    out = keyed.join(drop.hint("shuffle_hash"), [row_id, row_hash], "left")
     out = settled(out, {lines: F.split(F.coalesce("text", F.lit("")), "\n"), gone: F.coalesce(gone, F.array().cast("array<int>"))})
     out = settled(out, {stays: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))})
     kept = F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")
