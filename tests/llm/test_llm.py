@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -516,6 +517,29 @@ def test_training_takes_words_that_are_numbered_already(spark):
     assert all((made[0][k] == made[1][k]).all() for k in made[0])
 
 
+def test_a_step_holds_few_arrays():
+    """A step of training passes over few arrays as large as its states, or they leave the processor's cache; gradients take the place of their factors."""
+    model = lm_scoring.RecurrentModel(lm_scoring.Vocabulary(np.arange(1, 1025, dtype=np.uint64), np.arange(1024), 1024), np.arange(1100, 73, -1.0))
+    x, y = np.random.default_rng(0).integers(0, 1027, (2, lm_scoring.WINDOW, 1024))
+    h, moments = np.zeros((1024, lm_scoring.HIDDEN), np.float32), {}
+    model.train_window(x, y, h, moments, 0.01)
+    tracemalloc.start()
+    model.train_window(x, y, h, moments, 0.01)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 17 * h.nbytes * lm_scoring.WINDOW
+
+
+@pytest.mark.filterwarnings("error")
+def test_gates_that_are_shut_or_open():
+    """Where the exponential overflows, a gate is 0 or 1: the state is the candidate, or stays."""
+    model, n = lm_scoring.RecurrentModel(lm_scoring.Vocabulary(np.arange(1, 3, dtype=np.uint64), np.arange(2), 2)), lm_scoring.HIDDEN
+    model.p["e"][0], model.p["e"][1] = np.repeat(np.float32([-1e4, 0, 0.5]), n), np.repeat(np.float32([1e4, -1e4, 9]), n)
+    model.p["u"][:], model.p["uh"][:], model.p["b"][:] = 0, 0, 0
+    states = model.states(np.array([[0], [1]]), np.full((1, n), 0.25, np.float32))
+    assert states == pytest.approx(np.full((2, 1, n), np.tanh(0.5)), rel=1e-6)
+
+
 def test_a_step_follows_the_slope():
     """The first step divides each gradient by its size, so every weight moves by the rate where the likelihood's slope, by differences, isn't near 0."""
     words = np.arange(1, 41, dtype=np.uint64)

@@ -165,6 +165,7 @@ class RecurrentModel:
         self.v, h = vocabulary, HIDDEN
         self.full = -(-vocabulary.size // CLASS_WORDS)
         self.classes = self.full + FORMS
+        self.class_by_id = np.append(np.arange(vocabulary.size) // CLASS_WORDS, self.full + np.arange(FORMS)).astype(np.int16)
         rng = np.random.default_rng(seed)
         f = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         zeros = lambda *s: np.zeros(s, np.float32)
@@ -184,41 +185,41 @@ class RecurrentModel:
             self.p["wb"][vocabulary.size :] = -30.0
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: bool = False):
-        """x (steps, docs) of inputs, h (docs, HIDDEN) carried in -> states after each step; with keep, also (states before each, gates, candidates).
+        """x (steps, docs) of inputs, h (docs, HIDDEN) carried in -> states after each step; with keep, also (states before each, gates and candidates).
 
-        Update and reset gate lie apart, (2, steps, docs, HIDDEN), so that all that is worked out for a step lies in one piece.
+        Reset gate, update gate and candidate of a step follow each other, (steps, 3, docs, HIDDEN), so that what is worked out for a step lies in one piece.
+        Gates are 1 / (1 + exp(-a)), whose exp may overflow: then they are 0, as they should be.
         """
-        n, u, uh = HIDDEN, self.p["u"], self.p["uh"]
-        half = np.stack([u[:, :n], u[:, n:]]) * u.dtype.type(0.5)
-        inputs = np.add(self.p["e"].reshape(-1, 3, n).transpose(1, 0, 2), self.p["b"].reshape(3, 1, n), order="C")
-        inputs[:2] *= 0.5
-        zr = np.empty((2, *x.shape, n), u.dtype)
-        for i in (0, 1):
-            inputs[i].take(x, axis=0, out=zr[i], mode="clip")
-        k = inputs[2].take(x, axis=0)
+        n, u, uh, b = HIDDEN, self.p["u"], self.p["uh"], self.p["b"]
+        minus_u = -np.stack([u[:, n:], u[:, :n]])
+        inputs = np.empty_like(self.p["e"])
+        np.subtract(-b[: 2 * n], self.p["e"][:, : 2 * n], out=inputs[:, : 2 * n])
+        np.add(self.p["e"][:, 2 * n :], b[2 * n :], out=inputs[:, 2 * n :])
+        rzk = inputs.reshape(-1, n).take(x[:, None] * 3 + np.array([1, 0, 2])[:, None], axis=0)
         out = np.empty((len(x) + 1, x.shape[1], n), u.dtype)
         out[0] = h
         both, one = np.empty((2, x.shape[1], n), u.dtype), np.empty((x.shape[1], n), u.dtype)
-        matmul, multiply, tanh = np.matmul, np.multiply, np.tanh
+        matmul, multiply, reciprocal, exp, tanh = np.matmul, np.multiply, np.reciprocal, np.exp, np.tanh
         h = out[0]
-        for new, gates, z, r, c in zip(out[1:], zr.transpose(1, 0, 2, 3), *zr, k):
-            matmul(h, half, out=both)
-            gates += both
-            tanh(gates, out=gates)  # of half the argument; with the next two lines the logistic function, which can't overflow
-            gates *= 0.5
-            gates += 0.5
-            multiply(r, h, out=new)
-            matmul(new, uh, out=one)
-            c += one
-            tanh(c, out=c)
-            np.subtract(h, c, out=new)
-            new *= z
-            new += c
-            h = new
-        return (out[1:], (out[:-1], zr, k)) if keep else out[1:]
+        with np.errstate(over="ignore"):
+            for new, gates, r, z, k in zip(out[1:], rzk[:, :2], *rzk.transpose(1, 0, 2, 3)):
+                matmul(h, minus_u, out=both)
+                gates += both
+                exp(gates, out=gates)
+                gates += 1
+                reciprocal(gates, out=gates)
+                multiply(r, h, out=new)
+                matmul(new, uh, out=one)
+                k += one
+                tanh(k, out=k)
+                np.subtract(h, k, out=new)
+                new *= z
+                new += k
+                h = new
+        return (out[1:], (out[:-1], rzk)) if keep else out[1:]
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
-        return np.where(y < self.v.size, y // CLASS_WORDS, y - self.v.size + self.full)
+        return self.class_by_id.take(y)
 
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log of p(y | state) for rows of h; with grads, also d(sum)/dh, and gradients are added.
@@ -226,8 +227,10 @@ class RecurrentModel:
         Rows are put in order by class; outputs are rows of the arrays of logits, and a bias is the weight of a one behind the state.
         """
         n, k = HIDDEN, self.class_of(y)
-        order = np.argsort(k.astype(np.int16), kind="stable")
-        k, y = k[order].astype(np.intp), y[order].astype(np.intp)
+        order = np.argsort(k, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        k, y = k.take(order).astype(np.intp), y.take(order).astype(np.intp)
         own = np.ones((len(y), n + 1), h.dtype)
         own[:, :n] = h.take(order, axis=0)
         ends = np.searchsorted(k, np.arange(self.full + 1))
@@ -236,38 +239,36 @@ class RecurrentModel:
         outer_w = np.vstack([self.p["c"], self.p["cb"]])
         inner_w = np.vstack([self.p["w"], self.p["wb"]]).reshape(n + 1, self.full, CLASS_WORDS).transpose(1, 2, 0).copy()
         outer = outer_w.T @ own.T
+        logp = _log_softmax(outer, k, grads is not None)
+        if grads is not None:
+            g = outer @ own
+            grads["c"] += g[:, :n].T
+            grads["cb"] += g[:, n]
+            dh = outer.T @ outer_w[:n].T
         words = np.empty((CLASS_WORDS, len(inner)), outer.dtype)
         for c, s in present:
             np.matmul(inner_w[c], own[s].T, out=words[:, s])
-        logp = _log_softmax(outer, k, grads is not None)
         logp[: len(inner)] += _log_softmax(words, inner, grads is not None)
-        out = np.empty_like(logp)
-        out[order] = logp
+        out = logp.take(place)
         if grads is None:
             return out
-        g = outer @ own
-        grads["c"] += g[:, :n].T
-        grads["cb"] += g[:, n]
         g = np.zeros_like(inner_w)
-        dh = outer_w[:n] @ outer
-        back = np.empty((n, len(inner)), dh.dtype)
+        back = np.empty((len(inner), n), dh.dtype)
         for c, s in present:
             np.matmul(words[:, s], own[s], out=g[c])
-            np.matmul(inner_w[c, :, :n].T, words[:, s], out=back[:, s])
+            np.matmul(words[:, s].T, inner_w[c, :, :n], out=back[s])
         g = g.reshape(-1, n + 1)
         grads["w"] += g[:, :n].T
         grads["wb"] += g[:, n]
-        dh[:, : len(inner)] += back
-        dout = np.empty_like(h)
-        dout[order] = dh.T
-        return out, dout
+        dh[: len(inner)] += back
+        return out, dh.take(place, axis=0)
 
     def train_window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, moments: dict, rate: float):
         """One step of truncated backpropagation through a window; -> (log p, tokens, state carried out). y < 0: no token."""
-        states, (before, zr, k) = self.states(x, h, keep=True)
+        states, (before, rzk) = self.states(x, h, keep=True)
         real = y >= 0
-        grads = {n: np.zeros_like(a) for n, a in self.p.items() if n != "e"}
-        n, (z, r) = HIDDEN, zr
+        grads = {n: np.zeros_like(self.p[n]) for n in ("c", "cb", "w", "wb")}
+        n, (r, z, k) = HIDDEN, rzk.transpose(1, 0, 2, 3)
         if real.all():
             logp, d = self.log_probability(states.reshape(-1, n), y.ravel(), grads)
             d = d.reshape(states.shape)
@@ -275,61 +276,69 @@ class RecurrentModel:
             logp, dreal = self.log_probability(states[real], y[real], grads)
             d = np.zeros_like(states)
             d[real] = dreal
-        u = np.stack([self.p["u"][:, :n].T, self.p["u"][:, n:].T])
+        u = np.stack([self.p["u"][:, n:].T, self.p["u"][:, :n].T])
         uh = self.p["uh"].T
         kept, inner = 1 - z, r * before
-        of_k, of_z, of_r = k * k, before - k, 1 - r
-        np.subtract(1, of_k, out=of_k)
-        of_k *= kept
-        of_z *= z
-        of_z *= kept
-        of_r *= inner
-        dzr, dk = np.empty_like(zr), np.empty_like(k)
-        drh, both = np.empty_like(k[0]), np.empty_like(zr[:, 0])
-        back = np.zeros_like(k[0])
+        drzk = np.empty_like(rzk)  # at first what the gradients of gates and candidate are multiplied by, then, step by step, these
+        dr, dz, dk = drzk.transpose(1, 0, 2, 3)
+        np.multiply(k, k, out=dk)
+        np.subtract(1, dk, out=dk)
+        dk *= kept
+        np.subtract(before, k, out=dz)
+        kept *= z
+        dz *= kept
+        np.subtract(1, r, out=dr)
+        dr *= inner
+        drh, both = np.empty_like(before[0]), np.empty_like(rzk[0, :2])
+        back, (by_r, by_z) = np.zeros_like(before[0]), both
         matmul, multiply = np.matmul, np.multiply
-        steps = (d, of_k, of_z, of_r, z, r, dk, *dzr, dzr.transpose(1, 0, 2, 3))
-        for d_t, by_k, by_z, by_r, z_t, r_t, dk_t, dz_t, dr_t, dzr_t in zip(*(a[::-1] for a in steps)):
+        steps = (d, dr, dk, drzk[:, 1:], drzk[:, :2], z, r)
+        for d_t, dr_t, dk_t, dzk_t, drz_t, z_t, r_t in zip(*(a[::-1] for a in steps)):
             back += d_t
-            multiply(back, by_k, out=dk_t)
+            multiply(back, dzk_t, out=dzk_t)
             matmul(dk_t, uh, out=drh)
-            multiply(back, by_z, out=dz_t)
-            multiply(drh, by_r, out=dr_t)
-            matmul(dzr_t, u, out=both)
+            multiply(drh, dr_t, out=dr_t)
+            matmul(drz_t, u, out=both)
             back *= z_t
             drh *= r_t
             back += drh
-            back += both[0]
-            back += both[1]
+            back += by_r
+            back += by_z
         rows = lambda a: a.reshape(-1, n)
-        grads["uh"] += rows(inner).T @ rows(dk)
-        at = x.ravel().astype(np.int16)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        used = at[first]
-        flat = np.concatenate([rows(a).take(order, axis=0) for a in (*dzr, dk)], axis=1)
-        grads["u"] += rows(before).take(order, axis=0).T @ flat[:, : 2 * n]
-        grads["b"] += np.ones(len(flat), flat.dtype) @ flat
+        times = np.bincount(x.ravel())
+        used = np.flatnonzero(times)
+        first = np.cumsum(times[used]) - times[used]
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        at = np.add.outer(np.arange(len(x)) * 3 * x.shape[1], np.arange(x.shape[1])).ravel().take(order)  # of each token's reset gate
+        flat = rows(drzk).take(at[:, None] + np.array([1, 0, 2]) * x.shape[1], axis=0).reshape(-1, 3 * n)
+        grads["uh"] = rows(inner).T @ rows(dk)
+        grads["u"] = rows(before).take(order, axis=0).T @ flat[:, : 2 * n]
+        grads["b"] = np.ones(len(flat), flat.dtype) @ flat
         pairs = flat.view(np.result_type(flat, np.complex64))  # two numbers at a time: half as many sums to begin
         grads["e"] = np.add.reduceat(pairs, first, axis=0).view(flat.dtype)
-        scale = 1 / max(1, real.sum())
+        scale = 1 / max(1, int(real.sum()))
         for name, g in grads.items():
-            g *= scale
-            own = used if name == "e" else slice(None)  # the other inputs' embeddings have no gradient
             size = g * g
             if name in moments:
                 moments[name] *= 0.99
-                size *= 0.01
-                size += moments[name][own]
+                size *= 0.01 * scale**2
             else:
                 moments[name] = np.zeros_like(self.p[name])
-            moments[name][own] = size
-            np.sqrt(size, out=size)
+                size *= scale**2
+            g *= rate * scale
+            if name == "e":  # the other inputs' embeddings have no gradient
+                size += moments[name][used]
+                moments[name][used] = size
+                np.sqrt(size, out=size)
+            else:
+                moments[name] += size
+                np.sqrt(moments[name], out=size)
             size += 1e-5
-            g *= rate
             g /= size
-            self.p[name][own] += g
+            if name == "e":
+                self.p[name][used] += g
+            else:
+                self.p[name] += g
         return float(logp.sum()), int(real.sum()), states[-1]
 
 
@@ -355,11 +364,13 @@ def _document_scores(model: "RecurrentModel", ids: list[np.ndarray], end: int) -
     out = np.zeros(len(ids))
     for own, length, y in _lockstep(ids, WIDTH):
         h = np.zeros((len(own), HIDDEN), np.float32)
-        x = np.vstack([np.full((1, len(own)), end), np.maximum(y[:-1], 0)])
         for t in range(0, len(y), WINDOW):
             live = int(np.searchsorted(length, t, side="right"))  # shorter documents have ended
             part = y[t : t + WINDOW, live:]
-            states = model.states(x[t : t + WINDOW, live:], h[live:])
+            x = np.empty_like(part)
+            x[0] = np.maximum(y[t - 1, live:], 0) if t else end
+            np.maximum(part[:-1], 0, out=x[1:])
+            states = model.states(x, h[live:])
             h[live:] = states[-1]
             real = part >= 0
             own_states, own_y = (states.reshape(-1, HIDDEN), part.ravel()) if real.all() else (states[real], part[real])
