@@ -135,3 +135,11 @@ def test_scan_query_against_plain_loops(spark, sf_dir):
             want[video, place] = (len(own), *min(own)[1:], round(-min(own)[0], 6))
     got = {(r.video, r.cluster_id): (r.face_count, r.frame_index, r.det_id, r.best_confidence) for r in catalog.QUERIES["scan_recorded"](spark, sf_dir).collect()}
     assert got == want
+
+
+def test_scan_query_finds_faces(spark, sf_dir):
+    """Frames are wide enough for faces: every frame that is looked at has some, and all have vectors, identities and a preview."""
+    rows = catalog.QUERIES["scan_recorded"](spark, sf_dir).collect()
+    assert rows and all(r.w >= 10 and r.h >= 10 and r.bytes == 4 * r.w * r.h for r in rows)
+    first = {r.video: r.face_count for r in rows if r.cluster_id == 0}
+    assert first.keys() == {r.video for r in rows} and min(first.values()) >= 2
