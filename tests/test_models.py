@@ -143,3 +143,21 @@ def test_scan_query_finds_faces(spark, sf_dir):
     assert rows and all(r.w >= 10 and r.h >= 10 and r.bytes == 4 * r.w * r.h for r in rows)
     first = {r.video: r.face_count for r in rows if r.cluster_id == 0}
     assert first.keys() == {r.video for r in rows} and min(first.values()) >= 2
+
+
+def test_scan_query_looks_once_a_second(spark, sf_dir):
+    """Against plain loops over the frames shown at 0.1 s and every second after it, the reference's rate of sampling."""
+    want = {}
+    for path in [p for p, _ in list_files(recorded(spark, sf_dir, spots=True), "*.y4m")]:
+        video, people = int(os.path.basename(path)[:-4]), {}
+        with open(path.removeprefix("file://"), "rb") as file:
+            length = Y4M().duration(file)
+            frames = {n: np.frombuffer(data, np.uint8).reshape(h, w, 4) for n, _, w, h, data in Y4M().frames(file, 0.0)}
+        for n in [3 + 30 * k for k in range(len(frames)) if k + 0.1 < length - 0.1]:
+            large = [b for b in _plain_boxes(frames[n]) if b[1][2] - b[1][0] >= 10 and b[1][3] - b[1][1] >= 10]
+            for place, (i, _, score) in enumerate(sorted(large, key=lambda b: (b[1][0], b[0]))):
+                people.setdefault(place, []).append((-score, n, i))
+        for place, own in people.items():
+            want[video, place] = (len(own), *min(own)[1:], round(-min(own)[0], 6))
+    got = {(r.video, r.cluster_id): (r.face_count, r.frame_index, r.det_id, r.best_confidence) for r in catalog.QUERIES["scan_recorded"](spark, sf_dir).collect()}
+    assert got == want and max(r[0] for r in got.values()) >= 30
