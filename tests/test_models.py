@@ -161,3 +161,12 @@ def test_scan_query_looks_once_a_second(spark, sf_dir):
             want[video, place] = (len(own), *min(own)[1:], round(-min(own)[0], 6))
     got = {(r.video, r.cluster_id): (r.face_count, r.frame_index, r.det_id, r.best_confidence) for r in catalog.QUERIES["scan_recorded"](spark, sf_dir).collect()}
     assert got == want and max(r[0] for r in got.values()) >= 30
+
+
+def test_pixels_and_vectors_are_not_broadcast(spark, tmp_path):
+    """Frames that are alike are few bytes in a file, which would make Spark send all their pixels to every task."""
+    stages = scan_job.Stages(spark, str(tmp_path))
+    frames = stages.run("frames", lambda: _frames(spark))
+    boxes = stages.run("detections", lambda: scan_job.detections(frames, catalog.spot_detector))
+    for frame in (scan_job.detections(frames, catalog.spot_detector), scan_job.with_vectors(frames, boxes, catalog.spot_recogniser, 2)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
